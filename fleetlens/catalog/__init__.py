@@ -1,6 +1,6 @@
 """Named queries over the driver tables, each with its SQL check."""
 
-from fleetlens.catalog import log_queries  # noqa: F401
+from fleetlens.catalog import cluster_queries, log_queries  # noqa: F401
 from fleetlens.catalog.registry import QUERIES, SQL
 
 
