@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Undecodable bytes in a log must not end a job over a fleet.
+    "spark.sql.legacy.codingErrorAction": "true",
 }
 
 
