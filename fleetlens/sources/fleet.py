@@ -82,7 +82,8 @@ class Fleet:
         is_list = F.ltrim("value").startswith("[")
         items = F.when(is_list, F.from_json("value", f"array<{kind}>")).otherwise(F.array(F.from_json("value", kind)))
         out = docs.select("bundle_id", "file_path", "file_name", F.explode(items).alias("doc"))
-        return out.filter(F.col("doc").isNotNull())
+        # Text that is no such document decodes to a struct without any value.
+        return out.filter(F.col("doc").isNotNull() & (F.to_json("doc") != "{}"))
 
     def binary(self, *relative: str, content: bool = True) -> DataFrame:
         """Files as bytes; without ``content`` only names and lengths are read."""
