@@ -100,6 +100,23 @@ def scan_host_facts(fleet: Fleet, rules: list[FactRule] = FACT_RULES) -> DataFra
     return out.groupBy("bundle_id", "source", "key").agg(F.min_by("value", "file_path").alias("value"))
 
 
+def scan_core_counts(fleet: Fleet) -> DataFrame:
+    """(bundle_id, cores): one processor file per core; only names are read."""
+    files = fleet.binary("proc/cpuinfo-processor-*", content=False)
+    return files.groupBy("bundle_id").agg(F.count("*").alias("cores"))
+
+
+def command_lines(facts: DataFrame, logs: DataFrame | None = None) -> DataFrame:
+    """(bundle_id, cmdline) of the broker process, else as its log prints it at the top."""
+    known = facts.filter("source = 'cmdline'").select("bundle_id", F.col("value").alias("_known"))
+    if logs is None:
+        return known.withColumnRenamed("_known", "cmdline")
+    printed = logs.filter((F.col("line_number") <= 200) & F.contains("raw", F.lit("command line:")))
+    first = printed.groupBy("bundle_id").agg(F.min_by("raw", "id").alias("_printed"))
+    both = known.join(first, "bundle_id", "full")
+    return both.select("bundle_id", F.coalesce("_known", "_printed").alias("cmdline"))
+
+
 def cpu_flags(facts: DataFrame) -> DataFrame:
     """The flags of interest among a host's CPU flags."""
     rows = facts.filter("source = 'cpuinfo' and key = 'flags'")
