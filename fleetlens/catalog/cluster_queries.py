@@ -321,13 +321,12 @@ def disk_by_partition(t):
 
 @query(
     "disk_rollup",
-    f"WITH s AS ({_STORAGE}), d AS (SELECT bundle_id, split_part(split_part(path, '/kafka/', 2), '/', 1) AS topic, sum(size_bytes) :: BIGINT AS b FROM v_segments WHERE size_bytes > 1000 GROUP BY 1, 2) "
+    f"WITH s AS ({_STORAGE}), d AS (SELECT bundle_id, split_part(split_part(path, '/kafka/', 2), '/', 1) AS topic, sum(size_bytes) :: BIGINT AS b FROM v_du WHERE contains(path, '/kafka/') GROUP BY 1, 2) "
     "SELECT coalesce(s.bundle_id, d.bundle_id) AS bundle_id, coalesce(s.topic, d.topic) AS topic, coalesce(d.b, s.size_bytes) AS total_bytes, coalesce(s.active, false) AS active, "
     "coalesce(s.segment_count, 0) AS segment_count FROM s FULL JOIN d ON d.bundle_id = s.bundle_id AND d.topic = s.topic",
 )
 def disk_rollup(t):
-    listed = t.v_segments.filter("size_bytes > 1000")
-    return storage.disk_rollup(listed, storage.storage_by_topic(t.v_segments, t.v_active_partitions))
+    return storage.disk_rollup(t.v_du, storage.storage_by_topic(t.v_segments, t.v_active_partitions))
 
 
 @query("disk_totals", "SELECT bundle_id, 'data' AS kind, sum(total_bytes) :: BIGINT AS total_bytes, sum(free_bytes) :: BIGINT AS free_bytes FROM v_brokers GROUP BY 1")

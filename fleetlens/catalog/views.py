@@ -117,6 +117,11 @@ FROM lineitem""",
 SELECT {_DOC_BUNDLE} AS bundle_id,
        concat('/var/lib/data/kafka/', source, '/', CAST(doc_id % 4 AS STRING), '_', CAST(doc_id % 3 AS STRING),
               '/', CAST(doc_id AS STRING), '-1-v1.log') AS path, n_chars AS size_bytes
+FROM documents""",
+    "v_du": f"""
+SELECT {_DOC_BUNDLE} AS bundle_id,
+       concat(CASE WHEN source = 'src2' THEN '/var/tmp/' ELSE '/var/lib/data/kafka/' END, source, '/', CAST(doc_id % 4 AS STRING), '_', CAST(doc_id % 3 AS STRING)) AS path,
+       n_chars + 7 AS size_bytes
 FROM documents""",
     "v_active_partitions": f"""
 SELECT DISTINCT {_DOC_BUNDLE} AS bundle_id, CASE WHEN source = 'src0' THEN 'kept' ELSE source END AS topic,
