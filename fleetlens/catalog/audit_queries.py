@@ -63,11 +63,11 @@ def metrics_audit(t):
 
 @query(
     "metric_digest",
-    "SELECT bundle_id, name, regexp_extract(labels, '\"shard\":\"([^\"]*)\"', 1) AS shard, count(*) AS n, min(value) AS low, max(value) AS high, arg_min(value, (ts, id)) AS first_value, arg_max(value, (ts, id)) AS last_value "
+    "SELECT bundle_id, name, shard, count(*) AS n, min(value) AS low, max(value) AS high, arg_min(value, (ts, id)) AS first_value, arg_max(value, (ts, id)) AS last_value "
     "FROM v_metrics GROUP BY 1, 2, 3",
 )
 def digest(t):
-    rows = samples(t).withColumn("labels", F.map_filter("labels", lambda k, _: k == "shard"))
+    rows = samples(t, keys=("shard",))
     out = metric_digest(rows, [f"metric_{k}" for k in ("signup", "error", "click", "view", "purchase")])
     return out.select("bundle_id", "name", "shard", "n", "low", "high", F.col("first.value").alias("first_value"), F.col("last.value").alias("last_value"))
 

@@ -16,18 +16,18 @@ def r6(*names: str):
     return {n: F.round(n, 6) for n in names}
 
 
-def samples(t, name: str = "v_metrics"):
-    df = getattr(t, name)
-    return df.withColumn("labels", F.from_json("labels", "map<string,string>"))
+def samples(t, name: str = "v_metrics", keys: tuple[str, ...] = ("shard", "class")):
+    """Metric samples with the label map that the readers give."""
+    labels = F.create_map(*[x for key in keys for x in (F.lit(key), F.col(key))])
+    return getattr(t, name).withColumn("labels", labels).drop(*keys)
 
 
-_LABEL = "regexp_extract(labels, '\"{0}\":\"([^\"]*)\"', 1)"
-_SERIES = f"concat('class=', {_LABEL.format('class')}, ', shard=', {_LABEL.format('shard')})"
+_SERIES = "concat('class=', class, ', shard=', shard)"
 
 
 @query(
     "metric_filter",
-    f"SELECT bundle_id, id, value FROM v_metrics WHERE name = 'metric_click' AND {_LABEL.format('class')} = 'read' AND {_LABEL.format('shard')} = '4' "
+    f"SELECT bundle_id, id, value FROM v_metrics WHERE name = 'metric_click' AND class = 'read' AND shard = '4' "
     "AND ts >= TIMESTAMP '2024-01-03 00:00:00' AND ts <= TIMESTAMP '2024-01-25 00:00:00'",
 )
 def metric_filter(t):
@@ -60,7 +60,7 @@ def metric_rate(t):
 
 
 _ENDS = (
-    f"SELECT bundle_id, {_LABEL.format('shard')} AS shard, {_SERIES} AS series, arg_min(value, (ts, id)) AS v0, arg_max(value, (ts, id)) AS v1, "
+    f"SELECT bundle_id, shard, {_SERIES} AS series, arg_min(value, (ts, id)) AS v0, arg_max(value, (ts, id)) AS v1, "
     "(epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS s FROM v_metrics WHERE name = 'metric_view' GROUP BY 1, 2, 3"
 )
 
@@ -79,7 +79,7 @@ def worst_rate(t):
 
 @query(
     "shard_cpu",
-    f"SELECT bundle_id, {_LABEL.format('shard')} AS shard, CASE WHEN arg_max(value, (ts, id)) <= 1 THEN arg_max(value, (ts, id)) * 100 ELSE arg_max(value, (ts, id)) END AS usage "
+    f"SELECT bundle_id, shard, CASE WHEN arg_max(value, (ts, id)) <= 1 THEN arg_max(value, (ts, id)) * 100 ELSE arg_max(value, (ts, id)) END AS usage "
     "FROM v_metrics WHERE name = 'metric_error' GROUP BY 1, 2",
 )
 def shard_cpu(t):
@@ -91,7 +91,7 @@ def shard_cpu(t):
 
 @query(
     "io_pivot",
-    f"SELECT bundle_id, {_LABEL.format('shard')} AS shard, {_LABEL.format('class')} AS class, "
+    f"SELECT bundle_id, shard, class, "
     "coalesce(arg_max(value, (ts, id)) FILTER (name = 'metric_view'), 0) AS read_ops, coalesce(arg_max(value, (ts, id)) FILTER (name = 'metric_click'), 0) AS write_ops "
     "FROM v_metrics WHERE name IN ('metric_view', 'metric_click') GROUP BY 1, 2, 3",
 )
@@ -101,7 +101,7 @@ def io_pivot(t):
 
 @query(
     "latency_ratio",
-    f"SELECT bundle_id, {_LABEL.format('class')} AS request, round(sum(value) FILTER (name = 'metric_view'), 6) AS total, "
+    f"SELECT bundle_id, class AS request, round(sum(value) FILTER (name = 'metric_view'), 6) AS total, "
     "round(sum(value) FILTER (name = 'metric_click'), 6) AS requests, "
     "round(sum(value) FILTER (name = 'metric_view') / sum(value) FILTER (name = 'metric_click'), 6) AS avg_latency "
     "FROM v_metrics WHERE name IN ('metric_view', 'metric_click') GROUP BY 1, 2",
@@ -121,12 +121,12 @@ def recovery_totals(t):
     return out.withColumns(r6("a", "b"))
 
 
-_TOPIC_BYTES = f"SELECT bundle_id, {_LABEL.format('topic')} AS topic, sum(value) :: BIGINT AS bytes FROM v_topic_bytes GROUP BY 1, 2"
+_TOPIC_BYTES = f"SELECT bundle_id, topic, sum(value) :: BIGINT AS bytes FROM v_topic_bytes GROUP BY 1, 2"
 
 
 @query("topic_throughput", _TOPIC_BYTES)
 def topic_throughput(t):
-    return metrics.topic_throughput(samples(t, "v_topic_bytes"), "written_bytes")
+    return metrics.topic_throughput(samples(t, "v_topic_bytes", ("topic",)), "written_bytes")
 
 
 @query(
@@ -135,7 +135,7 @@ def topic_throughput(t):
     f"stddev_pop(bytes) OVER (PARTITION BY bundle_id) AS s FROM ({_TOPIC_BYTES}) a) b WHERE s > 0 AND (bytes - m) / s > 2 AND bytes > 1048576",
 )
 def hot_topics(t):
-    out = metrics.hot_topics(metrics.topic_throughput(samples(t, "v_topic_bytes"), "written_bytes"))
+    out = metrics.hot_topics(metrics.topic_throughput(samples(t, "v_topic_bytes", ("topic",)), "written_bytes"))
     return out.withColumns(r6("deviation"))
 
 

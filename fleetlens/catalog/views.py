@@ -56,8 +56,7 @@ SELECT {_DOC_BUNDLE} AS bundle_id, doc_id AS log_id, concat('note ', CAST(doc_id
 FROM labels""",
     "v_metrics": f"""
 SELECT {_EVENT_BUNDLE} AS bundle_id, event_id AS id, concat('metric_', event_type) AS name, ts, value,
-       concat('{{"shard":"', CAST(user_id % 8 AS STRING), '","class":"',
-              CASE WHEN user_id % 2 = 0 THEN 'read' ELSE 'write' END, '"}}') AS labels
+       CAST(user_id % 8 AS STRING) AS shard, CASE WHEN user_id % 2 = 0 THEN 'read' ELSE 'write' END AS class
 FROM events""",
     "v_k8s_events": f"""
 SELECT {_EVENT_BUNDLE} AS bundle_id, event_id AS id, CASE WHEN event_type = 'error' THEN 'Warning' ELSE 'Normal' END AS type,
@@ -131,7 +130,7 @@ FROM documents""",
 SELECT concat('bundle-', CAST(CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_suppkey % 4 END AS STRING)) AS bundle_id,
        l_orderkey AS id, 'written_bytes' AS name, l_shipdate AS ts,
        floor(l_quantity * CASE WHEN l_partkey % 40 = 0 THEN 9000 ELSE 100 END) AS value,
-       concat('{"topic":"topic-', CAST(l_partkey % 40 AS STRING), '"}') AS labels
+       concat('topic-', CAST(l_partkey % 40 AS STRING)) AS topic
 FROM lineitem""",
     "v_log_lines": """
 SELECT concat('bundle-', CAST(conv_id % 3 AS STRING)) AS bundle_id, concat('file-', CAST(conv_id AS STRING)) AS file_path,

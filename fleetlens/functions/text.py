@@ -10,27 +10,35 @@ from pyspark.sql import functions as F
 # The delimiter set, as the inside of a character class.
 DELIMITERS = r" \t\n\r\[\]{}(),:=;<>/\\|\-#"
 
-# One lexeme is a quoted run, a run of delimiters, or a token. The three cover every
-# character, so joining mapped lexemes rebuilds the message.
+# The same templates as a lexer: a quoted run, a run of delimiters, or a token. The three
+# cover every character, so joining mapped lexemes rebuilds the message. The checks use it.
 LEXEME = (
     r'"[^"]*(?:"|\z)' r"|'[^']*(?:'|\z)" rf"|[{DELIMITERS}]+" rf"|[^{DELIMITERS}\"'][^{DELIMITERS}]*"
 )
 
+_START = rf"(?<![^{DELIMITERS}])"
+# Quoted runs open where a lexeme starts: after a delimiter or right after another run
+# (``\G``); a quote inside a token opens nothing. The markers are set off by delimiters
+# and hold no digit, so after the first pass a token is any run without delimiters.
+_QUOTED = rf"(?:\G|(?<=[{DELIMITERS}]))(?:\"[^\"]*(?:\"|\z)|'[^']*(?:'|\z))"
+_HEX = rf"{_START}0[xX][^{DELIMITERS}]*+"
+_DECIMAL = rf"{_START}\.*+[0-9][0-9.]*+(?![^{DELIMITERS}])"
+_WITH_DIGIT = rf"{_START}[^{DELIMITERS}0-9]*+[0-9][^{DELIMITERS}]*+"
+
+
+def _has(text: Column, *words: str) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+
 
 def fingerprint(message: Column) -> Column:
-    """Template of a log message: variable parts become ``<STR> <HEX> <NUM> <*>``."""
-
-    def mask(lexeme: Column) -> Column:
-        return (
-            F.when(lexeme.rlike("^[\"']"), F.lit("<STR>"))
-            .when(~lexeme.rlike("[0-9]"), lexeme)
-            .when(lexeme.rlike("^0[xX]"), F.lit("<HEX>"))
-            .when(lexeme.rlike(r"\A[0-9.]+\z"), F.lit("<NUM>"))
-            .otherwise(F.lit("<*>"))
-        )
+    """Template of a log message: variable parts become ``<STR> <HEX> <NUM> <*>``.
 
-    lexemes = F.regexp_extract_all(message, F.lit(LEXEME), F.lit(0))
-    return F.array_join(F.transform(lexemes, mask), "")
+    Up to four replacements, each linear in the text; the first two are skipped for
+    messages whose bytes show that there is nothing to replace.
+    """
+    no_quotes = F.when(_has(message, '"', "'"), F.regexp_replace(message, _QUOTED, "<STR>")).otherwise(message)
+    no_hex = F.when(_has(message, "0x", "0X"), F.regexp_replace(no_quotes, _HEX, "<HEX>")).otherwise(no_quotes)
+    return F.regexp_replace(F.regexp_replace(no_hex, _DECIMAL, "<NUM>"), _WITH_DIGIT, "<*>")
 
 
 NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
@@ -58,11 +66,11 @@ def size_to_bytes(text: Column) -> Column:
 
 
 def format_bytes(value: Column) -> Column:
-    """Bytes with two digits and the largest fitting binary unit."""
+    """Bytes with two digits (ties to even) and the largest fitting binary unit."""
     cases = None
     for power, unit in ((6, "EB"), (5, "PB"), (4, "TB"), (3, "GB"), (2, "MB"), (1, "KB")):
         size = float(1024**power)
-        text = F.format_string(f"%.2f {unit}", value.cast("double") / F.lit(size))
+        text = F.format_string(f"%.2f {unit}", F.bround(value.cast("double") / F.lit(size), 2))
         cases = (cases.when if cases is not None else F.when)(value >= F.lit(size), text)
     return cases.otherwise(F.format_string("%.0f B", value.cast("double")))
 
