@@ -121,6 +121,28 @@ def recovery_totals(t):
     return out.withColumns(r6("a", "b"))
 
 
+@query(
+    "connection_totals",
+    "SELECT bundle_id, round(coalesce(sum(value) FILTER (name = 'metric_click'), 0), 4) AS active_connections, round(coalesce(sum(value) FILTER (name = 'metric_error'), 0), 4) AS rpc_errors "
+    "FROM v_metrics WHERE name IN ('metric_click', 'metric_error') GROUP BY 1",
+)
+def connection_totals(t):
+    name = F.when(F.col("name") == "metric_click", metrics.CONNECTIONS).when(F.col("name") == "metric_error", metrics.RPC_ERRORS).otherwise(F.col("name"))
+    out = metrics.connection_totals(samples(t).withColumn("name", name))
+    return out.withColumns({n: F.round(n, 4) for n in ("active_connections", "rpc_errors")})
+
+
+@query(
+    "topic_details",
+    "SELECT p.bundle_id, p.partition_id, p.leader_id, r.n AS replica_count, k.leader AS kafka_leader FROM v_partitions p JOIN (SELECT bundle_id, topic, partition_id, count(*) AS n FROM v_replicas GROUP BY 1, 2, 3) r "
+    "USING (bundle_id, topic, partition_id) JOIN v_kafka k USING (bundle_id, topic, partition_id) WHERE topic = 'topic-7'",
+)
+def topic_details(t):
+    reports = t.v_replicas.withColumn("is_leader", F.lit(False))
+    out = replication.topic_details("topic-7", t.v_partitions, t.v_replicas, reports, t.v_followers, t.v_kafka)
+    return out.select("bundle_id", "partition_id", "leader_id", "replica_count", "kafka_leader")
+
+
 _TOPIC_BYTES = f"SELECT bundle_id, topic, sum(value) :: BIGINT AS bytes FROM v_topic_bytes GROUP BY 1, 2"
 
 

@@ -94,6 +94,14 @@ def page_logs(
     return with_insight(page).orderBy(*order)
 
 
+def get_logs(logs: DataFrame, pins: DataFrame | None = None, sort="desc", limit=100, offset=0, **filters) -> tuple[DataFrame, int, bool]:
+    """(page, total, has_more) of a filtered search; the total is counted at once."""
+    found = filter_logs(logs, **filters)
+    total = found.count()
+    page = page_logs(found, pins, sort, limit, offset, filters.get("search", ""))
+    return page, total, offset + (min(limit, 1000) if limit > 0 else 100) < total
+
+
 def count_logs(logs: DataFrame) -> DataFrame:
     """Total per bundle of the (filtered) logs."""
     return logs.groupBy("bundle_id").agg(F.count("*").alias("total"))

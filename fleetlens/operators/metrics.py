@@ -112,7 +112,7 @@ def shard_cpu(metrics: DataFrame) -> DataFrame:
         .when((F.col("name") == BUSY_SECONDS) & ~F.col("has_gauge"), busy)
     )
     joined = last.filter((F.col("shard") != "") & (F.col("name") != UPTIME)).join(per_bundle, "bundle_id")
-    return joined.select("bundle_id", "shard", usage.alias("usage")).filter(F.col("usage").isNotNull())
+    return in_shard_order(joined.select("bundle_id", "shard", usage.alias("usage")).filter(F.col("usage").isNotNull()))
 
 
 def numeric_order(column: str) -> Column:
@@ -120,6 +120,11 @@ def numeric_order(column: str) -> Column:
     return F.coalesce(F.col(column).try_cast("int"), F.lit(0))
 
 
+def in_shard_order(df: DataFrame, *then: str) -> DataFrame:
+    """Sorted by bundle and shard number; for results with a row per shard."""
+    return df.orderBy("bundle_id", numeric_order("shard"), *then)
+
+
 def io_by_class(metrics: DataFrame, read: str = READ_OPS, write: str = WRITE_OPS) -> DataFrame:
     """Last read and write counts per shard and class, pivoted in one aggregation."""
     rows = metrics.filter(F.col("name").isin(read, write))
@@ -133,7 +138,7 @@ def io_by_class(metrics: DataFrame, read: str = READ_OPS, write: str = WRITE_OPS
             for name, alias in ((read, "read_ops"), (write, "write_ops"))
         ]
     )
-    return out.filter((F.col("shard") != "") & (F.col("class") != ""))
+    return in_shard_order(out.filter((F.col("shard") != "") & (F.col("class") != "")), "class")
 
 
 def sum_of(name: str) -> Column:

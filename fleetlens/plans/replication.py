@@ -50,6 +50,14 @@ def partition_details(
     )
 
 
+def topic_details(topic: str, partitions: DataFrame, *sources: DataFrame) -> DataFrame:
+    """The same for one topic, with findings; the topic filter reaches every source."""
+    tables = [df.filter(F.col("topic") == topic) for df in (partitions, *sources)]
+    details = partition_details(*tables)
+    found = replication_insight(details).select(*KEY, "rule", "severity", "summary", "remediation")
+    return details.join(found, KEY, "left")
+
+
 def _text(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.text import to_number
@@ -14,36 +14,45 @@ METRIC_FILES = ("metrics/*/*.txt", "metrics/*.txt", "*prometheus_metrics.txt", "
 _PAIR = r'([^\s,={}"]+)\s*=\s*"((?:[^"\\]|\\.)*)"'
 
 
-def scan_prometheus(fleet: Fleet, patterns=METRIC_FILES, allowed: list[str] | None = None) -> DataFrame:
-    """(bundle_id, id, name, labels, ts, value); time is the file's, NaN and infinity go.
+def parse_samples(lines: DataFrame, allowed: list[str] | None = None) -> DataFrame:
+    """Adds name, labels and value to lines in ``value``; comments, NaN and infinity go.
 
     The optional list of names is applied before labels are taken apart.
     """
-    paths = fleet.matching(*patterns)
-    if not paths:
-        return fleet.empty("bundle_id string, id bigint, name string, labels map<string,string>, ts timestamp, value double, file_path string")
-    path = F.col("_metadata.file_path")
-    raw = fleet.spark.read.text(paths).select(
-        fleet.bundle_of(path).alias("bundle_id"), path.alias("file_path"),
-        F.col("_metadata.file_modification_time").alias("ts"), F.monotonically_increasing_id().alias("id"), "value",
-    )
     line = F.col("value")
-    rows = raw.filter((line != "") & ~line.startswith("#") & (F.instr(line, " ") > 0))
+    keep = [c for c in lines.columns if c != "value"]
+    rows = lines.filter((line != "") & ~line.startswith("#") & (F.instr(line, " ") > 0))
     rest = F.regexp_replace(line, r"(?s) [^ ]*\z", "")
     inner = F.regexp_extract(rest, r"(?s)\A[^{]*\{(.*)\}", 1)
     rows = rows.select(
-        "bundle_id", "file_path", "ts", "id", to_number(F.substring_index(line, " ", -1)).alias("value"),
+        *keep, to_number(F.substring_index(line, " ", -1)).alias("value"),
         F.trim(F.regexp_extract(rest, r"\A([^{]*)", 1)).alias("name"), inner.alias("inner"),
     ).filter(F.col("value").isNotNull())
     if allowed is not None:
         rows = rows.filter(F.col("name").isin(list(allowed)))
     pairs = F.regexp_extract_all("inner", F.lit(_PAIR), F.lit(0))
-    entry = lambda p: F.struct(
-        F.regexp_extract(p, _PAIR, 1).alias("key"),
-        F.replace(F.replace(F.replace(F.regexp_extract(p, _PAIR, 2), F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")), F.lit("\\\\"), F.lit("\\")).alias("value"),
+    labels = F.map_from_entries(F.transform(pairs, _label_entry))
+    return rows.select(*keep, "name", labels.alias("labels"), "value")
+
+
+def _label_entry(pair: Column) -> Column:
+    value = F.regexp_extract(pair, _PAIR, 2)
+    for written, meant in (('\\"', '"'), ("\\n", "\n"), ("\\\\", "\\")):
+        value = F.replace(value, F.lit(written), F.lit(meant))
+    return F.struct(F.regexp_extract(pair, _PAIR, 1).alias("key"), value.alias("value"))
+
+
+def scan_prometheus(fleet: Fleet, patterns=METRIC_FILES, allowed: list[str] | None = None) -> DataFrame:
+    """(bundle_id, id, name, labels, ts, value, file_path); the time is the file's."""
+    paths = fleet.matching(*patterns)
+    if not paths:
+        return fleet.empty("bundle_id string, id bigint, name string, labels map<string,string>, ts timestamp, value double, file_path string")
+    path = F.col("_metadata.file_path")
+    raw = fleet.spark.read.text(paths).select(
+        fleet.bundle_of(path).alias("bundle_id"), path.alias("file_path"),
+        F.col("_metadata.file_modification_time").alias("ts"), F.monotonically_increasing_id().alias("id"), "value",
     )
-    labels = F.map_from_entries(F.transform(pairs, entry))
-    return rows.select("bundle_id", "id", "name", labels.alias("labels"), "ts", "value", "file_path")
+    return parse_samples(raw, allowed).select("bundle_id", "id", "name", "labels", "ts", "value", "file_path")
 
 
 def scan_metric_help(fleet: Fleet, patterns=METRIC_FILES) -> DataFrame:
