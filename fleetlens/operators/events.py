@@ -89,30 +89,26 @@ LOOP_GAP, LOOP_ELECTIONS = 5, 10
 
 
 def consensus_insights(events: DataFrame) -> DataFrame:
-    """(bundle_id, insight, subject, value): busy node, election loop, timeouts."""
-    nodes = consensus_by_node(events)
-    busiest = top_per_key(nodes, ["bundle_id"], [F.col("total").desc(), F.col("node")], 1)
-    hot = busiest.filter((F.col("timeouts") > NODE_TIMEOUTS) | (F.col("elections") > NODE_ELECTIONS)).select(
-        "bundle_id", F.lit("node hotspot").alias("insight"), F.col("node").alias("subject"),
-        F.col("total").alias("value"),
+    """(bundle_id, insight, subject, value): busy node, election loop, timeouts. All three
+    come from one row per bundle, so the events are computed once."""
+    f = F.col
+    busy_first = F.struct(-f("total"), "node")
+    df = consensus_by_node(events).groupBy("bundle_id").agg(
+        F.min_by(F.struct("node", "total", "timeouts", "elections"), busy_first).alias("top"),
+        F.sum("elections").alias("elected"), F.sum("stepdowns").alias("stepdown"), F.sum("timeouts").alias("timeout"),
     )
-    totals = nodes.groupBy("bundle_id").agg(
-        F.sum("elections").alias("elected"), F.sum("stepdowns").alias("stepdown"),
-        F.sum("timeouts").alias("timeout"),
-    )
-    churn = (
-        (F.col("elected") > LOOP_ELECTIONS) & (F.col("stepdown") > 0)
-        & (F.abs(F.col("elected") - F.col("stepdown")) < LOOP_GAP)
-    )
-    loop = totals.filter(churn).select(
-        "bundle_id", F.lit("election loop").alias("insight"), F.lit("cluster").alias("subject"),
-        F.col("elected").alias("value"),
-    )
-    late = totals.filter(F.col("timeout") > 0).select(
-        "bundle_id", F.lit("raft timeouts").alias("insight"), F.lit("cluster").alias("subject"),
-        F.col("timeout").alias("value"),
+
+    def row(insight: str, subject: Column, value: Column) -> Column:
+        return F.struct(F.lit(insight).alias("insight"), subject.alias("subject"), value.alias("value"))
+
+    hot = (f("top.timeouts") > NODE_TIMEOUTS) | (f("top.elections") > NODE_ELECTIONS)
+    churn = (f("elected") > LOOP_ELECTIONS) & (f("stepdown") > 0) & (F.abs(f("elected") - f("stepdown")) < LOOP_GAP)
+    found = F.array(
+        F.when(hot, row("node hotspot", f("top.node"), f("top.total"))),
+        F.when(churn, row("election loop", F.lit("cluster"), f("elected"))),
+        F.when(f("timeout") > 0, row("raft timeouts", F.lit("cluster"), f("timeout"))),
     )
-    return hot.unionByName(loop).unionByName(late)
+    return df.select("bundle_id", F.explode(F.array_compact(found)).alias("r")).select("bundle_id", "r.*")
 
 
 def _container_states(pods: DataFrame) -> DataFrame:
@@ -125,7 +121,7 @@ def log_timeline(logs: DataFrame, max_logs: int | None = 10_000) -> DataFrame:
     """ERROR and WARN lines; the newest ``max_logs`` of each bundle, or all with None."""
     hits = logs.filter(F.col("level").isin("ERROR", "WARN"))
     if max_logs:
-        hits = top_per_key(hits, ["bundle_id"], [F.col("ts").desc(), F.col("id").desc()], max_logs)
+        hits = top_per_key(hits, ["bundle_id"], [F.col("ts").desc(), F.col("id").desc()], max_logs, salt_by="id")
     raw = F.col("raw") if "raw" in logs.columns else F.col("message")
     return hits.select(
         "bundle_id", "ts", F.lit("Log").alias("type"), F.col("node").alias("source"),

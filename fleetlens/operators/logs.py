@@ -39,12 +39,16 @@ def parse_bound(text: str | datetime | None) -> datetime | None:
 
 
 def in_time_range(df: DataFrame, start=None, end=None, column: str = "ts") -> DataFrame:
-    """Inclusive at both ends; the bounds reach the scan as pushed filters."""
+    """Inclusive at both ends. The bounds reach the scan as pushed filters and, for a
+    table partitioned by ``dt``, prune its days."""
     low, high = parse_bound(start), parse_bound(end)
+    by_day = column == "ts" and "dt" in df.columns
     if low:
         df = df.filter(F.col(column) >= F.lit(low))
+        df = df.filter(F.col("dt") >= F.lit(low.date())) if by_day else df
     if high:
         df = df.filter(F.col(column) <= F.lit(high))
+        df = df.filter(F.col("dt") <= F.lit(high.date())) if by_day else df
     return df
 
 
@@ -128,10 +132,10 @@ def log_patterns(logs: DataFrame) -> DataFrame:
 
 
 def pattern_report(logs: DataFrame, rules=INSIGHT_RULES) -> DataFrame:
-    """Patterns with insight and their share of the bundle's total lines."""
-    patterns = log_patterns(logs)
-    totals = patterns.groupBy("bundle_id").agg(F.sum("count").alias("total_logs"))
-    return with_insight(patterns, "sample", rules).join(totals, "bundle_id")
+    """Patterns with insight and the bundle's total lines. The total is counted from the
+    lines themselves: that scan reads one column and computes no fingerprint."""
+    totals = logs.groupBy("bundle_id").agg(F.count("*").alias("total_logs"))
+    return with_insight(log_patterns(logs), "sample", rules).join(totals, "bundle_id")
 
 
 def bucket_start(ts: Column, seconds: int) -> Column:
@@ -190,7 +194,7 @@ def burst_rate(
 ) -> DataFrame:
     """Bundles whose newest ``n`` hits of a phrase are at least ``min_hits`` within a short time."""
     hits = filter_logs(logs, search=phrase).select("bundle_id", "ts", "id")
-    newest = top_per_key(hits, ["bundle_id"], [F.col("ts").desc(), F.col("id").desc()], n)
+    newest = top_per_key(hits, ["bundle_id"], [F.col("ts").desc(), F.col("id").desc()], n, salt_by="id")
     span = (F.unix_micros("last_ts") - F.unix_micros("first_ts")) / 1e6
     out = newest.groupBy("bundle_id").agg(
         F.count("*").alias("hits"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")

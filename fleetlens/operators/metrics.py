@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.text import series_label
@@ -101,18 +101,20 @@ def shard_cpu(metrics: DataFrame) -> DataFrame:
     last = rows.groupBy("bundle_id", "name", label("shard").alias("shard")).agg(
         F.max_by("value", order).alias("value"), F.min_by("value", order).alias("earliest"), F.min(order).alias("at")
     )
-    per_bundle = last.groupBy("bundle_id").agg(
-        F.bool_or(F.col("name") == UTILIZATION).alias("has_gauge"),
-        F.min_by(F.when(F.col("name") == UPTIME, F.col("earliest")), F.when(F.col("name") == UPTIME, F.col("at"))).alias("uptime"),
+    # A row per shard and metric is left; a bundle has no more shards than cores.
+    bundle = Window.partitionBy("bundle_id")
+    is_uptime = F.col("name") == UPTIME
+    known = last.withColumns(
+        {
+            "has_gauge": F.max(F.col("name") == UTILIZATION).over(bundle),
+            "uptime": F.min_by(F.when(is_uptime, F.col("earliest")), F.when(is_uptime, F.col("at"))).over(bundle),
+        }
     )
     gauge = F.when(F.col("value") <= 1, F.col("value") * 100).otherwise(F.col("value"))
     busy = F.when(F.col("uptime") > 0, F.col("value") / F.col("uptime") * 100)
-    usage = (
-        F.when((F.col("name") == UTILIZATION), gauge)
-        .when((F.col("name") == BUSY_SECONDS) & ~F.col("has_gauge"), busy)
-    )
-    joined = last.filter((F.col("shard") != "") & (F.col("name") != UPTIME)).join(per_bundle, "bundle_id")
-    return in_shard_order(joined.select("bundle_id", "shard", usage.alias("usage")).filter(F.col("usage").isNotNull()))
+    usage = F.when(F.col("name") == UTILIZATION, gauge).when((F.col("name") == BUSY_SECONDS) & ~F.col("has_gauge"), busy)
+    out = known.filter((F.col("shard") != "") & ~is_uptime).select("bundle_id", "shard", usage.alias("usage"))
+    return in_shard_order(out.filter(F.col("usage").isNotNull()))
 
 
 def numeric_order(column: str) -> Column:

@@ -18,7 +18,7 @@ LOG_ROWS, PARTITION_ROWS = 50, 20
 
 def search_logs(query: str, logs: DataFrame, n: int = LOG_ROWS) -> DataFrame:
     """The newest matching lines of each bundle."""
-    hits = top_per_key(filter_logs(logs, search=query), ["bundle_id"], [F.col("ts").desc(), F.col("id").desc()], n)
+    hits = top_per_key(filter_logs(logs, search=query), ["bundle_id"], [F.col("ts").desc(), F.col("id").desc()], n, salt_by="id")
     title = F.concat(F.date_format("ts", "HH:mm:ss"), F.lit(" ["), "level", F.lit("]"))
     return hits.select(
         "bundle_id", F.lit("Logs").alias("category"), F.coalesce(title, F.concat(F.lit("["), "level", F.lit("]"))).alias("title"),
@@ -48,7 +48,7 @@ def search_partitions(query: str, partitions: DataFrame, n: int = PARTITION_ROWS
     """Partitions by name, the first ``n`` of each bundle in name order."""
     name = F.concat_ws("/", "ns", "topic", F.col("partition_id").cast("string"))
     hits = partitions.withColumn("title", name).filter(F.contains(F.lower("title"), F.lit(query.lower())))
-    first = top_per_key(hits, ["bundle_id"], [F.col("title")], n)
+    first = top_per_key(hits, ["bundle_id"], [F.col("title")], n, salt_by="title")
     shown = F.concat(F.lit("Status: "), "status", F.lit(", Leader: "), F.col("leader_id").cast("string"))
     return first.select("bundle_id", F.lit("Partition").alias("category"), "title", shown.alias("preview"))
 

@@ -27,13 +27,29 @@ def previous_in_order(
     return joined.withColumn("prev", F.coalesce("_prev", "_before")).drop("_prev", "_before", "_bucket")
 
 
-def top_per_key(df: DataFrame, keys: list[str], order: list, n: int, rank: str | None = None) -> DataFrame:
-    """The first ``n`` rows per key. The limit is pushed below the shuffle, so a
-    hot key sends at most ``n`` rows per task."""
-    name = rank or "_rank"
-    out = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    out = out.filter(F.col(name) <= n)
-    return out if rank else out.drop(name)
+SALTS = 64
+
+
+def top_per_key(
+    df: DataFrame, keys: list[str], order: list, n: int, rank: str | None = None, salt_by: str | None = None
+) -> DataFrame:
+    """The first ``n`` rows per key.
+
+    The limit is pushed below the shuffle, so a task sends at most ``n`` rows of a key.
+    For raw rows that is not enough: a hot key still sends ``n`` rows from every task to
+    one. ``salt_by`` names a column that spreads them over ``SALTS`` tasks, which limit
+    again; only ``SALTS * n`` rows of a key meet in the end.
+    """
+    if salt_by:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)))
+        df = _first_rows(salted, [*keys, "_salt"], order, n, "_rank").drop("_rank", "_salt")
+    out = _first_rows(df, keys, order, n, rank or "_rank")
+    return out if rank else out.drop("_rank")
+
+
+def _first_rows(df: DataFrame, keys: list[str], order: list, n: int, name: str) -> DataFrame:
+    ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.filter(F.col(name) <= n)
 
 
 def share_of_total(df: DataFrame, keys: list[str], value: str, name: str, total: str = "_total") -> DataFrame:

@@ -462,7 +462,7 @@ def log_checks(t) -> DataFrame:
     tests = {"stalls": STALL_TEXT, "no_node": NO_NODE_TEXT, "moves": MOVE_TEXT, "churn": CHURN_TEXT}
     hits = [F.when(log_ops.search_predicate(query, message), F.lit(name)) for name, query in tests.items()]
     rows = t["logs"].select("bundle_id", "ts", "id", F.contains(message, F.lit("failed")).alias("failed"), F.explode(F.array_compact(F.array(*hits))).alias("text"))
-    newest = top_per_key(rows, ["bundle_id", "text"], [f("ts").desc(), f("id").desc()], NEWEST, rank="rank")
+    newest = top_per_key(rows, ["bundle_id", "text"], [f("ts").desc(), f("id").desc()], NEWEST, rank="rank", salt_by="id")
     churn = F.when(f("text") == "churn", f("ts"))
     df = newest.groupBy("bundle_id").agg(
         F.bool_or(f("text") == "stalls").alias("stalls"), F.bool_or(f("text") == "no_node").alias("no_node"),

@@ -42,11 +42,13 @@ def partition_details(
         F.max(silent).alias("silent"),
     )
     told = kafka.select("bundle_id", "topic", "partition_id", F.col("leader").alias("kafka_leader"))
+    # Client metadata knows no namespace, so its key differs: that join comes first, while
+    # the rows are narrow; the other three share one partitioning.
     return (
-        partitions.join(assigned, KEY, "left")
+        partitions.join(told, ["bundle_id", "topic", "partition_id"], "left")
+        .join(assigned, KEY, "left")
         .join(reports, KEY, "left")
         .join(followers, KEY, "left")
-        .join(told, ["bundle_id", "topic", "partition_id"], "left")
     )
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Only semantics and adaptive execution are set here. Sizing (executors, memory,
 # shuffle partitions) belongs to the cluster that submits the job.
@@ -14,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Top-N per key is limited below the shuffle up to this N (the timeline takes 10 000).
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     # Undecodable bytes in a log must not end a job over a fleet.
     "spark.sql.legacy.codingErrorAction": "true",
 }
@@ -40,17 +43,33 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df):
-    """Reliable checkpoint in the folder the cluster names; survives executor loss.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; survives the loss of executors.
 
-    Only where the cluster names none (a single-machine run) is a folder made up,
-    since a machine-local folder is not shared between executors.
+    Only where the cluster names none (a single-machine run) is a folder made up, since a
+    machine-local folder is not shared between executors.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
+    named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+        named = tempfile.mkdtemp(prefix="spark-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return named
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint, for results of moderate size that several plans share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """A written Parquet table in the shared folder, for large results: later plans read
+    only the columns they need."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.session import cut_lineage
+from fleetlens.session import cut_lineage, stage
 from fleetlens.sources.fleet import Fleet
 
 # Levels, patterns and limits of the formats.
@@ -163,7 +163,9 @@ BLOCK = ["bundle_id", "file_path", "block"]
 def _entries_by_block(lines: DataFrame) -> DataFrame:
     """Entries as far as one block shows them; entry 0 is what precedes its first header."""
     kept = F.length("line").between(1, MAX_LINE)
-    parsed = lines.withColumn("kept", kept).withColumn("head", F.when(kept, parse_line(F.col("line"), F.col("is_csv"))))
+    # Shuffled as plain text and parsed behind the shuffle, whose partitioning the windows,
+    # the aggregation and the joins below all share.
+    parsed = lines.repartition(*BLOCK).withColumn("kept", kept).withColumn("head", F.when(kept, parse_line(F.col("line"), F.col("is_csv"))))
     opens = F.col("head").isNotNull().cast("bigint")
     ordered = Window.partitionBy(*BLOCK).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*BLOCK)
@@ -176,47 +178,53 @@ def _entries_by_block(lines: DataFrame) -> DataFrame:
         }
     )
     body = F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("n", "line"))))
-    return local.groupBy(*BLOCK, "entry").agg(
+    grouped = local.groupBy(*BLOCK, "entry").agg(
         F.min("node").alias("node"), F.max("block_lines").alias("block_lines"), F.max("block_entries").alias("block_entries"),
         F.min(F.when(F.col("kept"), F.col("n"))).alias("n"), F.first("head", ignorenulls=True).alias("head"), body.alias("body"),
     )
+    raw = F.array_join(F.transform("body", lambda b: b["line"]), "\n")
+    rest = F.transform(F.filter("body", lambda b, i: i > 0), lambda b: b["line"])
+    lead = F.when((F.col("entry") == 0) & (F.size("body") > 0), F.struct("n", raw.alias("raw")))
+    opened = F.col("entry") > 0
+    return grouped.select(
+        *BLOCK, "entry", "node", "block_lines", "block_entries", "n", "head.level", "head.ts", "head.shard", "head.component",
+        F.when(opened, F.array_join(F.concat(F.array("head.message"), rest), "\n")).alias("message"), F.when(opened, raw).alias("raw"), lead.alias("lead"),
+    )
 
 
-def _joined(lines: Column) -> Column:
-    return F.array_join(lines, "\n")
-
-
-def stitch(entries: DataFrame) -> DataFrame:
-    """Entries of whole files: line numbers over blocks, and continuations over borders."""
-    text = F.transform("body", lambda b: b["line"])
-    rest = F.transform(F.slice("body", F.lit(2), F.greatest(F.size("body") - 1, F.lit(0))), lambda b: b["line"])
+def _block_table(entries: DataFrame) -> DataFrame:
+    """One row per block: lines before it, its file's number, the block whose last entry
+    its leading lines continue (-1: none, they are an entry of their own)."""
     blocks = entries.groupBy(*BLOCK).agg(
-        F.max("block_lines").alias("lines"), F.max("block_entries").alias("entries"), F.min("node").alias("node"),
-        F.max(F.when((F.col("entry") == 0) & (F.size("body") > 0), F.struct("n", _joined(text).alias("raw")))).alias("lead"),
+        F.max("block_lines").alias("lines"), F.max("block_entries").alias("entries"), F.min("node").alias("node"), F.max("lead").alias("lead")
     )
     before = Window.partitionBy("bundle_id", "file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     files = blocks.select("bundle_id", "file_path").distinct().withColumn(
         "file_no", F.row_number().over(Window.partitionBy("bundle_id").orderBy("file_path")).cast("bigint")
     )
-    placed = blocks.withColumns(
-        {
-            "offset": F.coalesce(F.sum("lines").over(before), F.lit(0).cast("bigint")),
-            "owner": F.last(F.when(F.col("entries") > 0, F.col("block")), ignorenulls=True).over(before),
-        }
+    holder = F.last(F.when(F.col("entries") > 0, F.col("block")), ignorenulls=True).over(before)
+    return blocks.withColumns(
+        {"offset": F.coalesce(F.sum("lines").over(before), F.lit(0).cast("bigint")), "owner": F.coalesce(holder, F.lit(-1).cast("bigint"))}
     ).join(files, ["bundle_id", "file_path"])
-    leads = placed.filter(F.col("lead").isNotNull()).groupBy("bundle_id", "file_path", F.coalesce("owner", F.lit(-1)).alias("block")).agg(
+
+
+def stitch(entries: DataFrame, materialize: bool = False) -> DataFrame:
+    """Entries of whole files: line numbers over blocks, and continuations over borders."""
+    blocks = _block_table(entries)
+    blocks = cut_lineage(blocks) if materialize else blocks
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("block", "lead.raw"))), lambda x: x["raw"])
+    leads = blocks.filter(F.col("lead").isNotNull()).groupBy("bundle_id", "file_path", F.col("owner").alias("block")).agg(
         F.min("node").alias("node"), F.min("file_no").alias("file_no"), F.min(F.col("offset") + F.col("lead.n")).alias("line_number"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "lead.raw"))), lambda x: x["raw"]), "\n").alias("tail"),
+        F.array_join(pieces, "\n").alias("tail"),
     )
-    where = placed.select(*BLOCK, "offset", "file_no")
-    tails = leads.filter("block >= 0").select(*BLOCK, "tail")
-    opened = entries.filter("entry > 0").join(where, BLOCK).join(tails, BLOCK, "left")
+    # The small tables meet first, so the entries are joined once, on their own partitioning.
+    info = blocks.select(*BLOCK, "offset", "file_no").join(leads.filter("block >= 0").select(*BLOCK, "tail"), BLOCK, "left")
+    opened = entries.filter("entry > 0").join(info, BLOCK)
     last = F.col("entry") == F.col("block_entries")
     end = F.when(last & F.col("tail").isNotNull(), F.concat(F.lit("\n"), F.col("tail"))).otherwise("")
-    message = F.concat(F.array_join(F.concat(F.array("head.message"), rest), "\n"), end)
     whole = opened.select(
-        "bundle_id", "file_no", "file_path", (F.col("offset") + F.col("n")).alias("line_number"), "node", "head.level", "head.ts",
-        "head.shard", "head.component", message.alias("message"), F.concat(_joined(text), end).alias("raw"),
+        "bundle_id", "file_no", "file_path", (F.col("offset") + F.col("n")).alias("line_number"), "node", "level", "ts", "shard", "component",
+        F.concat("message", end).alias("message"), F.concat("raw", end).alias("raw"),
     )
     orphans = leads.filter("block < 0").select(
         "bundle_id", "file_no", "file_path", "line_number", "node", F.lit("INFO").alias("level"), F.lit(None).cast("timestamp").alias("ts"),
@@ -231,8 +239,9 @@ def scan_logs(fleet: Fleet, logs_only: bool = False, materialize: bool = True) -
     """Log entries (bundle_id, id, ts, level, node, shard, component, message, raw,
     line_number, file_path) of all bundles.
 
-    Entries by block feed three consumers; with ``materialize`` they are checkpointed
-    once, so the text is read and shuffled once.
+    With ``materialize`` the entries by block are written once to the shared folder, so
+    the text is read, shuffled and parsed once; the block table then reads a few narrow
+    columns of it. Without it the plan is lazy and parses once per use.
     """
     entries = _entries_by_block(scan_lines(fleet, logs_only))
-    return stitch(cut_lineage(entries) if materialize else entries)
+    return stitch(stage(entries, "log-entries") if materialize else entries, materialize)

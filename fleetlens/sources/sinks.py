@@ -38,16 +38,16 @@ def notebook_sections(pinned: DataFrame) -> DataFrame:
         F.lit("## "), F.col("number").cast("string"), F.lit(". "), F.coalesce(when, F.lit("unknown time")), F.lit(" ["), F.coalesce("level", F.lit("")), F.lit("]\n"),
         F.lit("**Node:** "), F.coalesce("node", F.lit("")), F.lit(" | **Component:** "), F.coalesce("component", F.lit("")),
         F.lit(" | **File:** "), F.substring_index("file_path", "/", -1), F.lit(":"), F.col("line_number").cast("string"), F.lit("\n\n"),
-        F.lit("### Log Message\n```\n"), "message", F.lit("\n```\n\n"), note, F.lit("---\n\n"),
+        F.lit("### Log Message\n```\n"), "message", F.lit("\n```\n\n"), note, F.lit("---\n"),
     )
     return numbered.select("bundle_id", "number", section.alias("section"))
 
 
 def export_notebook(pinned: DataFrame, path: str, title: str = "Debug Notebook") -> None:
-    """A Markdown text per bundle. Pins are set by hand, one row of text per bundle."""
+    """A Markdown text per bundle. Sections are written in order as they come; a notebook
+    is never held in memory."""
     sections = notebook_sections(pinned)
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("number", "section"))), lambda s: s["section"])
-    head = F.concat(F.lit(f"# {title}\n\nBundle: "), "bundle_id", F.lit("\n\n"))
-    notes = sections.groupBy("bundle_id").agg(parts.alias("parts"))
-    text = notes.select("bundle_id", F.concat(head, F.array_join("parts", "")).alias("value"))
-    text.write.mode("overwrite").partitionBy("bundle_id").text(path)
+    head = F.concat(F.lit(f"# {title}\n\nBundle: "), "bundle_id", F.lit("\n"))
+    heads = pinned.select("bundle_id").distinct().select("bundle_id", F.lit(0).alias("number"), head.alias("section"))
+    rows = heads.unionByName(sections).repartition("bundle_id").sortWithinPartitions("bundle_id", "number")
+    rows.select("bundle_id", F.col("section").alias("value")).write.mode("overwrite").partitionBy("bundle_id").text(path)
