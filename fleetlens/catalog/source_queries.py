@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fleetlens.catalog.log_queries import micros
 from fleetlens.catalog.registry import query
 from fleetlens.functions.text import series_label
-from fleetlens.sources.logs import _entries_by_block, parse_line, stitch
+from fleetlens.sources.logs import entries_by_block, stitch, with_head
 from fleetlens.sources.metrics import parse_samples
 
 
@@ -33,8 +33,8 @@ def formatted_lines(logs):
 )
 def parse_log_lines(t):
     rows = formatted_lines(t.v_logs)
-    parsed = rows.withColumn("e", parse_line(F.col("line"), F.col("is_csv")))
-    return parsed.select("bundle_id", "id", "e.level", F.col("e.ts").alias("ts"), "e.shard", "e.component", "e.message").withColumn("ts", micros("ts"))
+    parsed = with_head(rows.filter("NOT is_csv")).unionByName(with_head(rows.filter("is_csv"), csv=True))
+    return parsed.select("bundle_id", "id", "head.level", "head.ts", "head.shard", "head.component", "head.message").withColumn("ts", micros("ts"))
 
 
 @query(
@@ -48,11 +48,16 @@ def stitched_entries(t):
     """Turns as lines: a user's turn opens an entry, any other continues it, three lines to a block."""
     one = F.replace(F.replace("line", F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" "))
     line = F.when(F.col("role") == "user", F.concat(F.lit("WARN  2024-01-01 00:00:00,000 [shard 0:main] chat - "), one)).otherwise(F.concat(F.lit("  "), one))
+    path = F.concat_ws("/", "bundle_id", "file_path")
     lines = t.v_log_lines.select(
-        "bundle_id", "file_path", F.lit("n").alias("node"), F.lit(False).alias("is_csv"), F.floor(F.col("line_number") / 3).cast("bigint").alias("block"),
-        F.col("line_number").alias("pos"), line.alias("line"),
+        path.alias("file_path"), F.floor(F.col("line_number") / 3).cast("bigint").alias("block"), F.col("line_number").alias("pos"), line.alias("line")
     )
-    return stitch(_entries_by_block(lines)).select("bundle_id", "file_path", "line_number", "component", "level", "message")
+
+    def name(files):
+        return files.withColumns({"bundle_id": F.substring_index("file_path", "/", 1), "node": F.lit("n")})
+
+    out = stitch(entries_by_block(lines), name)
+    return out.select("bundle_id", F.substring_index("file_path", "/", -1).alias("file_path"), "line_number", "component", "level", "message")
 
 
 @query(

@@ -27,9 +27,8 @@ def contains_any(lowered: Column, words: list[str]) -> Column:
     return test
 
 
-def event_type(message: Column, types: list[str] | None = None) -> Column:
-    """First type whose phrase occurs, in the order of the table; else NULL."""
-    lowered = F.lower(message)
+def event_type(lowered: Column, types: list[str] | None = None) -> Column:
+    """First type whose phrase occurs in the lower-case message, in table order; else NULL."""
     chain = F.when(F.lit(False), F.lit(None).cast("string"))
     for name in types or list(TYPE_PHRASES):
         chain = chain.when(contains_any(lowered, TYPE_PHRASES[name]), F.lit(name))

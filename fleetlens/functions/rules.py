@@ -58,18 +58,18 @@ INSIGHT_RULES = [
 _META = re.compile(r"[.^$*+?{}\[\]|()\\]")
 
 
-def matches_rule(message: Column, pattern: str) -> Column:
+def matches_rule(message: Column, lowered: Column, pattern: str) -> Column:
     """Case-insensitive search; a plain phrase needs no regular expression."""
     if not _META.search(pattern):
-        return F.contains(F.lower(message), F.lit(pattern.lower()))
+        return F.contains(lowered, F.lit(pattern.lower()))
     return message.rlike(f"(?i){pattern}")
 
 
-def insight_rule(message: Column, rules: list[InsightRule] = INSIGHT_RULES) -> Column:
+def insight_rule(message: Column, lowered: Column, rules: list[InsightRule] = INSIGHT_RULES) -> Column:
     """Number of the first matching rule, or NULL."""
     chain = F.when(F.lit(False), F.lit(None).cast("int"))
     for number, rule in enumerate(rules):
-        chain = chain.when(matches_rule(message, rule.pattern), F.lit(number))
+        chain = chain.when(matches_rule(message, lowered, rule.pattern), F.lit(number))
     return chain
 
 
@@ -84,7 +84,8 @@ def with_insight(df: DataFrame, column: str = "message", rules: list[InsightRule
         [(n, r.description, r.severity, r.action) for n, r in enumerate(rules)],
         "_rule int, description string, severity string, action string",
     )
-    numbered = df.withColumn("_rule", insight_rule(F.col(column), rules))
+    lowered = df.withColumn("_lowered", F.lower(column))
+    numbered = lowered.withColumn("_rule", insight_rule(F.col(column), F.col("_lowered"), rules)).drop("_lowered")
     return numbered.join(F.broadcast(table), "_rule", "left").drop("_rule")
 
 

@@ -161,7 +161,7 @@ def selected_option(text: Column) -> Column:
 
 def series_label(labels: Column) -> Column:
     """Sorted ``k=v, k=v`` of a label map; ``value`` when there are none."""
-    entries = F.array_sort(F.map_entries(labels))
+    entries = F.sort_array(F.map_entries(labels))
     text = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
     return F.when(labels.isNull() | (F.size(labels) == 0), F.lit("value")).otherwise(text)
 

@@ -24,10 +24,11 @@ def raft_events(logs: DataFrame, ntp: str | None = None) -> DataFrame:
     wanted = raft.contains_any(lowered, raft.PARTITION_WORDS if ntp else raft.CLUSTER_WORDS)
     if ntp:
         wanted = F.contains(lowered, F.lit(ntp.lower())) & wanted
-    kind = raft.event_type(message, PARTITION_TYPES if ntp else EVENT_TYPES)
+    kind = raft.event_type(F.col("_lowered"), PARTITION_TYPES if ntp else EVENT_TYPES)
     named = raft.ntp(message)
     return (
         logs.filter(wanted)
+        .withColumn("_lowered", lowered)
         .withColumn("type", kind)
         .filter(F.col("type").isNotNull())
         .select(

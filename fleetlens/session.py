@@ -15,6 +15,9 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM does not compile methods over 8000 bytes: wide expressions (log parsing, rule
+    # chains) run faster when such stages are split than as one interpreted method.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Top-N per key is limited below the shuffle up to this N (the timeline takes 10 000).
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     # Undecodable bytes in a log must not end a job over a fleet.

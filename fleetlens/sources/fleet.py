@@ -50,21 +50,27 @@ class Fleet:
     def empty(self, schema: str) -> DataFrame:
         return self.spark.createDataFrame([], schema)
 
-    def lines(self, *relative: str, recursive: bool = False, name_glob: str | None = None) -> DataFrame:
-        """(bundle_id, file_path, file_name, block, pos, value): a row per line.
+    def lines(self, *relative: str, **options) -> DataFrame:
+        """(bundle_id, file_path, file_name, block, pos, value): a row per line."""
+        path = F.col("file_path")
+        return self.raw_lines(*relative, **options).select(
+            self.bundle_of(path).alias("bundle_id"), path, F.substring_index(path, "/", -1).alias("file_name"), "block", "pos", "value"
+        )
+
+    def raw_lines(self, *relative: str, recursive: bool = False, name_glob: str | None = None) -> DataFrame:
+        """(file_path, block, pos, value), without anything derived from the path per line.
 
         ``pos`` orders the lines of one block of one file. Only LF ends a line.
         """
         paths = self.matching(*relative)
         if not paths:
-            return self.empty(FILE_COLUMNS + ", block bigint, pos bigint, value string")
+            return self.empty("file_path string, block bigint, pos bigint, value string")
         reader = self.spark.read.option("lineSep", "\n").option("recursiveFileLookup", str(recursive).lower())
         if name_glob:
             reader = reader.option("pathGlobFilter", name_glob)
-        raw = reader.text(paths)
-        return self._with_file(
-            raw, F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"),
-            "value",
+        return reader.text(paths).select(
+            F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("pos"), "value",
         )
 
     def documents(self, *relative: str) -> DataFrame:

@@ -36,12 +36,13 @@ def decode_line(value: Column) -> Column:
     hence the encoding is known from the line itself and files stay splittable.
     """
     raw = value.cast("binary")
-    head = F.hex(F.substring(raw, 1, 2))
-    skip = F.when(head == "FFFE", 2).when(head.startswith("00"), 1)
-    wide = F.decode(F.substring(raw, skip + 1, F.octet_length(raw)), "UTF-16LE")
+    first = F.substring(raw, 1, 2) == F.lit(bytearray(b"\xff\xfe"))
+    later = value.startswith("\x00")
+    skip = F.when(first, 2).otherwise(1)
     even = (F.octet_length(raw) - skip) % 2 == 0
-    text = F.when(skip.isNotNull() & even, wide).otherwise(value)
-    return F.regexp_replace(text, r"\r\z", "")
+    wide = F.decode(F.substring(raw, skip + 1, F.octet_length(raw)), "UTF-16LE")
+    text = F.when((first | later) & even, wide).otherwise(value)
+    return F.when(value.endswith("\r") | first | later, F.regexp_replace(text, r"\r\z", "")).otherwise(value)
 
 
 def _entry(level, ts, shard, component, message) -> Column:
@@ -57,64 +58,79 @@ def rfc3339(text: Column) -> Column:
 
 def standard_time(text: Column) -> Column:
     """``yyyy-MM-dd HH:mm:ss`` with a fraction of any length, cut or filled to millis."""
-    dotted = F.regexp_replace(F.regexp_replace(text, r"[.]", ","), r"\A(.{10})T", "$1 ")
-    full = F.when(F.length(dotted) == 19, F.concat(dotted, F.lit(",000"))).otherwise(F.rpad(dotted, 23, "0"))
-    return F.try_to_timestamp(full, F.lit("yyyy-MM-dd HH:mm:ss,SSS"))
+    whole = (F.length(text) == 19) | F.substring(text, 20, 1).isin(",", ".")
+    spelled = F.concat(F.substring(text, 1, 10), F.lit(" "), F.substring(text, 12, 8), F.lit("."), F.rpad(F.substring(text, 21, 3), 3, "0"))
+    return F.when(whole, spelled.try_cast("timestamp"))
+
+
+def _standard_parts(line: Column) -> Column:
+    """[level, time, shard, rest] by one pass of the pattern; fewer parts if it fails."""
+    long_enough = (F.octet_length(line) >= MIN_STANDARD) & (F.octet_length(F.ltrim(line, F.lit("\ufeff "))) >= MIN_STANDARD)
+    # A line that does not match comes back as it is, which the mark tells; only a line that
+    # has the mark itself needs the pattern twice.
+    marked = F.regexp_replace(line, _STANDARD, _MARK.join(("$1", "$2", "$3", "$4")))
+    plain = ~F.contains(line, F.lit(_MARK)) | line.rlike(_STANDARD_HEAD)
+    return F.when(long_enough & plain, F.split(marked, _MARK, 4))
+
+
+def _is_standard(parts: Column) -> Column:
+    return F.coalesce(F.size(parts) == 4, F.lit(False))
+
+
+def _standard_entry(p: Column) -> Column:
+    rest = p[3]
+    dash, space = F.instr(rest, " - "), F.instr(rest, " ")
+    component = F.when(dash > 0, F.substring(rest, F.lit(1), dash - 1)).otherwise(F.substring_index(rest, " ", 1))
+    start = F.when(dash > 0, dash + 3).when(space > 0, space + 1).otherwise(F.length(rest) + 1)
+    shard = F.substring_index(F.substring_index(F.ltrim(p[2], F.lit(": ")), ":", 1), " ", 1)
+    message = F.btrim(F.substring(rest, start, F.length(rest)), F.lit(" \t\r\n"))
+    return _entry(p[0], standard_time(F.trim(p[1])), F.nullif(shard, F.lit("")), F.trim(component), message)
+
+
+def _named(value: Column, build) -> Column:
+    """``build`` over one evaluation of ``value``, inside a single expression."""
+    return F.transform(F.array(value), build)[0]
 
 
 def parse_standard_line(line: Column) -> Column:
     """``LEVEL time [shard n:group] component - message``."""
-    long_enough = F.octet_length(F.regexp_replace(line, r"\A[\uFEFF ]+", "")) >= MIN_STANDARD
-    parts = F.split(F.regexp_replace(line, _STANDARD, _MARK.join(("$1", "$2", "$3", "$4"))), _MARK, 4)
-
-    def build(p: Column) -> Column:
-        rest = p[3]
-        dash = F.instr(rest, " - ")
-        space = F.instr(rest, " ")
-        component = F.when(dash > 0, F.substring(rest, F.lit(1), dash - 1)).otherwise(F.substring_index(rest, " ", 1))
-        message = (
-            F.when(dash > 0, F.substring(rest, dash + 3, F.length(rest)))
-            .when(space > 0, F.substring(rest, space + 1, F.length(rest)))
-            .otherwise("")
-        )
-        shard = F.regexp_extract(p[2], r"\A[: ]*([^: ]*)", 1)
-        return _entry(p[0], standard_time(F.trim(p[1])), F.nullif(shard, F.lit("")), F.trim(component), F.btrim(message, F.lit(" \t\r\n")))
-
-    # One pass of the pattern, then its parts are used by name inside the lambda.
-    built = F.transform(F.array(parts), build)[0]
-    return F.when(line.rlike(_STANDARD_HEAD) & long_enough, built)
+    return _named(_standard_parts(line), lambda p: F.when(_is_standard(p), _standard_entry(p)))
 
 
-def parse_k8s_line(line: Column) -> Column:
-    """``yyyy-MM-ddTHH:mm:ssZ ... level=x ...``."""
+K8S_HEAD = r"\A.{10}T.{8}Z"
+
+
+def _k8s_entry(line: Column) -> Column:
     rest = F.substring(line, F.lit(21), F.length(line))
     named = F.regexp_extract(rest, r'level=(?:"([^"]+)|([^" ][^ ]*))', 0)
     value = F.upper(F.regexp_replace(named, r'\Alevel="?', ""))
     level = F.when(named == "", F.lit("INFO")).otherwise(value)
-    head = F.substring(line, 1, 20)
-    return F.when(
-        line.rlike(r"\A.{10}T.{8}Z"),
-        _entry(level, rfc3339(head), F.lit(None), F.lit("k8s-sidecar"), F.btrim(rest, F.lit(" \t\r\n"))),
-    )
+    return _entry(level, rfc3339(F.substring(line, 1, 20)), F.lit(None), F.lit("k8s-sidecar"), F.btrim(rest, F.lit(" \t\r\n")))
 
 
-def parse_json_line(line: Column) -> Column:
-    """One object per line; level, ts or timestamp, msg or message, logger or component."""
+def parse_k8s_line(line: Column) -> Column:
+    """``yyyy-MM-ddTHH:mm:ssZ ... level=x ...``."""
+    return F.when(line.rlike(K8S_HEAD), _k8s_entry(line))
+
+
+def _json_doc(line: Column) -> Column:
     trimmed = F.btrim(line, F.lit(" \t\r\n"))
-    looks = trimmed.startswith("{") & trimmed.endswith("}")
+    return F.when(trimmed.startswith("{") & trimmed.endswith("}"), F.from_json(trimmed, "map<string,string>"))
 
-    def build(doc: Column) -> Column:
-        def pick(*names: str, default) -> Column:
-            return F.coalesce(*[F.nullif(doc[n], F.lit("")) for n in names], default)
 
-        entry = _entry(
-            F.upper(pick("level", default=F.lit("INFO"))), rfc3339(pick("ts", "timestamp", default=F.lit(""))), F.lit(None),
-            pick("logger", "component", default=F.lit("sidecar")), pick("msg", "message", default=trimmed),
-        )
-        return F.when(doc.isNotNull(), entry)
+def _json_entry(doc: Column, line: Column) -> Column:
+    def pick(*names: str, default) -> Column:
+        return F.coalesce(*[F.nullif(doc[n], F.lit("")) for n in names], default)
 
-    doc = F.when(looks, F.from_json(trimmed, "map<string,string>"))
-    return F.transform(F.array(doc), build)[0]
+    return _entry(
+        F.upper(pick("level", default=F.lit("INFO"))), rfc3339(pick("ts", "timestamp", default=F.lit(""))), F.lit(None),
+        pick("logger", "component", default=F.lit("sidecar")), pick("msg", "message", default=F.btrim(line, F.lit(" \t\r\n"))),
+    )
+
+
+def parse_json_line(line: Column) -> Column:
+    """One object per line; level, ts or timestamp, msg or message, logger or component."""
+    return _named(_json_doc(line), lambda doc: F.when(doc.isNotNull(), _json_entry(doc, line)))
 
 
 def parse_csv_line(line: Column) -> Column:
@@ -137,35 +153,63 @@ def parse_csv_line(line: Column) -> Column:
         entry = _entry(level, rfc3339(spaced), F.lit(None), F.lit("csv-export"), message)
         return F.when((at > 0) & (F.size(f) >= 2), entry)
 
-    return F.transform(F.array(fields), build)[0]
-
+    return _named(fields, build)
 
-def parse_line(line: Column, is_csv: Column) -> Column:
-    """The entry that a line opens, or NULL for a line that continues one."""
-    plain = F.coalesce(parse_standard_line(line), parse_k8s_line(line), parse_json_line(line))
-    return F.when(is_csv, parse_csv_line(line)).otherwise(plain)
 
+def with_head(lines: DataFrame, csv: bool = False) -> DataFrame:
+    """Adds ``head``: the entry that a line opens, or NULL for a line that continues one.
 
-def scan_lines(fleet: Fleet, logs_only: bool = False) -> DataFrame:
-    """Lines of all log files: the main log and ``logs/``, or every top-level file."""
-    top = fleet.lines("[!.]*.*" if logs_only else MAIN_LOG)
-    nested = fleet.lines("logs", recursive=True, name_glob="*.{log,txt,csv,LOG,TXT,CSV}")
-    lines = top.unionByName(nested)
-    return lines.select(
-        "bundle_id", "file_path", F.regexp_replace("file_name", r"\.[^.]*\z", "").alias("node"),
-        F.col("file_name").endswith(".csv").alias("is_csv"), "block", "pos", decode_line(F.col("value")).alias("line"),
+    The pattern's parts and the JSON document are columns of their own, so that each is
+    computed once and everything stays in generated code.
+    """
+    line = F.col("line")
+    if csv:
+        return lines.withColumn("head", parse_csv_line(line))
+    staged = lines.withColumn("_std", _standard_parts(line))
+    staged = staged.withColumn("_doc", F.when(~_is_standard(F.col("_std")), _json_doc(line)))
+    head = (
+        F.when(_is_standard(F.col("_std")), _standard_entry(F.col("_std")))
+        .when(line.rlike(K8S_HEAD), _k8s_entry(line))
+        .when(F.col("_doc").isNotNull(), _json_entry(F.col("_doc"), line))
     )
+    return staged.withColumn("head", head).drop("_std", "_doc")
+
+
+def scan_lines(fleet: Fleet, logs_only: bool = False, csv: bool = False) -> DataFrame:
+    """(file_path, block, pos, line) of all log files: the main log and ``logs/``, or every
+    top-level file. CSV files, known by their name, are read apart."""
+    if csv:
+        top = fleet.raw_lines("[!.]*.csv") if logs_only else fleet.raw_lines()
+        nested = fleet.raw_lines("logs", recursive=True, name_glob="*.{csv,CSV}")
+    else:
+        top = fleet.raw_lines("[!.]*.*" if logs_only else MAIN_LOG)
+        top = top.filter(~F.col("file_path").endswith(".csv"))
+        nested = fleet.raw_lines("logs", recursive=True, name_glob="*.{log,txt,LOG,TXT}")
+    lines = top.unionByName(nested)
+    return lines.select("file_path", "block", "pos", decode_line(F.col("value")).alias("line"))
+
+
+def file_names(fleet: Fleet):
+    """Adds bundle_id and node (the file's stem) to rows with a ``file_path``."""
 
+    def name(df: DataFrame) -> DataFrame:
+        path = F.col("file_path")
+        stem = F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*\z", "")
+        return df.withColumns({"bundle_id": fleet.bundle_of(path), "node": stem})
 
-BLOCK = ["bundle_id", "file_path", "block"]
+    return name
 
 
-def _entries_by_block(lines: DataFrame) -> DataFrame:
+BLOCK = ["file_path", "block"]
+
+
+def entries_by_block(lines: DataFrame, csv: bool = False) -> DataFrame:
     """Entries as far as one block shows them; entry 0 is what precedes its first header."""
     kept = F.length("line").between(1, MAX_LINE)
     # Shuffled as plain text and parsed behind the shuffle, whose partitioning the windows,
     # the aggregation and the joins below all share.
-    parsed = lines.repartition(*BLOCK).withColumn("kept", kept).withColumn("head", F.when(kept, parse_line(F.col("line"), F.col("is_csv"))))
+    placed = lines.repartition(*BLOCK).select("file_path", "block", "pos", F.when(kept, F.col("line")).alias("line"))
+    parsed = with_head(placed, csv)
     opens = F.col("head").isNotNull().cast("bigint")
     ordered = Window.partitionBy(*BLOCK).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*BLOCK)
@@ -177,62 +221,68 @@ def _entries_by_block(lines: DataFrame) -> DataFrame:
             "block_entries": F.sum(opens).over(whole),
         }
     )
-    body = F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("n", "line"))))
+    number = F.when(F.col("line").isNotNull(), F.col("n"))
     grouped = local.groupBy(*BLOCK, "entry").agg(
-        F.min("node").alias("node"), F.max("block_lines").alias("block_lines"), F.max("block_entries").alias("block_entries"),
-        F.min(F.when(F.col("kept"), F.col("n"))).alias("n"), F.first("head", ignorenulls=True).alias("head"), body.alias("body"),
+        F.max("block_lines").alias("block_lines"), F.max("block_entries").alias("block_entries"), F.min(number).alias("n"),
+        F.first("head", ignorenulls=True).alias("head"),
+        F.collect_list(F.when(F.col("line").isNotNull(), F.struct("n", "line"))).alias("body"),
     )
-    raw = F.array_join(F.transform("body", lambda b: b["line"]), "\n")
-    rest = F.transform(F.filter("body", lambda b, i: i > 0), lambda b: b["line"])
+    alone = F.size("body") == 1
+    lines_of = F.transform(F.sort_array("body"), lambda b: b["line"])
+    raw = F.when(alone, F.col("body")[0]["line"]).otherwise(F.array_join(lines_of, "\n"))
+    rest = F.slice(lines_of, F.lit(2), F.greatest(F.size("body") - 1, F.lit(0)))
+    message = F.when(alone, F.col("head.message")).otherwise(F.array_join(F.concat(F.array("head.message"), rest), "\n"))
     lead = F.when((F.col("entry") == 0) & (F.size("body") > 0), F.struct("n", raw.alias("raw")))
     opened = F.col("entry") > 0
     return grouped.select(
-        *BLOCK, "entry", "node", "block_lines", "block_entries", "n", "head.level", "head.ts", "head.shard", "head.component",
-        F.when(opened, F.array_join(F.concat(F.array("head.message"), rest), "\n")).alias("message"), F.when(opened, raw).alias("raw"), lead.alias("lead"),
+        *BLOCK, "entry", "block_lines", "block_entries", "n", "head.level", "head.ts", "head.shard", "head.component",
+        F.when(opened, message).alias("message"), F.when(opened, raw).alias("raw"), lead.alias("lead"),
     )
 
 
-def _block_table(entries: DataFrame) -> DataFrame:
-    """One row per block: lines before it, its file's number, the block whose last entry
-    its leading lines continue (-1: none, they are an entry of their own)."""
-    blocks = entries.groupBy(*BLOCK).agg(
-        F.max("block_lines").alias("lines"), F.max("block_entries").alias("entries"), F.min("node").alias("node"), F.max("lead").alias("lead")
-    )
-    before = Window.partitionBy("bundle_id", "file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    files = blocks.select("bundle_id", "file_path").distinct().withColumn(
+def _block_table(entries: DataFrame, name) -> DataFrame:
+    """One row per block: lines before it, bundle, node and number of its file, the block
+    whose last entry its leading lines continue (-1: none, they are an entry of their own)."""
+    blocks = entries.groupBy(*BLOCK).agg(F.max("block_lines").alias("lines"), F.max("block_entries").alias("entries"), F.max("lead").alias("lead"))
+    before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    files = name(blocks.select("file_path").distinct()).withColumn(
         "file_no", F.row_number().over(Window.partitionBy("bundle_id").orderBy("file_path")).cast("bigint")
     )
     holder = F.last(F.when(F.col("entries") > 0, F.col("block")), ignorenulls=True).over(before)
     return blocks.withColumns(
         {"offset": F.coalesce(F.sum("lines").over(before), F.lit(0).cast("bigint")), "owner": F.coalesce(holder, F.lit(-1).cast("bigint"))}
-    ).join(files, ["bundle_id", "file_path"])
+    ).join(files, "file_path")
 
 
-def stitch(entries: DataFrame, materialize: bool = False) -> DataFrame:
-    """Entries of whole files: line numbers over blocks, and continuations over borders."""
-    blocks = _block_table(entries)
+def stitch(entries: DataFrame, name, materialize: bool = False) -> DataFrame:
+    """Entries of whole files: line numbers over blocks, and continuations over borders.
+    ``name`` adds bundle_id and node to a table of file paths."""
+    blocks = _block_table(entries, name)
     blocks = cut_lineage(blocks) if materialize else blocks
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("block", "lead.raw"))), lambda x: x["raw"])
-    leads = blocks.filter(F.col("lead").isNotNull()).groupBy("bundle_id", "file_path", F.col("owner").alias("block")).agg(
-        F.min("node").alias("node"), F.min("file_no").alias("file_no"), F.min(F.col("offset") + F.col("lead.n")).alias("line_number"),
-        F.array_join(pieces, "\n").alias("tail"),
+    pieces = F.transform(F.sort_array(F.collect_list(F.struct("block", "lead.raw"))), lambda x: x["raw"])
+    file_columns = ["bundle_id", "node", "file_no"]
+    leads = blocks.filter(F.col("lead").isNotNull()).groupBy("file_path", F.col("owner").alias("block")).agg(
+        *[F.min(c).alias(c) for c in file_columns], F.min(F.col("offset") + F.col("lead.n")).alias("line_number"), F.array_join(pieces, "\n").alias("tail")
     )
     # The small tables meet first, so the entries are joined once, on their own partitioning.
-    info = blocks.select(*BLOCK, "offset", "file_no").join(leads.filter("block >= 0").select(*BLOCK, "tail"), BLOCK, "left")
+    info = blocks.select(*BLOCK, "offset", *file_columns).join(leads.filter("block >= 0").select(*BLOCK, "tail"), BLOCK, "left")
     opened = entries.filter("entry > 0").join(info, BLOCK)
     last = F.col("entry") == F.col("block_entries")
     end = F.when(last & F.col("tail").isNotNull(), F.concat(F.lit("\n"), F.col("tail"))).otherwise("")
     whole = opened.select(
-        "bundle_id", "file_no", "file_path", (F.col("offset") + F.col("n")).alias("line_number"), "node", "level", "ts", "shard", "component",
+        *file_columns, "file_path", (F.col("offset") + F.col("n")).alias("line_number"), "level", "ts", "shard", "component",
         F.concat("message", end).alias("message"), F.concat("raw", end).alias("raw"),
     )
     orphans = leads.filter("block < 0").select(
-        "bundle_id", "file_no", "file_path", "line_number", "node", F.lit("INFO").alias("level"), F.lit(None).cast("timestamp").alias("ts"),
+        *file_columns, "file_path", "line_number", F.lit("INFO").alias("level"), F.lit(None).cast("timestamp").alias("ts"),
         F.lit(None).cast("string").alias("shard"), F.lit("stdout").alias("component"), F.col("tail").alias("message"), F.col("tail").alias("raw"),
     )
     both = whole.unionByName(orphans)
     # Unique and in line order within a bundle: file number above 40 bits of line number.
-    return both.withColumn("id", F.shiftleft("file_no", 40) + F.col("line_number")).drop("file_no")
+    return both.select(
+        "bundle_id", (F.shiftleft("file_no", 40) + F.col("line_number")).alias("id"), "ts", "level", "node", "shard", "component", "message",
+        "raw", "line_number", "file_path",
+    )
 
 
 def scan_logs(fleet: Fleet, logs_only: bool = False, materialize: bool = True) -> DataFrame:
@@ -243,5 +293,5 @@ def scan_logs(fleet: Fleet, logs_only: bool = False, materialize: bool = True) -
     the text is read, shuffled and parsed once; the block table then reads a few narrow
     columns of it. Without it the plan is lazy and parses once per use.
     """
-    entries = _entries_by_block(scan_lines(fleet, logs_only))
-    return stitch(stage(entries, "log-entries") if materialize else entries, materialize)
+    entries = entries_by_block(scan_lines(fleet, logs_only)).unionByName(entries_by_block(scan_lines(fleet, logs_only, csv=True), csv=True))
+    return stitch(stage(entries, "log-entries") if materialize else entries, file_names(fleet), materialize)

@@ -161,7 +161,7 @@ def test_insights(spark):
 
 def test_raft(spark):
     m = ["[{kafka/t-1.x/7}] became the leader term 12", "[heartbeats_majority] Stepping down as leader in term 3", "x reasoning: leadership_transfer", "error code: 10", "is down", "plain"]
-    assert evaluate(spark, m, raft.event_type) == ["Elected", "Stepdown", None, "Timeout", "Health", None]
+    assert evaluate(spark, m, lambda c: raft.event_type(F.lower(c))) == ["Elected", "Stepdown", None, "Timeout", "Health", None]
     assert evaluate(spark, m, raft.term)[:2] == [12, 3]
     assert evaluate(spark, m, raft.ntp)[0] == "kafka/t-1.x/7"
     assert evaluate(spark, m, raft.stepdown_reason)[1:3] == ["heartbeats_majority", "leadership_transfer"]
