@@ -90,7 +90,7 @@ def _search(name: str, search: str, where: str, table: str = "v_doc_logs", **kw)
     return run
 
 
-_search("log_search_and", "the AND that AND on", "contains(m, 'the') AND contains(m, 'that') AND false")
+_search("log_search_and", "the AND that AND tion", "contains(m, 'the') AND contains(m, 'that') AND contains(m, 'tion')")
 _search("log_search_near", "the that on", "contains(m, 'the') AND contains(m, 'that')")
 _search("log_search_or", 'ion OR "eau" OR zzz', "contains(m, 'ion') OR contains(m, 'eau') OR contains(m, 'zzz')")
 _search("log_search_not", "the NOT tion", "contains(m, 'the') AND NOT contains(m, 'tion')")

@@ -80,10 +80,11 @@ def with_insight(df: DataFrame, column: str = "message", rules: list[InsightRule
     and not once per line. The texts come from the rule table, which is broadcast: its
     size is fixed by the code.
     """
-    table = df.sparkSession.createDataFrame(
-        [(n, r.description, r.severity, r.action) for n, r in enumerate(rules)],
-        "_rule int, description string, severity string, action string",
-    )
+    rows = [
+        F.struct(F.lit(n).alias("_rule"), F.lit(r.description).alias("description"), F.lit(r.severity).alias("severity"), F.lit(r.action).alias("action"))
+        for n, r in enumerate(rules)
+    ]
+    table = df.sparkSession.range(1).select(F.inline(F.array(*rows)))
     lowered = df.withColumn("_lowered", F.lower(column))
     numbered = lowered.withColumn("_rule", insight_rule(F.col(column), F.col("_lowered"), rules)).drop("_lowered")
     return numbered.join(F.broadcast(table), "_rule", "left").drop("_rule")

@@ -36,6 +36,17 @@ class Fleet:
                     found.append(f"{root}/*/{rel}")
         return found
 
+    def files(self, *relative: str) -> list[str]:
+        """The matching files themselves, without folders."""
+        conf = self.spark._jsc.hadoopConfiguration()
+        found = []
+        for root in self.roots:
+            for rel in relative:
+                path = self._path(f"{root}/*/{rel}")
+                hits = path.getFileSystem(conf).globStatus(path)
+                found += [s.getPath().toString() for s in hits or [] if s.isFile()]
+        return found
+
     def bundle_of(self, path: Column) -> Column:
         roots = "|".join(re.escape(p) for p in self._root_paths)
         return F.regexp_extract(path, rf"(?:{roots})/([^/]+)/", 1)
@@ -57,12 +68,14 @@ class Fleet:
             self.bundle_of(path).alias("bundle_id"), path, F.substring_index(path, "/", -1).alias("file_name"), "block", "pos", "value"
         )
 
-    def raw_lines(self, *relative: str, recursive: bool = False, name_glob: str | None = None) -> DataFrame:
+    def raw_lines(
+        self, *relative: str, recursive: bool = False, name_glob: str | None = None, files_only: bool = False
+    ) -> DataFrame:
         """(file_path, block, pos, value), without anything derived from the path per line.
 
         ``pos`` orders the lines of one block of one file. Only LF ends a line.
         """
-        paths = self.matching(*relative)
+        paths = self.files(*relative) if files_only else self.matching(*relative)
         if not paths:
             return self.empty("file_path string, block bigint, pos bigint, value string")
         reader = self.spark.read.option("lineSep", "\n").option("recursiveFileLookup", str(recursive).lower())

@@ -179,10 +179,10 @@ def scan_lines(fleet: Fleet, logs_only: bool = False, csv: bool = False) -> Data
     """(file_path, block, pos, line) of all log files: the main log and ``logs/``, or every
     top-level file. CSV files, known by their name, are read apart."""
     if csv:
-        top = fleet.raw_lines("[!.]*.csv") if logs_only else fleet.raw_lines()
+        top = fleet.raw_lines("[!.]*.csv", files_only=True) if logs_only else fleet.raw_lines()
         nested = fleet.raw_lines("logs", recursive=True, name_glob="*.{csv,CSV}")
     else:
-        top = fleet.raw_lines("[!.]*.*" if logs_only else MAIN_LOG)
+        top = fleet.raw_lines("[!.]*", files_only=True) if logs_only else fleet.raw_lines(MAIN_LOG)
         top = top.filter(~F.col("file_path").endswith(".csv"))
         nested = fleet.raw_lines("logs", recursive=True, name_glob="*.{log,txt,LOG,TXT}")
     lines = top.unionByName(nested)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from fleetlens.functions.text import to_number
 from fleetlens.sources.fleet import Fleet
 
-METRIC_FILES = ("metrics/*/*.txt", "metrics/*.txt", "*prometheus_metrics.txt", "*public_metrics.txt")
+# Where the dumps lie.
+METRIC_FILES = ("metrics/*/*_metrics.txt", "metrics/*_metrics.txt")
 
 # Label pairs; a comma or an escaped quote inside the quotes belongs to the value.
 _PAIR = r'([^\s,={}"]+)\s*=\s*"((?:[^"\\]|\\.)*)"'

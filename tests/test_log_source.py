@@ -120,5 +120,8 @@ def test_logs_only(spark, fleet_dir):
     fleet_dir("b1", "a.log", "INFO  2024-01-01 00:00:01,250 [shard 3:main] raft - x\n")
     fleet_dir("b1", "b.txt", "INFO  2024-01-01 00:00:01,250 [shard 3:main] raft - y\n")
     fleet_dir("b1", ".hidden.log", "z\n")
+    fleet_dir("b1", "messages", "INFO  2024-01-01 00:00:01,250 [shard 3:main] raft - z\n")
+    fleet_dir("b1", "logs/in.log", "INFO  2024-01-01 00:00:01,250 [shard 3:main] raft - w\n")
+    fleet_dir("b1", "t.csv", "2024-01-01T00:00:01Z,ERROR,from csv\n")
     rows = src.scan_logs(Fleet(spark, fleet_dir.root), logs_only=True).collect()
-    assert {r["message"] for r in rows} == {"x", "y"}
+    assert sorted(r["message"] for r in rows) == ["from csv", "w", "x", "y", "z"]

@@ -16,7 +16,7 @@ def rows(df, *columns):
 
 
 def test_prometheus(spark, fleet_dir):
-    fleet_dir("b1", "metrics/n1/t0.txt", "\n".join([
+    fleet_dir("b1", "metrics/n1/t0_metrics.txt", "\n".join([
         "# HELP io_ops Number of ops", "# TYPE io_ops counter", "# HELP io_ops Last text",
         'io_ops{shard="0",class="read"} 12', 'io_ops{path="a,b=\\"c\\"",shard="1"} 1.5e3', "plain 7",
         "bad NaN", "worse +Inf", "odd 1d", "", "lonely",
