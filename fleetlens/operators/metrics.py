@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.text import series_label
 from fleetlens.operators.logs import in_time_range
-from fleetlens.operators.windows import previous_in_order
+from fleetlens.operators.windows import HOT_ROWS, previous_in_order
 
 # Metric names.
 UTILIZATION = "vectorized_reactor_utilization"
@@ -55,13 +55,12 @@ def metric_series(metrics: DataFrame, name: str, start=None, end=None) -> DataFr
     return rows.select("bundle_id", series_label(F.col("labels")).alias("series"), "ts", "id", "value")
 
 
-def metric_rate(series: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def metric_rate(series: DataFrame, bucket_seconds: int = 3600, most: int = HOT_ROWS) -> DataFrame:
     """Per-second change between neighbouring points of a series.
 
     Pairs without time between them and falls (a counter reset) give no row.
     """
-    bucket = F.floor(F.unix_seconds("ts") / bucket_seconds)
-    paired = previous_in_order(series, ["bundle_id", "series"], ["ts", "id"], ["ts", "value"], bucket)
+    paired = previous_in_order(series, ["bundle_id", "series"], "ts", "id", ["ts", "value"], bucket_seconds, most)
     seconds = (F.unix_micros("ts") - F.unix_micros("prev.ts")) / 1e6
     rate = (F.col("value") - F.col("prev.value")) / F.col("seconds")
     return (

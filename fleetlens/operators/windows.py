@@ -2,29 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+HOT_ROWS = 1_000_000
+BROADCAST_ROWS = 10_000
+
+
+def _hot_buckets(df: DataFrame, keys: list[str], ts: str, id_: str, most: int) -> DataFrame:
+    """Buckets with over ``most`` rows, with their bounds and the number of parts to cut them into."""
+    sizes = df.groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.min(F.unix_micros(ts)).alias("_t0"), F.max(F.unix_micros(ts)).alias("_t1"),
+        F.min(id_).alias("_i0"), F.max(id_).alias("_i1"),
+    )
+    return sizes.filter(F.col("_n") > most).withColumn("_parts", F.ceil(F.col("_n") / most)).drop("_n")
+
+
 def previous_in_order(
-    df: DataFrame, keys: list[str], order: list[str], carry: list[str], bucket: Column
+    df: DataFrame, keys: list[str], ts: str, id_: str, carry: list[str], bucket_seconds: int, most: int = HOT_ROWS
 ) -> DataFrame:
-    """Adds ``prev``: a struct of the row before, per key, in ``order``.
+    """Adds ``prev``: a struct of the row before, per key, in (ts, id) order.
+
+    A plain ``lag`` per key sorts a whole key in one task. Here a key is split by time
+    buckets, and a bucket with over ``most`` rows again by time, or by id if all its rows
+    have one time. A task sorts one piece; the last row of the piece before is looked up
+    in a table with one row per piece, on the window's own partitioning. Keys must not be
+    NULL.
 
-    A plain ``lag`` per key sorts a whole key in one task. Here a key is split by
-    ``bucket`` (non-decreasing in ``order``), so a task sorts one bucket of one key; the last
-    row of the bucket before is looked up in a table with one row per bucket. The join
-    keeps the window's partitioning, so the rows are shuffled once. Keys must not be NULL.
+    Hot buckets are counted first (one narrow aggregation). Usually there is none and
+    nothing is joined; up to ``BROADCAST_ROWS`` of them are broadcast.
     """
-    bucketed = df.withColumn("_bucket", bucket)
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    row = F.struct(*carry)
-    local = bucketed.withColumn("_prev", F.lag(row).over(inside))
-    tails = bucketed.groupBy(*keys, "_bucket").agg(F.max_by(row, F.struct(*order)).alias("_tail"))
-    across = Window.partitionBy(*keys).orderBy("_bucket")
+    df = df.withColumn("_bucket", F.floor(F.unix_seconds(ts) / bucket_seconds))
+    hot = _hot_buckets(df, [*keys, "_bucket"], ts, id_, most)
+    found = hot.limit(BROADCAST_ROWS + 1).count()
+    if found:
+        df = df.join(F.broadcast(hot) if found <= BROADCAST_ROWS else hot, [*keys, "_bucket"], "left")
+        by_time = (F.unix_micros(ts) - F.col("_t0")) / (F.col("_t1") - F.col("_t0") + 1)
+        by_id = (F.col(id_) - F.col("_i0")) / (F.col("_i1") - F.col("_i0") + 1)
+        share = F.when(F.col("_t1") > F.col("_t0"), by_time).otherwise(by_id)
+        piece = F.coalesce(F.floor(share * F.col("_parts")), F.lit(0).cast("bigint"))
+        df = df.withColumn("_piece", piece).drop("_t0", "_t1", "_i0", "_i1", "_parts")
+    else:
+        df = df.withColumn("_piece", F.lit(0).cast("bigint"))
+    pieces = [*keys, "_bucket", "_piece"]
+    row, order = F.struct(*carry), F.struct(ts, id_)
+    local = df.withColumn("_prev", F.lag(row).over(Window.partitionBy(*pieces).orderBy(ts, id_)))
+    tails = df.groupBy(*pieces).agg(F.max_by(row, order).alias("_tail"))
+    across = Window.partitionBy(*keys).orderBy("_bucket", "_piece")
     tails = tails.withColumn("_before", F.lag("_tail").over(across)).drop("_tail")
-    joined = local.join(tails, [*keys, "_bucket"], "left")
-    return joined.withColumn("prev", F.coalesce("_prev", "_before")).drop("_prev", "_before", "_bucket")
+    joined = local.join(tails, pieces, "left")
+    return joined.withColumn("prev", F.coalesce("_prev", "_before")).drop("_prev", "_before", "_bucket", "_piece")
 
 
 SALTS = 64

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from fleetlens.operators import logs, metrics, placement, storage
+from fleetlens.operators.windows import previous_in_order
 from fleetlens.plans import anomalies, replication
 from fleetlens.sources import host
 from fleetlens.sources.sinks import write_table
@@ -34,9 +35,16 @@ def test_rate_like_model(spark):
             dt = (b[2] - a[2]).total_seconds()
             if dt > 0 and b[4] >= a[4]:
                 expected.append((series, b[3], round((b[4] - a[4]) / dt, 9)))
-    for bucket in (1, 60, 3600, 10**9):
-        got = metrics.metric_rate(df, bucket).withColumn("rate", F.round("rate", 9))
-        assert rows(got, "series", "id", "rate") == sorted(expected, key=str)
+    for bucket, most in ((1, 10**6), (60, 20), (3600, 10**6), (3600, 50), (10**9, 100), (10**9, 1)):
+        got = metrics.metric_rate(df, bucket, most).withColumn("rate", F.round("rate", 9))
+        assert rows(got, "series", "id", "rate") == sorted(expected, key=str), (bucket, most)
+
+
+def test_previous_with_one_time(spark):
+    """A bucket whose rows all have one time is cut by id."""
+    df = spark.range(500).select(F.lit("k").alias("k"), F.lit(T0).cast("timestamp").alias("ts"), "id", (F.col("id") * 2).alias("v"))
+    got = previous_in_order(df, ["k"], "ts", "id", ["v"], 60, most=40).select("id", F.col("prev.v").alias("p")).collect()
+    assert sorted(tuple(r) for r in got) == [(i, None if i == 0 else 2 * (i - 1)) for i in range(500)]
 
 
 def test_longest_prefix_like_model(spark):
