@@ -630,11 +630,13 @@ def audit(tables: dict[str, DataFrame], only: set[str] | None = None, materializ
     """CheckResult rows of every group whose tables are given.
 
     The metric rules share one digest of the samples. With ``materialize`` it is
-    checkpointed (a row per series), so that the samples are scanned once in all.
+    checkpointed (a row per series), so that the samples are scanned once in all; so is
+    the list of bundles.
     """
     given = dict(tables)
     if "bundles" not in given:
-        given["bundles"] = bundle_list(given)
+        bundles = bundle_list(given)
+        given["bundles"] = cut_lineage(bundles) if materialize else bundles
     if "metrics" in given:
         digest = metric_digest(given["metrics"], audit_metric_names())
         given["digest"] = cut_lineage(digest) if materialize else digest

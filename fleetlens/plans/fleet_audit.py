@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators import consumers, storage as storage_ops
 from fleetlens.operators.logs import detect_version
 from fleetlens.plans.audit import audit
+from fleetlens.session import cut_lineage
 from fleetlens.sources import cluster, host, logs as log_files, metrics as metric_files, storage
 from fleetlens.sources.fleet import Fleet, list_files
 
@@ -27,12 +28,14 @@ def load_tables(fleet: Fleet, logs_only: bool = False, materialize: bool = True)
     logs = log_files.scan_logs(fleet, logs_only, materialize)
     if logs_only:
         return {"logs": logs}
-    facts = host.scan_host_facts(fleet)
+    # Facts and settings feed many rules; kept, they are read once and the plan stays short.
+    keep = cut_lineage if materialize else (lambda df: df)
+    facts = keep(host.scan_host_facts(fleet))
+    config = keep(cluster.scan_yaml_config(fleet))
     partitions = cluster.scan_partitions(fleet)
     debug = cluster.scan_partition_debug(fleet)
     kafka = cluster.scan_kafka_dump(fleet, materialize)
     brokers = cluster.scan_brokers(fleet)
-    config = cluster.scan_yaml_config(fleet)
     k8s = cluster.scan_k8s(fleet)
     sar, sar_net = host.scan_sar(fleet)
     return {
