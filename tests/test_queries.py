@@ -5,11 +5,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from fleetlens import catalog
 from tests.compare import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no driver tables")
-NAMES = sorted(entry.queries())
+NAMES = sorted(catalog.queries())
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +25,7 @@ def test_query(spark, con, name):
 
 
 def test_contract(spark):
-    assert set(entry.oracle_sql()) <= set(NAMES)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(NAMES) <= set(entry.queries())
     df = entry.entry(spark)
     assert df.count() > 0 and df.columns == ["bundle_id", "level", "fingerprint", "count", "first_seen", "last_seen", "sample"]
