@@ -1,6 +1,6 @@
 """All queries of the package: importing the modules registers them."""
 
-from fleetlens.llm import line_dedup, ngram_join  # noqa: F401
+from fleetlens.llm import line_dedup, ngram_join, packing  # noqa: F401
 from fleetlens.llm.registry import QUERIES, SQL
 
 
