@@ -4,16 +4,19 @@ The document by n-gram incidence matrix is never multiplied as a whole. It is cu
 that can hold a pair at all, and in each block the product accumulates overlap counts and
 throws away every pair below the bound that the two sizes give.
 
-1. Sizes fall into classes such that a pair lies in one class or in two neighbours. For a
-   class, two linked sets differ in at most D elements; the hash range is cut into D + 1 parts,
-   so a linked pair agrees on one part wholly. Each set emits a key per part (class, part, hash
-   of what lies in it). Where a set has an empty part, whose key would say nothing, it also
-   emits the prefix that the overlap bound asks for. No linked pair is lost.
-2. Sets that share a key form candidate clusters (components of the key graph). Keys that repeat in a
-   batch are replaced there by one key of the batch's first holder, so a hot key has a row per
-   batch. Equal sets become one row with a count.
-3. A cluster is dealt to tiles of bounded size, by size class; every pair of tiles that the
-   size bound allows is one block, whatever the cluster's size.
+1. Sizes fall into classes such that a pair lies in one class or in two neighbours; the class of the
+   smaller set is the pair's level. On a level, two linked sets differ in at most D elements; the
+   hash range is cut into D + 1 parts, so a linked pair agrees on one part wholly. Each set emits, for
+   the two levels it can be in, a key per part (level, part, hash of what lies in it). Where a set
+   has an empty part, whose key would say nothing, it also emits the prefix that the overlap
+   bound asks for. No linked pair is lost.
+2. Sets of a level that share a key form candidate clusters (components of the key graph). Keys that
+   repeat in a batch are replaced there by one key of the batch's first holder, so a hot key has a
+   row per batch. Equal sets become one row with a count.
+3. A cluster is dealt to tiles of bounded size; every pair of tiles is one block, whatever the
+   cluster's size. First the blocks hold coarse counts of the elements (a sixteenth of a byte each):
+   sets differ in at least the sum of the count differences, so pairs beyond the bound go. What
+   is left forms the clusters of the exact product, which are near-duplicates and little else.
 4. In a task, n-grams of a block that few rows hold are expanded into pair counts; the others are
    multiplied as dense strips. Only links that pass the exact test leave the task, as a spanning
    forest with a link count per row.
@@ -38,8 +41,8 @@ from fleetlens.llm.components import components
 from fleetlens.llm.registry import query, table
 from fleetlens.session import stage
 
-TILE_ROWS, TILE_ELEMENTS, DENSE = 1024, 500_000, 24
-SKETCH = "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"
+TILE_ROWS, TILE_ELEMENTS, DENSE = 1024, 2_000_000, 24
+SKETCH = "doc_id long, n_shingles long, class int, h1 long, h2 long, own_keys array<long>, low_keys array<long>, own_counts binary, low_counts binary"
 
 
 @lru_cache(maxsize=None)
@@ -69,33 +72,37 @@ def word_sets(batch: pa.RecordBatch, words: int):
         yield part, sets
 
 
-def part_keys(u: np.ndarray, pct: int) -> np.ndarray:
-    """The keys of one set, for its own class and the class below."""
-    bounds, n = size_bounds(pct), len(u)
-    own = int(np.searchsorted(bounds, n, "right")) - 1
+def part_keys(u: np.ndarray, level: int, pct: int) -> np.ndarray:
+    """The keys of one set on a level."""
+    n = len(u)
     inner = np.concatenate([[np.uint64(0)], np.cumsum(mix(u + np.uint64(7)))])
-    out = []
-    for c in (own, own - 1) if own else (own,):
-        parts = int(bounds[c + 1] - 1) * (100 - pct) // pct + 1
-        counts = np.bincount((((u >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64), minlength=parts)
-        ends = np.cumsum(counts)
-        held = np.flatnonzero(counts)
-        salt = np.uint64(c) << np.uint64(40)
-        out.append(mix((inner[ends[held]] - inner[ends[held] - counts[held]]) ^ mix(held.astype(np.uint64) + salt)))
-        if len(held) < parts:
-            prefix = u[: n - -(-n * pct // 100) + 1]
-            out.append(mix(prefix ^ mix(np.array([salt + np.uint64(1 << 39)]))))
-    return np.concatenate(out)
-
-
-def local_stars(nodes: np.ndarray, keys: list[np.ndarray]) -> list[np.ndarray]:
+    parts = int(size_bounds(pct)[level + 1] - 1) * (100 - pct) // pct + 1
+    counts = np.bincount((((u >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64), minlength=parts)
+    ends = np.cumsum(counts)
+    held = np.flatnonzero(counts)
+    salt = np.uint64(level) << np.uint64(40)
+    keys = mix((inner[ends[held]] - inner[ends[held] - counts[held]]) ^ mix(held.astype(np.uint64) + salt))
+    if len(held) < parts:
+        prefix = u[: n - -(-n * pct // 100) + 1]
+        keys = np.append(keys, mix(prefix ^ mix(np.array([salt + np.uint64(1 << 39)]))))
+    return keys
+
+
+def coarse_counts(u: np.ndarray, level: int, pct: int) -> bytes:
+    """How many elements lie in each of some fixed buckets of the level."""
+    buckets = int(size_bounds(pct)[level + 1]) // 16 + 16
+    counts = np.bincount((((u & np.uint64(0xFFFFFFFF)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64), minlength=buckets)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def local_stars(nodes: np.ndarray, keys: list[np.ndarray], level: np.ndarray) -> list[np.ndarray]:
     """Keys that rows of one batch share are kept by the first holder; the others point at it."""
     lengths = [len(k) for k in keys]
-    flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+    flat = np.concatenate([*keys, np.empty(0, np.uint64)])
     owner = np.repeat(np.arange(len(keys)), lengths)
     _, at, back = np.unique(flat, return_index=True, return_inverse=True)
     holder = owner[at][back]
-    star = mix(nodes.astype(np.int64).view(np.uint64) ^ np.uint64(0x5BD1E995))
+    star = mix(nodes.astype(np.int64).view(np.uint64) ^ mix(level.astype(np.uint64) + np.uint64(0x5BD1E995)))
     flat = np.where(holder == owner, flat, star[holder])
     ends = np.cumsum(lengths)
     # A holder carries its own star key as well, so that the others meet it.
@@ -107,18 +114,27 @@ def local_stars(nodes: np.ndarray, keys: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(k) for k in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.empty(0, np.uint64)]).view(np.int64)))
+
+
 def _sketch(batches, words: int, pct: int):
+    bounds, none = size_bounds(pct), np.empty(0, np.uint64)
     for batch in batches:
         for part, sets in word_sets(batch, words):
             nodes = part.column(0).fill_null(0).to_numpy()
             named = part.column(0).is_valid().to_numpy(zero_copy_only=False)
-            keys = local_stars(nodes, [part_keys(u, pct) if len(u) and ok else np.empty(0, np.uint64) for u, ok in zip(sets, named, strict=True)])
+            own = np.array([int(np.searchsorted(bounds, len(u), "right")) - 1 for u in sets])
+            keys, counts = [], []
+            for level in (own, own - 1):
+                live = [len(u) > 0 and ok and c >= 0 for u, ok, c in zip(sets, named, level, strict=True)]
+                keys.append(_lists(local_stars(nodes, [part_keys(u, c, pct) if ok else none for u, c, ok in zip(sets, level.tolist(), live, strict=True)], level)))
+                counts.append(pa.array([coarse_counts(u, c, pct) if ok else None for u, c, ok in zip(sets, level.tolist(), live, strict=True)], pa.binary()))
             sums = np.array([(mix(u).sum(dtype=np.uint64), mix(u + np.uint64(3)).sum(dtype=np.uint64)) for u in sets], np.uint64).reshape(-1, 2)
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            flat = np.concatenate([*keys, np.empty(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(u) for u in sets], pa.int64()), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["doc_id", "n_shingles", "h1", "h2", "keys"],
+                [part.column(0), pa.array([len(u) for u in sets], pa.int64()), pa.array(own.astype(np.int32)), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)), *keys, *counts],
+                names=["doc_id", "n_shingles", "class", "h1", "h2", "own_keys", "low_keys", "own_counts", "low_counts"],
             )
 
 
@@ -174,13 +190,26 @@ def overlaps(block: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _roots(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest node that each row reaches by the pairs (i, j)."""
+    root = node.copy()
+    while len(i):
+        low = np.minimum(root[i], root[j])
+        before = root.copy()
+        np.minimum.at(root, i, low)
+        np.minimum.at(root, j, low)
+        if (before == root).all():
+            break
+    return root
+
+
 def _links(rows: list, pct: int):
     """Spanning forest and link counts of whole blocks."""
     numbers = {k: i for i, k in enumerate(dict.fromkeys(r[0] for r in rows))}
     block = np.array([numbers[r[0]] for r in rows])
     side, node, copies = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
     sets = [np.frombuffer(r[4], np.uint64) for r in rows]
-    size = np.array([len(s) for s in sets], np.float32)
+    size = np.array([len(s) for s in sets], np.float64)
     both = overlaps(block, sets)
     # 100 o >= pct (a + b - o), and in a block of two tiles only pairs of one row from each.
     i, j = np.nonzero((both > 0) & (both * (100 + pct) >= pct * (size[:, None] + size[None, :])))
@@ -190,34 +219,80 @@ def _links(rows: list, pct: int):
     count = np.zeros(len(rows), np.int64)
     np.add.at(count, i, copies[j])
     np.add.at(count, j, copies[i])
-    root = node.copy()
-    while len(i):
-        low = np.minimum(root[i], root[j])
-        before = root.copy()
-        np.minimum.at(root, i, low)
-        np.minimum.at(root, j, low)
-        if (before == root).all():
-            break
-    at = np.flatnonzero(count)
+    root, at = _roots(node, i, j), np.flatnonzero(count)
     return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(root[at]), pa.array(count[at])], names=["a", "b", "n_links"])
 
 
-def _product(batches, pct: int):
-    """Rows sorted by block: whole blocks are multiplied, small ones together."""
+def _close(rows: list, pct: int):
+    """Spanning forest of the pairs of one block whose coarse counts do not rule a link out."""
+    side, node, size = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
+    counts = np.stack([np.frombuffer(r[4], np.uint8) for r in rows]).astype(np.int16)
+    paired = rows[0][5]
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i in range(len(rows)):
+        others = np.flatnonzero(side > side[i]) if paired else np.arange(i + 1, len(rows))
+        if len(others):
+            apart = np.abs(counts[others] - counts[i]).sum(1, dtype=np.int64)
+            near = others[apart * (100 + pct) <= (100 - pct) * (size[others] + size[i])]
+            left.append(np.full(len(near), i))
+            right.append(near)
+    i, j = np.concatenate(left), np.concatenate(right)
+    root = _roots(node, i, j)
+    at = np.flatnonzero(root != node)
+    return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(root[at]), pa.array(np.zeros(len(at), np.int64))], names=["a", "b", "n_links"])
+
+
+def _product(batches, pct: int, coarse: bool):
+    """Rows sorted by block: blocks of coarse counts one by one; small blocks of whole sets together."""
     rows: list = []
     current: list = []
     elements = 0
     for batch in batches:
         for r in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
             if current and r[0] != current[0][0]:
-                rows, current = rows + current, []
+                if coarse:
+                    yield _close(current, pct)
+                else:
+                    rows = rows + current
+                current = []
                 if len(rows) >= TILE_ROWS or elements >= 2 * TILE_ELEMENTS:
                     yield _links(rows, pct)
                     rows, elements = [], 0
             current.append(r)
             elements += len(r[4]) // 8
     if rows or current:
-        yield _links(rows + current, pct)
+        yield _close(current, pct) if coarse else _links(rows + current, pct)
+
+
+def tiles(rows: DataFrame) -> DataFrame:
+    """Deals rows (cluster, level, upper, node, elements, ...) to blocks: column ``blocks`` of (block, side, paired).
+
+    Rows with ``upper`` = 0 meet each other and those with 1; the latter do not meet each other. A
+    tile has some ``TILE_ROWS`` rows and ``TILE_ELEMENTS`` elements; rows alone in their level go.
+    """
+    many = lambda upper: F.greatest(
+        F.ceil(F.sum((F.col("upper") == upper).cast("long")) / TILE_ROWS), F.ceil(F.sum(F.when(F.col("upper") == upper, F.col("elements")).otherwise(0)) / TILE_ELEMENTS)).cast("int")
+    sizes = rows.groupBy("cluster", "level").agg(many(0).alias("_t0"), many(1).alias("_t1"), F.count("*").alias("_all")).filter("_all > 1 AND _t0 > 0")
+    placed = rows.join(sizes, ["cluster", "level"]).withColumn("_tile", F.pmod(F.xxhash64("node"), F.when(F.col("upper") == 0, F.col("_t0")).otherwise(F.col("_t1"))).cast("int"))
+    tile = F.col("_tile")
+
+    def block(kind, low, high, side, paired):
+        return F.struct(F.xxhash64("cluster", "level", F.lit(kind), low, high).alias("block"), side.alias("side"), F.lit(paired).alias("paired"))
+
+    def each(count, fn):
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), fn)).otherwise(F.array())
+
+    own = each(F.col("_t0"), lambda t: F.when(t == tile, block(0, tile, tile, F.lit(0), False)).otherwise(block(0, F.least(t, tile), F.greatest(t, tile), (t < tile).cast("int"), True)))
+    up = each(F.col("_t1"), lambda t: block(1, tile, t, F.lit(0), True))
+    down = each(F.col("_t0"), lambda t: block(1, t, tile, F.lit(1), True))
+    return placed.withColumn("blocks", F.when(F.col("upper") == 0, F.concat(own, up)).otherwise(down)).drop("_t0", "_t1", "_all", "_tile")
+
+
+def by_block(dealt: DataFrame, weight: str, payload: str, pct: int, coarse: bool) -> DataFrame:
+    """The product of every block: (a, b, n_links)."""
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flat = dealt.select(F.explode("blocks").alias("_b"), "node", weight, payload).select("_b.block", "_b.side", "node", weight, payload, "_b.paired")
+    return flat.repartition(n, "block").sortWithinPartitions("block").mapInArrow(lambda it: _product(it, pct, coarse), "a long, b long, n_links long")
 
 
 def sketches(docs: DataFrame, words: int, pct: int) -> DataFrame:
@@ -232,40 +307,35 @@ def ngram_join(docs: DataFrame, words: int = 5, pct: int = 80) -> DataFrame:
     Two documents are linked when 100 * intersection >= ``pct`` * union of their ``words``-word sets.
     """
     known = stage(sketches(docs, words, pct), "sketches")
-    keyed = known.filter("doc_id IS NOT NULL").select(F.explode("keys").alias("key"), "doc_id")
-    n = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    sorted_keys = keyed.repartition(int(n), "key").sortWithinPartitions("key", "doc_id")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    levels = [("own", 0), ("low", 1)]
+    node = lambda below: F.xxhash64("doc_id", F.col("class") - below)
+    keyed = [known.filter("doc_id IS NOT NULL").select(F.explode(f"{which}_keys").alias("key"), node(below).alias("node")) for which, below in levels]
+    sorted_keys = keyed[0].union(keyed[1]).repartition(n, "key").sortWithinPartitions("key", "node")
     clusters = components(sorted_keys.mapInArrow(_stars, "a long, b long").distinct())
 
-    slim = known.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "h1", "h2")
-    members = slim.join(clusters.withColumnRenamed("node", "doc_id"), "doc_id")
-    bounds = F.array(*[F.lit(int(b)) for b in size_bounds(pct)])
-    classes = stage(
-        members.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("node"), F.countDistinct("doc_id").alias("copies"), F.min("root").alias("cluster"))
-        .withColumn("class", F.size(F.filter(bounds, lambda b: b <= F.col("n_shingles")))), "classes")
-    sizes = classes.groupBy("cluster", "class").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("elements"))
-    sizes = sizes.select("cluster", "class", F.greatest(F.ceil(F.col("rows") / TILE_ROWS), F.ceil(F.col("elements") / TILE_ELEMENTS)).cast("int").alias("tiles"), "rows")
-    near = sizes.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("class", "tiles"))).alias("tiles"), F.sum("rows").alias("all"))
-    placed = classes.join(near.filter("all > 1"), "cluster")
-    here, below, above = F.try_element_at("tiles", F.col("class")), F.try_element_at("tiles", F.col("class") - 1), F.try_element_at("tiles", F.col("class") + 1)
-    placed = placed.withColumn("tile", F.pmod(F.xxhash64("node"), here).cast("int"))
-    cls, tile = F.col("class"), F.col("tile")
-
-    def block(c, low, high, side, paired):
-        return F.struct(F.xxhash64("cluster", c, low, high, F.lit(paired)).alias("block"), side.alias("side"), F.lit(paired).alias("paired"))
-
-    every = lambda count: F.sequence(F.lit(0), F.coalesce(count, F.lit(0)) - 1)
-    some = lambda count, fn: F.when(count > 0, F.transform(every(count), fn)).otherwise(F.array())
-    same = some(here, lambda t: F.when(t == tile, block(cls, tile, tile, F.lit(0), False)).otherwise(block(cls, F.least(t, tile), F.greatest(t, tile), (t < tile).cast("int"), True)))
-    # The second word tells a block of two classes from one of two tiles of a class.
-    up = some(above, lambda t: block(cls, tile, t + 1_000_000_000, F.lit(0), True))
-    down = some(below, lambda t: block(cls - 1, t, tile + 1_000_000_000, F.lit(1), True))
-    placed = placed.select("node", "copies", F.concat(same, up, down).alias("blocks"))
+    # A row per set and level, for sets that share a key with another one there.
+    slim = known.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    at_level = [
+        slim.select("doc_id", "h1", "h2", "n_shingles", "class", (F.col("class") - below).alias("level"), F.lit(below).alias("upper"), node(below).alias("key_node"), F.col(f"{which}_counts").alias("counts"))
+        for which, below in levels
+    ]
+    met = at_level[0].union(at_level[1]).join(clusters.select(F.col("node").alias("key_node"), F.col("root").alias("cluster")), "key_node")
+    one = [F.min("doc_id").alias("node"), F.first("class").alias("class")]
+    rows = met.groupBy("h1", "h2", "n_shingles", "level", "upper").agg(*one, F.min("cluster").alias("cluster"), F.first("counts").alias("counts"))
+    near = by_block(tiles(rows.withColumn("elements", F.octet_length("counts").cast("long"))), "n_shingles", "counts", pct, True)
+    refined = components(near.select("a", "b"))
+
+    sets = slim.groupBy("h1", "h2", "n_shingles").agg(*one, F.countDistinct("doc_id").alias("copies"))
+    classes = stage(sets, "sets")
+    exact = classes.join(refined.select("node", F.col("root").alias("cluster")), "node")
+    both = exact.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("upper")).withColumns({"level": F.col("class") - F.col("upper"), "elements": F.col("n_shingles")})
+    placed = tiles(both).groupBy("node", "copies").agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("node"), "text").join(placed, "node")
     packed = texts.select("node", "copies", "blocks", "text").mapInArrow(
         lambda it: _packed(it, words), "node long, copies long, blocks array<struct<block:long,side:int,paired:boolean>>, elements binary")
-    dealt = packed.select(F.explode("blocks").alias("b"), "node", "copies", "elements").select("b.block", "b.side", "node", "copies", "elements", "b.paired")
-    linked = stage(dealt.repartition(int(n), "block").sortWithinPartitions("block").mapInArrow(lambda it: _product(it, pct), "a long, b long, n_links long"), "links")
+    linked = stage(by_block(packed, "copies", "elements", pct, False), "links")
+    members = slim.select("doc_id", "h1", "h2", "n_shingles")
 
     equal = members.join(classes.filter("copies > 1").select("h1", "h2", "n_shingles", "node", "copies"), ["h1", "h2", "n_shingles"])
     roots = components(linked.select("a", "b").union(equal.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))))
