@@ -1,6 +1,6 @@
 """All queries of the package: importing the modules registers them."""
 
-from fleetlens.llm import decontaminate, language, line_dedup, ngram_join, packing, token_files  # noqa: F401
+from fleetlens.llm import decontaminate, language, line_dedup, ngram_join, packing, token_files, winnow  # noqa: F401
 from fleetlens.llm.registry import QUERIES, SQL
 
 
