@@ -77,10 +77,10 @@ def emissions(points: np.ndarray, bounds: np.ndarray, weights: np.ndarray):
     if not len(starts):
         return starts, ends, scores
     first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    places = np.zeros((len(flat), labels), np.float32)
     for slots, _ in _slots(flat, word):
-        padded = np.zeros((len(flat), labels), np.float32)
-        padded[: len(slots)] = weights[slots]
-        scores += np.add.reduceat(padded, first, axis=0)
+        places[: len(slots)] += np.take(weights, slots, axis=0)
+    scores += np.add.reduceat(places, first, axis=0)
     _, low = _letters()
     scores += weights[_lexicon(low[points], starts, ends)]
     return starts, ends, scores
@@ -170,7 +170,7 @@ def _first_block(grid, live, rows, begin, step):
     return message
 
 
-def train(texts: list[str], langs: list[str], words_per_doc: int = 200, span: int = 40, rounds: int = 6, seed: int = 7) -> Crf:
+def train(texts: list[str], langs: list[str], words_per_doc: int = 200, span: int = 40, rounds: int = 4, seed: int = 7) -> Crf:
     """Fits all weights by stochastic gradient ascent (AdaGrad) on the conditional likelihood."""
     labels = sorted(set(langs))
     number = {x: i for i, x in enumerate(labels)}
@@ -316,7 +316,7 @@ def learnable() -> F.Column:
     return F.col("lang").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
 
 
-def train_on(docs: DataFrame, docs_per_lang: int = 300, words_per_doc: int = 200) -> Crf:
+def train_on(docs: DataFrame, docs_per_lang: int = 200, words_per_doc: int = 200) -> Crf:
     """Fits the model on a bounded sample of ``docs`` (text, lang); labels are counted first, so that a
     rare language gives all it has and a common one no more than the bound."""
     docs = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
