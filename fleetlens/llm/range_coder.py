@@ -20,7 +20,7 @@ import zlib
 
 import numpy as np
 
-BLOCK, LANES, SLOTS = 4096, 2048, 4096
+BLOCK, LANES, SLOTS, SHIFT = 512, 16384, 512, 7
 BITS = 11
 ONE = 1 << BITS
 # Split after each outcome: every outcome keeps a share of 16 of 2048 at least.
@@ -54,8 +54,8 @@ class Model:
         """For the first ``n`` blocks: both predicted ids, and where the mix splits the range."""
         lane = self.lane[:n]
         p, q = self.before[:n], self.earlier[:n]
-        self.at1 = lane * SLOTS + ((p * 40503 & 0xFFFF) >> 4)
-        self.at2 = lane * SLOTS + ((p * 40503 + q * 30029 + 12345 & 0xFFFF) >> 4)
+        self.at1 = lane * SLOTS + ((p * 40503 & 0xFFFF) >> SHIFT)
+        self.at2 = lane * SLOTS + ((p * 40503 + q * 30029 + 12345 & 0xFFFF) >> SHIFT)
         e1, e2 = self.one[self.at1], self.two[self.at2]
         self.id1, self.id2 = (e1 & 0xFFFF).astype(np.int64), (e2 & 0xFFFF).astype(np.int64)
         self.sure1, self.sure2 = (e1 >> 16).astype(np.int64), (e2 >> 16).astype(np.int64)
