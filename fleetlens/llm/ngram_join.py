@@ -273,6 +273,8 @@ def tiles(rows: DataFrame) -> DataFrame:
     many = lambda upper: F.greatest(
         F.ceil(F.sum((F.col("upper") == upper).cast("long")) / TILE_ROWS), F.ceil(F.sum(F.when(F.col("upper") == upper, F.col("elements")).otherwise(0)) / TILE_ELEMENTS)).cast("int")
     sizes = rows.groupBy("cluster", "level").agg(many(0).alias("_t0"), many(1).alias("_t1"), F.count("*").alias("_all")).filter("_all > 1 AND _t0 > 0")
+    # As a table of its own, so that a large cluster's rows can be split in the join.
+    sizes = stage(sizes, "tiles")
     placed = rows.join(sizes, ["cluster", "level"]).withColumn("_tile", F.pmod(F.xxhash64("node"), F.when(F.col("upper") == 0, F.col("_t0")).otherwise(F.col("_t1"))).cast("int"))
     tile = F.col("_tile")
 
@@ -323,7 +325,8 @@ def ngram_join(docs: DataFrame, words: int = 5, pct: int = 80) -> DataFrame:
     met = at_level[0].union(at_level[1]).join(clusters.select(F.col("node").alias("key_node"), F.col("root").alias("cluster")), "key_node")
     one = [F.min("doc_id").alias("node"), F.first("class").alias("class")]
     rows = met.groupBy("h1", "h2", "n_shingles", "level", "upper").agg(*one, F.min("cluster").alias("cluster"), F.first("counts").alias("counts"))
-    near = by_block(tiles(rows.withColumn("elements", F.octet_length("counts").cast("long"))), "n_shingles", "counts", pct, True)
+    rows = stage(rows.withColumn("elements", F.octet_length("counts").cast("long")), "level-sets")
+    near = by_block(tiles(rows), "n_shingles", "counts", pct, True)
     refined = components(near.select("a", "b"))
 
     sets = slim.groupBy("h1", "h2", "n_shingles").agg(*one, F.countDistinct("doc_id").alias("copies"))
