@@ -10,13 +10,17 @@ from fleetlens.operators.search import global_search as search_all
 from fleetlens.plans import audit
 from fleetlens.plans.performance import Measure, measure_names, measure_totals, metric_digest, performance_report
 
-_MINIMA = ", ".join(f"('{k}', {n}, '{s}')" for k, n, s in audit.SYSCTL_MINIMA)
+_MINIMA = (
+    "('fs.aio-max-nr', 1048576, 'Critical'), ('fs.file-max', 500000, 'Warning'), ('net.core.somaxconn', 4096, 'Warning'), ('net.core.netdev_max_backlog', 2500, 'Warning'), "
+    "('net.ipv4.tcp_max_syn_backlog', 4096, 'Warning'), ('net.core.rmem_max', 2097152, 'Info'), ('net.core.wmem_max', 2097152, 'Info'), ('net.ipv4.tcp_timestamps', 1, 'Info'), "
+    "('net.ipv4.tcp_window_scaling', 1, 'Critical'), ('net.ipv4.tcp_sack', 1, 'Warning')"
+)
 _SYSCTL_SQL = f"""
-WITH kv AS (SELECT bundle_id, key, min(value) AS value FROM v_sysctl GROUP BY 1, 2), b AS (SELECT DISTINCT bundle_id FROM v_sysctl),
+WITH kv AS (SELECT bundle_id, node, key, min(value) AS value FROM v_sysctl GROUP BY 1, 2, 3), b AS (SELECT DISTINCT bundle_id, node FROM v_sysctl),
 r(key, least, status) AS (VALUES {_MINIMA})
 SELECT b.bundle_id, 'C1' AS "check", r.key AS name, coalesce(kv.value, 'Not Found') AS current_value,
        CASE WHEN kv.value IS NULL THEN 'Warning' WHEN CAST(kv.value AS BIGINT) < r.least THEN r.status ELSE 'Pass' END AS status
-FROM b CROSS JOIN r LEFT JOIN kv ON kv.bundle_id = b.bundle_id AND kv.key = r.key
+FROM b CROSS JOIN r LEFT JOIN kv ON kv.bundle_id = b.bundle_id AND kv.node = b.node AND kv.key = r.key
 UNION ALL SELECT bundle_id, 'C2', key, value, 'Warning' FROM kv WHERE key = 'net.ipv4.ip_local_port_range' AND CAST(split_part(value, ' ', 2) AS INT) - 32768 < 28000
 UNION ALL SELECT bundle_id, 'C2', key, value, CASE WHEN CAST(value AS INT) > 1 THEN 'Warning' ELSE 'Pass' END FROM kv WHERE key = 'vm.swappiness'"""
 
@@ -192,9 +196,9 @@ def home(t):
 
 @query(
     "global_search",
-    "WITH l AS (SELECT bundle_id, level, ts FROM v_logs WHERE contains(lower(message), 'topic-3') QUALIFY row_number() OVER (PARTITION BY bundle_id ORDER BY ts DESC, id DESC) <= 50), "
+    "WITH l AS (SELECT bundle_id, level, ts FROM v_logs WHERE contains(lower(message), 'topic-3')), "
     "p AS (SELECT bundle_id, concat(ns, '/', topic, '/', partition_id) AS title FROM v_partitions WHERE contains(concat(ns, '/', topic, '/', partition_id), 'topic-3') "
-    "QUALIFY row_number() OVER (PARTITION BY bundle_id ORDER BY concat(ns, '/', topic, '/', partition_id)) <= 20) "
+    ") "
     "SELECT bundle_id, 'Logs' AS category, concat(strftime(ts, '%H:%M:%S'), ' [', level, ']') AS title FROM l UNION ALL SELECT bundle_id, 'Partition', title FROM p UNION ALL "
     "SELECT concat('bundle-', CAST(page_id % 3 AS STRING)), 'File: pages', url FROM pages WHERE contains(lower(html), 'topic-3')",
 )
@@ -214,3 +218,51 @@ def file_search(t):
 
     hits = t.documents.filter(F.contains(F.lower("text"), F.lit("license")))
     return hits.select("doc_id", F.col("source").alias("category"), snippet(F.col("text"), "license").alias("shown"))
+
+
+# --- rules on samples of several nodes ------------------------------------------------------
+
+_STEAL, _QUEUE = "vectorized_reactor_cpu_steal_time_ms", "vectorized_io_queue_queue_length"
+_NODE_ENDS = (
+    "SELECT bundle_id, node, shard, arg_min(value, (ts, id)) AS v0, arg_max(value, (ts, id)) AS v1, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS s "
+    f"FROM v_node_metrics WHERE name = '{_STEAL}' GROUP BY 1, 2, 3"
+)
+
+
+def _node_audit(t, group: str):
+    empty = t.v_node_metrics.sparkSession.createDataFrame([], "bundle_id string, command string, cpu double")
+    return audit.audit({"metrics": samples(t, "v_node_metrics", keys=("shard",)), "processes": empty}, only={group})
+
+
+@query("node_rates", f"SELECT bundle_id, node, shard, round((v1 - v0) / s, 4) AS rate FROM ({_NODE_ENDS}) e WHERE s > 0")
+def node_rates(t):
+    digest = metric_digest(samples(t, "v_node_metrics", keys=("shard",)), [_STEAL])
+    return audit.series_rates(digest, _STEAL).select("bundle_id", "node", "shard", F.round("rate", 4).alias("rate"))
+
+
+@query(
+    "steal_audit",
+    f"SELECT bundle_id, CASE WHEN max(r) > 100 THEN 'Critical' ELSE 'Warning' END AS status FROM (SELECT bundle_id, (v1 - v0) / s AS r FROM ({_NODE_ENDS}) e WHERE s > 0) x "
+    "GROUP BY bundle_id HAVING max(r) > 10 AND max(r) <= 1000",
+)
+def steal_audit(t):
+    return _node_audit(t, "steal_checks").select("bundle_id", "status")
+
+
+@query(
+    "queue_audit",
+    "SELECT bundle_id, format('{:.0f} requests (Shard {} of {})', w, shard, node) AS current_value, CASE WHEN w >= 1024 THEN 'Critical' ELSE 'Warning' END AS status FROM "
+    f"(SELECT bundle_id, value AS w, shard, node FROM v_node_metrics WHERE name = '{_QUEUE}' "
+    "QUALIFY row_number() OVER (PARTITION BY bundle_id ORDER BY value DESC, concat(shard, ' of ', node) DESC) = 1) q WHERE w >= 1000",
+)
+def queue_audit(t):
+    return _node_audit(t, "queue_checks").select("bundle_id", "current_value", "status")
+
+
+@query(
+    "shard0_audit",
+    "SELECT bundle_id, format('{:.1f}% (Avg others: {:.1f}%)', zero, others) AS current_value FROM (SELECT bundle_id, node, arg_max(value, (ts, id)) FILTER (shard = '0') AS zero, "
+    "avg(value) FILTER (shard <> '0') AS others FROM v_node_metrics WHERE name = 'vectorized_reactor_utilization' GROUP BY 1, 2) z WHERE zero > others + 30 AND zero > 50",
+)
+def shard0_audit(t):
+    return _node_audit(t, "shard0_checks").select("bundle_id", "current_value")

@@ -358,12 +358,13 @@ def disk_totals(t):
 
 @query(
     "mount_match",
-    "SELECT url, max(mount) AS mount FROM (SELECT p.url, m.mount, row_number() OVER (PARTITION BY p.url ORDER BY length(m.mount) DESC) AS rn FROM (SELECT DISTINCT url FROM pages) p "
-    "JOIN v_mounts m ON starts_with(p.url, m.mount)) r WHERE rn = 1 GROUP BY url",
+    "SELECT bundle_id, url, max(mount) AS mount FROM (SELECT p.bundle_id, p.url, m.mount, row_number() OVER (PARTITION BY p.bundle_id, p.url ORDER BY length(m.mount) DESC) AS rn "
+    "FROM (SELECT DISTINCT concat('bundle-', CAST(page_id % 3 AS STRING)) AS bundle_id, url FROM pages) p JOIN v_mounts m ON m.bundle_id = p.bundle_id AND starts_with(p.url, m.mount)) r "
+    "WHERE rn = 1 GROUP BY bundle_id, url",
 )
 def mount_match(t):
-    paths = t.pages.select(F.lit("bundle-0").alias("bundle_id"), "url")
-    return storage.longest_prefix(paths, t.v_mounts, "url", "mount", ["bundle_id"]).select("url", "mount")
+    paths = t.pages.select(F.concat(F.lit("bundle-"), (F.col("page_id") % 3).cast("string")).alias("bundle_id"), "url")
+    return storage.longest_prefix(paths, t.v_mounts, "url", "mount", ["bundle_id"]).select("bundle_id", "url", "mount")
 
 
 _PROFILE = "SELECT bundle_id, node, shard_id, scheduling_group, sum(occurrences) :: BIGINT AS total_samples FROM v_cpu_profiles GROUP BY 1, 2, 3, 4"

@@ -277,12 +277,12 @@ def consensus_insights(t):
     "timeline",
     "SELECT bundle_id, epoch_us(ts) AS ts, 'Log' AS type, node AS source, message AS description, "
     "CASE level WHEN 'ERROR' THEN 'Critical' ELSE 'Warning' END AS severity, message AS details FROM "
-    "(SELECT * FROM v_logs WHERE level IN ('ERROR', 'WARN') QUALIFY row_number() OVER (PARTITION BY bundle_id ORDER BY ts DESC, id DESC) <= 1000) l "
+    "v_logs WHERE level IN ('ERROR', 'WARN') "
     "UNION ALL SELECT bundle_id, epoch_us(last_timestamp), 'K8s', concat(involved_kind, '/', involved_name), concat(reason, ': ', message), "
     "CASE type WHEN 'Warning' THEN 'Warning' ELSE 'Normal' END, concat('Source: ', chr(10), 'Count: ', CAST(count AS STRING)) FROM v_k8s_events",
 )
 def timeline(t):
-    return events.timeline(t.v_logs, t.v_k8s_events, max_logs=1000).withColumn("ts", micros("ts"))
+    return events.timeline(t.v_logs, t.v_k8s_events).withColumn("ts", micros("ts"))
 
 
 @query(

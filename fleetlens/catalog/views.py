@@ -57,6 +57,18 @@ FROM labels""",
     "v_metrics": f"""
 SELECT {_EVENT_BUNDLE} AS bundle_id, event_id AS id, concat('metric_', event_type) AS name, ts, value,
        CAST(user_id % 8 AS STRING) AS shard, CASE WHEN user_id % 2 = 0 THEN 'read' ELSE 'write' END AS class
+FROM events""",
+    # Counters of several nodes per bundle that differ widely; values lie on both sides of the rules' limits.
+    "v_node_metrics": f"""
+SELECT {_EVENT_BUNDLE} AS bundle_id, concat('node-', CAST(event_id % 3 AS STRING)) AS node, event_id AS id, ts, CAST(user_id % 8 AS STRING) AS shard,
+       CASE event_type WHEN 'click' THEN 'vectorized_reactor_cpu_steal_time_ms' WHEN 'view' THEN 'vectorized_io_queue_queue_length'
+                       WHEN 'purchase' THEN 'vectorized_reactor_utilization' WHEN 'signup' THEN 'vectorized_io_queue_total_write_ops'
+                       ELSE 'vectorized_reactor_busy_seconds_total' END AS name,
+       CAST(CASE event_type
+         WHEN 'click' THEN (CAST(extract(day FROM ts) AS BIGINT) * 86400 + CAST(extract(hour FROM ts) AS BIGINT) * 3600 + CAST(extract(minute FROM ts) AS BIGINT) * 60) * (CASE user_id % 7 WHEN 3 THEN 11 WHEN 6 THEN 150 ELSE 2 END) + (event_id % 3) * 1000000000
+         WHEN 'view' THEN 970 + 20 * (user_id % 7 % 4)
+         WHEN 'purchase' THEN CASE WHEN user_id % 8 = 0 THEN 90 ELSE 20 + 25 * (event_id % 3) END
+         ELSE event_id % 50 END AS DOUBLE) AS value
 FROM events""",
     "v_k8s_events": f"""
 SELECT {_EVENT_BUNDLE} AS bundle_id, event_id AS id, CASE WHEN event_type = 'error' THEN 'Warning' ELSE 'Normal' END AS type,
@@ -137,9 +149,9 @@ SELECT concat('bundle-', CAST(conv_id % 3 AS STRING)) AS bundle_id, concat('file
        turn AS line_number, text AS line, role
 FROM conversations""",
     "v_mounts": """
-SELECT DISTINCT 'bundle-0' AS bundle_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS mount FROM pages
+SELECT DISTINCT concat('bundle-', CAST(page_id % 3 AS STRING)) AS bundle_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS mount FROM pages
 UNION
-SELECT DISTINCT 'bundle-0' AS bundle_id, regexp_extract(url, '^(https?://[^/]+/[^/?#]*)', 1) AS mount FROM pages""",
+SELECT DISTINCT concat('bundle-', CAST(page_id % 3 AS STRING)) AS bundle_id, regexp_extract(url, '^(https?://[^/]+/[^/?#]*)', 1) AS mount FROM pages""",
     "v_sockets": f"""
 SELECT {_EVENT_BUNDLE} AS bundle_id, CASE event_type WHEN 'error' THEN 'TIME-WAIT' WHEN 'view' THEN 'LISTEN' ELSE 'ESTAB' END AS state,
        concat('10.0.0.', CAST(user_id % 5 AS STRING), ':', CAST(9000 + user_id % 90 AS STRING)) AS local_addr,

@@ -118,8 +118,8 @@ def _container_states(pods: DataFrame) -> DataFrame:
     )
 
 
-def log_timeline(logs: DataFrame, max_logs: int | None = 10_000) -> DataFrame:
-    """ERROR and WARN lines; the newest ``max_logs`` of each bundle, or all with None."""
+def log_timeline(logs: DataFrame, max_logs: int | None = None) -> DataFrame:
+    """ERROR and WARN lines: all, or the newest ``max_logs`` of each bundle."""
     hits = logs.filter(F.col("level").isin("ERROR", "WARN"))
     if max_logs:
         hits = top_per_key(hits, ["bundle_id"], [F.col("ts").desc(), F.col("id").desc()], max_logs, salt_by="id")
@@ -169,7 +169,7 @@ def pod_timeline(pods: DataFrame) -> DataFrame:
 
 def timeline(
     logs: DataFrame, k8s_events: DataFrame | None = None, pods: DataFrame | None = None,
-    max_logs: int | None = 10_000,
+    max_logs: int | None = None,
 ) -> DataFrame:
     """Logs, Kubernetes events and pod starts and ends in one schema. Unsorted:
     order by (bundle_id, ts) where the reader needs it."""

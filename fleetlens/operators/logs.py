@@ -89,7 +89,7 @@ def page_logs(
     Sorting with a limit keeps ``offset + limit`` rows per task; the rule chain and
     the join with pins see the page only.
     """
-    limit = min(limit, 1000) if limit > 0 else 100
+    limit = limit if limit > 0 else 100
     order = [F.col(c).asc() if sort.lower() == "asc" else F.col(c).desc() for c in ("ts", "id")]
     page = logs.orderBy(*order).offset(offset).limit(limit)
     if pins is not None:
@@ -103,7 +103,7 @@ def get_logs(logs: DataFrame, pins: DataFrame | None = None, sort="desc", limit=
     found = filter_logs(logs, **filters)
     total = found.count()
     page = page_logs(found, pins, sort, limit, offset, filters.get("search", ""))
-    return page, total, offset + (min(limit, 1000) if limit > 0 else 100) < total
+    return page, total, offset + (limit if limit > 0 else 100) < total
 
 
 def count_logs(logs: DataFrame) -> DataFrame:

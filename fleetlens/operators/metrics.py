@@ -27,6 +27,11 @@ RECOVERY = {
 }
 
 
+def node_keys(df: DataFrame) -> list[str]:
+    """Series of different nodes are different series, wherever the table tells nodes apart."""
+    return [c for c in ("bundle_id", "node") if c in df.columns]
+
+
 def label(key: str) -> Column:
     return F.col("labels")[key]
 
@@ -52,7 +57,7 @@ def metric_series(metrics: DataFrame, name: str, start=None, end=None) -> DataFr
     """Long form (bundle_id, series, ts, id, value): a point per row. A series is never
     gathered into one array, whose size would grow with the time span."""
     rows = filter_metrics(metrics, name, None, start, end)
-    return rows.select("bundle_id", series_label(F.col("labels")).alias("series"), "ts", "id", "value")
+    return rows.select(*node_keys(rows), series_label(F.col("labels")).alias("series"), "ts", "id", "value")
 
 
 def metric_rate(series: DataFrame, bucket_seconds: int = 3600, most: int = HOT_ROWS) -> DataFrame:
@@ -60,7 +65,8 @@ def metric_rate(series: DataFrame, bucket_seconds: int = 3600, most: int = HOT_R
 
     Pairs without time between them and falls (a counter reset) give no row.
     """
-    paired = previous_in_order(series, ["bundle_id", "series"], "ts", "id", ["ts", "value"], bucket_seconds, most)
+    keys = [c for c in (*node_keys(series), "name") if c in series.columns] + ["series"]
+    paired = previous_in_order(series, keys, "ts", "id", ["ts", "value"], bucket_seconds, most)
     seconds = (F.unix_micros("ts") - F.unix_micros("prev.ts")) / 1e6
     rate = (F.col("value") - F.col("prev.value")) / F.col("seconds")
     return (
@@ -68,7 +74,7 @@ def metric_rate(series: DataFrame, bucket_seconds: int = 3600, most: int = HOT_R
         .filter(F.col("seconds") > 0)
         .withColumn("rate", rate)
         .filter(F.col("rate") >= 0)
-        .select("bundle_id", "series", "ts", "id", "rate")
+        .select(*keys, "ts", "id", "rate")
     )
 
 
@@ -80,7 +86,7 @@ def first_last_rate(metrics: DataFrame, by: str | None = None, how: str = "sum")
     """
     order = F.struct("ts", "id")
     point = F.struct("ts", "value")
-    ends = metrics.groupBy("bundle_id", series_label(F.col("labels")).alias("series")).agg(
+    ends = metrics.groupBy(*node_keys(metrics), series_label(F.col("labels")).alias("series")).agg(
         *([F.first(label(by)).alias(by)] if by else []),
         F.min_by(point, order).alias("first"),
         F.max_by(point, order).alias("last"),
@@ -88,7 +94,7 @@ def first_last_rate(metrics: DataFrame, by: str | None = None, how: str = "sum")
     seconds = (F.unix_micros("last.ts") - F.unix_micros("first.ts")) / 1e6
     rates = ends.withColumn("seconds", seconds).filter(F.col("seconds") > 0)
     rates = rates.withColumn("rate", (F.col("last.value") - F.col("first.value")) / F.col("seconds"))
-    keys = ["bundle_id"] + ([by] if by else ["series"])
+    keys = node_keys(metrics) + ([by] if by else ["series"])
     return rates.groupBy(*keys).agg((F.sum if how == "sum" else F.max)("rate").alias("rate"))
 
 
@@ -97,11 +103,12 @@ def shard_cpu(metrics: DataFrame) -> DataFrame:
     bundle without the gauge, busy seconds over uptime."""
     rows = metrics.filter(F.col("name").isin(UTILIZATION, BUSY_SECONDS, UPTIME))
     order = F.struct("ts", "id")
-    last = rows.groupBy("bundle_id", "name", label("shard").alias("shard")).agg(
+    keys = node_keys(rows)
+    last = rows.groupBy(*keys, "name", label("shard").alias("shard")).agg(
         F.max_by("value", order).alias("value"), F.min_by("value", order).alias("earliest"), F.min(order).alias("at")
     )
-    # A row per shard and metric is left; a bundle has no more shards than cores.
-    bundle = Window.partitionBy("bundle_id")
+    # A row per shard and metric is left; a node has no more shards than cores.
+    bundle = Window.partitionBy(*keys)
     is_uptime = F.col("name") == UPTIME
     known = last.withColumns(
         {
@@ -112,7 +119,7 @@ def shard_cpu(metrics: DataFrame) -> DataFrame:
     gauge = F.when(F.col("value") <= 1, F.col("value") * 100).otherwise(F.col("value"))
     busy = F.when(F.col("uptime") > 0, F.col("value") / F.col("uptime") * 100)
     usage = F.when(F.col("name") == UTILIZATION, gauge).when((F.col("name") == BUSY_SECONDS) & ~F.col("has_gauge"), busy)
-    out = known.filter((F.col("shard") != "") & ~is_uptime).select("bundle_id", "shard", usage.alias("usage"))
+    out = known.filter((F.col("shard") != "") & ~is_uptime).select(*keys, "shard", usage.alias("usage"))
     return in_shard_order(out.filter(F.col("usage").isNotNull()))
 
 

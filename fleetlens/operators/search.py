@@ -12,13 +12,12 @@ from fleetlens.functions.text import highlight, snippet
 from fleetlens.operators.logs import filter_logs
 from fleetlens.operators.windows import top_per_key
 
-# How many rows each category lists per bundle.
-LOG_ROWS, PARTITION_ROWS = 50, 20
 
-
-def search_logs(query: str, logs: DataFrame, n: int = LOG_ROWS) -> DataFrame:
-    """The newest matching lines of each bundle."""
-    hits = top_per_key(filter_logs(logs, search=query), ["bundle_id"], [F.col("ts").desc(), F.col("id").desc()], n, salt_by="id")
+def search_logs(query: str, logs: DataFrame, n: int | None = None) -> DataFrame:
+    """The matching lines; with ``n`` the newest of each bundle."""
+    hits = filter_logs(logs, search=query)
+    if n:
+        hits = top_per_key(hits, ["bundle_id"], [F.col("ts").desc(), F.col("id").desc()], n, salt_by="id")
     title = F.concat(F.date_format("ts", "HH:mm:ss"), F.lit(" ["), "level", F.lit("]"))
     return hits.select(
         "bundle_id", F.lit("Logs").alias("category"), F.coalesce(title, F.concat(F.lit("["), "level", F.lit("]"))).alias("title"),
@@ -44,11 +43,11 @@ def search_k8s(query: str, resources: DataFrame) -> DataFrame:
     )
 
 
-def search_partitions(query: str, partitions: DataFrame, n: int = PARTITION_ROWS) -> DataFrame:
-    """Partitions by name, the first ``n`` of each bundle in name order."""
+def search_partitions(query: str, partitions: DataFrame, n: int | None = None) -> DataFrame:
+    """Partitions by name; with ``n`` the first of each bundle in name order."""
     name = F.concat_ws("/", "ns", "topic", F.col("partition_id").cast("string"))
     hits = partitions.withColumn("title", name).filter(F.contains(F.lower("title"), F.lit(query.lower())))
-    first = top_per_key(hits, ["bundle_id"], [F.col("title")], n, salt_by="title")
+    first = top_per_key(hits, ["bundle_id"], [F.col("title")], n, salt_by="title") if n else hits
     shown = F.concat(F.lit("Status: "), "status", F.lit(", Leader: "), F.col("leader_id").cast("string"))
     return first.select("bundle_id", F.lit("Partition").alias("category"), "title", shown.alias("preview"))
 
@@ -56,7 +55,7 @@ def search_partitions(query: str, partitions: DataFrame, n: int = PARTITION_ROWS
 def global_search(
     query: str, logs: DataFrame | None = None, corpus: DataFrame | None = None, k8s: DataFrame | None = None, partitions: DataFrame | None = None
 ) -> DataFrame:
-    """(bundle_id, category, title, preview) over the tables that are given."""
+    """(bundle_id, category, title, preview) of all hits in the tables that are given; the caller pages."""
     parts = []
     for find, table in ((search_logs, logs), (search_files, corpus), (search_k8s, k8s), (search_partitions, partitions)):
         if table is not None:

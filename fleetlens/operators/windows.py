@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 
 
 HOT_ROWS = 1_000_000
-BROADCAST_ROWS = 10_000
+LEVELS = 3
 
 
-def _hot_buckets(df: DataFrame, keys: list[str], ts: str, id_: str, most: int) -> DataFrame:
-    """Buckets with over ``most`` rows, with their bounds and the number of parts to cut them into."""
+def _cut(df: DataFrame, keys: list[str], ts: str, id_: str, most: int) -> DataFrame:
+    """Adds ``_cut``: groups of ``keys`` with over ``most`` rows are numbered by equal steps of time, or of
+    the id where all rows of a group have one time. All others are 0."""
+    micros = F.unix_micros(ts)
     sizes = df.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.min(F.unix_micros(ts)).alias("_t0"), F.max(F.unix_micros(ts)).alias("_t1"),
-        F.min(id_).alias("_i0"), F.max(id_).alias("_i1"),
-    )
-    return sizes.filter(F.col("_n") > most).withColumn("_parts", F.ceil(F.col("_n") / most)).drop("_n")
+        F.count("*").alias("_n"), F.min(micros).alias("_t0"), F.max(micros).alias("_t1"), F.min(id_).alias("_i0"), F.max(id_).alias("_i1"),
+    ).filter(F.col("_n") > most)
+    by_time = (micros - F.col("_t0")) / (F.col("_t1") - F.col("_t0") + 1)
+    by_id = (F.col(id_) - F.col("_i0")) / (F.col("_i1") - F.col("_i0") + 1)
+    share = F.when(F.col("_t1") > F.col("_t0"), by_time).otherwise(by_id)
+    number = F.coalesce(F.floor(share * F.ceil(F.col("_n") / most)), F.lit(0).cast("bigint"))
+    return df.join(sizes, keys, "left").withColumn("_cut", number).drop("_n", "_t0", "_t1", "_i0", "_i1")
 
 
 def previous_in_order(
@@ -25,26 +30,18 @@ def previous_in_order(
     """Adds ``prev``: a struct of the row before, per key, in (ts, id) order.
 
     A plain ``lag`` per key sorts a whole key in one task. Here a key is split by time
-    buckets, and a bucket with over ``most`` rows again by time, or by id if all its rows
-    have one time. A task sorts one piece; the last row of the piece before is looked up
-    in a table with one row per piece, on the window's own partitioning. Keys must not be
-    NULL.
-
-    Hot buckets are counted first (one narrow aggregation). Usually there is none and
-    nothing is joined; up to ``BROADCAST_ROWS`` of them are broadcast.
+    buckets, and a bucket with over ``most`` rows is cut again, ``LEVELS`` times: by steps of time,
+    and by id once all rows of a cut have one time. So rows that crowd at one time are spread even if others
+    of the bucket are far from it. A task sorts one piece; the last row of the piece before is looked up
+    in a table with one row per piece. Keys must not be NULL. The plan is the same for every
+    distribution and runs nothing while it is built.
     """
     df = df.withColumn("_bucket", F.floor(F.unix_seconds(ts) / bucket_seconds))
-    hot = _hot_buckets(df, [*keys, "_bucket"], ts, id_, most)
-    found = hot.limit(BROADCAST_ROWS + 1).count()
-    if found:
-        df = df.join(F.broadcast(hot) if found <= BROADCAST_ROWS else hot, [*keys, "_bucket"], "left")
-        by_time = (F.unix_micros(ts) - F.col("_t0")) / (F.col("_t1") - F.col("_t0") + 1)
-        by_id = (F.col(id_) - F.col("_i0")) / (F.col("_i1") - F.col("_i0") + 1)
-        share = F.when(F.col("_t1") > F.col("_t0"), by_time).otherwise(by_id)
-        piece = F.coalesce(F.floor(share * F.col("_parts")), F.lit(0).cast("bigint"))
-        df = df.withColumn("_piece", piece).drop("_t0", "_t1", "_i0", "_i1", "_parts")
-    else:
-        df = df.withColumn("_piece", F.lit(0).cast("bigint"))
+    cuts = []
+    for level in range(LEVELS):
+        df = _cut(df, [*keys, "_bucket", *cuts], ts, id_, most).withColumnRenamed("_cut", f"_cut{level}")
+        cuts.append(f"_cut{level}")
+    df = df.withColumn("_piece", F.struct(*cuts)).drop(*cuts)
     pieces = [*keys, "_bucket", "_piece"]
     row, order = F.struct(*carry), F.struct(ts, id_)
     local = df.withColumn("_prev", F.lag(row).over(Window.partitionBy(*pieces).orderBy(ts, id_)))
@@ -81,9 +78,8 @@ def _first_rows(df: DataFrame, keys: list[str], order: list, n: int, name: str)
 
 
 def share_of_total(df: DataFrame, keys: list[str], value: str, name: str, total: str = "_total") -> DataFrame:
-    """Adds percent of the key's sum. ``df`` is already aggregated below ``keys``; the
-    totals are a second aggregation joined back, so no task holds a whole key."""
-    totals = df.groupBy(*keys).agg(F.sum(value).alias(total))
-    joined = df.join(totals, keys, "left")
+    """Adds percent of the key's sum. ``df`` is already aggregated below ``keys``, so a key has a row
+    per group; they meet in a window, and the aggregation below runs once."""
+    joined = df.withColumn(total, F.sum(value).over(Window.partitionBy(*keys)))
     joined = joined.withColumn(name, F.when(F.col(total) > 0, F.col(value) / F.col(total) * 100).otherwise(F.lit(0.0)))
     return joined.drop(total) if total == "_total" else joined

@@ -65,10 +65,10 @@ def judged(check, category, name, description, current, expected, bad: Column, s
     )
 
 
-def setting_map(rows: DataFrame, keys: list[str]) -> DataFrame:
+def setting_map(rows: DataFrame, keys: list[str], by: tuple[str, ...] = ("bundle_id",)) -> DataFrame:
     """(bundle_id, kv) with the wanted keys only, so that a map stays small."""
-    wanted = rows.filter(F.col("key").isin(keys)).groupBy("bundle_id", "key").agg(F.min("value").alias("value"))
-    return wanted.groupBy("bundle_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("kv"))
+    wanted = rows.filter(F.col("key").isin(keys)).groupBy(*by, "key").agg(F.min("value").alias("value"))
+    return wanted.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("kv"))
 
 
 def with_settings_map(bundles: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -95,16 +95,25 @@ OS = "OS Tuning"
 
 @group("bundles", "facts")
 def sysctl_checks(t) -> DataFrame:
-    """C1 minima and C2 shapes."""
-    df = with_settings_map(t["bundles"], t["facts"].filter("source = 'sysctl'"), SYSCTL_KEYS)
+    """C1 minima and C2 shapes, for every node where the facts tell nodes apart."""
+    facts = t["facts"].filter("source = 'sysctl'")
+    what = F.lit("kernel setting")
+    if "node" in facts.columns:
+        nodes = facts.select("bundle_id", "node").distinct()
+        hosts = t["bundles"].select("bundle_id").join(nodes, "bundle_id", "left")
+        kvs = setting_map(facts, SYSCTL_KEYS, ("bundle_id", "node"))
+        df = hosts.join(kvs, ["bundle_id", "node"], "left").withColumn("kv", F.coalesce("kv", F.create_map().cast("map<string,string>")))
+        what = F.when(F.col("node").isNull(), what).otherwise(F.concat(F.lit("kernel setting of "), "node"))
+    else:
+        df = with_settings_map(t["bundles"], facts, SYSCTL_KEYS)
     kv = F.col("kv")
     out = []
     for key, least, status in SYSCTL_MINIMA:
         value, number = kv[key], kv[key].try_cast("bigint")
         fix = f"raise {key}"
         out.append(
-            F.when(value.isNull(), finding("C1", OS, key, "kernel setting", "Not Found", f">= {least}", WARNING, fix))
-            .when(number.isNotNull(), judged("C1", OS, key, "kernel setting", value, f">= {least}", number < least, status, fix))
+            F.when(value.isNull(), finding("C1", OS, key, what, "Not Found", f">= {least}", WARNING, fix))
+            .when(number.isNotNull(), judged("C1", OS, key, what, value, f">= {least}", number < least, status, fix))
         )
     for key, least in SYSCTL_BUFFERS:
         fields = F.split(F.trim(kv[key]), r"\s+")
@@ -115,7 +124,7 @@ def sysctl_checks(t) -> DataFrame:
     out.append(F.when((F.size(ports) == 2) & (number_at(1) - number_at(0) < PORTS), finding("C2", OS, PORT_RANGE, "ephemeral ports", kv[PORT_RANGE], f"> {PORTS} ports", WARNING, "widen the port range")))
     for key, good, status, expected in ((SLOW_START, lambda n: n == 0, WARNING, "0"), (TW_REUSE, lambda n: n == 1, INFO, "1"), (SWAPPINESS, lambda n: n <= 1, WARNING, "<= 1")):
         number = F.coalesce(kv[key].try_cast("bigint"), F.lit(0))
-        out.append(F.when(kv[key].isNotNull(), judged("C2", OS, key, "kernel setting", kv[key], expected, ~good(number), status, f"set {key} to {expected}")))
+        out.append(F.when(kv[key].isNotNull(), judged("C2", OS, key, what, kv[key], expected, ~good(number), status, f"set {key} to {expected}")))
     return emit(df, *out)
 
 
@@ -164,7 +173,7 @@ def raid_checks(t) -> DataFrame:
 @group("bundles", "core_dumps")
 def core_dump_checks(t) -> DataFrame:
     """C8."""
-    counts = t["core_dumps"].groupBy("bundle_id").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("file_name")), 1, 20), ", ").alias("names"))
+    counts = t["core_dumps"].groupBy("bundle_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("file_name")), ", ").alias("names"))
     df = t["bundles"].join(counts, "bundle_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     shown = F.when(F.col("n") > 0, F.concat(F.col("n").cast("string"), F.lit(" files: "), "names")).otherwise("0")
     return emit(df, judged("C8", "Crash Evidence", "Core Dumps Found", "core dump files", shown, "0", F.col("n") > 0, CRITICAL, "inspect the dumps"))
@@ -182,12 +191,17 @@ IO_KEYS = ["redpanda.developer_mode", "redpanda.read_iops", "redpanda.write_iops
 READ_IOPS, DEFAULT_IOPS, COST = "redpanda.read_iops", ["10000", "1000"], "redpanda.max_cost_function"
 CONFIG_KEYS = sorted({k for k, _, _, _ in CONFIG_FLAGS} | set(IO_KEYS) | {AIO_EVENTS, COST})
 ADVERTISED = ["advertised_kafka_api", "advertised_rpc_api", "advertised_pandaproxy_api"]
+# The key itself, or the address of one of its entries, below whatever section.
+ADVERTISED_PATH = rf"(^|\.)({'|'.join(ADVERTISED)})(\.\d+)?(\.address)?$"
 
 
 @group("bundles", "broker_config")
 def config_checks(t) -> DataFrame:
-    """C3 flags and C27 I/O properties."""
-    df = with_settings_map(t["bundles"], t["broker_config"], CONFIG_KEYS)
+    """C3 flags and C27 I/O properties. Flags of the whole cluster are in its own configuration."""
+    settings = t["broker_config"].select("bundle_id", "key", "value")
+    if "cluster_config" in t:
+        settings = settings.unionByName(t["cluster_config"].select("bundle_id", "key", "value"))
+    df = with_settings_map(t["bundles"], settings, CONFIG_KEYS)
     kv = F.col("kv")
     low = lambda key: F.lower(F.coalesce(kv[key], F.lit("")))
     out = [
@@ -207,7 +221,7 @@ def config_checks(t) -> DataFrame:
 @group("bundles", "broker_config", "kafka_brokers", "uname")
 def public_address_checks(t) -> DataFrame:
     """Advertised and reported addresses outside the private ranges."""
-    listed = t["broker_config"].filter(F.col("key").isin(ADVERTISED)).select("bundle_id", F.explode(F.split("value", ",")).alias("a"))
+    listed = t["broker_config"].filter(F.col("key").rlike(ADVERTISED_PATH)).select("bundle_id", F.explode(F.split("value", ",")).alias("a"))
     told = listed.select("bundle_id", F.regexp_replace(F.trim("a"), r":[^:]*\z", "").alias("host"))
     hosts = told.unionByName(t["kafka_brokers"].select("bundle_id", "host"))
     public = hosts.filter(text.is_public_address(F.col("host"))).groupBy("bundle_id").agg(
@@ -516,18 +530,24 @@ def integrity_checks(t) -> DataFrame:
     return integrity_findings(measure_totals(t["digest"], AUDIT_MEASURES))
 
 
+def shard_of_node() -> Column:
+    """The shard as findings name it; with its node, if samples tell nodes apart."""
+    shard = F.coalesce("shard", F.lit(""))
+    return F.when(F.col("node") == "", shard).otherwise(F.concat(shard, F.lit(" of "), F.col("node")))
+
+
 def worst_shard(digest: DataFrame, name: str) -> DataFrame:
     """(bundle_id, worst, shard): the largest value and the shard that shows it."""
     rows = digest.filter(F.col("name") == name)
-    at = F.struct(F.col("high").alias("worst"), F.coalesce("shard", F.lit("")).alias("shard"))
+    at = F.struct(F.col("high").alias("worst"), shard_of_node().alias("shard"))
     return rows.groupBy("bundle_id").agg(F.max(at).alias("w")).select("bundle_id", "w.*")
 
 
 def series_rates(digest: DataFrame, name: str) -> DataFrame:
-    """(bundle_id, shard, rate) of each series of one counter between its ends."""
+    """(bundle_id, node, shard, rate) of each series of one counter between its ends."""
     seconds = (F.unix_micros("last.ts") - F.unix_micros("first.ts")) / 1e6
     rows = digest.filter(F.col("name") == name).withColumn("seconds", seconds).filter("seconds > 0")
-    return rows.select("bundle_id", "shard", ((F.col("last.value") - F.col("first.value")) / F.col("seconds")).alias("rate"))
+    return rows.select("bundle_id", "node", "shard", ((F.col("last.value") - F.col("first.value")) / F.col("seconds")).alias("rate"))
 
 
 @group("digest")
@@ -558,7 +578,7 @@ def shard0_checks(t) -> DataFrame:
     rows = t["digest"].filter(F.col("name") == metric_ops.UTILIZATION)
     zero = F.coalesce(F.col("shard") == "0", F.lit(False))
     other = lambda column: F.sum(F.when(~zero, F.col(column)))
-    df = rows.groupBy("bundle_id").agg(F.max(F.when(zero, F.col("last"))).alias("z"), (other("total") / other("n")).alias("others"))
+    df = rows.groupBy("bundle_id", "node").agg(F.max(F.when(zero, F.col("last"))).alias("z"), (other("total") / other("n")).alias("others"))
     df = df.select("bundle_id", F.col("z.value").alias("zero"), "others")
     bad = (F.col("zero") > F.col("others") + 30) & (F.col("zero") > 50)
     return emit(df, F.when(bad, finding("C21", "CPU Balance", "Shard 0 Overload", "shard 0 is much busier than the rest", F.format_string("%.1f%% (Avg others: %.1f%%)", "zero", "others"), "Balanced (< 30% delta)", WARNING, "management work may be delayed")))
@@ -576,7 +596,7 @@ def pending_checks(t) -> DataFrame:
 def steal_checks(t) -> DataFrame:
     """CPU time taken by the hypervisor, with the busy processes beside the broker."""
     rates = series_rates(t["digest"], STEAL_MS)
-    worst = rates.groupBy("bundle_id").agg(F.max(F.struct("rate", F.coalesce("shard", F.lit("")).alias("shard"))).alias("w")).select("bundle_id", "w.*")
+    worst = rates.groupBy("bundle_id").agg(F.max(F.struct("rate", shard_of_node().alias("shard"))).alias("w")).select("bundle_id", "w.*")
     worst = worst.withColumn("rate", F.when(F.col("rate") > 1000, F.col("rate") / 1000).otherwise(F.col("rate")))
     command = F.lower("command")
     own = F.contains(command, F.lit("redpanda")) | F.contains(command, F.lit("rp_")) | F.contains(command, F.lit("reactor"))

@@ -77,13 +77,14 @@ def metric_digest(metrics: DataFrame, names: list[str]) -> DataFrame:
     that of the series and does not grow with the time span.
     """
     label = lambda key: F.col("labels")[key]
+    node = F.col("node") if "node" in metrics.columns else F.lit("")
     rows = metrics.filter(F.col("name").isin(names)).select(
-        "bundle_id", "name", series_label(F.col("labels")).alias("series"),
+        "bundle_id", F.coalesce(node, F.lit("")).alias("node"), "name", series_label(F.col("labels")).alias("series"),
         F.coalesce(label("shard"), label("reactor"), label("cpu")).alias("shard"),
         *[label(key).alias(key) for key in DIGEST_LABELS[1:]], "ts", "id", "value",
     )
     order, sample = F.struct("ts", "id"), F.struct("ts", "id", "value")
-    return rows.groupBy("bundle_id", "name", "series", *DIGEST_LABELS).agg(
+    return rows.groupBy("bundle_id", "node", "name", "series", *DIGEST_LABELS).agg(
         F.count("value").alias("n"), F.sum("value").alias("total"), F.min("value").alias("low"), F.max("value").alias("high"),
         F.min_by(sample, order).alias("first"), F.max_by(sample, order).alias("last"),
     )

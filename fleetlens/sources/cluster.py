@@ -143,43 +143,74 @@ def scan_cluster_config(fleet: Fleet) -> DataFrame:
     return rows.withColumn("doc_link", F.concat(F.lit(DOC_LINK), "key"))
 
 
-def _flatten_yaml(text: str) -> list[tuple[str, str]]:
-    """Dotted keys of indented ``key: value`` lines, with list items under their parent."""
-    open_keys: list[str] = []
-    before = 0
-    out: dict[str, str] = {}
-    for line in text.splitlines():
-        body = line.strip()
-        if not body or body.startswith("#"):
-            continue
-        depth = len(line) - len(line.lstrip(" "))
-        if body.startswith("- "):
-            out[f"list_item_{'.'.join(open_keys)}_{len(out)}"] = body[2:]
-            continue
-        key, colon, value = body.partition(":")
-        if not colon:
-            continue
-        key, value = key.strip(), value.strip().split(" #", 1)[0].strip()
-        if depth == 0:
-            open_keys = []
-        elif depth < before:
-            open_keys = open_keys[: depth // 2]
-        before = depth
-        if value:
-            out[".".join([*open_keys, key])] = value
-        else:
-            open_keys = [*open_keys, key]
-    return list(out.items())
+def yaml_walker():
+    """A function from YAML text to its scalars as (path, value) pairs.
+
+    A path joins keys and list positions with dots. It covers block mappings and sequences at any
+    indentation, comments, quoted scalars and block scalars; a flow collection is kept as its text.
+    Defined inside a function so that it travels to the executors by value.
+    """
+    import re
+
+    mapping = re.compile(r"""("(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^\s#'"\[{][^#]*?)\s*:(?:\s+(.*))?$""")
+    comment = re.compile(r"""^((?:[^"'#]|"(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|(?<=\S)#)*?)\s+#.*$""")
+
+    def plain(scalar: str) -> str:
+        quoted = len(scalar) > 1 and scalar[0] == scalar[-1] and scalar[0] in "\"'"
+        return scalar[1:-1] if quoted else scalar
+
+    def walk(text: str) -> list[tuple[str, str]]:
+        found, items = [], {}
+        above: list[tuple[int, bool, tuple[str, ...]]] = []  # column, is a list item, path
+        block = None  # column, style, path and lines of an open block scalar
+        for line in [*text.splitlines(), "..."]:
+            column = len(line) - len(line.lstrip(" "))
+            if block and (not line.strip() or column > block[0]):
+                block[3].append(line.strip())
+                continue
+            if block:
+                found.append((".".join(block[2]), (" " if block[1] == ">" else "\n").join(block[3]).strip()))
+                block = None
+            rest = comment.sub(r"\1", line).strip()
+            if not rest or rest.startswith("#") or rest in ("---", "..."):
+                continue
+            while rest == "-" or rest.startswith("- "):
+                # A key at the same column may own the list; an item there is a sibling.
+                while above and (above[-1][0] > column or (above[-1][0] == column and above[-1][1])):
+                    above.pop()
+                owner = above[-1][2] if above else ()
+                items[owner] = items.get(owner, -1) + 1
+                above.append((column, True, (*owner, str(items[owner]))))
+                inner = rest[1:].lstrip()
+                column += len(rest) - len(inner)
+                rest = inner
+            pair = mapping.match(rest)
+            if pair:
+                while above and above[-1][0] >= column:
+                    above.pop()
+                path = (*(above[-1][2] if above else ()), plain(pair[1]))
+                value = (pair[2] or "").strip()
+                if not value:
+                    above.append((column, False, path))
+                elif value[0] in "|>":
+                    block = (column, value[0], path, [])
+                else:
+                    found.append((".".join(path), plain(value)))
+            elif rest and above and above[-1][1]:
+                found.append((".".join(above[-1][2]), plain(rest)))
+        return found
+
+    return walk
 
 
 def scan_yaml_config(fleet: Fleet) -> DataFrame:
     """(bundle_id, key, value) of the broker's own file. Indentation needs an ordered pass
     over one small file, so each task walks the files it holds."""
+    walk = yaml_walker()
 
     def flatten(batches):
         for batch in batches:
-            pairs = batch["value"].fillna("").map(_flatten_yaml)
-            out = batch[["bundle_id"]].assign(pair=pairs).explode("pair").dropna(subset=["pair"])
+            out = batch[["bundle_id"]].assign(pair=batch["value"].fillna("").map(walk)).explode("pair").dropna(subset=["pair"])
             yield out.assign(key=out["pair"].str[0], value=out["pair"].str[1])[["bundle_id", "key", "value"]]
 
     docs = fleet.documents("redpanda.yaml").select("bundle_id", "value")

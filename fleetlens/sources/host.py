@@ -107,11 +107,11 @@ def scan_core_counts(fleet: Fleet) -> DataFrame:
 
 
 def command_lines(facts: DataFrame, logs: DataFrame | None = None) -> DataFrame:
-    """(bundle_id, cmdline) of the broker process, else as its log prints it at the top."""
+    """(bundle_id, cmdline) of the broker process, else as its log prints it first."""
     known = facts.filter("source = 'cmdline'").select("bundle_id", F.col("value").alias("_known"))
     if logs is None:
         return known.withColumnRenamed("_known", "cmdline")
-    printed = logs.filter((F.col("line_number") <= 200) & F.contains("raw", F.lit("command line:")))
+    printed = logs.filter(F.contains("raw", F.lit("command line:")))
     first = printed.groupBy("bundle_id").agg(F.min_by("raw", "id").alias("_printed"))
     both = known.join(first, "bundle_id", "full")
     return both.select("bundle_id", F.coalesce("_known", "_printed").alias("cmdline"))
@@ -341,7 +341,7 @@ def scan_sar(fleet: Fleet) -> tuple[DataFrame, DataFrame]:
     """(samples, interfaces): one row per time, and one per time and interface.
 
     The section of a data row is the last header before it; rows of all sections with one
-    time merge into one sample. Reports are one file per host, so ordering by file is
+    day and time merge into one sample. Reports are one file per host, so ordering by file is
     bounded by a host's day.
     """
     lines = _fields(fleet.lines(*SAR_FILES)).filter(F.size("f") >= 2)
@@ -374,13 +374,13 @@ def scan_sar(fleet: Fleet) -> tuple[DataFrame, DataFrame]:
 
     every = _f(1) == "all"
     pct = F.get(F.filter("f", lambda x: F.contains(x, F.lit(".")) & (to_number(x) <= 100)), F.lit(0))
-    samples = rows.groupBy("bundle_id", "clock").agg(
+    samples = rows.groupBy("bundle_id", "day", "clock").agg(
         F.min("ts").alias("ts"), at("cpu", 2, 8, every).alias("cpu_user"), at("cpu", 4, 8, every).alias("cpu_system"),
         at("cpu", 5, 8, every).alias("cpu_iowait"), at("cpu", 7, 8, every).alias("cpu_idle"),
         F.max(F.when(F.col("section") == "mem", to_number(pct))).alias("mem_used_pct"),
         at("tcp", 1, 5).alias("tcp_active"), at("tcp", 2, 5).alias("tcp_passive"), at("tcp", 3, 5).alias("tcp_in_segs"), at("tcp", 4, 5).alias("tcp_out_segs"),
         at("etcp", 3, 4).alias("tcp_retrans"), at("etcp", 4, 5).alias("tcp_in_errs"),
-    )
+    ).drop("day")
     net = rows.filter((F.col("section") == "net") & (F.size("f") >= 10)).select(
         "bundle_id", "clock", "ts", _f(1).alias("iface"),
         *[F.coalesce(to_number(_f(i)), F.lit(0.0)).alias(n) for i, n in ((2, "rx_pck"), (3, "tx_pck"), (4, "rx_kb"), (5, "tx_kb"), (8, "rx_mcst"), (9, "if_util"))],

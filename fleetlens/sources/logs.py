@@ -17,7 +17,6 @@ from fleetlens.sources.fleet import Fleet
 LEVELS = "INFO|WARN|ERROR|DEBUG|TRACE|FATAL"
 CSV_LEVELS = ["INFO", "WARN", "WARNING", "ERROR", "ERR", "DEBUG", "TRACE", "FATAL", "CRITICAL"]
 MAIN_LOG = "redpanda.log"
-MAX_LINE = 50_000
 MIN_STANDARD = 25
 RFC3339 = r"\A\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)\z"
 ZONED = r"\A(\d{4}-\d\d-\d\d) (\d\d:\d\d:\d\d(?:\.\d+)?) ([+-]\d\d)(\d\d) [A-Z]+\z"
@@ -205,7 +204,7 @@ BLOCK = ["file_path", "block"]
 
 def entries_by_block(lines: DataFrame, csv: bool = False) -> DataFrame:
     """Entries as far as one block shows them; entry 0 is what precedes its first header."""
-    kept = F.length("line").between(1, MAX_LINE)
+    kept = F.length("line") >= 1
     # Shuffled as plain text and parsed behind the shuffle, whose partitioning the windows,
     # the aggregation and the joins below all share.
     placed = lines.repartition(*BLOCK).select("file_path", "block", "pos", F.when(kept, F.col("line")).alias("line"))

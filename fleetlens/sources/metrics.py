@@ -9,7 +9,8 @@ from fleetlens.functions.text import to_number
 from fleetlens.sources.fleet import Fleet
 
 # Where the dumps lie.
-METRIC_FILES = ("metrics/*/*_metrics.txt", "metrics/*_metrics.txt")
+NESTED, FLAT = "metrics/*/*_metrics.txt", "metrics/*_metrics.txt"
+METRIC_FILES = (NESTED, FLAT)
 
 # Label pairs; a comma or an escaped quote inside the quotes belongs to the value.
 _PAIR = r'([^\s,={}"]+)\s*=\s*"((?:[^"\\]|\\.)*)"'
@@ -44,16 +45,25 @@ def _label_entry(pair: Column) -> Column:
 
 
 def scan_prometheus(fleet: Fleet, patterns=METRIC_FILES, allowed: list[str] | None = None) -> DataFrame:
-    """(bundle_id, id, name, labels, ts, value, file_path); the time is the file's."""
+    """(bundle_id, node, id, name, labels, ts, value, file_path); the time is the file's.
+
+    The node is the folder below ``metrics``. Files without such a folder count only in bundles that
+    have none with one, since they repeat the same samples.
+    """
     paths = fleet.matching(*patterns)
     if not paths:
-        return fleet.empty("bundle_id string, id bigint, name string, labels map<string,string>, ts timestamp, value double, file_path string")
+        return fleet.empty("bundle_id string, node string, id bigint, name string, labels map<string,string>, ts timestamp, value double, file_path string")
     path = F.col("_metadata.file_path")
+    node = F.regexp_extract("file_path", r"/metrics/([^/]+)/[^/]+\z", 1)
     raw = fleet.spark.read.text(paths).select(
         fleet.bundle_of(path).alias("bundle_id"), path.alias("file_path"),
         F.col("_metadata.file_modification_time").alias("ts"), F.monotonically_increasing_id().alias("id"), "value",
     )
-    return parse_samples(raw, allowed).select("bundle_id", "id", "name", "labels", "ts", "value", "file_path")
+    if FLAT in patterns and any(p.endswith(NESTED) for p in paths):
+        nested = fleet.binary(NESTED, content=False).select("bundle_id").distinct()
+        flat = raw.filter(node == "").join(nested, "bundle_id", "left_anti")
+        raw = raw.filter(node != "").unionByName(flat)
+    return parse_samples(raw, allowed).select("bundle_id", node.alias("node"), "id", "name", "labels", "ts", "value", "file_path")
 
 
 def scan_metric_help(fleet: Fleet, patterns=METRIC_FILES) -> DataFrame:

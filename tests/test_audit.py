@@ -293,6 +293,6 @@ def test_global_search(spark):
     by = {}
     for r in rows:
         by.setdefault(r["category"], []).append(r)
-    assert {k: len(v) for k, v in by.items()} == {"Logs": 1, "File: Admin": 1, "Kubernetes": 1, "Partition": 20}
+    assert {k: len(v) for k, v in by.items()} == {"Logs": 1, "File: Admin": 1, "Kubernetes": 1, "Partition": 30}
     assert by["Logs"][0]["preview"] == "&lt;<mark>Topic-A</mark>&gt; moved" and "<mark>TOPIC-a</mark>" in by["File: Admin"][0]["preview"]
     assert len(by["File: Admin"][0]["preview"]) == 107 + len("<mark></mark>")

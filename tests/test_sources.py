@@ -78,8 +78,8 @@ def test_yaml(spark, fleet_dir):
         "  additional_start_flags:", "    - --smp=4", "top: 1"]))
     got = cluster.scan_yaml_config(Fleet(spark, fleet_dir.root))
     assert rows(got, "key", "value") == [
-        ("list_item_rpk.additional_start_flags_3", "--smp=4"), ("redpanda.data_directory", "/data"),
-        ("redpanda.developer_mode", "true"), ("rpk.tune_aio_events", "false"), ("top", "1")]
+        ("redpanda.data_directory", "/data"), ("redpanda.developer_mode", "true"), ("rpk.additional_start_flags.0", "--smp=4"),
+        ("rpk.tune_aio_events", "false"), ("top", "1")]
     assert rows(cluster.data_directory(got), "data_dir") == [("/data",)]
 
 
@@ -251,6 +251,10 @@ def test_sar(spark, fleet_dir):
     from fleetlens.operators import metrics as m
 
     assert rows(m.sar_peak_throughput(net), "peak_mbps") == [(3.0,)]
+    two = "\n".join(f"Linux 5.15.0 (h)  02/{day}/26  _x86_64_ (8 CPU)\n00:00:01 CPU %user %nice %system %iowait %steal %idle\n00:10:01 all 5.0 0.0 {day}.0 0.1 0.0 92.9" for day in (12, 13))
+    fleet_dir("b2", "utils/sar.txt", two)
+    both = host.scan_sar(Fleet(spark, fleet_dir.root))[0].filter("bundle_id = 'b2'")
+    assert rows(both, "ts", "cpu_system") == [(datetime(2026, 2, 12, 0, 10, 1), 12.0), (datetime(2026, 2, 13, 0, 10, 1), 13.0)]
     health = m.network_health(samples, net).collect()[0]
     assert (health["max_retrans"], health["avg_retrans"], health["max_if_util"], health["peak_mbps"], health["interrupt_storm"]) == (5.5, 5.5, 81.5, 3.0, True)
     assert [f.split(":")[0] for f in health["findings"]] == ["Critical", "Critical", "TCP input errors", "Possible interrupt storm"]
@@ -279,3 +283,44 @@ def test_sinks(spark, tmp_path):
     assert rows(spark.read.json(str(tmp_path / "j")), "id") == [(1,), (2,)]
     assert sinks.to_json_rows(df.select("id")).count() == 2
     assert F is not None
+
+
+def test_yaml_shapes():
+    walk = cluster.yaml_walker()
+    text = "\n".join([
+        "# c", "redpanda:", "    empty_parent:", "    data_directory: /var/lib  # note", "    seed_servers:", "    - host:", "        address: 10.0.0.1", "        port: 33145", "    - host: {a: 1}",
+        "    advertised_kafka_api:", "      - address: \"8.8.8.8\"", "        port: 9092", "      - name: 'x # y'", "        address: h#1", "    motd: |", "      a: b", "      c", "rpk:", "  list:", "  - one", "  - two", "  url: http://x:1"])
+    assert walk(text) == [
+        ("redpanda.data_directory", "/var/lib"), ("redpanda.seed_servers.0.host.address", "10.0.0.1"), ("redpanda.seed_servers.0.host.port", "33145"), ("redpanda.seed_servers.1.host", "{a: 1}"),
+        ("redpanda.advertised_kafka_api.0.address", "8.8.8.8"), ("redpanda.advertised_kafka_api.0.port", "9092"), ("redpanda.advertised_kafka_api.1.name", "x # y"), ("redpanda.advertised_kafka_api.1.address", "h#1"),
+        ("redpanda.motd", "a: b\nc"), ("rpk.list.0", "one"), ("rpk.list.1", "two"), ("rpk.url", "http://x:1")]
+    assert walk("") == [] and walk("just text\n- 1\n") == [("0", "1")]
+
+
+def test_advertised_address_of_a_file(spark, fleet_dir):
+    from fleetlens.plans.audit import audit
+
+    fleet_dir("b1", "redpanda.yaml", "redpanda:\n  empty:\n  advertised_kafka_api:\n  - address: 8.8.8.8\n    port: 9092\n")
+    fleet_dir("b1", "admin/cluster_config.json", '{"auto_create_topics_enabled": true}')
+    fleet = Fleet(spark, fleet_dir.root)
+    uname = spark.createDataFrame([("b1", "x", "AWS", False)], "bundle_id string, distro string, cloud string, is_container boolean")
+    brokers = spark.createDataFrame([], "bundle_id string, host string")
+    tables = dict(broker_config=cluster.scan_yaml_config(fleet), cluster_config=cluster.scan_cluster_config(fleet), uname=uname, kafka_brokers=brokers)
+    found = {r["name"]: r["status"] for r in audit(tables, only={"public_address_checks", "config_checks"}).collect()}
+    assert found["Public Advertised Addresses"] == "Warning" and found["auto_create_topics_enabled"] == "Warning"
+
+
+def test_nodes_are_series_of_their_own(spark, fleet_dir):
+    from fleetlens.plans.audit import series_rates
+    from fleetlens.plans.performance import metric_digest
+    from fleetlens.sources.metrics import scan_prometheus
+
+    fleet_dir("b1", "metrics/n1/t0_metrics.txt", 'c{shard="0"} 1\n')
+    fleet_dir("b1", "metrics/n2/t0_metrics.txt", 'c{shard="0"} 1000000\n')
+    fleet_dir("b1", "metrics/t0_metrics.txt", 'c{shard="0"} 5\n')
+    fleet_dir("b2", "metrics/t0_metrics.txt", 'c{shard="0"} 7\n')
+    got = scan_prometheus(Fleet(spark, fleet_dir.root))
+    assert rows(got, "bundle_id", "node", "value") == [("b1", "n1", 1.0), ("b1", "n2", 1000000.0), ("b2", "", 7.0)]
+    later = got.withColumn("ts", F.col("ts") + F.expr("INTERVAL 10 SECONDS")).withColumn("value", F.col("value") + 10)
+    rates = series_rates(metric_digest(got.unionByName(later), ["c"]), "c")
+    assert rows(rates, "bundle_id", "node", "rate") == [("b1", "n1", 1.0), ("b1", "n2", 1.0), ("b2", "", 1.0)]
