@@ -78,6 +78,14 @@ def span_hash(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(whole + (ends - starts).astype(np.uint64))
 
 
+def rolling_hash(points: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of every ``k`` neighbours of ``points``, from one running sum."""
+    n = len(points)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(points.astype(np.uint64)) * _powers("up", _BASE, n), out=total[1:])
+    return mix((total[k:] - total[:-k]) * _powers("down", _INVERSE, n + 1)[: n - k + 1])
+
+
 def gram_hash(items: np.ndarray, n: int) -> np.ndarray:
     """Hash of every ``n`` neighbours of ``items``: len(items) - n + 1 values, in order."""
     if len(items) < n:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm.codes import _BASE, _INVERSE, _powers, mix
+from fleetlens.llm.codes import rolling_hash
 from fleetlens.llm.registry import query, table
 
 K, W = 16, 32
@@ -40,9 +40,7 @@ def winnow(points: np.ndarray, k: int = K, w: int = W) -> tuple[np.ndarray, np.n
     if not n:
         return np.empty(0, np.uint32), np.empty(0, np.int64)
     k = min(k, n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix(points.astype(np.uint64)) * _powers("up", _BASE, n), out=total[1:])
-    grams = mix((total[k:] - total[:-k]) * _powers("down", _INVERSE, n + 1)[: n - k + 1]) >> np.uint64(32)
+    grams = rolling_hash(points, k) >> np.uint64(32)
     places = np.arange(len(grams), dtype=np.uint64)
     # Smallest hash first; of equal ones the larger position, whose complement is smaller.
     lowest = (grams << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - places)
