@@ -69,10 +69,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_STAGED: list[str] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """A written Parquet table in the shared folder, for large results: later plans read
     only the columns they need."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Deletes every table that ``stage`` has written in this driver; call it once the results that
+    read them are written elsewhere. Gives the number of tables."""
+    count = len(_STAGED)
+    conf = spark._jsc.hadoopConfiguration()
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return count

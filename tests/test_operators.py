@@ -1,5 +1,6 @@
 """Operators on small inputs: configuration other than the defaults, ties, skewed keys."""
 
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -148,3 +149,24 @@ def test_stream_counts(spark, tmp_path):
         running.stop()
     got = rows(spark.sql("SELECT * FROM bucket_counts"), "bundle_id", "bucket", "count")
     assert got == rows(logs.log_counts_by_time(df, 60), "bundle_id", "bucket", "count") and got
+
+
+def test_staged_tables_can_be_dropped(spark):
+    from fleetlens import session
+
+    kept = list(session._STAGED)
+    session._STAGED.clear()
+    path = session.stage(spark.range(3), "staged").inputFiles()[0]
+    assert session.drop_staged(spark) == 1 and not os.path.exists(path.removeprefix("file://"))
+    session._STAGED.extend(kept)
+
+
+def test_crowded_time_is_cut_by_id(spark):
+    from fleetlens.operators import windows
+
+    data = [("k", T0 + timedelta(seconds=600 if i == 7 else 0), i) for i in range(1000)]
+    df = spark.createDataFrame(data, "k string, ts timestamp, id bigint").withColumn("_bucket", F.lit(0))
+    for level in range(windows.LEVELS):
+        df = windows._cut(df, ["k", "_bucket", *[f"_cut{n}" for n in range(level)]], "ts", "id", 100).withColumnRenamed("_cut", f"_cut{level}")
+    sizes = [r["count"] for r in df.groupBy(*[f"_cut{n}" for n in range(windows.LEVELS)]).count().collect()]
+    assert max(sizes) <= 101 and sum(sizes) == 1000
