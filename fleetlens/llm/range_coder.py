@@ -26,8 +26,8 @@ ONE = 1 << BITS
 # Split after each outcome: every outcome keeps a share of 16 of 2048 at least.
 AFTER_A = np.array([ONE - 32, 16, 16], np.int32)
 AFTER_B = np.array([ONE - 16, ONE - 16, 32], np.int32)
-_K = np.arange(17)
-AFTER_NIBBLE = np.where(_K[None, :] <= _K[:16, None], 4 * _K[None, :], ONE - 4 * (16 - _K[None, :])).astype(np.int16)
+_K = np.arange(16)
+AFTER_NIBBLE = np.where(_K[None, :] <= _K[:, None], 4 * _K[None, :], ONE - 4 * (16 - _K[None, :])).astype(np.int16)
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
 U = np.uint64
 
@@ -41,7 +41,7 @@ class Model:
         self.two = np.zeros(n * SLOTS, np.uint32)
         self.a = np.full(n * 16, ONE // 3, np.int32)
         self.b = np.full(n * 16, 2 * ONE // 3, np.int32)
-        even = (_K * (ONE // 16)).astype(np.int16)
+        even = (_K * (ONE // 16)).astype(np.int16)  # where each nibble's share begins
         self.first = np.tile(even, (n, 1))
         self.second = np.tile(even, (n * 16, 1))
         self.last = np.zeros(n * 256, np.uint8)
@@ -69,7 +69,11 @@ class Model:
         self.b[self.split] = b + ((AFTER_B[which] - b) >> 5)
 
     def nibble(self, table: np.ndarray, rows: np.ndarray, held: np.ndarray, value: np.ndarray) -> None:
-        table[rows] = held + ((AFTER_NIBBLE[value] - held) >> 4)
+        moved = np.take(AFTER_NIBBLE, value, axis=0)
+        moved -= held
+        moved >>= 4
+        moved += held
+        table[rows] = moved
 
     def repeat(self, at: np.ndarray, chance: np.ndarray, hit: np.ndarray) -> None:
         self.seen[at] = chance + ((np.where(hit, ONE - 32, 32) - chance) >> 5)
@@ -85,6 +89,15 @@ class Model:
         self.before[:n] = ids
 
 
+def _due(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which blocks have 16 settled bits, or too little range left (then it is cut to what does not carry):
+    their places, lows and ranges."""
+    settled = (low ^ (low + span)) < TOP
+    at = np.flatnonzero(settled | (span < BOTTOM))
+    l, r = low[at], span[at]
+    return at, l, np.where(settled[at], r, (~l + U(1)) & (BOTTOM - U(1)))
+
+
 class _Out:
     """Range encoder of many blocks; 16 bits leave at a time."""
 
@@ -96,20 +109,15 @@ class _Out:
         low, span = self.low[lanes], self.range[lanes] >> U(bits)
         low = low + span * start.astype(U)
         span = span * size.astype(U)
-        numbers = lanes if isinstance(lanes, np.ndarray) else np.arange(lanes.stop)
-        live = np.arange(len(low))
+        live, l, r = _due(low, span)
         while len(live):
-            l, r = low[live], span[live]
-            settled = (l ^ (l + r)) < TOP
-            tight = ~settled & (r < BOTTOM)
-            go = settled | tight
-            if not go.any():
-                break
-            live, l, r = live[go], l[go], np.where(tight, (~l + U(1)) & (BOTTOM - U(1)), r)[go]
-            at = numbers[live]
+            at = lanes[live] if isinstance(lanes, np.ndarray) else live
             self.words[at, self.used[at]] = (l >> U(48)).astype(np.uint16)
             self.used[at] += 1
-            low[live], span[live] = l << U(16), r << U(16)
+            l, r = l << U(16), r << U(16)
+            low[live], span[live] = l, r
+            some, l, r = _due(l, r)
+            live = live[some]
         self.low[lanes], self.range[lanes] = low, span
 
     def close(self) -> list[bytes]:
@@ -142,21 +150,16 @@ class _In:
         low, span, code = self.low[lanes], self.range[lanes] >> U(bits), self.code[lanes]
         low = low + span * start.astype(U)
         span = span * size.astype(U)
-        numbers = lanes if isinstance(lanes, np.ndarray) else np.arange(lanes.stop)
-        live = np.arange(len(low))
+        live, l, r = _due(low, span)
         while len(live):
-            l, r = low[live], span[live]
-            settled = (l ^ (l + r)) < TOP
-            tight = ~settled & (r < BOTTOM)
-            go = settled | tight
-            if not go.any():
-                break
-            live, l, r = live[go], l[go], np.where(tight, (~l + U(1)) & (BOTTOM - U(1)), r)[go]
-            at = numbers[live]
+            at = lanes[live] if isinstance(lanes, np.ndarray) else live
             # Words past a damaged block's end read as zero; its checksum tells.
             code[live] = (code[live] << U(16)) | self.words[np.minimum(self.at[at], len(self.words) - 1)]
             self.at[at] += 1
-            low[live], span[live] = l << U(16), r << U(16)
+            l, r = l << U(16), r << U(16)
+            low[live], span[live] = l, r
+            some, l, r = _due(l, r)
+            live = live[some]
         self.low[lanes], self.range[lanes], self.code[lanes] = low, span, code
 
 
@@ -168,9 +171,11 @@ def _steps(sizes: np.ndarray):
 
 
 def _pick(held: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    rows = np.arange(len(value))
-    start = held[rows, value].astype(np.int64)
-    return start, held[rows, value + 1] - start
+    at = np.arange(0, 16 * len(value), 16) + value
+    flat = held.ravel()
+    start = np.take(flat, at).astype(np.int64)
+    end = np.where(value == 15, ONE, np.take(flat, at + 1, mode="clip"))
+    return start, end - start
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[tuple[int, int, bytes]]:
@@ -238,12 +243,12 @@ def decode_blocks(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
         own = size[m]
         inner = (value[m] - start[m]) // own
         held1 = model.first[m]
-        n1 = (held1 <= (inner >> BITS)[:, None]).sum(1) - 1
+        n1 = np.count_nonzero(held1 <= (inner >> BITS).astype(np.int16)[:, None], axis=1) - 1
         s1, f1 = _pick(held1, n1)
         model.nibble(model.first, m, held1, n1)
         rows = m * 16 + n1
         held2 = model.second[rows]
-        n2 = (held2 <= ((inner - (s1 << BITS)) // f1)[:, None]).sum(1) - 1
+        n2 = np.count_nonzero(held2 <= ((inner - (s1 << BITS)) // f1).astype(np.int16)[:, None], axis=1) - 1
         s2, f2 = _pick(held2, n2)
         model.nibble(model.second, rows, held2, n2)
         start[m] += own * ((s1 << BITS) + f1 * s2)
