@@ -42,6 +42,8 @@ from fleetlens.llm.registry import query, table
 from fleetlens.session import stage
 
 TILE_ROWS, TILE_ELEMENTS, DENSE = 1024, 2_000_000, 24
+#: Coarse counts take a hundredth of the room of sets, so their tiles hold more rows and each row goes to fewer blocks.
+COARSE_ROWS = 8192
 SKETCH = "doc_id long, n_shingles long, class int, h1 long, h2 long, own_keys array<long>, low_keys array<long>, own_counts binary, low_counts binary"
 
 
@@ -264,14 +266,14 @@ def _product(batches, pct: int, coarse: bool):
         yield _close(current, pct) if coarse else _links(rows + current, pct)
 
 
-def tiles(rows: DataFrame) -> DataFrame:
+def tiles(rows: DataFrame, tile_rows: int) -> DataFrame:
     """Deals rows (cluster, level, upper, node, elements, ...) to blocks: column ``blocks`` of (block, side, paired).
 
     Rows with ``upper`` = 0 meet each other and those with 1; the latter do not meet each other. A
-    tile has some ``TILE_ROWS`` rows and ``TILE_ELEMENTS`` elements; rows alone in their level go.
+    tile has some ``tile_rows`` rows and ``TILE_ELEMENTS`` elements; rows alone in their level go.
     """
     many = lambda upper: F.greatest(
-        F.ceil(F.sum((F.col("upper") == upper).cast("long")) / TILE_ROWS), F.ceil(F.sum(F.when(F.col("upper") == upper, F.col("elements")).otherwise(0)) / TILE_ELEMENTS)).cast("int")
+        F.ceil(F.sum((F.col("upper") == upper).cast("long")) / tile_rows), F.ceil(F.sum(F.when(F.col("upper") == upper, F.col("elements")).otherwise(0)) / TILE_ELEMENTS)).cast("int")
     sizes = rows.groupBy("cluster", "level").agg(many(0).alias("_t0"), many(1).alias("_t1"), F.count("*").alias("_all")).filter("_all > 1 AND _t0 > 0")
     # As a table of its own, so that a large cluster's rows can be split in the join.
     sizes = stage(sizes, "tiles")
@@ -326,14 +328,14 @@ def ngram_join(docs: DataFrame, words: int = 5, pct: int = 80) -> DataFrame:
     one = [F.min("doc_id").alias("node"), F.first("class").alias("class")]
     rows = met.groupBy("h1", "h2", "n_shingles", "level", "upper").agg(*one, F.min("cluster").alias("cluster"), F.first("counts").alias("counts"))
     rows = stage(rows.withColumn("elements", F.octet_length("counts").cast("long")), "level-sets")
-    near = by_block(tiles(rows), "n_shingles", "counts", pct, True)
+    near = by_block(tiles(rows, COARSE_ROWS), "n_shingles", "counts", pct, True)
     refined = components(near.select("a", "b"))
 
     sets = slim.groupBy("h1", "h2", "n_shingles").agg(*one, F.countDistinct("doc_id").alias("copies"))
     classes = stage(sets, "sets")
     exact = classes.join(refined.select("node", F.col("root").alias("cluster")), "node")
     both = exact.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("upper")).withColumns({"level": F.col("class") - F.col("upper"), "elements": F.col("n_shingles")})
-    placed = tiles(both).groupBy("node", "copies").agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
+    placed = tiles(both, TILE_ROWS).groupBy("node", "copies").agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("node"), "text").join(placed, "node")
     packed = texts.select("node", "copies", "blocks", "text").mapInArrow(
         lambda it: _packed(it, words), "node long, copies long, blocks array<struct<block:long,side:int,paired:boolean>>, elements binary")

@@ -68,6 +68,7 @@ def test_join_near_copies(spark):
 def test_join_tiles(spark, monkeypatch):
     """Many small tiles give the same links as one."""
     monkeypatch.setattr(join, "TILE_ROWS", 7)
+    monkeypatch.setattr(join, "COARSE_ROWS", 9)
     rows = [(d, " ".join(f"b{i}" if i != d % 40 else f"x{d}" for i in range(60 + d % 3))) for d in range(50)]
     assert joined(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85) == brute_join(rows, 4, 85)
 
