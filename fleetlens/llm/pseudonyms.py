@@ -18,10 +18,16 @@ email       address                                        letters and digits of
 secret      quoted value of a token, key or password       letters and digits of the value
 ==========  =============================================  ===========================================
 
+Numbers with single spaces or dashes between them are one run, in which a card may stand beside other numbers
+(its expiry, its check value). The cards of a run are whole groups of it: those grouped 4-4-4-4, 4-6-5 or not at all
+first, then the whole run. What is left is searched for the other kinds, and what they leave for cards of other
+groupings (up to six groups, or single digits), the longest first from left to right.
+
 All of it is column expressions: texts are split at the matches and put together again, in one pass
 and without a shuffle. Texts without a digit or @ are not searched.
 
-Edge cases: null text stays null, empty text empty; a value that fails validation stays as it is; repeated
+Edge cases: null text stays null, empty text empty; a value that fails validation stays as it is; where groups
+of a run can be read as several cards, inversion may read it in another way than the text had; repeated
 rows give the same rows; all columns of the input pass through; ``text`` is replaced and
 ``n_pseudonyms`` and ``kinds`` (an array, in order of place) are added in place of columns of these names.
 """
@@ -41,8 +47,11 @@ DATE = r"(?<![\d./\-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d
 IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d])(?!\.\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,3}|\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)"
-CARD = r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)"
-ANY = "|".join([SECRET, EMAIL, DATE, IP, SSN, PHONE, CARD])
+RUN = r"(?<!\d)\d(?:[ \-]?\d){12,}+"
+REST = "|".join([SECRET, EMAIL, DATE, IP, SSN, PHONE])
+ANY = f"{REST}|{RUN}"
+# Lengths of the groups of a printed card; others are cards only where none of these is.
+GROUPS = r"^(?:4-4-4-4|4-6-5|1[3-9])$"
 WINDOW = 72_900
 DAY_ONE = "0001-01-01"
 
@@ -113,6 +122,36 @@ def card(m: Column, key: str, invert: bool = False) -> Column:
     return once(body, lambda b: refilled(m, F.concat(b, F.pmod(10 - luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string"))))
 
 
+def card_spans(groups: Column, printed: bool) -> Column:
+    """The cards of a run, as array of struct (first, last) of its groups, in order. ``printed``: those of a
+    usual grouping, or else the run as a whole; otherwise the other ones."""
+    n = F.size(groups)
+
+    def spans_from(i):
+        def span(j):
+            part = F.slice(groups, i + 1, j - i + 1)
+            return F.struct(i.alias("first"), j.alias("last"), F.array_join(part, "").alias("digits"), F.array_join(F.transform(part, lambda g: F.length(g).cast("string")), "-").alias("form"))
+
+        def may_be(s):
+            whole = (i == 0) & (s["last"] == n - 1)
+            form = s["form"].rlike(GROUPS) | whole if printed else (s["last"] - i < 6) | s["form"].rlike("^1(?:-1)+$")
+            return F.when(F.length(s["digits"]).between(13, 19) & form, is_card(s["digits"])).otherwise(False)
+
+        return F.reverse(F.filter(F.transform(F.sequence(i, F.least(i + 18, n - 1)), span), may_be))
+
+    def step(taken, s):
+        free = ~F.exists(taken, lambda t: (t["first"] <= s["last"]) & (s["first"] <= t["last"]))
+        return F.when(free, F.array_append(taken, F.struct(s["first"].alias("first"), s["last"].alias("last")))).otherwise(taken)
+
+    def chosen(every):
+        """Usual groupings before the whole run; from left to right, the longest of each start."""
+        usual = F.filter(every, lambda s: s["form"].rlike(GROUPS))
+        order = F.concat(usual, F.filter(every, lambda s: ~s["form"].rlike(GROUPS)))
+        return F.array_sort(F.aggregate(order, F.array().cast("array<struct<first:int,last:int>>"), step))
+
+    return once(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), spans_from)), chosen)
+
+
 def phone(m: Column, key: str, invert: bool = False) -> Column:
     code = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .\-(])", 0)
     rest = F.substr(m, F.length(code) + 1)
@@ -220,31 +259,64 @@ def kind_of(m: Column) -> Column:
         .when(full(IP), F.when(F.forall(F.split(m, r"\."), lambda x: x.cast("int") <= 255), "ip"))
         .when(full(SSN), F.when(is_ssn(m), "ssn"))
         .when(full(PHONE), "phone")
-        .otherwise(F.when(is_card(digits_of(m)), "card"))
     )
 
 
+def piece(kind: Column, value: Column) -> Column:
+    return F.array(F.struct(kind.cast("string").alias("kind"), value.alias("value")))
+
+
+def pieces(text: Column, pattern: str, found=lambda m: piece(kind_of(m), m)) -> Column:
+    """Array of struct (kind, value): the text between the matches, with null kinds, and ``found`` of every match."""
+    each = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)
+    return F.flatten(F.zip_with(F.split(text, pattern, -1), each, lambda a, b: F.concat(piece(F.lit(None), a), F.coalesce(b, F.array().cast("array<struct<kind:string,value:string>>")))))
+
+
+def cards_of_run(m: Column, printed: bool, rest) -> Column:
+    """``pieces`` of a run: its cards, and ``rest`` of the texts before, between and after them."""
+    def cut(numbers):
+        joined = lambda first, last: F.array_join(F.slice(numbers, first + 1, F.greatest(last - first, F.lit(0))), "")
+        head = lambda k: F.coalesce(F.regexp_extract(F.get(numbers, k), "^[ -]?", 0), F.lit(""))
+
+        def by(spans):
+            def part(s, k):
+                before = F.when(k > 0, F.get(spans, k - 1)["last"] + 1).otherwise(F.lit(0))
+                value = F.substr(joined(s["first"], s["last"] + 1), F.length(head(s["first"])) + 1)
+                return F.struct(F.concat(joined(before, s["first"]), head(s["first"])).alias("text"), value.alias("card"))
+
+            after = F.when(F.size(spans) > 0, F.get(spans, F.size(spans) - 1)["last"] + 1).otherwise(F.lit(0))
+            parts = F.concat(F.transform(spans, part), F.array(F.struct(joined(after, F.size(numbers)).alias("text"), F.lit(None).cast("string").alias("card"))))
+            return F.flatten(F.transform(parts, lambda p: F.concat(rest(p["text"]), piece(F.when(p["card"].isNotNull(), "card"), F.coalesce(p["card"], F.lit(""))))))
+
+        return once(card_spans(F.transform(numbers, digits_of), printed), by)
+
+    return once(F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0)), cut)
+
+
+def pieces_of_run(m: Column) -> Column:
+    """Cards of a usual form, then the other kinds, then cards of any form in what is left."""
+    last = lambda t: pieces(t, RUN, lambda r: cards_of_run(r, False, lambda x: piece(F.lit(None), x)))
+    others = lambda t: F.flatten(F.transform(pieces(t, REST), lambda p: F.when(p["kind"].isNull(), last(p["value"])).otherwise(F.array(p))))
+    return cards_of_run(m, True, others)
+
+
 def pseudonymise(df: DataFrame, key: str, invert: bool = False) -> DataFrame:
     """``df`` with pseudonyms in ``text``; with ``invert`` and the same key the other way."""
     text = F.col("text")
     searched = F.when(text.rlike("[0-9@=:]"), text)
 
-    def replaced(m):
-        def by(kind):
-            out = m
-            for name, make in MAKERS.items():
-                out = F.when(kind == name, make(m, key, invert)).otherwise(out)
-            return F.struct(kind.alias("kind"), out.alias("value"))
-
-        return once(kind_of(m), by)
+    def replaced(p):
+        out = p["value"]
+        for name, make in MAKERS.items():
+            out = F.when(p["kind"] == name, make(p["value"], key, invert)).otherwise(out)
+        return out
 
-    found = F.transform(F.regexp_extract_all(searched, F.lit(ANY), F.lit(0)), replaced)
-    between = F.split(searched, ANY, -1)
+    found = pieces(searched, ANY, lambda m: F.when(m.rlike(f"^{RUN}$"), pieces_of_run(m)).otherwise(piece(kind_of(m), m)))
     names = [c for c in df.columns if c not in ("n_pseudonyms", "kinds", "text")]
-    rows = df.withColumn("_found", found).withColumn("_between", F.when(F.size("_found") > 0, between))
-    joined = F.array_join(F.flatten(F.zip_with("_between", F.transform("_found", lambda f: f["value"]), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    rows = df.withColumn("_found", found)
+    joined = F.array_join(F.transform("_found", replaced), "")
     kinds = F.coalesce(F.filter(F.transform("_found", lambda f: f["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
-    return rows.select(*names, F.coalesce(F.when(F.size("_found") > 0, joined), text).alias("text"), kinds.alias("kinds")).withColumn("n_pseudonyms", F.size("kinds").cast("long"))
+    return rows.select(*names, F.coalesce(joined, text).alias("text"), kinds.alias("kinds")).withColumn("n_pseudonyms", F.size("kinds").cast("long"))
 
 
 @query("op6_pii_pseudonyms")

@@ -169,6 +169,18 @@ def test_pseudonyms_permute(pseudonyms_of):
     assert len(set(out)) == len(numbers)
 
 
+def test_cards_beside_numbers(pseudonyms_of):
+    """A card does not stay in clear because a short number stands beside it, nor does what stands in its run."""
+    card, parts = "4111111111111111", "4111 1111 1111 1111"
+    texts = [f"{parts} 12/28", f"{card} 123", f"5 {card}", f"1234 {parts}", "3782 822463 10005 7", f"{parts} 123-45-6789", f"{parts} 5500-0000-0000-0004", f"{card} 212-555-1234 1999-12-31", "1234567890 2023-01-02 1"]
+    kinds = [["card"]] * 5 + [["card", "ssn"], ["card", "card"], ["card", "phone", "date"], ["date"]]
+    out = pseudonyms_of(texts)
+    assert [k for _, k, _ in out] == kinds and [len(t) for t, _, _ in out] == [len(t) for t in texts]
+    assert not any(x in t for t, _, _ in out for x in (card, parts, "3782 822463 10005", "5500-0000-0000-0004", "123-45-6789", "212-555-1234"))
+    assert out[0][0].endswith(" 12/28") and out[1][0].endswith(" 123") and out[2][0].startswith("5 ") and out[3][0].startswith("1234 ")
+    assert [t for t, _, _ in pseudonyms_of([t for t, _, _ in out], invert=True)] == texts
+
+
 def test_pseudonyms_odd_rows(messy, empty):
     out = pseudonyms.pseudonymise(messy, "k")
     assert out.count() == messy.count() and set(messy.columns) <= set(out.columns) and out.filter("doc_id = 1").first().text is None
