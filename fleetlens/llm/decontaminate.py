@@ -9,8 +9,10 @@ one value of the document wherever it occurs. Alignments that break this are no
 Before the join, windows are tested against a bitmap of the benchmark's windows (2**23 bits,
 whatever the benchmark's size); it lets all true ones through, and the join is exact.
 
-An item is found in a document if alignments that are consistent hold ``min_words`` of its words in windows,
-or the share ``min_share`` of its windows. Items of under four words are not searched.
+Alignments whose shifts differ by at most a window (words put in or left out between them) make a chain, with one
+correspondence of values over all of it: the larger alignments come first, one that breaks it is left out. An
+item is found in a document if one chain holds ``min_words`` of its words in windows, or the share
+``min_share`` of its windows; what lies elsewhere in the document does not add to it. Items of under four words are not searched.
 
 Edge cases: null or empty texts have no windows, on either side; a window needs half of its words
 as literals, so tables of numbers match nothing; repeated rows and items give their own pairs,
@@ -26,7 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.codes import doc_of, gram_hash, mix, runs, span_hash, text_slices
@@ -142,17 +144,36 @@ def find_items(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_s
     values = F.arrays_zip(F.col("item_slots").alias("was"), F.col("slots").alias("now"))
     along = met.groupBy("doc_id", "item_id", "shift").agg(
         F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set(values))).alias("pairs"))
-    consistent = F.size(F.array_distinct(F.col("pairs.was"))) == F.size("pairs")
-    good = along.filter(consistent).groupBy("doc_id", "item_id").agg(
-        F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.max(F.size(F.filter("pairs", lambda p: p["was"] != p["now"]))).cast("long").alias("changed"))
+    good = along.filter(_consistent(F.col("pairs")))
+    # Shifts in order; one that is over a window from the last begins a chain.
+    order = Window.partitionBy("doc_id", "item_id").orderBy("shift")
+    begins = F.coalesce((F.col("shift") - F.lag("shift").over(order) > WINDOW).cast("int"), F.lit(0))
+    chains = good.withColumn("begins", begins).withColumn("chain", F.sum("begins").over(order))
+    part = F.struct((-F.size("places")).alias("order"), "shift", "places", "pairs")
+    chains = chains.groupBy("doc_id", "item_id", "chain").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+
+    def joined(s, p):
+        pairs = F.array_union(s["pairs"], p["pairs"])
+        return F.when(_consistent(pairs), F.struct(F.array_union(s["places"], p["places"]).alias("places"), pairs.alias("pairs"))).otherwise(s)
+
+    first = F.get("parts", F.lit(0))
+    whole = F.aggregate(F.slice("parts", 2, F.size("parts")), F.struct(first["places"].alias("places"), first["pairs"].alias("pairs")), joined)
+    chains = chains.select("doc_id", "item_id", whole.alias("whole")).select(
+        "doc_id", "item_id", "whole.places", F.size(F.filter("whole.pairs", lambda p: p["was"] != p["now"])).cast("long").alias("changed"))
     n = F.size("places").cast("long")
-    good = good.withColumn("item_key", F.coalesce("item_id", F.lit(-(2**63)))).join(
+    chains = chains.withColumn("item_key", F.coalesce("item_id", F.lit(-(2**63)))).join(
         counts.select(F.coalesce("item_id", F.lit(-(2**63))).alias("item_key"), "windows"), "item_key")
     # Neighbouring windows share all but one word.
     places = F.sort_array("places")
     words = F.aggregate(places, F.struct(F.lit(0).alias("sum"), F.lit(-(10**6)).alias("last")), lambda s, p: F.struct((s["sum"] + F.least(p - s["last"], F.lit(WINDOW))).alias("sum"), p.alias("last")), lambda s: s["sum"]).cast("long")
-    out = good.select("doc_id", "item_id", words.alias("words"), (n / F.col("windows")).alias("share"), "changed")
-    return out.filter((F.col("words") >= min_words) | (F.col("share") >= min_share))
+    out = chains.select("doc_id", "item_id", words.alias("words"), (n / F.col("windows")).alias("share"), "changed")
+    out = out.filter((F.col("words") >= min_words) | (F.col("share") >= min_share))
+    return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("words", "share", "changed")).alias("best")).select("doc_id", "item_id", "best.*")
+
+
+def _consistent(pairs) -> Column:
+    """Whether each value of the item stands for one value of the document."""
+    return F.size(F.array_distinct(F.transform(pairs, lambda p: p["was"]))) == F.size(pairs)
 
 
 def _lengths(batches):

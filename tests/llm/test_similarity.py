@@ -167,6 +167,17 @@ def test_items(spark):
     assert (1, 4) in pairs and (7, 5) in pairs and (8, 5) not in pairs and not any(d in (3, 4, 5, 9) for d, _ in pairs)
 
 
+def test_items_by_chain(spark):
+    """Two windows far apart are no copy; a copy with a word put in between is."""
+    words = [f"w{chr(97 + i)}" for i in range(26)] + [f"v{chr(97 + i)}" for i in range(26)]
+    gap = " ".join(f"g{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300))
+    far = " ".join([*words[:8], gap, *words[30:38]])
+    near = " ".join([*words[:10], "extra", *words[10:20]])
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, far), (2, near), (3, " ".join(words))], "doc_id long, text string")
+    assert {r.doc_id: r.words for r in find_items(docs, items).collect()} == {2: 20, 3: 52}
+
+
 def test_items_odd_rows(spark, messy, empty):
     items = spark.createDataFrame([(None, "the quick brown fox jumps over the lazy dog near the river bank")], "item_id long, text string")
     kept = without_items(messy, items)
