@@ -4,7 +4,11 @@ Numbers, units that follow a number, and names (a capital inside a sentence) bec
 placeholders; other words are lower-cased. Windows of the canonical words are hashed and
 hash-joined, so a question with other numbers or names has the windows of the original. Along
 one alignment of an item with a document the values must correspond: a value of the item stands for
-one value of the document wherever it occurs. Alignments that break this are no match.
+one value of the document wherever it occurs. Alignments that break this are no match, unless the whole item
+is there word for word.
+
+Windows of the plain lower-cased words are joined beside these. They need no literals and show no placeholders, so copies
+in upper or lower case, and copies of arithmetic and of lists, are found by them.
 
 Before the join, windows are tested against a bitmap of the benchmark's windows (2**23 bits,
 whatever the benchmark's size); it lets all true ones through, and the join is exact.
@@ -14,8 +18,8 @@ correspondence of values over all of it: the larger alignments come first, one t
 item is found in a document if one chain holds ``min_words`` of its words in windows, or the share
 ``min_share`` of its windows; what lies elsewhere in the document does not add to it. Items of under four words are not searched.
 
-Edge cases: null or empty texts have no windows, on either side; a window needs half of its words
-as literals, so tables of numbers match nothing; repeated rows and items give their own pairs,
+Edge cases: null or empty texts have no windows, on either side; a canonical window needs half of its words
+as literals, so tables of other numbers match nothing; repeated rows and items give their own pairs,
 once per (doc_id, item_id); an empty table on either side gives an empty result; null ids are
 kept as null; other columns are not read.
 """
@@ -43,7 +47,8 @@ UNITS = (
     "usd eur gbp dollar dollars euro euros cent cents pound pounds percent degree degrees w kw kwh v a hz khz mhz ghz b kb mb gb tb"
 ).split()
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (11, 13, 17))
-HIT = "id long, place int, hash long, slots array<long>"
+HIT = "id long, place int, hash long, plain boolean, slots array<long>"
+PLAIN = np.uint64(1 << 32)
 
 
 @lru_cache(maxsize=None)
@@ -100,11 +105,13 @@ def _windows(batches, sizes: list[int], bitmap):
             literals = np.concatenate([[0], np.cumsum(literal)])
             slots = np.flatnonzero(~literal)
             found = []
-            for size in sizes or [None]:
+            for size, plain in [(size, plain) for size in sizes or [None] for plain in (False, True)]:
                 for n in range(LEAST, WINDOW + 1) if size is None else [size]:
-                    grams = mix(gram_hash(hashes, n) + np.uint64(n))
+                    grams = mix(gram_hash(value if plain else hashes, n) + np.uint64(n) + plain * PLAIN)
                     at = np.arange(len(grams))
-                    ok = (text[at] == text[at + n - 1]) & (2 * (literals[at + n] - literals[at]) >= n)
+                    ok = text[at] == text[at + n - 1]
+                    if not plain:
+                        ok &= 2 * (literals[at + n] - literals[at]) >= n
                     if size is None:
                         # An item has windows of one size: the full one, or its length if it is shorter.
                         ok &= np.minimum(count[text[at]], WINDOW) == n
@@ -112,15 +119,15 @@ def _windows(batches, sizes: list[int], bitmap):
                         slot = (grams >> np.uint64(64 - BITMAP)).astype(np.int64)
                         ok &= (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
                     at = at[ok]
-                    found.append((at, grams[ok], np.full(len(at), n)))
-            at, grams, size = (np.concatenate(x) for x in zip(*found, strict=True))
-            a, b = np.searchsorted(slots, at), np.searchsorted(slots, at + size)
+                    found.append((at, grams[ok], np.full(len(at), n), np.full(len(at), plain)))
+            at, grams, size, plain = (np.concatenate(x) for x in zip(*found, strict=True))
+            a, b = np.searchsorted(slots, at), np.where(plain, np.searchsorted(slots, at), np.searchsorted(slots, at + size))
             held = [value[slots[i:j]].view(np.int64) for i, j in zip(a, b, strict=True)]
             offsets = np.concatenate([[0], np.cumsum(b - a)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(text[at])), pa.array((at - first[text[at]]).astype(np.int32)), pa.array(grams.view(np.int64)),
+                [part.column(0).take(pa.array(text[at])), pa.array((at - first[text[at]]).astype(np.int32)), pa.array(grams.view(np.int64)), pa.array(plain),
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*held, np.empty(0, np.int64)])))],
-                names=["id", "place", "hash", "slots"],
+                names=["id", "place", "hash", "plain", "slots"],
             )
 
 
@@ -129,8 +136,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_s
     many of their values the document has replaced."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(lambda it: _windows(it, [], None), HIT)
-    items = items.select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), "hash", F.col("slots").alias("item_slots")).distinct()
-    counts = items.groupBy("item_id").agg(F.countDistinct("item_place").alias("windows"))
+    items = items.select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), "hash", "plain", F.col("slots").alias("item_slots")).distinct()
+    counts = items.groupBy(F.coalesce("item_id", F.lit(-(2**63))).alias("item_key")).agg(
+        F.countDistinct(F.when(~F.col("plain"), F.col("item_place"))).alias("windows"), F.countDistinct("item_place").alias("every"))
     # At most 2**23 numbers, and at most five sizes.
     bits = np.zeros(1 << (BITMAP - 3), np.uint8)
     used = items.select(F.shiftrightunsigned("hash", 64 - BITMAP).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy()
@@ -139,34 +147,40 @@ def find_items(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_s
     sizes = sorted(r["size"] for r in lengths.collect())
     bitmap = spark.sparkContext.broadcast(bits.tobytes())
     hits = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _windows(it, sizes, bitmap) if sizes else iter(()), HIT)
-    met = hits.withColumnRenamed("id", "doc_id").join(items, "hash")
+    met = hits.withColumnRenamed("id", "doc_id").join(items, ["hash", "plain"])
     met = met.withColumn("shift", F.col("place") - F.col("item_place"))
     values = F.arrays_zip(F.col("item_slots").alias("was"), F.col("slots").alias("now"))
+    at = lambda plain: F.collect_set(F.when(F.col("plain") == plain, F.col("item_place")))
     along = met.groupBy("doc_id", "item_id", "shift").agg(
-        F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set(values))).alias("pairs"))
-    good = along.filter(_consistent(F.col("pairs")))
+        at(False).alias("places"), at(True).alias("same"), F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("plain"), values)))).alias("pairs"))
+    along = along.withColumn("item_key", F.coalesce("item_id", F.lit(-(2**63)))).join(counts, "item_key")
+    # An item that is there word for word needs no correspondence, and its values are its own.
+    whole = F.size("same") == F.col("every")
+    none = F.array().cast("array<struct<was:long,now:long>>")
+    good = along.filter(whole | _consistent(F.col("pairs"))).withColumn("pairs", F.when(whole, none).otherwise(F.col("pairs")))
     # Shifts in order; one that is over a window from the last begins a chain.
     order = Window.partitionBy("doc_id", "item_id").orderBy("shift")
     begins = F.coalesce((F.col("shift") - F.lag("shift").over(order) > WINDOW).cast("int"), F.lit(0))
     chains = good.withColumn("begins", begins).withColumn("chain", F.sum("begins").over(order))
-    part = F.struct((-F.size("places")).alias("order"), "shift", "places", "pairs")
-    chains = chains.groupBy("doc_id", "item_id", "chain").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    part = F.struct((-F.size(F.array_union("places", "same"))).alias("order"), "shift", "places", "same", "pairs")
+    chains = chains.groupBy("doc_id", "item_id", "chain").agg(
+        F.sort_array(F.collect_list(part)).alias("parts"), F.max("windows").alias("windows"), F.max("every").alias("every"))
 
     def joined(s, p):
         pairs = F.array_union(s["pairs"], p["pairs"])
-        return F.when(_consistent(pairs), F.struct(F.array_union(s["places"], p["places"]).alias("places"), pairs.alias("pairs"))).otherwise(s)
+        both = F.struct(F.array_union(s["places"], p["places"]).alias("places"), F.array_union(s["same"], p["same"]).alias("same"), pairs.alias("pairs"))
+        return F.when(_consistent(pairs), both).otherwise(s)
 
     first = F.get("parts", F.lit(0))
-    whole = F.aggregate(F.slice("parts", 2, F.size("parts")), F.struct(first["places"].alias("places"), first["pairs"].alias("pairs")), joined)
-    chains = chains.select("doc_id", "item_id", whole.alias("whole")).select(
-        "doc_id", "item_id", "whole.places", F.size(F.filter("whole.pairs", lambda p: p["was"] != p["now"])).cast("long").alias("changed"))
-    n = F.size("places").cast("long")
-    chains = chains.withColumn("item_key", F.coalesce("item_id", F.lit(-(2**63)))).join(
-        counts.select(F.coalesce("item_id", F.lit(-(2**63))).alias("item_key"), "windows"), "item_key")
+    united = F.aggregate(F.slice("parts", 2, F.size("parts")), F.struct(*[first[c].alias(c) for c in ("places", "same", "pairs")]), joined)
+    chains = chains.withColumn("_u", united).select(
+        "doc_id", "item_id", "windows", "every", F.size("_u.places").alias("n"), F.array_union("_u.places", "_u.same").alias("places"),
+        F.size(F.filter("_u.pairs", lambda p: p["was"] != p["now"])).cast("long").alias("changed"))
+    share = F.greatest(F.coalesce(F.try_divide("n", "windows"), F.lit(0.0)), F.size("places") / F.col("every"))
     # Neighbouring windows share all but one word.
     places = F.sort_array("places")
     words = F.aggregate(places, F.struct(F.lit(0).alias("sum"), F.lit(-(10**6)).alias("last")), lambda s, p: F.struct((s["sum"] + F.least(p - s["last"], F.lit(WINDOW))).alias("sum"), p.alias("last")), lambda s: s["sum"]).cast("long")
-    out = chains.select("doc_id", "item_id", words.alias("words"), (n / F.col("windows")).alias("share"), "changed")
+    out = chains.select("doc_id", "item_id", words.alias("words"), share.alias("share"), "changed")
     out = out.filter((F.col("words") >= min_words) | (F.col("share") >= min_share))
     return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("words", "share", "changed")).alias("best")).select("doc_id", "item_id", "best.*")
 

@@ -178,6 +178,16 @@ def test_items_by_chain(spark):
     assert {r.doc_id: r.words for r in find_items(docs, items).collect()} == {2: 20, 3: 52}
 
 
+def test_items_word_for_word(spark):
+    """Copies in another case, of numbers, of names, and whole copies are found by their plain words."""
+    names = "In the list Anna Peter Maria Oscar Felix Laura Clara Simon David Julia Martin Sophie Paul Emma"
+    sums = "3 + 4 = 7 and 12 - 5 = 7 and 6 * 8 = 48 and 81 / 9 = 9 and 15 + 16 = 31"
+    items = [(1, ITEM), (2, names), (3, sums)]
+    docs = [(1, "x y " + ITEM.upper()), (2, "x y " + ITEM.lower() + " z"), (3, "so " + names.lower()), (4, "so " + names + " z"), (5, "so " + sums), (6, sums.replace("4", "5").replace("12", "19").replace("81", "80").replace("15", "44"))]
+    found = find_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 3)} and all(r.changed == 0 and r.share == 1 for r in found)
+
+
 def test_items_odd_rows(spark, messy, empty):
     items = spark.createDataFrame([(None, "the quick brown fox jumps over the lazy dog near the river bank")], "item_id long, text string")
     kept = without_items(messy, items)
