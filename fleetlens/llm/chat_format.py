@@ -12,7 +12,7 @@ loss mask is a list of runs (chars, loss), three per turn: head, text, end.
 Edge cases: a null role or text is empty; turns are ordered by turn, then role and text, a null turn
 first; repeated rows are repeated turns; a null conv_id is a conversation; a record of an unknown
 layout keeps its row with null turns; an empty table gives an empty result; further columns change
-the fingerprint only if they are given to it. One conversation is one value in the end, so it
+the fingerprint of a table, further fields do not change that of a record. One conversation is one value in the end, so it
 has to fit into a task; many conversations never meet.
 """
 
@@ -34,6 +34,7 @@ TURN, END = "<|turn|>", "<|end|>"
 CONTROL = [TURN, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|startoftext|>"]
 MARK, SELF, CUT, LINE = "\ue000", "\ue001", "\ue002", "\ue003"
 TURNS = "array<struct<role:string,text:string>>"
+IDS = ("conv_id", "turn")
 
 
 @dataclass(frozen=True)
@@ -87,18 +88,25 @@ def field_paths(schema: T.DataType, above: str = "") -> list[str]:
 
 
 def record_fingerprint(record: Column) -> Column:
-    """The same fingerprint of a JSON record, to two levels."""
-    top = F.from_json(record, "map<string,string>")
-    nested = lambda k, v: F.transform(
-        F.coalesce(
-            F.when(F.ltrim(v).startswith("{"), F.map_keys(F.from_json(v, "map<string,string>"))),
-            F.when(F.ltrim(v).startswith("["), F.array_distinct(F.flatten(F.transform(F.from_json(v, "array<map<string,string>>"), F.map_keys)))),
-            F.array().cast("array<string>"),
-        ),
-        lambda inner: F.concat(k, F.lit("."), inner),
-    )
-    paths = F.flatten(F.transform(F.map_entries(top), lambda e: F.concat(F.array(e["key"]), nested(e["key"], e["value"]))))
-    return F.sha2(F.array_join(F.array_sort(paths), "\n"), 256)
+    """The same fingerprint of a JSON record, over the paths that mappings know. The types are those in the record,
+    so a text that is JSON itself stays a text; an object or array where a mapping has a text matches nothing."""
+    known = {p for m in MAPPINGS for p in m.paths}
+    whole = F.try_parse_json(record)
+    get = lambda key: F.try_variant_get(whole, f"$.{key}", "variant")
+    none, parts = F.array().cast("array<string>"), []
+    for key in sorted({p.split(".")[0] for p in known}):
+        value = get(key)
+        kind = F.schema_of_variant(value)
+        inner = sorted(p for p in known if p.startswith(key + "."))
+        if inner:
+            keys = F.array_distinct(F.flatten(F.transform(F.from_json(F.to_json(value), "array<map<string,string>>"), F.map_keys)))
+            deep = F.when(kind.startswith("ARRAY<"), F.array_intersect(F.transform(keys, lambda k: F.concat(F.lit(key + "."), k)), F.array(*[F.lit(p) for p in inner])))  # noqa: B023
+        else:
+            deep = F.when(kind.startswith("ARRAY<") | kind.startswith("OBJECT<"), F.array(F.lit(key + ".")))
+        # Ids are part of a layout with a row per turn only.
+        there = value.isNotNull() & get("role").isNotNull() if key in IDS else value.isNotNull()
+        parts.append(F.when(there, F.concat(F.array(F.lit(key)), F.coalesce(deep, none))).otherwise(none))
+    return F.sha2(F.array_join(F.array_sort(F.concat(*parts)), "\n"), 256)
 
 
 def turns_of_records(df: DataFrame, record: str, to: str = "turns") -> DataFrame:

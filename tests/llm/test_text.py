@@ -203,6 +203,21 @@ def test_records_of_many_layouts(spark):
     assert got[90] is None and got[91] is None
 
 
+def test_records_with_json_texts(spark):
+    """A text that is JSON is a text, and a further field changes nothing; an object in place of a text is another layout."""
+    call, rows = '{"ok": true, "args": {"a": 1}}', '[{"a": 1}, {"b": 2}]'
+    records = [
+        ({"prompt": rows, "response": call}, [("user", rows), ("assistant", call)]), ({"instruction": call, "output": rows, "id": 7}, [("user", call), ("assistant", rows)]),
+        ({"messages": [{"role": "user", "content": call, "name": "n"}], "id": "x", "tags": ["t"]}, [("user", call)]), ({"conv_id": 1, "prompt": "a", "completion": "b"}, [("user", "a"), ("assistant", "b")]),
+        ({"conv_id": 1, "turn": 0, "role": "user", "text": rows}, [("user", rows)]), ({"prompt": "a", "response": {"ok": True}}, None), ({"system": "s", "prompt": "a", "completion": "b"}, None),
+        ({"messages": json.dumps([{"role": "user", "content": "a"}])}, None),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _) in enumerate(records)], "id long, record string")
+    got = {r.id: r.turns for r in chat.turns_of_records(df, "record").collect()}
+    for i, (_, want) in enumerate(records):
+        assert (got[i] and [(t.role, t.text) for t in got[i]]) == want, i
+
+
 def test_format_is_reversible(spark):
     rows = [(1, 2, "assistant", "</s>[INST] ok [/INST]"), (1, 1, "user", "<|end|>\n<|turn|>x\n "), (1, 3, "we\nird", "<<|end|>"), (1, 4, "assistant", ""), (2, None, None, None), (2, 0, "assistant", "a"), (2, 0, "assistant", "a"), (None, 0, "user", "<s>")]
     out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
