@@ -118,6 +118,16 @@ def test_quality_separates(spark):
     assert kept[1, 0] > 0.98 and kept[0, 0] < 0.3
 
 
+def test_quality_of_unseen_texts(spark):
+    """Clean texts that the model has not seen are kept as trusted ones are, with little trusted text too."""
+    rng = np.random.default_rng(1)
+    rows = [(d, "".join(chr(97 + c) for c in rng.integers(0, 26, 300)), "xx") for d in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d, 1, 0) for d in range(40)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.keep for r in perplexity.quality(docs, labels).collect()}
+    assert sum(kept[d] for d in range(40)) == 40 and sum(kept[d] for d in range(40, 80)) >= 38
+
+
 def test_quality_odd_rows(spark, messy, empty):
     labels = spark.createDataFrame([(6, 1, 0), (6, 1, 0), (5, 1, 0), (8, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     rows = perplexity.quality(messy, labels).collect()
