@@ -186,14 +186,14 @@ def alignments(word: np.ndarray, by_word: dict[int, np.ndarray], t: Template) ->
     shift, owner = np.concatenate(shifts), np.concatenate(owner)
     both = np.unique(np.stack([shift, owner], 1), axis=0)
     shift, owner = both[:, 0], both[:, 1]
-    # Starts that more of the rare words share within the slack; the least one stands for them.
-    heads = np.unique(shift)
+    # Starts that enough of the rare words share within the slack, and how many of them exactly.
+    heads, exact = np.unique(shift, return_counts=True)
     agree = np.zeros(len(heads), np.int64)
     for k in range(len(rare)):
         own = shift[owner == k]
         at = np.searchsorted(own, heads)
         agree += (at < len(own)) & (own[np.minimum(at, len(own) - 1)] <= heads + t.slack)
-    heads = heads[agree >= need]
+    heads, exact = heads[agree >= need], exact[agree >= need]
     if not len(heads):
         return []
     # Mandatory phrases lie inside the stretch that the template takes from there.
@@ -203,7 +203,7 @@ def alignments(word: np.ndarray, by_word: dict[int, np.ndarray], t: Template) ->
         at = np.searchsorted(places, heads)
         inside = at < len(places)
         inside[inside] = places[at[inside]] + len(phrase) <= last[inside]
-        heads, last = heads[inside], last[inside]
+        heads, last, exact = heads[inside], last[inside], exact[inside]
     if not len(heads):
         return []
     got = np.zeros(len(heads))
@@ -213,15 +213,12 @@ def alignments(word: np.ndarray, by_word: dict[int, np.ndarray], t: Template) ->
             at = np.searchsorted(own, heads + j)
             got += t.weights[j] * ((at < len(own)) & (own[np.minimum(at, len(own) - 1)] <= heads + j + t.slack))
     score = got / t.weights.sum()
-    good = score >= t.share - 1e-9
-    out: list[tuple[int, float]] = []
-    for start, value in zip(heads[good].tolist(), score[good].tolist(), strict=True):
-        if not t.base and out and start <= out[-1][0] + t.slack:
-            if value > out[-1][1]:
-                out[-1] = (start, value)
-        else:
-            out.append((start, min(1.0, value)))
-    return out
+    good = np.flatnonzero(score >= t.share - 1e-9)
+    # Of neighbouring starts of an edited notice the best one stands for all.
+    group = np.cumsum(np.diff(heads[good], prepend=-1) > t.slack) if not t.base else np.arange(len(good))
+    order = good[np.lexsort((-exact[good], -np.round(score[good], 9), group))]
+    first = np.unique(np.sort(group), return_index=True)[1]
+    return [(int(heads[i]), min(1.0, float(score[i]))) for i in order[first]]
 
 
 def scan_text(word: np.ndarray, templates: list[Template], candidates) -> list[tuple[Template, int, float]]:
