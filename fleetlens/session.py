@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,25 +72,47 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-_STAGED: list[str] = []
+_STAGED: dict[str, list[str]] = {}
+_SCOPE: ContextVar[str] = ContextVar("scope", default="")
+
+
+def staged_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which belongs to the current scope."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(_SCOPE.get(), []).append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """A written Parquet table in the shared folder, for large results: later plans read
     only the columns they need."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _STAGED.append(path)
+    path = staged_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> int:
-    """Deletes every table that ``stage`` has written in this driver; call it once the results that
+@contextmanager
+def staging_scope(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables staged inside belong to ``name``; those of the scope's last use are deleted first.
+
+    For steps of a job that write their results: when the next step begins, nothing reads the
+    intermediate tables of the one before any more.
+    """
+    drop_staged(spark, name)
+    token = _SCOPE.set(name)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+
+
+def drop_staged(spark: SparkSession, scope: str | None = None) -> int:
+    """Deletes every table that ``stage`` has written in this driver, or in ``scope``; call it once the results that
     read them are written elsewhere. Gives the number of tables."""
-    count = len(_STAGED)
+    paths = [p for name in (list(_STAGED) if scope is None else [scope]) for p in _STAGED.pop(name, [])]
     conf = spark._jsc.hadoopConfiguration()
-    while _STAGED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
-    return count
+    return len(paths)

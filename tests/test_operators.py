@@ -154,11 +154,11 @@ def test_stream_counts(spark, tmp_path):
 def test_staged_tables_can_be_dropped(spark):
     from fleetlens import session
 
-    kept = list(session._STAGED)
+    kept = dict(session._STAGED)
     session._STAGED.clear()
     path = session.stage(spark.range(3), "staged").inputFiles()[0]
     assert session.drop_staged(spark) == 1 and not os.path.exists(path.removeprefix("file://"))
-    session._STAGED.extend(kept)
+    session._STAGED.update(kept)
 
 
 def test_crowded_time_is_cut_by_id(spark):
