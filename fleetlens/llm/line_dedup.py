@@ -10,8 +10,8 @@ A key is the line with ASCII white space stripped and A-Z in lower case. Two 64-
 stand for it, so texts are shuffled once only, to put the kept lines together.
 
 Edge cases: a null or empty text is one empty line; a line of under ``min_chars`` code points
-is always kept; each row of the input is one document, so repeated rows count, and every row
-with the largest doc_id keeps its lines; a null doc_id counts as smaller than any; an empty
+is always kept; documents are counted by doc_id, so rows that repeat one count once (a batch has to hold all
+of its rows) and every row with the largest doc_id keeps its lines; null doc_ids are one id, smaller than any; an empty
 table gives an empty result; other columns are passed through, whatever their names.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm.registry import query, table
-from fleetlens.session import shared_folder
+from fleetlens.session import staged_folder
 
 BLANK = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,7 +58,7 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, min_chars: int = 20, min_docs: int = 3, fanout: int = 4, folder: str | None = None):
         self.spark, self.min_chars, self.min_docs, self.fanout = spark, min_chars, min_docs, fanout
-        self.folder = folder or f"{shared_folder(spark)}/line-runs-{uuid.uuid4().hex}"
+        self.folder = folder or staged_folder(spark, "line-runs")
         self.levels: list[list[str]] = []
 
     def _write(self, rows: DataFrame, level: int) -> None:
@@ -76,7 +76,8 @@ class LineRuns:
         """One run of this batch; then levels that are full are compacted."""
         keys = F.array_distinct(F.filter(F.transform(lines_of(F.col("_text")), line_key), lambda k: F.length(k) >= self.min_chars))
         lines = _hashed(_doc(docs).select("_doc", F.explode(keys).alias("_key")))
-        self._write(lines.select(*HASHES, F.lit(1).cast("long").alias("n_docs"), F.col("_doc").alias("last_doc")), 0)
+        once = lines.groupBy(*HASHES, "_doc").agg(F.lit(1).cast("long").alias("n_docs"))
+        self._write(once.select(*HASHES, "n_docs", F.col("_doc").alias("last_doc")), 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []

@@ -44,7 +44,8 @@ from fleetlens.session import stage
 TILE_ROWS, TILE_ELEMENTS, DENSE = 1024, 2_000_000, 24
 #: Coarse counts take a hundredth of the room of sets, so their tiles hold more rows and each row goes to fewer blocks.
 COARSE_ROWS = 8192
-SKETCH = "doc_id long, n_shingles long, class int, h1 long, h2 long, own_keys array<long>, low_keys array<long>, own_counts binary, low_counts binary"
+SKETCH = "doc_id long, n_shingles long, class int, h1 long, h2 long, own_counts binary, low_counts binary"
+KEYS = "doc_id long, level int, keys array<long>"
 
 
 @lru_cache(maxsize=None)
@@ -121,25 +122,38 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.empty(0, np.uint64)]).view(np.int64)))
 
 
+def _classes(sets: list[np.ndarray], pct: int) -> np.ndarray:
+    return np.array([int(np.searchsorted(size_bounds(pct), len(u), "right")) - 1 for u in sets], np.int32)
+
+
 def _sketch(batches, words: int, pct: int):
-    bounds, none = size_bounds(pct), np.empty(0, np.uint64)
     for batch in batches:
         for part, sets in word_sets(batch, words):
-            nodes = part.column(0).fill_null(0).to_numpy()
-            named = part.column(0).is_valid().to_numpy(zero_copy_only=False)
-            own = np.array([int(np.searchsorted(bounds, len(u), "right")) - 1 for u in sets])
-            keys, counts = [], []
-            for level in (own, own - 1):
-                live = [len(u) > 0 and ok and c >= 0 for u, ok, c in zip(sets, named, level, strict=True)]
-                keys.append(_lists(local_stars(nodes, [part_keys(u, c, pct) if ok else none for u, c, ok in zip(sets, level.tolist(), live, strict=True)], level)))
-                counts.append(pa.array([coarse_counts(u, c, pct) if ok else None for u, c, ok in zip(sets, level.tolist(), live, strict=True)], pa.binary()))
+            own = _classes(sets, pct)
+            counts = [
+                pa.array([coarse_counts(u, c, pct) if len(u) and c >= 0 else None for u, c in zip(sets, level.tolist(), strict=True)], pa.binary()) for level in (own, own - 1)
+            ]
             sums = np.array([(mix(u).sum(dtype=np.uint64), mix(u + np.uint64(3)).sum(dtype=np.uint64)) for u in sets], np.uint64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(u) for u in sets], pa.int64()), pa.array(own.astype(np.int32)), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)), *keys, *counts],
-                names=["doc_id", "n_shingles", "class", "h1", "h2", "own_keys", "low_keys", "own_counts", "low_counts"],
+                [part.column(0), pa.array([len(u) for u in sets], pa.int64()), pa.array(own), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)), *counts],
+                names=["doc_id", "n_shingles", "class", "h1", "h2", "own_counts", "low_counts"],
             )
 
 
+def _level_keys(batches, words: int, pct: int):
+    """The candidate keys of every set with elements, a row for each of its two levels."""
+    for batch in batches:
+        for part, sets in word_sets(batch, words):
+            at = np.flatnonzero([len(u) > 0 for u in sets])
+            sets = [sets[i] for i in at]
+            nodes, own = part.column(0).take(pa.array(at)), _classes(sets, pct)
+            for level in (own, own - 1):
+                live = np.flatnonzero(level >= 0)
+                keys = [part_keys(sets[i], int(level[i]), pct) for i in live]
+                ids = nodes.take(pa.array(live))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(level[live]), _lists(local_stars(ids.to_numpy(), keys, level[live]))], names=["doc_id", "level", "keys"])
+
+
 def _stars(batches):
     """Rows sorted by key: an edge from the first node of a key to each other one."""
     key, first = None, None
@@ -180,7 +194,7 @@ def overlaps(block: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
         if len(rows):
             i, j = np.triu_indices(r, 1)
             codes.append((rows[:, i] * n + rows[:, j]).ravel())
-    out = np.bincount(np.concatenate([*codes, np.empty(0, np.int64)]), minlength=n * n).reshape(n, n).astype(np.float32)
+    out = np.bincount(np.concatenate([*codes, np.empty(0, np.int64)]), minlength=n * n).reshape(n, n).astype(np.int32)
     wide = np.flatnonzero(held > DENSE)
     for k in range(0, len(wide), 2048):
         some = wide[k : k + 2048]
@@ -188,7 +202,8 @@ def overlaps(block: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
         where = np.repeat(np.arange(len(some)), held[some])
         inside = np.arange(len(where)) - np.repeat(np.cumsum(held[some]) - held[some], held[some])
         strip[row[np.repeat(starts[some], held[some]) + inside], where] = 1
-        out += np.triu(strip @ strip.T, 1)
+        # A strip's own counts are exact in single precision; their sum is kept in whole numbers.
+        out += np.triu(strip @ strip.T, 1).astype(np.int32)
     return out
 
 
@@ -211,12 +226,12 @@ def _links(rows: list, pct: int):
     block = np.array([numbers[r[0]] for r in rows])
     side, node, copies = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
     sets = [np.frombuffer(r[4], np.uint64) for r in rows]
-    size = np.array([len(s) for s in sets], np.float64)
+    size = np.array([len(s) for s in sets], np.int64)
     both = overlaps(block, sets)
-    # 100 o >= pct (a + b - o), and in a block of two tiles only pairs of one row from each.
-    i, j = np.nonzero((both > 0) & (both * (100 + pct) >= pct * (size[:, None] + size[None, :])))
+    # 100 o >= pct (a + b - o), in 64 bits, and in a block of two tiles only pairs of one row from each.
+    i, j = np.nonzero(both)
     paired = np.array([r[5] for r in rows])
-    good = ~paired[i] | (side[i] != side[j])
+    good = (both[i, j].astype(np.int64) * (100 + pct) >= pct * (size[i] + size[j])) & (~paired[i] | (side[i] != side[j]))
     i, j = i[good], j[good]
     count = np.zeros(len(rows), np.int64)
     np.add.at(count, i, copies[j])
@@ -300,10 +315,17 @@ def by_block(dealt: DataFrame, weight: str, payload: str, pct: int, coarse: bool
 
 
 def sketches(docs: DataFrame, words: int, pct: int) -> DataFrame:
-    """Per document: size and 128-bit hash of its set, and its candidate keys."""
+    """Per document: size and 128-bit hash of its set, and coarse counts for its two levels."""
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _sketch(it, words, pct), SKETCH)
 
 
+def level_keys(docs: DataFrame, words: int, pct: int) -> DataFrame:
+    """(key, node) of every named document. There are hundreds a document, so they go to the shuffle without being staged."""
+    named = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+    found = named.mapInArrow(lambda it: _level_keys(it, words, pct), KEYS)
+    return found.select(F.explode("keys").alias("key"), F.xxhash64("doc_id", "level").alias("node"))
+
+
 def ngram_join(docs: DataFrame, words: int = 5, pct: int = 80) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest linked doc_id, over links of
     links; its own without any), n_links (other documents it is linked with itself).
@@ -314,8 +336,7 @@ def ngram_join(docs: DataFrame, words: int = 5, pct: int = 80) -> DataFrame:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     levels = [("own", 0), ("low", 1)]
     node = lambda below: F.xxhash64("doc_id", F.col("class") - below)
-    keyed = [known.filter("doc_id IS NOT NULL").select(F.explode(f"{which}_keys").alias("key"), node(below).alias("node")) for which, below in levels]
-    sorted_keys = keyed[0].union(keyed[1]).repartition(n, "key").sortWithinPartitions("key", "node")
+    sorted_keys = level_keys(docs, words, pct).repartition(n, "key").sortWithinPartitions("key", "node")
     clusters = components(sorted_keys.mapInArrow(_stars, "a long, b long").distinct())
 
     # A row per set and level, for sets that share a key with another one there.

@@ -288,7 +288,8 @@ def cards_of_run(m: Column, printed: bool, rest) -> Column:
             parts = F.concat(F.transform(spans, part), F.array(F.struct(joined(after, F.size(numbers)).alias("text"), F.lit(None).cast("string").alias("card"))))
             return F.flatten(F.transform(parts, lambda p: F.concat(rest(p["text"]), piece(F.when(p["card"].isNotNull(), "card"), F.coalesce(p["card"], F.lit(""))))))
 
-        return once(card_spans(F.transform(numbers, digits_of), printed), by)
+        # The groups once: each span reads a slice of them, so a run costs in proportion to its length.
+        return once(F.transform(numbers, digits_of), lambda groups: once(card_spans(groups, printed), by))
 
     return once(F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0)), cut)
 

@@ -193,3 +193,19 @@ def test_items_odd_rows(spark, messy, empty):
     kept = without_items(messy, items)
     assert kept.columns == messy.columns and sorted(r.doc_id for r in kept.filter("doc_id > 5").collect()) == [8, 9, 10, 11, 12]
     assert without_items(empty, items).count() == 0 and without_items(messy, items.limit(0)).count() == messy.count()
+
+
+def test_join_of_large_sets(spark):
+    """Exactly 85 % of two sets of over 90 000 shingles: beyond what single precision counts."""
+    common = " ".join(f"c{i}" for i in range(90_732))
+    rows = [(k, common + " " + " ".join(f"{'xy'[k]}{i}" for i in range(8005 + k))) for k in range(2)]
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85) == {0: (98_734, 0, 1), 1: (98_735, 0, 1)}
+
+
+def test_lines_of_repeated_ids(spark):
+    """Rows that repeat a doc_id are one document."""
+    rows = [(1, LINE), (1, LINE), (2, LINE), (None, "n" * 30), (None, "n" * 30), (3, "n" * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.n_dropped == 0 for r in dedup_lines(docs).collect())
+    more = docs.union(spark.createDataFrame([(4, LINE), (5, "n" * 30)], docs.schema))
+    assert sorted((r.doc_id or 0, r.n_dropped) for r in dedup_lines(more).collect()) == [(0, 1), (0, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 0), (5, 0)]
