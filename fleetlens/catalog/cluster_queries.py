@@ -50,30 +50,30 @@ def metric_series(t):
 
 @query(
     "metric_rate",
-    "SELECT bundle_id, series, id, round((value - pv) / s, 6) AS rate FROM (SELECT *, (epoch_us(ts) - epoch_us(pt)) / 1e6 AS s FROM "
-    f"(SELECT bundle_id, series, id, ts, value, lag(ts) OVER w AS pt, lag(value) OVER w AS pv FROM (SELECT *, {_SERIES} AS series FROM v_metrics WHERE name = 'metric_view') a "
-    "WINDOW w AS (PARTITION BY bundle_id, series ORDER BY ts, id)) b) c WHERE s > 0 AND (value - pv) / s >= 0",
+    "SELECT bundle_id, name, series, id, round((value - pv) / s, 6) AS rate FROM (SELECT *, (epoch_us(ts) - epoch_us(pt)) / 1e6 AS s FROM "
+    f"(SELECT bundle_id, name, series, id, ts, value, lag(ts) OVER w AS pt, lag(value) OVER w AS pv FROM (SELECT *, {_SERIES} AS series FROM v_metrics) a "
+    "WINDOW w AS (PARTITION BY bundle_id, name, series ORDER BY ts, id)) b) c WHERE s > 0 AND (value - pv) / s >= 0",
 )
 def metric_rate(t):
-    out = metrics.metric_rate(metrics.metric_series(samples(t), "metric_view"))
-    return out.select("bundle_id", "series", "id", F.round("rate", 6).alias("rate"))
+    out = metrics.metric_rate(metrics.metric_series(samples(t), None))
+    return out.select("bundle_id", "name", "series", "id", F.round("rate", 6).alias("rate"))
 
 
 _ENDS = (
-    f"SELECT bundle_id, shard, {_SERIES} AS series, arg_min(value, (ts, id)) AS v0, arg_max(value, (ts, id)) AS v1, "
-    "(epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS s FROM v_metrics WHERE name = 'metric_view' GROUP BY 1, 2, 3"
+    f"SELECT bundle_id, name, shard, {_SERIES} AS series, arg_min(value, (ts, id)) AS v0, arg_max(value, (ts, id)) AS v1, "
+    "(epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS s FROM v_metrics GROUP BY 1, 2, 3, 4"
 )
 
 
-@query("first_last_rate", f"SELECT bundle_id, shard, round(sum((v1 - v0) / s), 6) AS rate FROM ({_ENDS}) e WHERE s > 0 GROUP BY 1, 2")
+@query("first_last_rate", f"SELECT bundle_id, name, shard, round(sum((v1 - v0) / s), 6) AS rate FROM ({_ENDS}) e WHERE s > 0 GROUP BY 1, 2, 3")
 def first_last_rate(t):
-    out = metrics.first_last_rate(metrics.filter_metrics(samples(t), "metric_view"), by="shard")
+    out = metrics.first_last_rate(samples(t), by="shard", names=True)
     return out.withColumns(r6("rate"))
 
 
-@query("worst_rate", f"SELECT bundle_id, shard, round(max((v1 - v0) / s), 6) AS rate FROM ({_ENDS}) e WHERE s > 0 GROUP BY 1, 2")
+@query("worst_rate", f"SELECT bundle_id, name, shard, round(max((v1 - v0) / s), 6) AS rate FROM ({_ENDS}) e WHERE s > 0 GROUP BY 1, 2, 3")
 def worst_rate(t):
-    out = metrics.first_last_rate(metrics.filter_metrics(samples(t), "metric_view"), by="shard", how="max")
+    out = metrics.first_last_rate(samples(t), by="shard", how="max", names=True)
     return out.withColumns(r6("rate"))
 
 

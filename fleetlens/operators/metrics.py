@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.text import series_label
 from fleetlens.operators.logs import in_time_range
-from fleetlens.operators.windows import HOT_ROWS, previous_in_order
+from fleetlens.operators.windows import previous_in_order
 
 # Metric names.
 UTILIZATION = "vectorized_reactor_utilization"
@@ -53,20 +53,21 @@ def metric_names(metrics: DataFrame) -> DataFrame:
     return metrics.select("bundle_id", "name").distinct().orderBy("bundle_id", "name")
 
 
-def metric_series(metrics: DataFrame, name: str, start=None, end=None) -> DataFrame:
+def metric_series(metrics: DataFrame, name: str | None, start=None, end=None) -> DataFrame:
     """Long form (bundle_id, series, ts, id, value): a point per row. A series is never
-    gathered into one array, whose size would grow with the time span."""
-    rows = filter_metrics(metrics, name, None, start, end)
-    return rows.select(*node_keys(rows), series_label(F.col("labels")).alias("series"), "ts", "id", "value")
+    gathered into one array, whose size would grow with the time span. Without a name, the series of all
+    metrics, with their ``name``."""
+    rows = in_time_range(metrics, start, end) if name is None else filter_metrics(metrics, name, None, start, end)
+    return rows.select(*node_keys(rows), *(["name"] if name is None else []), series_label(F.col("labels")).alias("series"), "ts", "id", "value")
 
 
-def metric_rate(series: DataFrame, bucket_seconds: int = 3600, most: int = HOT_ROWS) -> DataFrame:
+def metric_rate(series: DataFrame, partitions: int | None = None) -> DataFrame:
     """Per-second change between neighbouring points of a series.
 
     Pairs without time between them and falls (a counter reset) give no row.
     """
     keys = [c for c in (*node_keys(series), "name") if c in series.columns] + ["series"]
-    paired = previous_in_order(series, keys, "ts", "id", ["ts", "value"], bucket_seconds, most)
+    paired = previous_in_order(series, keys, "ts", "id", ["ts", "value"], partitions)
     seconds = (F.unix_micros("ts") - F.unix_micros("prev.ts")) / 1e6
     rate = (F.col("value") - F.col("prev.value")) / F.col("seconds")
     return (
@@ -78,15 +79,16 @@ def metric_rate(series: DataFrame, bucket_seconds: int = 3600, most: int = HOT_R
     )
 
 
-def first_last_rate(metrics: DataFrame, by: str | None = None, how: str = "sum") -> DataFrame:
+def first_last_rate(metrics: DataFrame, by: str | None = None, how: str = "sum", names: bool = False) -> DataFrame:
     """(last - first) / seconds of every series, then summed (or the worst) per ``by`` label.
 
-    ``metrics`` holds one metric name. First and last come from one aggregation with
+    ``metrics`` holds one metric name, or with ``names`` any, whose results are kept apart. First and last come from one aggregation with
     partial results per task, not from ordered windows.
     """
     order = F.struct("ts", "id")
     point = F.struct("ts", "value")
-    ends = metrics.groupBy(*node_keys(metrics), series_label(F.col("labels")).alias("series")).agg(
+    own = node_keys(metrics) + (["name"] if names else [])
+    ends = metrics.groupBy(*own, series_label(F.col("labels")).alias("series")).agg(
         *([F.first(label(by)).alias(by)] if by else []),
         F.min_by(point, order).alias("first"),
         F.max_by(point, order).alias("last"),
@@ -94,7 +96,7 @@ def first_last_rate(metrics: DataFrame, by: str | None = None, how: str = "sum")
     seconds = (F.unix_micros("last.ts") - F.unix_micros("first.ts")) / 1e6
     rates = ends.withColumn("seconds", seconds).filter(F.col("seconds") > 0)
     rates = rates.withColumn("rate", (F.col("last.value") - F.col("first.value")) / F.col("seconds"))
-    keys = node_keys(metrics) + ([by] if by else ["series"])
+    keys = own + ([by] if by else ["series"])
     return rates.groupBy(*keys).agg((F.sum if how == "sum" else F.max)("rate").alias("rate"))
 
 

@@ -2,54 +2,73 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-
-HOT_ROWS = 1_000_000
-LEVELS = 3
-
-
-def _cut(df: DataFrame, keys: list[str], ts: str, id_: str, most: int) -> DataFrame:
-    """Adds ``_cut``: groups of ``keys`` with over ``most`` rows are numbered by equal steps of time, or of
-    the id where all rows of a group have one time. All others are 0."""
-    micros = F.unix_micros(ts)
-    sizes = df.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.min(micros).alias("_t0"), F.max(micros).alias("_t1"), F.min(id_).alias("_i0"), F.max(id_).alias("_i1"),
-    ).filter(F.col("_n") > most)
-    by_time = (micros - F.col("_t0")) / (F.col("_t1") - F.col("_t0") + 1)
-    by_id = (F.col(id_) - F.col("_i0")) / (F.col("_i1") - F.col("_i0") + 1)
-    share = F.when(F.col("_t1") > F.col("_t0"), by_time).otherwise(by_id)
-    number = F.coalesce(F.floor(share * F.ceil(F.col("_n") / most)), F.lit(0).cast("bigint"))
-    return df.join(sizes, keys, "left").withColumn("_cut", number).drop("_n", "_t0", "_t1", "_i0", "_i1")
-
-
-def previous_in_order(
-    df: DataFrame, keys: list[str], ts: str, id_: str, carry: list[str], bucket_seconds: int, most: int = HOT_ROWS
-) -> DataFrame:
+from pyspark.sql import types as T
+
+from fleetlens.session import stage
+
+
+def _with_previous(batches, keys: list[str], carry: list[str], part: int):
+    """Rows of one partition in order: ``prev`` is the row before of the same key; the first and the last row carry
+    the partition's number as ``_first`` and ``_last``."""
+
+    def numbered(n: int, at: int | None) -> pa.Array:
+        return pa.array(np.full(n, part, np.int32), mask=np.arange(n) != (-1 if at is None else at % n))
+
+    before, held = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            yield held.append_column("_last", numbered(held.num_rows, None))
+        rows = pa.Table.from_batches([batch])
+        whole = rows if before is None else pa.concat_tables([before, rows])
+        n = whole.num_rows - 1
+        same = pa.chunked_array([np.ones(n, bool)])
+        for key in keys:
+            same = pc.and_(same, pc.equal(whole[key].slice(1), whole[key].slice(0, n)))
+        other = pa.array(~same.to_numpy().astype(bool))
+        prev = pa.StructArray.from_arrays([whole[c].slice(0, n).combine_chunks() for c in carry], names=carry, mask=other)
+        if before is None:
+            prev = pa.concat_arrays([pa.nulls(1, prev.type), prev])
+        held = pa.record_batch([*batch.columns, prev, numbered(batch.num_rows, 0 if before is None else None)], names=[*batch.schema.names, "prev", "_first"])
+        before = rows.slice(batch.num_rows - 1)
+    if held is not None:
+        yield held.append_column("_last", numbered(held.num_rows, -1))
+
+
+def previous_in_order(df: DataFrame, keys: list[str], ts: str, id_: str, carry: list[str], partitions: int | None = None) -> DataFrame:
     """Adds ``prev``: a struct of the row before, per key, in (ts, id) order.
 
-    A plain ``lag`` per key sorts a whole key in one task. Here a key is split by time
-    buckets, and a bucket with over ``most`` rows is cut again, ``LEVELS`` times: by steps of time,
-    and by id once all rows of a cut have one time. So rows that crowd at one time are spread even if others
-    of the bucket are far from it. A task sorts one piece; the last row of the piece before is looked up
-    in a table with one row per piece. Keys must not be NULL. The plan is the same for every
-    distribution and runs nothing while it is built.
+    A plain ``lag`` per key sorts a whole key in one task. Here all rows are range-partitioned by
+    (key, ts, id), in the only shuffle of the rows, so a key of any size is cut where its rows lie, also if they share one time.
+    Tasks walk their rows in order and the result is staged. The first row of a partition then takes the last row of the
+    partition before, from a table with a row per partition, which is why that table can be broadcast.
+    Keys must not be NULL.
     """
-    df = df.withColumn("_bucket", F.floor(F.unix_seconds(ts) / bucket_seconds))
-    cuts = []
-    for level in range(LEVELS):
-        df = _cut(df, [*keys, "_bucket", *cuts], ts, id_, most).withColumnRenamed("_cut", f"_cut{level}")
-        cuts.append(f"_cut{level}")
-    df = df.withColumn("_piece", F.struct(*cuts)).drop(*cuts)
-    pieces = [*keys, "_bucket", "_piece"]
-    row, order = F.struct(*carry), F.struct(ts, id_)
-    local = df.withColumn("_prev", F.lag(row).over(Window.partitionBy(*pieces).orderBy(ts, id_)))
-    tails = df.groupBy(*pieces).agg(F.max_by(row, order).alias("_tail"))
-    across = Window.partitionBy(*keys).orderBy("_bucket", "_piece")
-    tails = tails.withColumn("_before", F.lag("_tail").over(across)).drop("_tail")
-    joined = local.join(tails, pieces, "left")
-    return joined.withColumn("prev", F.coalesce("_prev", "_before")).drop("_prev", "_before", "_bucket", "_piece")
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*keys, ts, id_]
+    kind = T.StructType([df.schema[c] for c in carry])
+    shape = T.StructType([*df.schema.fields, T.StructField("prev", kind), *[T.StructField(c, T.IntegerType()) for c in ("_first", "_last")]])
+
+    def walk(batches):
+        yield from _with_previous(batches, keys, carry, TaskContext.get().partitionId())
+
+    walked = stage(df.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(walk, shape), "in-order")
+    ends = walked.filter("_last IS NOT NULL").select("_last", F.struct(*dict.fromkeys([*keys, *carry])).alias("_row"))
+    # Partitions without rows have no end, so the next end is that of the partition whose first row follows.
+    across = ends.select("_row", F.lead("_last").over(Window.orderBy("_last")).alias("_first")).filter("_first IS NOT NULL")
+    joined = walked.join(F.broadcast(across), "_first", "left")
+    same_key = F.col("_row").isNotNull()
+    for key in keys:
+        same_key = same_key & (F.col(f"_row.{key}") == F.col(key))
+    border = F.when(same_key, F.struct(*[F.col(f"_row.{c}").alias(c) for c in carry]))
+    return joined.withColumn("prev", F.when(F.col("_first").isNull(), F.col("prev")).otherwise(border)).drop("_first", "_last", "_row")
 
 
 SALTS = 64

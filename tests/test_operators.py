@@ -36,15 +36,15 @@ def test_rate_like_model(spark):
             dt = (b[2] - a[2]).total_seconds()
             if dt > 0 and b[4] >= a[4]:
                 expected.append((series, b[3], round((b[4] - a[4]) / dt, 9)))
-    for bucket, most in ((1, 10**6), (60, 20), (3600, 10**6), (3600, 50), (10**9, 100), (10**9, 1)):
-        got = metrics.metric_rate(df, bucket, most).withColumn("rate", F.round("rate", 9))
-        assert rows(got, "series", "id", "rate") == sorted(expected, key=str), (bucket, most)
+    for partitions in (None, 1, 2, 40):
+        got = metrics.metric_rate(df, partitions).withColumn("rate", F.round("rate", 9))
+        assert rows(got, "series", "id", "rate") == sorted(expected, key=str), partitions
 
 
 def test_previous_with_one_time(spark):
-    """A bucket whose rows all have one time is cut by id."""
+    """Rows that all have one time are cut by id; other columns pass, and partitions may be empty."""
     df = spark.range(500).select(F.lit("k").alias("k"), F.lit(T0).cast("timestamp").alias("ts"), "id", (F.col("id") * 2).alias("v"))
-    got = previous_in_order(df, ["k"], "ts", "id", ["v"], 60, most=40).select("id", F.col("prev.v").alias("p")).collect()
+    got = previous_in_order(df.withColumn("m", F.create_map("k", "id")), ["k"], "ts", "id", ["v"], 700).select("id", F.col("prev.v").alias("p")).collect()
     assert sorted(tuple(r) for r in got) == [(i, None if i == 0 else 2 * (i - 1)) for i in range(500)]
 
 
@@ -161,12 +161,13 @@ def test_staged_tables_can_be_dropped(spark):
     session._STAGED.update(kept)
 
 
-def test_crowded_time_is_cut_by_id(spark):
-    from fleetlens.operators import windows
+def test_hot_key_is_spread_by_one_shuffle(spark):
+    """One key and one time for all rows but one: partitions of about equal size from one exchange of the rows."""
+    df = spark.range(20_000).select(F.lit("k").alias("k"), F.lit(T0 + timedelta(days=1)).cast("timestamp").alias("ts"), "id").withColumn("ts", F.when(F.col("id") == 7, T0).otherwise(F.col("ts")))
+    out = previous_in_order(df, ["k"], "ts", "id", ["id"], 8)
+    sizes = [r["count"] for r in df.repartitionByRange(8, "k", "ts", "id").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 3 * 20_000 / 8 and out.filter("prev IS NULL").count() == 1
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
 
-    data = [("k", T0 + timedelta(seconds=600 if i == 7 else 0), i) for i in range(1000)]
-    df = spark.createDataFrame(data, "k string, ts timestamp, id bigint").withColumn("_bucket", F.lit(0))
-    for level in range(windows.LEVELS):
-        df = windows._cut(df, ["k", "_bucket", *[f"_cut{n}" for n in range(level)]], "ts", "id", 100).withColumnRenamed("_cut", f"_cut{level}")
-    sizes = [r["count"] for r in df.groupBy(*[f"_cut{n}" for n in range(windows.LEVELS)]).count().collect()]
-    assert max(sizes) <= 101 and sum(sizes) == 1000
