@@ -2,7 +2,9 @@
 
 Lines are shuffled once, by (file, block). What crosses block borders - line offsets
 and lines that continue the entry of an earlier block - is settled on a table with one
-row per block and joined back on the same keys, so a huge file is never one task.
+row per block and joined back on the same keys, so a huge file is never one task. Entries
+are made of pieces of bounded size, numbered by running counts over blocks; those that are too
+large to be one value stay in pieces.
 """
 
 from __future__ import annotations
@@ -200,10 +202,16 @@ def file_names(fleet: Fleet):
 
 
 BLOCK = ["file_path", "block"]
+#: Text of one entry is cut after so many bytes, at the end of a line; parts are joined up to the second bound.
+PIECE_BYTES, ENTRY_BYTES = 1 << 20, 16 << 20
 
 
-def entries_by_block(lines: DataFrame, csv: bool = False) -> DataFrame:
-    """Entries as far as one block shows them; entry 0 is what precedes its first header."""
+def entries_by_block(lines: DataFrame, csv: bool = False, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """Entries as far as one block shows them, in pieces of some ``piece_bytes``; entry 0 is what precedes its first header.
+
+    Columns: block_lines and block_entries of the block; n, bytes, raw of the piece; the header's fields on piece 0,
+    where ``text`` is the message's part of the piece (on others it is the raw text).
+    """
     kept = F.length("line") >= 1
     # Shuffled as plain text and parsed behind the shuffle, whose partitioning the windows,
     # the aggregation and the joins below all share.
@@ -212,17 +220,22 @@ def entries_by_block(lines: DataFrame, csv: bool = False) -> DataFrame:
     opens = F.col("head").isNotNull().cast("bigint")
     ordered = Window.partitionBy(*BLOCK).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*BLOCK)
+    size = F.coalesce(F.octet_length("line") + 1, F.lit(0)).cast("bigint")
     local = parsed.withColumns(
         {
             "n": F.row_number().over(ordered).cast("bigint"),
             "entry": F.sum(opens).over(ordered),
             "block_lines": F.count("*").over(whole),
             "block_entries": F.sum(opens).over(whole),
+            "before": F.sum(size).over(ordered) - size,
         }
     )
+    # Bytes of the block before the entry began; an entry's piece is told by where in it a line begins.
+    began = F.coalesce(F.last(F.when(F.col("head").isNotNull(), F.col("before")), ignorenulls=True).over(ordered), F.lit(0).cast("bigint"))
+    local = local.withColumn("piece", F.floor((F.col("before") - began) / piece_bytes))
     number = F.when(F.col("line").isNotNull(), F.col("n"))
-    grouped = local.groupBy(*BLOCK, "entry").agg(
-        F.max("block_lines").alias("block_lines"), F.max("block_entries").alias("block_entries"), F.min(number).alias("n"),
+    grouped = local.groupBy(*BLOCK, "entry", "piece").agg(
+        F.max("block_lines").alias("block_lines"), F.max("block_entries").alias("block_entries"), F.min(number).alias("n"), F.sum(size).alias("bytes"),
         F.first("head", ignorenulls=True).alias("head"),
         F.collect_list(F.when(F.col("line").isNotNull(), F.struct("n", "line"))).alias("body"),
     )
@@ -231,66 +244,93 @@ def entries_by_block(lines: DataFrame, csv: bool = False) -> DataFrame:
     raw = F.when(alone, F.col("body")[0]["line"]).otherwise(F.array_join(lines_of, "\n"))
     rest = F.slice(lines_of, F.lit(2), F.greatest(F.size("body") - 1, F.lit(0)))
     message = F.when(alone, F.col("head.message")).otherwise(F.array_join(F.concat(F.array("head.message"), rest), "\n"))
-    lead = F.when((F.col("entry") == 0) & (F.size("body") > 0), F.struct("n", raw.alias("raw")))
-    opened = F.col("entry") > 0
+    filled = F.size("body") > 0
     return grouped.select(
-        *BLOCK, "entry", "block_lines", "block_entries", "n", "head.level", "head.ts", "head.shard", "head.component",
-        F.when(opened, message).alias("message"), F.when(opened, raw).alias("raw"), lead.alias("lead"),
+        *BLOCK, "entry", "piece", "block_lines", "block_entries", "n", "bytes", "head.level", "head.ts", "head.shard", "head.component",
+        F.when(filled, F.when(F.col("head").isNotNull(), message).otherwise(raw)).alias("text"), F.when(filled, raw).alias("raw"),
     )
 
 
 def _block_table(entries: DataFrame, name) -> DataFrame:
-    """One row per block: lines before it, bundle, node and number of its file, the block
-    whose last entry its leading lines continue (-1: none, they are an entry of their own)."""
-    blocks = entries.groupBy(*BLOCK).agg(F.max("block_lines").alias("lines"), F.max("block_entries").alias("entries"), F.max("lead").alias("lead"))
+    """One row per block, without any text: lines before it, bundle, node and number of its file; the block
+    whose last entry its leading lines continue (``owner``; -1: none, they are an entry of their own) and that entry's
+    number; how many pieces of that entry lie before them; whether later blocks continue its own last entry."""
+    lead, last = F.col("entry") == 0, (F.col("entry") > 0) & (F.col("entry") == F.col("block_entries"))
+    held = F.col("raw").isNotNull()
+    count = lambda what: F.sum(F.when(what & held, 1).otherwise(0)).cast("bigint")
+    blocks = entries.groupBy(*BLOCK).agg(
+        F.max("block_lines").alias("lines"), F.max("block_entries").alias("entries"), count(lead).alias("lead_pieces"), count(last).alias("last_pieces"))
     before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     files = name(blocks.select("file_path").distinct()).withColumn(
         "file_no", F.row_number().over(Window.partitionBy("bundle_id").orderBy("file_path")).cast("bigint")
     )
-    holder = F.last(F.when(F.col("entries") > 0, F.col("block")), ignorenulls=True).over(before)
-    return blocks.withColumns(
-        {"offset": F.coalesce(F.sum("lines").over(before), F.lit(0).cast("bigint")), "owner": F.coalesce(holder, F.lit(-1).cast("bigint"))}
-    ).join(files, "file_path")
-
-
-def stitch(entries: DataFrame, name, materialize: bool = False) -> DataFrame:
+    of_owner = lambda c: F.last(F.when(F.col("entries") > 0, F.col(c)), ignorenulls=True).over(before)
+    none = F.lit(0).cast("bigint")
+    blocks = blocks.withColumns({
+        "offset": F.coalesce(F.sum("lines").over(before), none), "owner": F.coalesce(of_owner("block"), F.lit(-1).cast("bigint")),
+        "owner_entry": F.coalesce(of_owner("entries"), none), "owner_pieces": F.coalesce(of_owner("last_pieces"), none)})
+    chain = Window.partitionBy("file_path", "owner").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("pieces_before", F.col("owner_pieces") + F.coalesce(F.sum("lead_pieces").over(chain), none))
+    continued = blocks.filter("owner >= 0 AND lead_pieces > 0").select("file_path", F.col("owner").alias("block"), F.lit(True).alias("continued")).distinct()
+    return blocks.join(continued, BLOCK, "left").join(files, "file_path").select(
+        *BLOCK, "offset", "owner", "owner_entry", "pieces_before", "continued", "bundle_id", "node", "file_no")
+
+
+def stitch(entries: DataFrame, name, materialize: bool = False, piece_bytes: int = PIECE_BYTES, entry_bytes: int = ENTRY_BYTES) -> DataFrame:
     """Entries of whole files: line numbers over blocks, and continuations over borders.
-    ``name`` adds bundle_id and node to a table of file paths."""
+    ``name`` adds bundle_id and node to a table of file paths.
+
+    An entry that lies in one piece of one block passes as it is. The pieces of any other are joined where they have
+    ``entry_bytes`` together at most. A larger entry stays in rows of one piece each, in order of ``piece``
+    (0 for all other rows): each has the header's level, time, shard and component and the number of its own first line, and
+    no task ever holds the whole.
+    """
     blocks = _block_table(entries, name)
     blocks = cut_lineage(blocks) if materialize else blocks
-    pieces = F.transform(F.sort_array(F.collect_list(F.struct("block", "lead.raw"))), lambda x: x["raw"])
     file_columns = ["bundle_id", "node", "file_no"]
-    leads = blocks.filter(F.col("lead").isNotNull()).groupBy("file_path", F.col("owner").alias("block")).agg(
-        *[F.min(c).alias(c) for c in file_columns], F.min(F.col("offset") + F.col("lead.n")).alias("line_number"), F.array_join(pieces, "\n").alias("tail")
-    )
-    # The small tables meet first, so the entries are joined once, on their own partitioning.
-    info = blocks.select(*BLOCK, "offset", *file_columns).join(leads.filter("block >= 0").select(*BLOCK, "tail"), BLOCK, "left")
-    opened = entries.filter("entry > 0").join(info, BLOCK)
-    last = F.col("entry") == F.col("block_entries")
-    end = F.when(last & F.col("tail").isNotNull(), F.concat(F.lit("\n"), F.col("tail"))).otherwise("")
-    whole = opened.select(
-        *file_columns, "file_path", (F.col("offset") + F.col("n")).alias("line_number"), "level", "ts", "shard", "component",
-        F.concat("message", end).alias("message"), F.concat("raw", end).alias("raw"),
-    )
-    orphans = leads.filter("block < 0").select(
-        *file_columns, "file_path", "line_number", F.lit("INFO").alias("level"), F.lit(None).cast("timestamp").alias("ts"),
-        F.lit(None).cast("string").alias("shard"), F.lit("stdout").alias("component"), F.col("tail").alias("message"), F.col("tail").alias("raw"),
-    )
-    both = whole.unionByName(orphans)
+    placed = entries.filter(F.col("raw").isNotNull()).join(blocks, BLOCK)
+    lead = F.col("entry") == 0
+    last = F.coalesce("continued", F.lit(False)) & (F.col("entry") == F.col("block_entries"))
+    apart = lead | (F.col("piece") > 0) | (F.col("bytes") >= piece_bytes) | last
+    line_number = (F.col("offset") + F.col("n")).alias("line_number")
+    simple = placed.filter(~apart).select(
+        *file_columns, "file_path", line_number, "level", "ts", "shard", "component", F.col("text").alias("message"), "raw", F.lit(0).cast("bigint").alias("piece"))
+
+    head = F.when(F.col("level").isNotNull(), F.struct("level", "ts", "shard", "component"))
+    pieces = placed.filter(apart).select(
+        *file_columns, "file_path", F.when(lead, F.col("owner")).otherwise(F.col("block")).alias("_block"), F.when(lead, F.col("owner_entry")).otherwise(F.col("entry")).alias("_entry"),
+        line_number, (F.col("piece") + F.when(lead, F.col("pieces_before")).otherwise(0)).alias("piece"), "bytes", head.alias("head"), F.col("text").alias("message"), "raw")
+    key = ["file_path", "_block", "_entry"]
+    pieces = stage(pieces, "entry-pieces") if materialize else pieces
+    sizes = pieces.groupBy(*key).agg(F.sum("bytes").alias("_bytes"), F.first("head", ignorenulls=True).alias("_head"))
+    sized = pieces.join(sizes, key)
+    small, large = F.col("_bytes") <= entry_bytes, F.col("_bytes") > entry_bytes
+    default = lambda field, value: F.coalesce(F.col(f"_head.{field}"), value).alias(field)
+    fields = [default("level", F.when(F.col("_head").isNull(), "INFO")), F.col("_head.ts").alias("ts"), F.col("_head.shard").alias("shard"), default("component", F.when(F.col("_head").isNull(), "stdout"))]
+    ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", c))), lambda x: x[c]), "\n").alias(c)
+    joined = sized.filter(small).groupBy(*key).agg(
+        *[F.min(c).alias(c) for c in file_columns], F.min("line_number").alias("line_number"), ordered("message"), ordered("raw"), F.first("_head").alias("_head"))
+    joined = joined.select(*file_columns, "file_path", "line_number", *fields, "message", "raw", F.lit(0).cast("bigint").alias("piece"))
+    cut = sized.filter(large).select(*file_columns, "file_path", "line_number", *fields, "message", "raw", "piece")
+    both = simple.unionByName(joined).unionByName(cut)
     # Unique and in line order within a bundle: file number above 40 bits of line number.
     return both.select(
         "bundle_id", (F.shiftleft("file_no", 40) + F.col("line_number")).alias("id"), "ts", "level", "node", "shard", "component", "message",
-        "raw", "line_number", "file_path",
+        "raw", "line_number", "file_path", "piece",
     )
 
 
-def scan_logs(fleet: Fleet, logs_only: bool = False, materialize: bool = True) -> DataFrame:
+def scan_logs(
+    fleet: Fleet, logs_only: bool = False, materialize: bool = True, piece_bytes: int = PIECE_BYTES, entry_bytes: int = ENTRY_BYTES
+) -> DataFrame:
     """Log entries (bundle_id, id, ts, level, node, shard, component, message, raw,
-    line_number, file_path) of all bundles.
+    line_number, file_path, piece) of all bundles; ``piece`` is over 0 for the further rows of an entry of over
+    ``entry_bytes`` bytes.
 
     With ``materialize`` the entries by block are written once to the shared folder, so
     the text is read, shuffled and parsed once; the block table then reads a few narrow
     columns of it. Without it the plan is lazy and parses once per use.
     """
-    entries = entries_by_block(scan_lines(fleet, logs_only)).unionByName(entries_by_block(scan_lines(fleet, logs_only, csv=True), csv=True))
-    return stitch(stage(entries, "log-entries") if materialize else entries, file_names(fleet), materialize)
+    entries = entries_by_block(scan_lines(fleet, logs_only), piece_bytes=piece_bytes)
+    entries = entries.unionByName(entries_by_block(scan_lines(fleet, logs_only, csv=True), csv=True, piece_bytes=piece_bytes))
+    return stitch(stage(entries, "log-entries") if materialize else entries, file_names(fleet), materialize, piece_bytes, entry_bytes)

@@ -98,6 +98,53 @@ def test_stitch_any_split(spark, fleet_dir, split):
     assert len({(r["bundle_id"], r["id"]) for r in rows}) == len(rows)
 
 
+def scan_in_splits(spark, fleet, split, **options):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        return src.scan_logs(fleet, **options).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_file_without_headers_stays_in_pieces(spark, fleet_dir):
+    """200 000 lines that no header opens: rows of bounded size that give the file back in order."""
+    lines = [f"plain line {i} of a file that has no header" for i in range(200_000)]
+    fleet_dir("b1", "redpanda.log", "\n".join(lines) + "\n")
+    found = sorted(scan_in_splits(spark, Fleet(spark, fleet_dir.root), 300_000, piece_bytes=50_000, entry_bytes=1_000_000), key=lambda r: r["piece"])
+    assert [r["piece"] for r in found] == list(range(len(found))) and len(found) > 150
+    assert max(len(r["raw"]) for r in found) < 51_000 and "\n".join(r["raw"] for r in found) == "\n".join(lines)
+    assert all(r["message"] == r["raw"] and r["component"] == "stdout" and r["level"] == "INFO" for r in found)
+    assert [r["line_number"] for r in found] == sorted(r["line_number"] for r in found) and len({r["id"] for r in found}) == len(found)
+    for r in found[:5]:
+        assert r["raw"].split("\n")[0] == lines[r["line_number"] - 1]
+
+
+@pytest.mark.parametrize("split", [400, 3000, 1 << 27])
+@pytest.mark.parametrize("entry_bytes", [0, 500, 1 << 20])
+def test_pieces_like_model(spark, fleet_dir, split, entry_bytes):
+    """Entries over the bound come in pieces, others whole, at every split size."""
+    text = make_log(120, lead=30)
+    fleet_dir("b1", "redpanda.log", text)
+    found = scan_in_splits(spark, Fleet(spark, fleet_dir.root), split, piece_bytes=90, entry_bytes=entry_bytes)
+    rows = sorted((r["line_number"], r["piece"], r["message"], r["raw"], r["level"], r["component"]) for r in found)
+    whole, at = [], []
+    for number, piece, message, raw, level, component in rows:
+        if piece == 0:
+            whole.append([number, message, raw])
+            at.append((level, component, 0))
+        else:
+            assert piece == at[-1][2] + 1 and (level, component) == at[-1][:2]
+            at[-1] = (level, component, piece)
+            whole[-1][1] += "\n" + message
+            whole[-1][2] += "\n" + raw
+    assert [tuple(e) for e in whole] == stitched_model(text)
+    sizes = [sum(len(x) + 1 for x in e[2].split("\n")) for e in whole]
+    assert all(a[2] == 0 for a, n in zip(at, sizes) if n <= entry_bytes)
+
+
 def test_files_nodes_and_encodings(spark, fleet_dir):
     line = "WARN  2024-01-01 00:00:01,250 [shard 3:main] raft - slów reply"
     fleet_dir("b1", "redpanda.log", line + "\r\nmore\r\n")
