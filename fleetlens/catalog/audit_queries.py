@@ -149,6 +149,24 @@ def log_audit(t):
     return audit.audit({"logs": t.v_logs}, only={"log_checks"}).select("bundle_id", "name", "status")
 
 
+_MOVES = (
+    "SELECT bundle_id, id, ts, CASE WHEN level = 'ERROR' AND id % 41 = 7 AND bundle_id = 'bundle-1' THEN 'no nodes are available to perform allocation' "
+    "WHEN level = 'INFO' THEN concat('attempt to move replica ', CAST(id AS STRING), CASE WHEN id % 89 = 3 AND bundle_id <> 'bundle-2' THEN ' failed' ELSE ' done' END) ELSE message END AS message FROM v_logs"
+)
+
+
+@query(
+    "move_audit",
+    f"SELECT bundle_id, CASE WHEN count(*) FILTER (contains(message, 'no nodes')) > 0 THEN 'Rebalance Failure (Hard Constraints)' ELSE 'Partition Move Failed' END AS name, "
+    "CASE WHEN count(*) FILTER (contains(message, 'no nodes')) > 0 THEN 'Critical' ELSE 'Warning' END AS status "
+    f"FROM ({_MOVES}) m WHERE contains(message, 'no nodes') OR contains(message, 'replica') AND contains(message, 'failed') GROUP BY 1",
+)
+def move_audit(t):
+    """Failed moves of a bundle, most of them behind many that went well."""
+    logs = t.sql(_MOVES)
+    return audit.audit({"logs": logs}, only={"log_checks"}).filter("check = 'C14'").select("bundle_id", "name", "status")
+
+
 @query(
     "leader_audit",
     "SELECT l.bundle_id, concat('Leader Imbalance (Node ', l.leader, ')') AS name FROM v_leaders l GROUP BY l.bundle_id, l.leader "

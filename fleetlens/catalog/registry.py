@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.catalog.views import view, with_views
+from fleetlens.catalog.views import select, view, with_views
 
 
 class Tables:
@@ -18,6 +18,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return view(self._spark, self._dir, name)
 
+    def sql(self, text: str) -> DataFrame:
+        """A query over views, written for both engines."""
+        return select(self._spark, self._dir, text)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}

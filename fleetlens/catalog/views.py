@@ -204,8 +204,12 @@ def with_views(sql: str) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One view (or driver table) as a DataFrame; only the tables it reads are opened."""
+    return select(spark, sf_dir, f"SELECT * FROM {name}")
+
+
+def select(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """The rows of a query over views and driver tables."""
     pin_utc(spark)
-    text = f"SELECT * FROM {name}"
     sql = with_views(text)
     for table in SOURCES:
         if re.search(rf"\b{table}\b", sql):

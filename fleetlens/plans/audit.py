@@ -465,22 +465,24 @@ STALL_TEXT, NO_NODE_TEXT, MOVE_TEXT = "Reactor stalled", "no nodes are available
 CHURN_TEXT = "Accepted new connection"
 
 
-NEWEST, NEWEST_MOVES, CHURN_HITS, CHURN_SECONDS = 100, 10, 50, 10
+NEWEST, CHURN_HITS, CHURN_SECONDS = 100, 50, 10
 
 
 @group("logs")
 def log_checks(t) -> DataFrame:
-    """C11, C14 and C22 from one scan: the newest hits of every search text per bundle. The
-    limit per key is applied before the shuffle, so a chatty bundle costs no more."""
+    """C11, C14 and C22 from one scan: the newest hits of every search text per bundle, of moves those that
+    failed, however many others follow. The limit per key is applied before the shuffle, so a chatty bundle costs no more."""
     message, f = F.col("message"), F.col
     tests = {"stalls": STALL_TEXT, "no_node": NO_NODE_TEXT, "moves": MOVE_TEXT, "churn": CHURN_TEXT}
-    hits = [F.when(log_ops.search_predicate(query, message), F.lit(name)) for name, query in tests.items()]
-    rows = t["logs"].select("bundle_id", "ts", "id", F.contains(message, F.lit("failed")).alias("failed"), F.explode(F.array_compact(F.array(*hits))).alias("text"))
-    newest = top_per_key(rows, ["bundle_id", "text"], [f("ts").desc(), f("id").desc()], NEWEST, rank="rank", salt_by="id")
+    failed = F.contains(message, F.lit("failed"))
+    found = lambda name, query: log_ops.search_predicate(query, message) & (failed if name == "moves" else F.lit(True))
+    hits = [F.when(found(name, query), F.lit(name)) for name, query in tests.items()]
+    rows = t["logs"].select("bundle_id", "ts", "id", F.explode(F.array_compact(F.array(*hits))).alias("text"))
+    newest = top_per_key(rows, ["bundle_id", "text"], [f("ts").desc(), f("id").desc()], NEWEST, salt_by="id")
     churn = F.when(f("text") == "churn", f("ts"))
     df = newest.groupBy("bundle_id").agg(
         F.bool_or(f("text") == "stalls").alias("stalls"), F.bool_or(f("text") == "no_node").alias("no_node"),
-        F.bool_or((f("text") == "moves") & (f("rank") <= NEWEST_MOVES) & f("failed")).alias("failed"),
+        F.bool_or(f("text") == "moves").alias("failed"),
         F.count(churn).alias("hits"), ((F.unix_micros(F.max(churn)) - F.unix_micros(F.min(churn))) / 1e6).alias("seconds"))
     burst = (f("hits") >= CHURN_HITS) & (f("seconds") > 0) & (f("seconds") < CHURN_SECONDS)
     return emit(
