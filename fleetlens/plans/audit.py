@@ -103,7 +103,7 @@ def sysctl_checks(t) -> DataFrame:
         hosts = t["bundles"].select("bundle_id").join(nodes, "bundle_id", "left")
         kvs = setting_map(facts, SYSCTL_KEYS, ("bundle_id", "node"))
         df = hosts.join(kvs, ["bundle_id", "node"], "left").withColumn("kv", F.coalesce("kv", F.create_map().cast("map<string,string>")))
-        what = F.when(F.col("node").isNull(), what).otherwise(F.concat(F.lit("kernel setting of "), "node"))
+        what = F.when(F.coalesce("node", F.lit("")) == "", what).otherwise(F.concat(F.lit("kernel setting of "), "node"))
     else:
         df = with_settings_map(t["bundles"], facts, SYSCTL_KEYS)
     kv = F.col("kv")

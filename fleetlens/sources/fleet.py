@@ -8,15 +8,41 @@ A fleet is one or more root folders whose direct children are bundles:
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-FILE_COLUMNS = "bundle_id string, file_path string, file_name string"
+
+def glob_pattern(glob: str) -> str:
+    """Regular expression of a file glob: ``*`` and ``?`` stay inside a folder, ``[!a]`` and ``{a,b}`` as in shells."""
+    out, depth = "", 0
+    for part in re.findall(r"\[!?[^\]]*\]|[*?{},]|[^\[*?{},]+", glob):
+        if part in "*?":
+            out += {"*": "[^/]*", "?": "[^/]"}[part]
+        elif part[0] == "[":
+            out += part.replace("[!", "[^", 1)
+        elif part == "{":
+            out, depth = out + "(?:", depth + 1
+        elif part == "}" and depth:
+            out, depth = out + ")", depth - 1
+        elif part == "," and depth:
+            out += "|"
+        else:
+            out += re.escape(part)
+    return out
 
 
 class Fleet:
+    """All bundles below some roots.
+
+    The files are listed once per fleet and kind of read (as lines, as bytes), with all their names, by Spark's own
+    listing, which is a job where there are many folders. Every reader is a filter on the paths of one
+    of these two tables: the filter is applied to the listing, so only matching files are opened. Files
+    that appear later belong to a new ``Fleet``.
+    """
+
     def __init__(self, spark: SparkSession, *roots: str):
         self.spark = spark
         self.roots = [r.rstrip("/") for r in roots]
@@ -25,73 +51,61 @@ class Fleet:
     def _path(self, text: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(text)
 
-    def matching(self, *relative: str) -> list[str]:
-        """Patterns below the bundles that match anything at all."""
-        conf = self.spark._jsc.hadoopConfiguration()
-        found = []
-        for root in self.roots:
-            for rel in relative:
-                path = self._path(f"{root}/*/{rel}")
-                if path.getFileSystem(conf).globStatus(path):
-                    found.append(f"{root}/*/{rel}")
-        return found
-
-    def files(self, *relative: str) -> list[str]:
-        """The matching files themselves, without folders."""
-        conf = self.spark._jsc.hadoopConfiguration()
-        found = []
-        for root in self.roots:
-            for rel in relative:
-                path = self._path(f"{root}/*/{rel}")
-                hits = path.getFileSystem(conf).globStatus(path)
-                found += [s.getPath().toString() for s in hits or [] if s.isFile()]
-        return found
+    @cached_property
+    def _lines(self) -> DataFrame:
+        """(file_path, block, modified, value)."""
+        m = "_metadata"
+        rows = self.spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(self.roots)
+        return rows.select(F.col(f"{m}.file_path").alias("file_path"), F.col(f"{m}.file_block_start").alias("block"), F.col(f"{m}.file_modification_time").alias("modified"), "value")
+
+    @cached_property
+    def _bytes(self) -> DataFrame:
+        """(file_path, length, modified, content)."""
+        rows = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.roots)
+        return rows.select(F.col("_metadata.file_path").alias("file_path"), "length", F.col("modificationTime").alias("modified"), "content")
+
+    def matches(self, *relative: str, below: bool = False, name_glob: str | None = None) -> Column:
+        """Whether a file is one of the patterns below its bundle, or lies anywhere below one."""
+        roots = "|".join(re.escape(p) for p in self._root_paths)
+        kinds = "|".join(glob_pattern(r) for r in relative)
+        tail = (r"/(?:.*/)?" + glob_pattern(name_glob or "*")) if below else ""
+        return F.col("file_path").rlike(rf"(?:\A|:/*)(?:{roots})/[^/]+/(?:{kinds}){tail}\z")
+
+    def manifest(self) -> DataFrame:
+        """(bundle_id, node, kind, file_path, file_name, length, modified) of every file: ``kind`` is the folder in the
+        bundle (empty: its top), ``node`` the folder below that, if there is one."""
+        path = F.col("file_path")
+        inside = F.regexp_replace(path, rf"\A.*?(?:{'|'.join(re.escape(p) for p in self._root_paths)})/[^/]+/", "")
+        parts = F.split(inside, "/")
+        return self._bytes.select(
+            self.bundle_of(path).alias("bundle_id"), F.when(F.size(parts) > 2, parts[1]).otherwise("").alias("node"),
+            F.when(F.size(parts) > 1, parts[0]).otherwise("").alias("kind"), path, F.element_at(parts, -1).alias("file_name"), "length", "modified",
+        )
 
     def bundle_of(self, path: Column) -> Column:
         roots = "|".join(re.escape(p) for p in self._root_paths)
         return F.regexp_extract(path, rf"(?:{roots})/([^/]+)/", 1)
 
     def _with_file(self, df: DataFrame, *columns: str) -> DataFrame:
-        path = F.col("_metadata.file_path")
-        return df.select(
-            self.bundle_of(path).alias("bundle_id"), path.alias("file_path"),
-            F.substring_index(path, "/", -1).alias("file_name"), *columns,
-        )
-
-    def empty(self, schema: str) -> DataFrame:
-        return self.spark.createDataFrame([], schema)
+        path = F.col("file_path")
+        return df.select(self.bundle_of(path).alias("bundle_id"), path, F.substring_index(path, "/", -1).alias("file_name"), *columns)
 
     def lines(self, *relative: str, **options) -> DataFrame:
-        """(bundle_id, file_path, file_name, block, pos, value): a row per line."""
-        path = F.col("file_path")
-        return self.raw_lines(*relative, **options).select(
-            self.bundle_of(path).alias("bundle_id"), path, F.substring_index(path, "/", -1).alias("file_name"), "block", "pos", "value"
-        )
+        """(bundle_id, file_path, file_name, block, pos, modified, value): a row per line."""
+        return self._with_file(self.raw_lines(*relative, **options), "block", "pos", "modified", "value")
 
-    def raw_lines(
-        self, *relative: str, recursive: bool = False, name_glob: str | None = None, files_only: bool = False
-    ) -> DataFrame:
-        """(file_path, block, pos, value), without anything derived from the path per line.
+    def raw_lines(self, *relative: str, recursive: bool = False, name_glob: str | None = None) -> DataFrame:
+        """(file_path, block, pos, modified, value), without anything derived from the path per line.
 
-        ``pos`` orders the lines of one block of one file. Only LF ends a line.
+        ``pos`` orders the lines of one block of one file. Only LF ends a line. ``recursive`` takes all files below
+        the folders that the patterns name, whose own names match ``name_glob``.
         """
-        paths = self.files(*relative) if files_only else self.matching(*relative)
-        if not paths:
-            return self.empty("file_path string, block bigint, pos bigint, value string")
-        reader = self.spark.read.option("lineSep", "\n").option("recursiveFileLookup", str(recursive).lower())
-        if name_glob:
-            reader = reader.option("pathGlobFilter", name_glob)
-        return reader.text(paths).select(
-            F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("pos"), "value",
-        )
+        return self._lines.filter(self.matches(*relative, below=recursive, name_glob=name_glob)).select(
+            "file_path", "block", F.monotonically_increasing_id().alias("pos"), "modified", "value")
 
     def documents(self, *relative: str) -> DataFrame:
         """(bundle_id, file_path, file_name, value): a row per small file, read whole."""
-        paths = self.matching(*relative)
-        if not paths:
-            return self.empty(FILE_COLUMNS + ", value string")
-        return self._with_file(self.spark.read.text(paths, wholetext=True), "value")
+        return self._with_file(self._bytes.filter(self.matches(*relative)), F.col("content").cast("string").alias("value"))
 
     def json(self, schema: str | StructType, *relative: str) -> DataFrame:
         """Documents decoded with a fixed schema into ``doc``; unknown keys are ignored, and
@@ -106,16 +120,28 @@ class Fleet:
 
     def binary(self, *relative: str, content: bool = True) -> DataFrame:
         """Files as bytes; without ``content`` only names and lengths are read."""
-        paths = self.matching(*relative)
-        if not paths:
-            return self.empty(FILE_COLUMNS + ", length bigint" + (", content binary" if content else ""))
-        raw = self.spark.read.format("binaryFile").load(paths)
-        path = F.col("path")
-        columns = ["length"] + (["content"] if content else [])
-        return raw.select(
-            self.bundle_of(path).alias("bundle_id"), path.alias("file_path"),
-            F.substring_index(path, "/", -1).alias("file_name"), *columns,
-        )
+        return self._with_file(self._bytes.filter(self.matches(*relative)), "length", *(["content"] if content else []))
+
+
+class TableFleet(Fleet):
+    """Bundles whose files are rows of a table: (bundle_id, path below the bundle, content as text), such as
+    an archive that was unpacked into one. All readers work on it as on files."""
+
+    def __init__(self, files: DataFrame):
+        self.spark, self.roots, self._root_paths = files.sparkSession, ["/table"], ["/table"]
+        path = F.concat_ws("/", F.lit("/table"), "bundle_id", "path")
+        self._files = files.select(path.alias("file_path"), F.lit(None).cast("timestamp").alias("modified"), F.col("content").alias("text"))
+
+    @cached_property
+    def _lines(self) -> DataFrame:
+        # Text ends with a line end or not; either way its last line is the last row.
+        lines = F.split(F.regexp_replace("text", r"\n\z", ""), "\n")
+        return self._files.select("file_path", F.lit(0).cast("bigint").alias("block"), "modified", F.explode(lines).alias("value"))
+
+    @cached_property
+    def _bytes(self) -> DataFrame:
+        content = F.col("text").cast("binary")
+        return self._files.select("file_path", F.octet_length(content).cast("bigint").alias("length"), "modified", content.alias("content"))
 
 
 def list_files(fleet: Fleet, *relative: str) -> DataFrame:

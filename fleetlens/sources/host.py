@@ -6,6 +6,7 @@ is no reader per file.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -70,14 +71,19 @@ def _pair_of(pattern: str):
 
 
 def scan_host_facts(fleet: Fleet, rules: list[FactRule] = FACT_RULES) -> DataFrame:
-    """(bundle_id, source, key, value) of all rules over all bundles.
+    """(bundle_id, node, source, key, value) of all rules over all bundles.
 
-    Several files may carry one source: the first by path that yields the key counts.
+    A file of a host lies in ``utils`` or ``proc``, or in a folder of these that has the name of its node
+    (``utils/db-0/sysctl.txt``); without such a folder the node is empty. Several files of a node may
+    carry one source: the first by path that yields the key counts.
     """
     by_source: dict[str, list[FactRule]] = {}
     for rule in rules:
         by_source.setdefault(rule.source, []).append(rule)
     parts = []
+    # A folder of digits below proc is a process.
+    folder = F.regexp_extract("file_path", r"/(?:utils|proc)/([^/]+)/[^/]+\z", 1)
+    node = F.when(folder.rlike(r"\A\d+\z"), "").otherwise(folder)
     for source, group in by_source.items():
         text = F.replace(F.col("value"), F.lit("\u0000"), F.lit(" "))
         facts = []
@@ -88,16 +94,19 @@ def scan_host_facts(fleet: Fleet, rules: list[FactRule] = FACT_RULES) -> DataFra
             else:
                 one = F.struct(F.lit(rule.key).alias("key"), F.regexp_extract(text, rule.pattern, 1).alias("value"))
                 facts.append(F.filter(F.array(one), lambda f: f["value"] != ""))
-        rows = fleet.documents(*group[0].files).select("bundle_id", "file_path", F.explode(F.concat(*facts)).alias("f"))
+        files = group[0].files
+        below = [re.sub(r"\A(utils|proc)/(?!\*)", r"\1/*/", f) for f in files]
+        docs = fleet.documents(*dict.fromkeys([*files, *below]))
+        rows = docs.select("bundle_id", node.alias("node"), "file_path", F.explode(F.concat(*facts)).alias("f"))
         value = F.trim(F.col("f.value"))
         if source in KILOBYTES:
             value = (value.try_cast("bigint") * 1024).cast("string")
-        rows = rows.select("bundle_id", F.lit(source).alias("source"), F.trim(F.col("f.key")).alias("key"), value.alias("value"), "file_path")
+        rows = rows.select("bundle_id", "node", F.lit(source).alias("source"), F.trim(F.col("f.key")).alias("key"), value.alias("value"), "file_path")
         parts.append(rows)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.groupBy("bundle_id", "source", "key").agg(F.min_by("value", "file_path").alias("value"))
+    return out.groupBy("bundle_id", "node", "source", "key").agg(F.min_by("value", "file_path").alias("value"))
 
 
 def scan_core_counts(fleet: Fleet) -> DataFrame:
@@ -106,9 +115,15 @@ def scan_core_counts(fleet: Fleet) -> DataFrame:
     return files.groupBy("bundle_id").agg(F.count("*").alias("cores"))
 
 
+def _of_first_node(facts: DataFrame, source: str) -> DataFrame:
+    """(bundle_id, value): one fact per bundle, of its first node by name."""
+    rows = facts.filter(F.col("source") == source)
+    return rows.groupBy("bundle_id").agg(F.min_by("value", F.struct(*[c for c in ("node", "key") if c in rows.columns])).alias("value"))
+
+
 def command_lines(facts: DataFrame, logs: DataFrame | None = None) -> DataFrame:
     """(bundle_id, cmdline) of the broker process, else as its log prints it first."""
-    known = facts.filter("source = 'cmdline'").select("bundle_id", F.col("value").alias("_known"))
+    known = _of_first_node(facts, "cmdline").select("bundle_id", F.col("value").alias("_known"))
     if logs is None:
         return known.withColumnRenamed("_known", "cmdline")
     printed = logs.filter(F.contains("raw", F.lit("command line:")))
@@ -137,9 +152,9 @@ POD_PREFIX = "redpanda-"
 
 def uname_facts(facts: DataFrame) -> DataFrame:
     """(bundle_id, kernel, hostname, release, version, distro, machine, operating_system,
-    is_container, cloud)."""
+    is_container, cloud), a row per bundle."""
     line = F.regexp_replace("value", r"\s+", " ")
-    rows = facts.filter("source = 'uname'").select("bundle_id", line.alias("line")).withColumn("w", F.split("line", " "))
+    rows = _of_first_node(facts, "uname").select("bundle_id", line.alias("line")).withColumn("w", F.split("line", " "))
     rows = rows.select(
         "bundle_id", "line", F.col("w")[0].alias("kernel"), F.col("w")[1].alias("hostname"), F.col("w")[2].alias("release"),
         F.regexp_extract("line", r" (#.*?)(?= (?:x86_64|aarch64|arm64|GNU/Linux)(?: |$)|$)", 1).alias("version"),

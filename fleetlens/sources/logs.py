@@ -179,13 +179,15 @@ def with_head(lines: DataFrame, csv: bool = False) -> DataFrame:
 def scan_lines(fleet: Fleet, logs_only: bool = False, csv: bool = False) -> DataFrame:
     """(file_path, block, pos, line) of all log files: the main log and ``logs/``, or every
     top-level file. CSV files, known by their name, are read apart."""
-    if csv:
-        top = fleet.raw_lines("[!.]*.csv", files_only=True) if logs_only else fleet.raw_lines()
-        nested = fleet.raw_lines("logs", recursive=True, name_glob="*.{csv,CSV}")
+    kind, names = ("*.csv", "*.{csv,CSV}") if csv else ("*", "*.{log,txt,LOG,TXT}")
+    nested = fleet.raw_lines("logs", recursive=True, name_glob=names)
+    if logs_only:
+        top = fleet.raw_lines(kind)
+        top = top if csv else top.filter(~F.col("file_path").endswith(".csv"))
+    elif csv:
+        top = nested.limit(0)
     else:
-        top = fleet.raw_lines("[!.]*", files_only=True) if logs_only else fleet.raw_lines(MAIN_LOG)
-        top = top.filter(~F.col("file_path").endswith(".csv"))
-        nested = fleet.raw_lines("logs", recursive=True, name_glob="*.{log,txt,LOG,TXT}")
+        top = fleet.raw_lines(MAIN_LOG)
     lines = top.unionByName(nested)
     return lines.select("file_path", "block", "pos", decode_line(F.col("value")).alias("line"))
 

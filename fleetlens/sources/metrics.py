@@ -50,16 +50,9 @@ def scan_prometheus(fleet: Fleet, patterns=METRIC_FILES, allowed: list[str] | No
     The node is the folder below ``metrics``. Files without such a folder count only in bundles that
     have none with one, since they repeat the same samples.
     """
-    paths = fleet.matching(*patterns)
-    if not paths:
-        return fleet.empty("bundle_id string, node string, id bigint, name string, labels map<string,string>, ts timestamp, value double, file_path string")
-    path = F.col("_metadata.file_path")
     node = F.regexp_extract("file_path", r"/metrics/([^/]+)/[^/]+\z", 1)
-    raw = fleet.spark.read.text(paths).select(
-        fleet.bundle_of(path).alias("bundle_id"), path.alias("file_path"),
-        F.col("_metadata.file_modification_time").alias("ts"), F.monotonically_increasing_id().alias("id"), "value",
-    )
-    if FLAT in patterns and any(p.endswith(NESTED) for p in paths):
+    raw = fleet.lines(*patterns).select("bundle_id", "file_path", F.col("modified").alias("ts"), F.col("pos").alias("id"), "value")
+    if FLAT in patterns and NESTED in patterns:
         nested = fleet.binary(NESTED, content=False).select("bundle_id").distinct()
         flat = raw.filter(node == "").join(nested, "bundle_id", "left_anti")
         raw = raw.filter(node != "").unionByName(flat)
