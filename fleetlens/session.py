@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -116,3 +117,10 @@ def drop_staged(spark: SparkSession, scope: str | None = None) -> int:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
     return len(paths)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Deletes shuffle files of plans that nothing refers to any more: Spark does so when the driver's garbage is
+    collected, which a long driver-side job may not do for hours."""
+    gc.collect()
+    spark._jvm.System.gc()

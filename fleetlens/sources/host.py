@@ -221,11 +221,29 @@ def scan_processes(fleet: Fleet) -> DataFrame:
     )
 
 
+def _carried(lines: DataFrame, states: dict[str, Column]) -> DataFrame:
+    """Adds a column per state: its last value that is not null, up to and with the line, in the order of the file.
+
+    The state of a line depends on what its block has said, else on the last block before that said something. So each
+    block is ordered by itself, and a table with a row per block carries values over block borders:
+    files of any length are read by as many tasks as they have blocks.
+    """
+    file, block = ["bundle_id", "file_path"], ["bundle_id", "file_path", "block"]
+    upto = Window.partitionBy(*block).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    local = lines.withColumns({f"_at_{name}": value for name, value in states.items()})
+    said = local.groupBy(*block).agg(*[F.max_by(f"_at_{n}", F.when(F.col(f"_at_{n}").isNotNull(), F.col("pos"))).alias(f"_end_{n}") for n in states])
+    before = Window.partitionBy(*file).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = said.select(*block, *[F.last(f"_end_{n}", ignorenulls=True).over(before).alias(f"_in_{n}") for n in states])
+    joined = local.withColumns({n: F.last(f"_at_{n}", ignorenulls=True).over(upto) for n in states}).join(carried, block)
+    return joined.withColumns({n: F.coalesce(F.col(n), F.col(f"_in_{n}")) for n in states}).drop(*[f"_{k}_{n}" for n in states for k in ("at", "in")])
+
+
 def _grouped(lines: DataFrame, opens: Column) -> DataFrame:
-    """Adds ``group``: the number of opening lines so far in the file. These are outputs of
-    one command on one host, a few thousand lines at most."""
-    order = Window.partitionBy("bundle_id", "file_path").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("group", F.sum(opens.cast("int")).over(order))
+    """Adds ``group``: tells lines of different openings of a file apart, 0 before the first."""
+    # The opening line's own place is as good as a running number, and needs no count over blocks.
+    place = F.struct(F.col("block").alias("block"), F.col("pos").alias("pos"))
+    rows = _carried(lines, {"_opened": F.when(opens, place)})
+    return rows.withColumn("group", F.when(F.col("_opened").isNull(), 0).otherwise(F.xxhash64("_opened.block", "_opened.pos"))).drop("_opened")
 
 
 # Socket states as printed.
@@ -238,7 +256,7 @@ def scan_sockets(fleet: Fleet) -> DataFrame:
     named = _f(0).isin("tcp", "udp")
     indented = F.col("value").startswith("\t") | F.col("value").startswith(" ")
     opens = ~indented & (F.size("f") >= 5) & (named | _f(0).isin(STATES) | _f(0).startswith("ESTAB"))
-    rows = _grouped(lines, opens).withColumns({"opens": opens, "indented": indented}).filter("group > 0 and (opens or indented)")
+    rows = _grouped(lines, opens).withColumns({"opens": opens, "indented": indented}).filter("group <> 0 and (opens or indented)")
     shift = F.when(named, 1).otherwise(0)
     head = F.when(
         F.col("opens"),
@@ -282,7 +300,7 @@ def scan_interfaces(fleet: Fleet) -> DataFrame:
     """(bundle_id, name, flags, mtu, addresses) of the interface listing."""
     lines = fleet.lines("utils/ip.txt")
     opens = F.col("value").rlike(r"\A\d+: ")
-    rows = _grouped(lines, opens).filter("group > 0").withColumn("opens", opens)
+    rows = _grouped(lines, opens).filter("group <> 0").withColumn("opens", opens)
     address = F.nullif(F.regexp_extract("value", r"\A\s+inet6? (\S+)", 1), F.lit(""))
     found = rows.groupBy("bundle_id", "file_path", "group").agg(
         F.max(F.when(F.col("opens"), F.col("value"))).alias("head"),
@@ -356,8 +374,7 @@ def scan_sar(fleet: Fleet) -> tuple[DataFrame, DataFrame]:
     """(samples, interfaces): one row per time, and one per time and interface.
 
     The section of a data row is the last header before it; rows of all sections with one
-    day and time merge into one sample. Reports are one file per host, so ordering by file is
-    bounded by a host's day.
+    day and time merge into one sample.
     """
     lines = _fields(fleet.lines(*SAR_FILES)).filter(F.size("f") >= 2)
     rank = F.array_position(F.array(*[F.col("file_path").endswith("/" + name) for name in SAR_FILES]), True)
@@ -374,10 +391,7 @@ def scan_sar(fleet: Fleet) -> tuple[DataFrame, DataFrame]:
     us = F.regexp_extract("value", r"\s(\d\d/\d\d/\d\d)(?:\s|$)", 1)
     iso = F.regexp_extract("value", r"\s(\d{4}-\d\d-\d\d)(?:\s|$)", 1)
     date = F.coalesce(F.try_to_timestamp(us, F.lit("MM/dd/yy")).cast("date"), iso.try_cast("date"))
-    before = Window.partitionBy("bundle_id", "file_path").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumns({"head": section, "banner": banner}).withColumns(
-        {"section": F.last("head", ignorenulls=True).over(before), "day": F.last(F.when(F.col("banner"), date), ignorenulls=True).over(before)}
-    )
+    rows = _carried(lines.withColumns({"head": section, "banner": banner}), {"section": F.col("head"), "day": F.when(F.col("banner"), date)})
     rows = rows.filter(F.col("head").isNull() & ~F.col("banner") & ~_f(0).isin("Average:", "Time", "HH:MM:SS"))
     clock = F.when(_f(0).rlike(r"\A\d\d:\d\d:\d\d\z"), _f(0))
     stamp = F.concat_ws(" ", F.col("day").cast("string"), clock).try_cast("timestamp")

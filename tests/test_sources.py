@@ -324,3 +324,38 @@ def test_nodes_are_series_of_their_own(spark, fleet_dir):
     later = got.withColumn("ts", F.col("ts") + F.expr("INTERVAL 10 SECONDS")).withColumn("value", F.col("value") + 10)
     rates = series_rates(metric_digest(got.unionByName(later), ["c"]), "c")
     assert rows(rates, "bundle_id", "node", "rate") == [("b1", "n1", 1.0), ("b1", "n2", 1.0), ("b2", "", 1.0)]
+
+
+def test_sections_at_any_split(spark, fleet_dir):
+    """Sections and entries that begin in an earlier block: the same rows at every split size."""
+    head = "Linux 5.15.0 (db-0) 01/02/24 _x86_64_ (4 CPU)\n\n"
+    cpu = "00:00:01 CPU %user %nice %system %iowait %steal %idle\n" + "".join(f"00:{m:02d}:01 all {m}.5 0.0 25.0 1.0 0.0 50.0\n" for m in range(60))
+    net = "00:00:01 IFACE rxpck/s txpck/s rxkB/s txkB/s rxcmp/s txcmp/s rxmcst/s %ifutil\n" + "".join(f"00:{m:02d}:01 eth0 1.0 2.0 {m} 1024 0 0 3.0 4.0\n" for m in range(60))
+    fleet_dir("b1", "utils/sar.txt", head + cpu + "\n" + net)
+    fleet_dir("b1", "utils/ss.txt", "Netid State Recv-Q Send-Q Local Peer\n" + "".join(f"tcp ESTAB 0 1 10.0.0.{i}:9 10.0.0.2:5\n\t cubic rto:204\n\t retrans:0/{i} mss:1448\n" for i in range(90)))
+    fleet_dir("b1", "utils/ip.txt", "".join(f"{i}: eth{i}: <UP> mtu {i}\n    inet 10.0.0.{i}/8 scope\n    inet6 ::{i}/64 scope\n" for i in range(50)))
+    old, found = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    try:
+        for split in (150, 1000, 1 << 27):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            fleet = Fleet(spark, fleet_dir.root)
+            sar, links = host.scan_sar(fleet)
+            found.append([sorted(map(str, df.collect())) for df in (sar, links, host.scan_sockets(fleet), host.scan_interfaces(fleet))])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert found[0] == found[2] and found[1] == found[2] and [len(rows) for rows in found[0]] == [60, 60, 90, 50]
+
+
+def test_large_notebook_is_written_by_many_tasks(spark, tmp_path):
+    """One bundle with nearly all pins: numbers without gaps, and files that give the sections in order."""
+    df = spark.range(20_000).selectExpr(
+        "if(id = 7, 'b2', 'b1') AS bundle_id", "id", "timestamp '2024-01-01 00:00:00' AS ts", "'WARN' AS level", "'n' AS node", "'c' AS component", "concat('m', id) AS message", "'/x/f.log' AS file_path",
+        "id AS line_number", "'' AS note", "20000 - id AS created_at")
+    sinks.export_notebook(df, str(tmp_path / "n"))
+    files = sorted((tmp_path / "n" / "bundle_id=b1").glob("part-*"))
+    numbers = [int(line[3:].split(".")[0]) for f in files for line in f.read_text().splitlines() if line.startswith("## ")]
+    messages = [int(line[1:]) for f in files for line in f.read_text().splitlines() if line[:1] == "m"]
+    assert len(files) >= 6 and numbers == list(range(1, 20_000)) and messages == [i for i in range(19_999, -1, -1) if i != 7]
+    assert files[0].read_text().startswith("# Debug Notebook") and "## 1. " in next((tmp_path / "n" / "bundle_id=b2").glob("part-*")).read_text()
