@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.codes import mix, text_slices
 from fleetlens.llm.registry import query, table
-from fleetlens.session import stage
+from fleetlens.session import drop_staged, release_shuffles, stage, staging_scope
 
 ORDER, CHAR = 5, 12
 SLOT_BITS = {1: 12, 2: 20, 3: 20, 4: 22, 5: 22}
@@ -211,16 +211,31 @@ def _scored(batches, shared):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([math.exp(min(m, 700.0)) if k else None for m, k in zip(mean.tolist(), n.tolist(), strict=True)], pa.float64()), part.column(2)], names=["doc_id", "perplexity", "lang"])
 
 
+def model_of(texts: DataFrame) -> dict:
+    """The model of ``texts`` in its fixed size; the count tables behind it are deleted once it is made."""
+    spark, scope = texts.sparkSession, f"model-{uuid.uuid4().hex}"
+    with staging_scope(spark, scope):
+        out = slotted(*train(texts))
+    drop_staged(spark, scope)
+    release_shuffles(spark)
+    return out
+
+
 def perplexities(docs: DataFrame, model: tuple[dict[int, DataFrame], float]) -> DataFrame:
     """(doc_id, perplexity, lang) per row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(slotted(*model))  # fixed size
+    return under(slotted(*model), docs)
+
+
+def under(model: dict, docs: DataFrame) -> DataFrame:
+    """``perplexities`` under a model in its fixed size."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size
     return docs.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(lambda it: _scored(it, shared), SCORES + ", lang string")
 
 
 def held_out(texts: DataFrame) -> DataFrame:
     """``perplexities`` of trusted texts, each under a model of the other parts."""
     fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS))
-    return reduce(DataFrame.unionAll, [perplexities(texts.filter(fold == k), train(texts.filter(fold != k))) for k in range(FOLDS)])
+    return reduce(DataFrame.unionAll, [under(model_of(texts.filter(fold != k)), texts.filter(fold == k)) for k in range(FOLDS)])
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 1.1) -> DataFrame:
@@ -239,9 +254,9 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin:
         for n, value in before.items():
             spark.conf.unset(n) if value is None else spark.conf.set(n, value)
     texts = texts.filter("text <> ''")
-    model = train(texts)
-    scores = stage(perplexities(docs, model), "perplexities")
-    marks = stage(held_out(texts) if texts.count() >= LEAST_TRUSTED else perplexities(texts, model), "held-out")
+    model = model_of(texts)
+    scores = stage(under(model, docs), "perplexities")
+    marks = stage(held_out(texts) if texts.count() >= LEAST_TRUSTED else under(model, texts), "held-out")
     limit = F.percentile_approx("perplexity", quantile, 10_000) * margin
     by_lang = marks.groupBy("lang").agg(limit.alias("own"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_TRUSTED)
     overall = F.lit(marks.agg(limit).first()[0]).cast("double")
