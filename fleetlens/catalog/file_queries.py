@@ -482,3 +482,37 @@ def detected_versions(t):
         "redpanda.log": "concat('INFO  2024-01-01 00:00:01,250 [shard 0:main] main - Welcome to Redpanda v23.2.', c_nationkey, '\\nINFO  2024-01-01 00:00:02,250 [shard 0:main] main - Welcome to Redpanda v99.0.0\\n')",
     })
     return detect_version(cluster.scan_brokers(files), log_files.scan_logs(files, materialize=False))
+
+
+def _le(number: str, size: int) -> str:
+    """A number below 65 536 as little-endian hex."""
+    return f"lpad(hex({number} % 256), 2, '0') || lpad(hex(CAST(floor({number} / 256) AS BIGINT) % 256), 2, '0') || repeat('00', {size - 2})"
+
+
+def _batch(base: str, kind: str, code: str, records: str, payload: str) -> str:
+    fields = [_le("1", 4), _le(f"(61 + {payload})", 4), _le(base, 8), f"lpad(hex({kind}), 2, '0')", _le("2", 4), _le(code, 2), _le("0", 4), _le("c_custkey", 8), _le("c_custkey + 5", 8), *[_le("0", n) for n in (8, 2, 4)], _le(records, 4)]
+    return f"{' || '.join(fields)} || repeat('FF', {payload})"
+
+
+@query(
+    "segment_files",
+    "SELECT concat('c-', c_custkey) AS bundle_id, CASE WHEN b = 0 THEN 'Raft Data' ELSE 'Raft Config' END AS type_name, CASE WHEN b = 1 THEN 'None' ELSE CASE c_nationkey % 6 WHEN 0 THEN 'None' WHEN 1 THEN 'Gzip' WHEN 2 THEN 'Snappy' "
+    "WHEN 3 THEN 'LZ4' WHEN 4 THEN 'Zstd' ELSE 'Unknown(5)' END END AS compression, 1 AS batches, CASE WHEN b = 0 THEN c_nationkey + 1 ELSE 1 END AS records, CASE WHEN b = 0 THEN 61 + c_custkey % 90 ELSE 61 END AS bytes, "
+    "CASE WHEN b = 0 THEN c_custkey ELSE c_custkey + 30 END AS first_offset, CASE WHEN b = 0 THEN c_custkey + c_nationkey ELSE c_custkey + 30 END AS last_offset FROM customer, (VALUES (0), (1)) v(b)",
+)
+def segment_files(t):
+    """Two batches in a segment, payloads of any length between their headers, zeros at the end."""
+    text = f"CAST(unhex({_batch('c_custkey', '1', '(c_nationkey % 6)', '(c_nationkey + 1)', 'CAST(c_custkey % 90 AS INT)')} || {_batch('(c_custkey + 30)', '2', '0', '1', '0')} || repeat('00', 70)) AS STRING)"
+    rows = storage.scan_segments(fleet_of(t, CUSTOMER, "customer", {"data/kafka/t/0_1/0-1-v1.log": text})).filter("error IS NULL")
+    return storage_ops.segment_summary(rows).select("bundle_id", "type_name", "compression", "batches", "records", "bytes", "first_offset", "last_offset")
+
+
+@query(
+    "snapshot_files",
+    "SELECT concat('c-', c_custkey) AS bundle_id, CASE WHEN c_nationkey % 5 > 0 THEN 29 + c_nationkey ELSE 7 END AS size_bytes, CASE WHEN c_nationkey % 5 > 0 THEN c_custkey END AS last_included_index, "
+    "CASE WHEN c_nationkey % 5 > 0 THEN c_nationkey END AS last_included_term, CASE WHEN c_nationkey % 5 > 0 THEN 1 END AS header_version, CASE WHEN c_nationkey % 5 = 0 THEN 'short header' END AS error FROM customer",
+)
+def snapshot_files(t):
+    whole = " || ".join([_le("1", 4), _le("2", 4), "'01'", _le("9", 4), _le("c_custkey", 8), _le("c_nationkey", 8), "repeat('AB', c_nationkey)"])
+    text = f"CAST(unhex(IF(c_nationkey % 5 > 0, {whole}, repeat('00', 7))) AS STRING)"
+    return storage.scan_snapshots(fleet_of(t, CUSTOMER, "customer", {"data/kafka/t/0_1/snapshot": text})).select("bundle_id", "size_bytes", "last_included_index", "last_included_term", "header_version", "error")

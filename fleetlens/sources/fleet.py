@@ -37,9 +37,9 @@ def glob_pattern(glob: str) -> str:
 class Fleet:
     """All bundles below some roots.
 
-    The files are listed once per fleet and kind of read (as lines, as bytes), with all their names, by Spark's own
+    The files are listed once per fleet and kind of read (as lines, as bytes, as records), with all their names, by Spark's own
     listing, which is a job where there are many folders. Every reader is a filter on the paths of one
-    of these two tables: the filter is applied to the listing, so only matching files are opened. Files
+    of these tables: the filter is applied to the listing, so only matching files are opened. Files
     that appear later belong to a new ``Fleet``.
     """
 
@@ -58,6 +58,12 @@ class Fleet:
         rows = self.spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(self.roots)
         return rows.select(F.col(f"{m}.file_path").alias("file_path"), F.col(f"{m}.file_block_start").alias("block"), F.col(f"{m}.file_modification_time").alias("modified"), "value")
 
+    @cached_property
+    def _records(self) -> DataFrame:
+        """(file_path, value): text up to each closing brace."""
+        rows = self.spark.read.option("lineSep", "}").option("recursiveFileLookup", "true").text(self.roots)
+        return rows.select(F.col("_metadata.file_path").alias("file_path"), "value")
+
     @cached_property
     def _bytes(self) -> DataFrame:
         """(file_path, length, modified, content)."""
@@ -71,6 +77,12 @@ class Fleet:
         tail = (r"/(?:.*/)?" + glob_pattern(name_glob or "*")) if below else ""
         return F.col("file_path").rlike(rf"(?:\A|:/*)(?:{roots})/[^/]+/(?:{kinds}){tail}\z")
 
+    def scheme(self) -> str:
+        """The kind of store that all roots lie in, as in their URIs; empty if there are several."""
+        conf = self.spark._jsc.hadoopConfiguration()
+        kinds = {self._path(r).getFileSystem(conf).getUri().getScheme() for r in self.roots}
+        return kinds.pop() if len(kinds) == 1 else ""
+
     def manifest(self) -> DataFrame:
         """(bundle_id, node, kind, file_path, file_name, length, modified) of every file: ``kind`` is the folder in the
         bundle (empty: its top), ``node`` the folder below that, if there is one."""
@@ -103,6 +115,11 @@ class Fleet:
         return self._lines.filter(self.matches(*relative, below=recursive, name_glob=name_glob)).select(
             "file_path", "block", F.monotonically_increasing_id().alias("pos"), "modified", "value")
 
+    def records(self, *relative: str) -> DataFrame:
+        """(bundle_id, file_path, file_name, value): a row per closing brace of JSON files, with the text since the last
+        one. A document of any length, on one line or many, is split over tasks like a text file."""
+        return self._with_file(self._records.filter(self.matches(*relative)), "value")
+
     def documents(self, *relative: str) -> DataFrame:
         """(bundle_id, file_path, file_name, value): a row per small file, read whole."""
         return self._with_file(self._bytes.filter(self.matches(*relative)), F.col("content").cast("string").alias("value"))
@@ -132,12 +149,19 @@ class TableFleet(Fleet):
         path = F.concat_ws("/", F.lit("/table"), "bundle_id", "path")
         self._files = files.select(path.alias("file_path"), F.lit(None).cast("timestamp").alias("modified"), F.col("content").alias("text"))
 
+    def scheme(self) -> str:
+        return "table"
+
     @cached_property
     def _lines(self) -> DataFrame:
         # Text ends with a line end or not; either way its last line is the last row.
         lines = F.split(F.regexp_replace("text", r"\n\z", ""), "\n")
         return self._files.select("file_path", F.lit(0).cast("bigint").alias("block"), "modified", F.explode(lines).alias("value"))
 
+    @cached_property
+    def _records(self) -> DataFrame:
+        return self._files.select("file_path", F.explode(F.split("text", "[}]")).alias("value"))
+
     @cached_property
     def _bytes(self) -> DataFrame:
         content = F.col("text").cast("binary")

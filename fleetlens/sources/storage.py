@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,10 +23,18 @@ def scan_du(fleet: Fleet) -> DataFrame:
 
 
 def scan_data_dir(fleet: Fleet) -> DataFrame:
-    """(bundle_id, path, size_bytes) of the data-directory listing."""
-    docs = fleet.documents("data-dir.txt")
-    rows = docs.select("bundle_id", F.explode(F.from_json("value", "map<string,struct<size_bytes:bigint>>")).alias("path", "i"))
-    return rows.select("bundle_id", "path", F.coalesce("i.size_bytes", F.lit(0).cast("bigint")).alias("size_bytes"))
+    """(bundle_id, path, size_bytes) of the data-directory listing, a JSON object from paths to flat objects.
+
+    The listing of a large node is one document of gigabytes, often on one line. It is read as records, each the
+    text up to a closing brace, in which one path and its object end; so it is split over tasks and never parsed
+    as a whole. Paths with a brace in them are not found.
+    """
+    entry = r'"((?:[^"\\]|\\.)*)"\s*:\s*\{([^{]*)\z'
+    rows = fleet.records("data-dir.txt").filter(F.col("value").rlike(entry))
+    path, fields = F.regexp_extract("value", entry, 1), F.regexp_extract("value", entry, 2)
+    plain = F.when(F.contains(path, F.lit("\\")), F.from_json(F.concat(F.lit('{"p":"'), path, F.lit('"}')), "p string")["p"]).otherwise(path)
+    size = F.regexp_extract(fields, r'"size_bytes"\s*:\s*(-?\d+)', 1).try_cast("bigint")
+    return rows.select("bundle_id", plain.alias("path"), F.coalesce(size, F.lit(0).cast("bigint")).alias("size_bytes"))
 
 
 # Layout of the batch header (little endian) and its codes.
@@ -44,39 +53,67 @@ BATCH_SCHEMA = (
 )
 
 
-def _headers(content: bytes):
-    """(fields, error) of the batches of one segment, skipping payloads."""
+def walk_headers(read, length: int):
+    """(fields, error) of the batches of one segment of ``length`` bytes. ``read(at, n)`` gives bytes of it: only
+    headers are asked for, each header tells where the next one is."""
     at, size = 0, HEADER.size
-    while at < len(content):
-        if at + size > len(content):
+    while at < length:
+        if at + size > length:
             yield None, f"short header at {at}"
             return
-        fields = HEADER.unpack_from(content, at)
-        length = fields[1]
-        if length == 0:  # zero padding ends the file
+        fields = HEADER.unpack(read(at, size))
+        batch = fields[1]
+        if batch == 0:  # zero padding ends the file
             return
-        if not size <= length <= MAX_BATCH:
-            yield None, f"invalid batch length {length} at {at}"
+        if not size <= batch <= MAX_BATCH:
+            yield None, f"invalid batch length {batch} at {at}"
             return
         yield fields, None
-        at += length
+        at += batch
+
+
+# Schemes of stores whose files can be read in ranges from a task, by their name there.
+RANGE_STORES = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs"}
+
+
+def open_ranges(path: str):
+    """``read(at, n)`` over a file of such a store, and a function that closes it."""
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":")
+    store, inside = fs.FileSystem.from_uri(f"{RANGE_STORES[scheme]}://{rest.removeprefix('//')}")
+    file = store.open_input_file(inside)
+    return (lambda at, n: file.read_at(n, at)), file.close
+
+
+def scan_segments(fleet: Fleet, *patterns: str, ranges: bool | None = None) -> DataFrame:
+    """A row per batch header of segment files, or per error.
 
+    A file is walked by one task, in reads of 61 bytes: a segment's payload is never loaded. In stores
+    that tasks cannot open themselves (or with ``ranges`` off) Spark reads the files whole.
+    """
+    ranges = fleet.scheme() in RANGE_STORES if ranges is None else ranges
 
-def scan_segments(fleet: Fleet, *patterns: str) -> DataFrame:
-    """A row per batch header of segment files, or per error. Segments have a bounded
-    size, and a file is walked by the task that holds it."""
+    def rows_of(batch):
+        for bundle, path, length, content in zip(batch["bundle_id"], batch["file_path"], batch["length"], batch["content"], strict=True):
+            read, close = open_ranges(path) if content is None else ((lambda at, n, content=content: content[at : at + n]), lambda: None)
+            try:
+                for number, (fields, error) in enumerate(walk_headers(read, int(length))):
+                    yield (bundle, path, number, *(fields or [None] * len(FIELDS)), error)
+            finally:
+                close()
 
     def walk(batches):
         for batch in batches:
-            rows = [
-                (bundle, path, number, *(fields or [None] * len(FIELDS)), error)
-                for bundle, path, content in zip(batch["bundle_id"], batch["file_path"], batch["content"])
-                for number, (fields, error) in enumerate(_headers(bytes(content)))
-            ]
-            yield pd.DataFrame(rows, columns=["bundle_id", "file_path", "batch_no", *FIELDS, "error"]).convert_dtypes()
-
-    files = fleet.binary(*(patterns or ("*/*/*/*.log", "data/*/*/*/*.log"))).select("bundle_id", "file_path", "content")
-    raw = files.mapInPandas(walk, BATCH_SCHEMA)
+            rows = iter(rows_of(batch))
+            while some := list(islice(rows, 50_000)):
+                yield pd.DataFrame(some, columns=["bundle_id", "file_path", "batch_no", *FIELDS, "error"]).convert_dtypes()
+
+    names = patterns or ("*/*/*/*.log", "data/*/*/*/*.log")
+    files = fleet.binary(*names, content=False).withColumn("content", F.lit(None).cast("binary")) if ranges else fleet.binary(*names)
+    files = files.select("bundle_id", "file_path", "length", "content")
+    # Names are small and their walks are long, so they are dealt out anew.
+    raw = (files.repartition("file_path") if ranges else files).mapInPandas(walk, BATCH_SCHEMA)
     code = F.col("attributes").bitwiseAND(7)
     known = lambda table, column, other: F.coalesce(
         F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), column.cast("int")), other

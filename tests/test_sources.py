@@ -359,3 +359,47 @@ def test_large_notebook_is_written_by_many_tasks(spark, tmp_path):
     messages = [int(line[1:]) for f in files for line in f.read_text().splitlines() if line[:1] == "m"]
     assert len(files) >= 6 and numbers == list(range(1, 20_000)) and messages == [i for i in range(19_999, -1, -1) if i != 7]
     assert files[0].read_text().startswith("# Debug Notebook") and "## 1. " in next((tmp_path / "n" / "bundle_id=b2").glob("part-*")).read_text()
+
+
+def test_large_listing_is_split(spark, fleet_dir):
+    """One JSON document on one line, and one on many, are read by several tasks; odd entries keep their meaning."""
+    paths = {f"/data/kafka/t-{i % 50}/{i}_1/0-1-v1.log": {"size_bytes": i, "mode": "rw"} for i in range(60_000)}
+    odd = {'/a "q" \u00e9\\n': {"size_bytes": 3}, "/none": {"mode": "x"}, "/empty": {}}
+    fleet_dir("b1", "data-dir.txt", json.dumps(paths | odd))
+    fleet_dir("b2", "data-dir.txt", json.dumps(dict(list(paths.items())[:500]), indent=2))
+    fleet_dir("b3", "data-dir.txt", "no listing")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500000")
+    try:
+        df = storage.scan_data_dir(Fleet(spark, fleet_dir.root))
+        got = df.collect()
+        assert df.rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    expected = {("b1", p, v.get("size_bytes", 0)) for p, v in (paths | odd).items()} | {("b2", p, v["size_bytes"]) for p, v in list(paths.items())[:500]}
+    assert len(got) == len(expected) and {tuple(r) for r in got} == expected
+
+
+def test_segment_payloads_are_not_read(spark, fleet_dir):
+    """Headers of a file of 300 MB (a sparse one) by reads of 61 bytes; the same rows as from its content."""
+    header = lambda base, length: storage.HEADER.pack(1, length, base, 1, 2, 4, 9, 1000, 2000, 5, 6, 7, 10)
+    path = fleet_dir("b 1", "data/kafka/t/0_1/0-1-v1.log", b"")
+    with open(path, "r+b") as f:
+        for k in range(3):
+            f.seek(k * 100_000_000)
+            f.write(header(k * 10, 100_000_000))
+        f.truncate(300_000_000)
+    reads = []
+
+    def read(at, n):
+        reads.append(n)
+        with open(path, "rb") as f:
+            f.seek(at)
+            return f.read(n)
+
+    assert [f[2] for f, _ in storage.walk_headers(read, 300_000_000)] == [0, 10, 20] and reads == [61, 61, 61]
+    got = storage.scan_segments(Fleet(spark, fleet_dir.root)).orderBy("batch_no").collect()
+    assert [(r["bundle_id"], r["base_offset"], r["max_offset"], r["compression"], r["error"]) for r in got] == [(got[0]["bundle_id"], k * 10, k * 10 + 9, "Zstd", None) for k in range(3)]
+    fleet_dir("b2", "data/kafka/t/0_1/0-1-v1.log", header(0, 70) + b"x" * 9 + header(10, 61) + b"short")
+    one, two = (sorted(map(str, storage.scan_segments(Fleet(spark, fleet_dir.root), ranges=r).filter("bundle_id = 'b2'").collect())) for r in (True, False))
+    assert one == two and len(one) == 3 and "short header at 131" in one[-1]
