@@ -4,8 +4,9 @@ Numbers, units that follow a number, and names (a capital inside a sentence) bec
 placeholders; other words are lower-cased. Windows of the canonical words are hashed and
 hash-joined, so a question with other numbers or names has the windows of the original. Along
 one alignment of an item with a document the values must correspond: a value of the item stands for
-one value of the document wherever it occurs. Alignments that break this are no match, unless the whole item
-is there word for word.
+the value that most of its places have in the document, and windows in which it stands for another one are left out. Where
+no value has most of the places, the item's equal values are taken as a coincidence, and each place
+stands for itself. If the whole item is there word for word, nothing is left out.
 
 Windows of the plain lower-cased words are joined beside these. They need no literals and show no placeholders, so copies
 in upper or lower case, and copies of arithmetic and of lists, are found by them.
@@ -47,7 +48,7 @@ UNITS = (
     "usd eur gbp dollar dollars euro euros cent cents pound pounds percent degree degrees w kw kwh v a hz khz mhz ghz b kb mb gb tb"
 ).split()
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (11, 13, 17))
-HIT = "id long, place int, hash long, plain boolean, slots array<long>"
+HIT = "id long, place int, hash long, plain boolean, slots array<long>, at array<int>"
 PLAIN = np.uint64(1 << 32)
 
 
@@ -122,12 +123,13 @@ def _windows(batches, sizes: list[int], bitmap):
                     found.append((at, grams[ok], np.full(len(at), n), np.full(len(at), plain)))
             at, grams, size, plain = (np.concatenate(x) for x in zip(*found, strict=True))
             a, b = np.searchsorted(slots, at), np.where(plain, np.searchsorted(slots, at), np.searchsorted(slots, at + size))
-            held = [value[slots[i:j]].view(np.int64) for i, j in zip(a, b, strict=True)]
-            offsets = np.concatenate([[0], np.cumsum(b - a)]).astype(np.int32)
+            inside = [slots[i:j] for i, j in zip(a, b, strict=True)]
+            inside = np.concatenate([*inside, np.empty(0, np.int64)]).astype(np.int64)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(b - a)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).take(pa.array(text[at])), pa.array((at - first[text[at]]).astype(np.int32)), pa.array(grams.view(np.int64)), pa.array(plain),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*held, np.empty(0, np.int64)])))],
-                names=["id", "place", "hash", "plain", "slots"],
+                 pa.ListArray.from_arrays(offsets, pa.array(value[inside].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array((inside - first[text[inside]]).astype(np.int32)))],
+                names=["id", "place", "hash", "plain", "slots", "at"],
             )
 
 
@@ -136,7 +138,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_s
     many of their values the document has replaced."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(lambda it: _windows(it, [], None), HIT)
-    items = items.select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), "hash", "plain", F.col("slots").alias("item_slots")).distinct()
+    items = items.select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), "hash", "plain", F.col("slots").alias("item_slots"), "at").distinct()
     counts = items.groupBy(F.coalesce("item_id", F.lit(-(2**63))).alias("item_key")).agg(
         F.countDistinct(F.when(~F.col("plain"), F.col("item_place"))).alias("windows"), F.countDistinct("item_place").alias("every"))
     # At most 2**23 numbers, and at most five sizes.
@@ -147,35 +149,49 @@ def find_items(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_s
     sizes = sorted(r["size"] for r in lengths.collect())
     bitmap = spark.sparkContext.broadcast(bits.tobytes())
     hits = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _windows(it, sizes, bitmap) if sizes else iter(()), HIT)
-    met = hits.withColumnRenamed("id", "doc_id").join(items, ["hash", "plain"])
+    met = hits.drop("at").withColumnRenamed("id", "doc_id").join(items, ["hash", "plain"])
     met = met.withColumn("shift", F.col("place") - F.col("item_place"))
-    values = F.arrays_zip(F.col("item_slots").alias("was"), F.col("slots").alias("now"))
-    at = lambda plain: F.collect_set(F.when(F.col("plain") == plain, F.col("item_place")))
+    values = F.arrays_zip(F.col("item_slots").alias("was"), F.col("slots").alias("now"), F.col("at").alias("at"))
+    plain = F.col("plain")
     along = met.groupBy("doc_id", "item_id", "shift").agg(
-        at(False).alias("places"), at(True).alias("same"), F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("plain"), values)))).alias("pairs"))
+        F.collect_set(F.when(plain, F.col("item_place"))).alias("same"), F.collect_set(F.when(~plain, F.struct(F.col("item_place").alias("place"), values.alias("values")))).alias("found"))
     along = along.withColumn("item_key", F.coalesce("item_id", F.lit(-(2**63)))).join(counts, "item_key")
+    # Every place of a value has one vote.
+    votes = along.withColumn("votes", F.array_distinct(F.flatten(F.transform("found", lambda w: w["values"]))))
+    votes = votes.withColumn("kinds", F.array_distinct(F.transform("votes", lambda v: F.struct(v["was"].alias("was"), v["now"].alias("now")))))
+    votes = votes.withColumn("kinds", F.transform("kinds", lambda k: F.struct(k["was"].alias("was"), k["now"].alias("now"), F.size(F.filter("votes", lambda v: (v["was"] == k["was"]) & (v["now"] == k["now"]))).alias("n"))))
+    rivals = lambda k, test: F.size(F.filter("kinds", lambda o: (o["was"] == k["was"]) & (o["now"] != k["now"]) & test(o["n"], k["n"])))
+    ranked = votes.withColumn("kinds", F.transform("kinds", lambda k: F.struct(k["was"].alias("was"), k["now"].alias("now"), k["n"].alias("n"), (rivals(k, lambda o, n: o > n) == 0).alias("top"), (rivals(k, lambda o, n: o == n) > 0).alias("tied"))))
+    free = lambda k: F.exists("kinds", lambda o: (o["was"] == k["was"]) & o["top"] & o["tied"])
+    pair = lambda k: F.struct(k["was"].alias("was"), k["now"].alias("now"))
+    ranked = ranked.withColumns({
+        "bound": F.transform(F.filter("kinds", lambda k: k["top"] & ~k["tied"]), pair), "loose": F.transform(F.filter("kinds", free), pair)})
+    agrees = lambda w: F.forall(w["values"], lambda v: F.array_contains("bound", pair(v)) | F.array_contains("loose", pair(v)))
     # An item that is there word for word needs no correspondence, and its values are its own.
     whole = F.size("same") == F.col("every")
     none = F.array().cast("array<struct<was:long,now:long>>")
-    good = along.filter(whole | _consistent(F.col("pairs"))).withColumn("pairs", F.when(whole, none).otherwise(F.col("pairs")))
+    good = ranked.select(
+        "doc_id", "item_id", "shift", "windows", "every", "same", F.array_distinct(F.transform(F.filter("found", lambda w: whole | agrees(w)), lambda w: w["place"])).alias("places"),
+        F.when(whole, none).otherwise(F.col("bound")).alias("pairs"), F.when(whole, none).otherwise(F.filter("loose", lambda k: k["was"] != k["now"])).alias("moved"))
+    good = good.filter((F.size("places") > 0) | (F.size("same") > 0))
     # Shifts in order; one that is over a window from the last begins a chain.
     order = Window.partitionBy("doc_id", "item_id").orderBy("shift")
     begins = F.coalesce((F.col("shift") - F.lag("shift").over(order) > WINDOW).cast("int"), F.lit(0))
     chains = good.withColumn("begins", begins).withColumn("chain", F.sum("begins").over(order))
-    part = F.struct((-F.size(F.array_union("places", "same"))).alias("order"), "shift", "places", "same", "pairs")
+    part = F.struct((-F.size(F.array_union("places", "same"))).alias("order"), "shift", "places", "same", "pairs", "moved")
     chains = chains.groupBy("doc_id", "item_id", "chain").agg(
         F.sort_array(F.collect_list(part)).alias("parts"), F.max("windows").alias("windows"), F.max("every").alias("every"))
 
     def joined(s, p):
         pairs = F.array_union(s["pairs"], p["pairs"])
-        both = F.struct(F.array_union(s["places"], p["places"]).alias("places"), F.array_union(s["same"], p["same"]).alias("same"), pairs.alias("pairs"))
+        both = F.struct(F.array_union(s["places"], p["places"]).alias("places"), F.array_union(s["same"], p["same"]).alias("same"), pairs.alias("pairs"), F.array_union(s["moved"], p["moved"]).alias("moved"))
         return F.when(_consistent(pairs), both).otherwise(s)
 
     first = F.get("parts", F.lit(0))
-    united = F.aggregate(F.slice("parts", 2, F.size("parts")), F.struct(*[first[c].alias(c) for c in ("places", "same", "pairs")]), joined)
+    united = F.aggregate(F.slice("parts", 2, F.size("parts")), F.struct(*[first[c].alias(c) for c in ("places", "same", "pairs", "moved")]), joined)
     chains = chains.withColumn("_u", united).select(
         "doc_id", "item_id", "windows", "every", F.size("_u.places").alias("n"), F.array_union("_u.places", "_u.same").alias("places"),
-        F.size(F.filter("_u.pairs", lambda p: p["was"] != p["now"])).cast("long").alias("changed"))
+        F.size(F.array_union(F.filter("_u.pairs", lambda p: p["was"] != p["now"]), "_u.moved")).cast("long").alias("changed"))
     share = F.greatest(F.coalesce(F.try_divide("n", "windows"), F.lit(0.0)), F.size("places") / F.col("every"))
     # Neighbouring windows share all but one word.
     places = F.sort_array("places")

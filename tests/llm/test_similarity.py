@@ -164,7 +164,21 @@ def test_items(spark):
     found = find_items(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
     pairs = {(r.doc_id, r.item_id): r.changed for r in found}
     assert {k for k in pairs if k[1] == 1} == {(1, 1), (2, 1), (6, 1)} and pairs[1, 1] == 0 and pairs[2, 1] >= 3
-    assert (1, 4) in pairs and (7, 5) in pairs and (8, 5) not in pairs and not any(d in (3, 4, 5, 9) for d, _ in pairs)
+    assert (1, 4) in pairs and (7, 5) in pairs and (8, 5) in pairs and not any(d in (3, 4, 5, 9) for d, _ in pairs)
+
+
+def test_items_by_most_places(spark):
+    """Equal values of an item may vary apart; a value that changes in one place costs the windows with that place alone."""
+    apart = "Tom has got 3 apples in a big bowl and his sister has got 3 pears in her bag so how many fruits are there"
+    rare = " ".join(f"w{chr(97 + i)} 4 v{chr(97 + i)}" for i in range(12))
+    docs = [
+        (1, "so " + apart.replace("3 apples", "5 apples").replace("3 pears", "7 pears")), (2, rare.replace("wc 4", "wc 9")),
+        # Half of the places have values of their own: too few windows agree.
+        (3, " ".join(f"w{chr(97 + i)} {i * 11} v{chr(97 + i)}" if i % 2 else f"w{chr(97 + i)} 8 v{chr(97 + i)}" for i in range(12))),
+    ]
+    items = spark.createDataFrame([(1, apart), (2, rare)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in find_items(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert set(found) == {(1, 1), (2, 2)} and found[1, 1].changed == 2 and found[2, 2].changed == 0 and 20 < found[2, 2].words < 36
 
 
 def test_items_by_chain(spark):
