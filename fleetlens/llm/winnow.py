@@ -169,7 +169,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     guests = docs.filter(pick).select(to.alias("bucket"), F.lit(True).alias("guest"), "doc_id", "text")
     own = placed.select("bucket", F.lit(False).alias("guest"), "doc_id", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = own.union(guests).repartition(n, "bucket").sortWithinPartitions("bucket", "guest", "doc_id", "text")
+    # Ranges are dealt out in turn, so that no partition gets several while others get none.
+    ordered = own.union(guests).repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "guest", "doc_id", "text")
     return ordered.mapInArrow(_pairs, OUT)
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from fleetlens.llm import ngram_join as join
+from fleetlens.llm.codes import rolling_hash
 from fleetlens.llm.decontaminate import find_items, without_items
 from fleetlens.llm.line_dedup import LineRuns, dedup_lines
 from fleetlens.llm.winnow import K, W, fingerprints, likeness, unpacked, winnow
@@ -132,6 +133,38 @@ def test_fingerprints(spark, documents, sample):
         assert len(hashes) == got[d].n_prints and places == winnow(np.frombuffer(text.encode("utf-32-le"), np.uint32))[1].tolist()
 
 
+def plain_prints(text):
+    """(hash, place) of the chosen grams, one gram and one window at a time."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    if not len(points):
+        return []
+    k = min(K, len(points))
+    grams = [int(rolling_hash(points[i : i + k].copy(), k)[0]) >> 32 for i in range(len(points) - k + 1)]
+    chosen = {}
+    for at in range(max(1, len(grams) - W + 1)):
+        window = range(at, min(at + W, len(grams)))
+        best = max((i for i in window if grams[i] == min(grams[j] for j in window)))
+        chosen[best] = grams[best]
+    return sorted((i, h) for i, h in chosen.items())
+
+
+def test_fingerprints_brute_force(spark, documents, sample):
+    """Hashes, places and both likenesses of some texts, from plain loops."""
+    got = {r.doc_id: r for r in fingerprints(documents).collect()}
+    alike = lambda a, b: 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+    short = [k for k, (_, t) in enumerate(sample) if len(t or "") < 1500][:20]
+    for k in short:
+        d, text = sample[k]
+        after, n = sample[(k + 1) % len(sample)][1] or "", len(text or "")
+        text = text or ""
+        own, edited, following = plain_prints(text), plain_prints(text[: n - n // 2] + after[: n // 2]), plain_prints(after[:4000]) if len(after) <= 4000 else None
+        assert list(zip(*unpacked(got[d].fingerprint)[::-1])) == own and list(zip(*unpacked(got[d].edited_fingerprint)[::-1])) == edited
+        sets = [{h for _, h in found} for found in (own, edited)]
+        assert got[d].near_edited == pytest.approx(alike(*sets))
+        if following is not None:
+            assert got[d].near_next == pytest.approx(alike(sets[0], {h for _, h in following}))
+
+
 def test_fingerprints_in_ranges(spark, documents, monkeypatch):
     whole = {r.doc_id: r for r in fingerprints(documents).collect()}
     monkeypatch.setattr("fleetlens.llm.winnow.BUCKET_ROWS", 17)

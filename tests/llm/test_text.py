@@ -250,3 +250,14 @@ def test_conversations_contract(spark):
     row = {r.conv_id: r for r in chat.op7_chat_formatting(spark, SF).collect()}[-7]
     assert (row.n_turns, row.loss_chars) == (2, len(chat.TRICKY))
     assert len(row.asDict()) and duckdb.connect().execute(f"SELECT count(DISTINCT conv_id) FROM '{SF}/conversations.parquet'").fetchone()[0] > 0
+
+
+def test_pseudonyms_of_a_long_run(spark):
+    """Thousands of numbers in one run, with cards among them: found in time that follows the length."""
+    card = "4111 1111 1111 1111"
+    numbers = [f"{i * 37 % 90 + 10}" for i in range(8_000)]
+    numbers[1000] = numbers[7000] = card
+    out = pseudonyms.pseudonymise(spark.createDataFrame([(1, " ".join(numbers))], "doc_id long, text string"), "k").first()
+    got = out.text.split(" ")
+    assert out.kinds.count("card") >= 2 and len(got) == 8_006
+    assert got[1000:1004] == got[7003:7007] != card.split(" ") and got[:990] == numbers[:990]
