@@ -648,21 +648,26 @@ def audit_metric_names() -> list[str]:
     return sorted({*single, *measure_names(MEASURES, AUDIT_MEASURES)})
 
 
-def audit(tables: dict[str, DataFrame], only: set[str] | None = None, materialize: bool = False) -> DataFrame:
+def audit(tables: dict[str, DataFrame], only: set[str] | None = None, materialize: bool | None = None) -> DataFrame:
     """CheckResult rows of every group whose tables are given.
 
-    The metric rules share one digest of the samples. With ``materialize`` it is
-    checkpointed (a row per series), so that the samples are scanned once in all; so is
-    the list of bundles.
+    The metric rules share one digest of the samples, a row per series. It is checkpointed where several groups
+    read it, so that the samples are scanned once in all; so is the list of bundles. ``materialize``
+    asks for both or for none of it.
     """
     given = dict(tables)
+    made = {*given, "bundles", *(["digest"] if "metrics" in given else [])}
+    chosen = [(needs, fn) for needs, fn in GROUPS if made.issuperset(needs) and (only is None or fn.__name__ in only)]
+
+    def kept(name: str, df: DataFrame) -> DataFrame:
+        shared = sum(name in needs for needs, _ in chosen) > 1
+        return cut_lineage(df) if (shared if materialize is None else materialize) else df
+
     if "bundles" not in given:
-        bundles = bundle_list(given)
-        given["bundles"] = cut_lineage(bundles) if materialize else bundles
+        given["bundles"] = kept("bundles", bundle_list(given))
     if "metrics" in given:
-        digest = metric_digest(given["metrics"], audit_metric_names())
-        given["digest"] = cut_lineage(digest) if materialize else digest
-    parts = [fn(given) for needs, fn in GROUPS if all(n in given for n in needs) and (only is None or fn.__name__ in only)]
+        given["digest"] = kept("digest", metric_digest(given["metrics"], audit_metric_names()))
+    parts = [fn(given) for _, fn in chosen]
     if not parts:
         return next(iter(given.values())).sparkSession.createDataFrame([], EMPTY)
     return reduce(DataFrame.unionByName, parts).select("bundle_id", *FIELDS)

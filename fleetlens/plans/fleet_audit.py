@@ -37,14 +37,16 @@ def load_tables(fleet: Fleet, logs_only: bool = False, materialize: bool = True)
     kafka = cluster.scan_kafka_dump(fleet, materialize)
     brokers = cluster.scan_brokers(fleet)
     k8s = cluster.scan_k8s(fleet)
+    # Both search the log table, so they are worked out once.
+    versions, commands = keep(detect_version(brokers, logs)), keep(host.command_lines(facts, logs))
     sar, sar_net = host.scan_sar(fleet)
     return {
         "logs": logs, "metrics": metric_files.scan_prometheus(fleet), "facts": facts, "uname": host.uname_facts(facts),
-        "command_lines": host.command_lines(facts, logs), "core_counts": host.scan_core_counts(fleet), "oom": host.scan_oom(fleet),
+        "command_lines": commands, "core_counts": host.scan_core_counts(fleet), "oom": host.scan_oom(fleet),
         "raid": host.scan_raid(fleet), "filesystems": host.scan_filesystems(fleet), "sockets": host.scan_sockets(fleet),
         "processes": host.scan_processes(fleet), "irqs": host.scan_irqs(fleet), "softirqs": host.scan_irqs(fleet, "softirqs"),
         "sar": sar, "sar_net": sar_net, "core_dumps": list_files(fleet, "core.*"), "broker_config": config,
-        "cluster_config": cluster.scan_cluster_config(fleet), "brokers": brokers, "versions": detect_version(brokers, logs),
+        "cluster_config": cluster.scan_cluster_config(fleet), "brokers": brokers, "versions": versions,
         "health": cluster.scan_health(fleet), "balancer": cluster.scan_balancer(fleet), "self_test": cluster.scan_self_test(fleet),
         "disks": storage_ops.match_hosts(cluster.scan_disk_stats(fleet), brokers), "leaders": cluster.scan_leaders(fleet),
         "partitions": partitions, "replicas": cluster.partition_replicas(partitions), "debug_replicas": cluster.debug_replicas(debug),

@@ -297,3 +297,14 @@ def test_global_search(spark):
     assert {k: len(v) for k, v in by.items()} == {"Logs": 1, "File: Admin": 1, "Kubernetes": 1, "Partition": 30}
     assert by["Logs"][0]["preview"] == "&lt;<mark>Topic-A</mark>&gt; moved" and "<mark>TOPIC-a</mark>" in by["File: Admin"][0]["preview"]
     assert len(by["File: Admin"][0]["preview"]) == 107 + len("<mark></mark>")
+
+
+def test_samples_are_scanned_once(spark, tmp_path):
+    """With several groups on metrics, their results come from the kept digest and not from the samples."""
+    rows = [("b1", "n1", i, "vectorized_io_queue_queue_length", {"shard": "0"}, T0 + timedelta(seconds=i), 1100.0) for i in range(20)]
+    spark.createDataFrame(rows, "bundle_id string, node string, id bigint, name string, labels map<string,string>, ts timestamp, value double").write.parquet(str(tmp_path / "samples"))
+    metrics = spark.read.parquet(str(tmp_path / "samples"))
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("parquet")
+    out = A.audit({"metrics": metrics})
+    assert scans(out) == 0 and {r["name"] for r in out.collect()} == {"AIO Context Saturation"}
+    assert scans(A.audit({"metrics": metrics}, only={"queue_checks"})) == 1 and scans(A.audit({"metrics": metrics}, materialize=False)) > 2
