@@ -1,241 +1,296 @@
 """Text quality by an interpolated modified Kneser-Ney model of character 5-grams.
 
-Counts come from all of the trusted text. A gram is five 12-bit characters in one number (code points
-from 2048 on share 2048 values), so its context and its suffix are shifts of it. The count
-tables of the orders are Spark tables hashed over all tasks, and the model is made by joining
-them: continuation counts from the table above, discounts from the counts of counts, a gram's
-probability from its count, its context's mass and its suffix's probability.
+Counts come from all of the trusted text. A gram is a string of up to five characters of any script; its context and
+its suffix are parts of it. The count tables of the orders are Spark tables hashed over all tasks, and the model is made by
+joining them: continuation counts from the table above, discounts from the counts of counts, a gram's
+probability from its count, its context's mass and its suffix's probability. Nothing is left out and no table is held
+by the driver or by every task, so the model grows with the trusted text.
 
-For scoring, the finished tables are put into arrays of a fixed number of slots with 16-bit tags
-(``SLOT_BITS``: 130 MB in all, whatever the corpus), and every text is looked up position by
-position. Of grams that meet in a slot the most probable one stays, the others go to a second table
-with another hash; what meets there again is left to the lower orders.
+Scoring is a join too. The log probability of a character depends on the gram that ends with it alone, so each partition
+of the documents first gives its *distinct* grams, far fewer than its characters. These are joined with the tables, by
+order: what an order does not hold goes on, as suffix and context, to the next lower one. The scores then go to
+the texts of their partition, which travel once, compressed in blocks of documents; there they are looked up by 64-bit hashes.
 
 Perplexity is per character, end of text included. A text is kept if its perplexity is at most the
 ``quantile`` of the trusted texts of its language, times ``margin``. For this the trusted texts are scored by models
 that have not seen them, like all others: each of ``FOLDS`` parts, dealt by a hash of the text so that exact copies stay together, by
-a model of the other parts. Such a model has less text than the final one, so thresholds are rather a little high.
+a model of the other parts. These models are further columns of the same tables, whose counts leave a part out. Such a model has less text
+than the final one, so thresholds are rather a little high.
 
 Edge cases: a null or empty text has null perplexity and is not kept; a language with under
 ``LEAST_TRUSTED`` trusted texts uses the threshold of all trusted texts; where there are fewer in all, they cannot be spared for
 another model and thresholds are those under the model of them; without any trusted text, thresholds are null and nothing is
 kept; rows that repeat are scored each; null lang is a language of its own; repeated labels count once;
-an empty table gives an empty result; other columns are not read.
+characters U+0000 and U+0001 count as U+0002; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import math
 import uuid
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm.codes import mix, text_slices
+from fleetlens.llm.codes import gram_hash, text_slices
 from fleetlens.llm.registry import query, table
 from fleetlens.session import drop_staged, release_shuffles, stage, staging_scope
 
-ORDER, CHAR = 5, 12
-SLOT_BITS = {1: 12, 2: 20, 3: 20, 4: 22, 5: 22}
+ORDER = 5
+#: An unseen character has this share of the mass that is left to such.
+UNSEEN = 1 / 4096
 PAD, END = 0, 1
 FOLDS, LEAST_TRUSTED = 2, 20
+#: The model of all trusted text, then those without one part.
+MODELS = range(FOLDS + 1)
+HELD_GRAMS, PACKED_ROWS = 2_000_000, 500_000
 
 
 def chars_of(points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """12-bit characters of the texts, each after four pads and before an end mark; and where each text starts."""
-    n = len(bounds) - 1
-    small = np.where(points < 2048, points, 2048 + mix(points.astype(np.uint64)) % np.uint64(2048)).astype(np.uint64)
-    small[points < 2] = 2
+    """Characters of the texts, each after four pads and before an end mark; and where each text starts."""
     lengths = np.diff(bounds)
     starts = np.concatenate([[0], np.cumsum(lengths + ORDER)])
-    out = np.full(int(starts[-1]), PAD, np.uint64)
-    out[np.arange(len(points)) + np.repeat(starts[:-1] + ORDER - 1 - bounds[:-1], lengths)] = small
+    out = np.full(int(starts[-1]), PAD, np.uint32)
+    out[np.arange(len(points)) + np.repeat(starts[:-1] + ORDER - 1 - bounds[:-1], lengths)] = np.maximum(points, 2)
     out[starts[1:] - 1] = END
     return out, starts
 
 
-def grams_of(chars: np.ndarray, n: int) -> np.ndarray:
-    """The gram of ``n`` characters that ends at each place (zeros stand before the first)."""
-    out = chars.copy()
-    for k in range(1, n):
-        out[k:] |= chars[:-k] << np.uint64(CHAR * k)
-    return out
+def gram_places(chars: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place of the first character) of the gram that ends at each character or end mark."""
+    hashes = gram_hash(chars.astype(np.uint64), ORDER)
+    inner = np.ones(len(hashes), bool)
+    # Grams that begin in one text and end in the next.
+    inner[(starts[1:-1][:, None] - np.arange(1, ORDER)).ravel()] = False
+    at = np.flatnonzero(inner)
+    return hashes[at], at
+
+
+class Distinct:
+    """Distinct grams with counts: merged as they come, so memory follows the distinct ones."""
+
+    def __init__(self):
+        self.hashes, self.grams, self.counts = np.empty(0, np.uint64), np.empty((0, ORDER), np.uint32), np.empty(0, np.int64)
+
+    def add(self, points: np.ndarray, bounds: np.ndarray) -> None:
+        chars, starts = chars_of(points, bounds)
+        hashes, places = gram_places(chars, starts)
+        found, first, times = np.unique(hashes, return_index=True, return_counts=True)
+        grams = chars[places[first][:, None] + np.arange(ORDER)]
+        self.hashes, kept, back = np.unique(np.concatenate([self.hashes, found]), return_index=True, return_inverse=True)
+        self.counts = np.bincount(back, np.concatenate([self.counts, times]), len(self.hashes)).astype(np.int64)
+        self.grams = np.concatenate([self.grams, grams])[kept]
+
+    def strings(self) -> pa.Array:
+        return pa.array(np.ascontiguousarray(self.grams).view(f"<U{ORDER}").ravel().tolist(), pa.string())
 
 
 def _counted(batches):
-    """Distinct grams of a task with counts: merged as they grow, so memory follows the distinct ones."""
-    grams, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    """(gram, part of the trusted text, n) of a task."""
+    held = [Distinct() for _ in range(FOLDS)]
+
+    def rows(k):
+        return pa.RecordBatch.from_arrays([held[k].strings(), pa.array(np.full(len(held[k].hashes), k, np.int32)), pa.array(held[k].counts)], names=["gram", "fold", "n"])
+
     for batch in batches:
-        for _, points, bounds in text_slices(batch, "text"):
-            chars, starts = chars_of(points, bounds)
-            every = grams_of(chars, ORDER)
-            inner = np.ones(len(chars), bool)
-            inner[(starts[:-1][:, None] + np.arange(ORDER - 1)).ravel()] = False
-            found, times = np.unique(every[inner], return_counts=True)
-            grams, back = np.unique(np.concatenate([grams, found]), return_inverse=True)
-            counts = np.bincount(back, np.concatenate([counts, times]), len(grams)).astype(np.int64)
-            if len(grams) > 2_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts)], names=["gram", "n"])
-                grams, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts)], names=["gram", "n"])
-
-
-def _discounts(counts: DataFrame) -> list[float]:
-    """D1, D2, D3+ of modified Kneser-Ney, from the numbers of grams seen once to four times."""
-    seen = {r["n"]: r["count"] for r in counts.filter("n <= 4").groupBy("n").count().collect()}
-    n1, n2, n3, n4 = (seen.get(k, 0) for k in range(1, 5))
-    if not (n1 and n2 and n3):
-        return [0.5, 0.75, 0.9]
-    y = n1 / (n1 + 2 * n2)
-    return [min(max(d, 0.05), k - 0.05) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
-
-
-def train(texts: DataFrame) -> tuple[dict[int, DataFrame], float]:
-    """Tables per order and the mass left to unseen characters. A table is (gram, p, mass): interpolated probability, and the mass that the gram as a context leaves
-    to the next lower order (1 if it is no context)."""
-    counts = {ORDER: stage(texts.select("text").mapInArrow(_counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")}
+        for k in range(FOLDS):
+            for _, points, bounds in text_slices(batch.filter(pc.equal(batch.column(1), k)), "text"):
+                held[k].add(points, bounds)
+            if len(held[k].hashes) > HELD_GRAMS:
+                yield rows(k)
+                held[k] = Distinct()
+    for k in range(FOLDS):
+        yield rows(k)
+
+
+def fold_of(text: str = "text") -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")
+
+
+def _discounts(counts: DataFrame) -> list[list[float]]:
+    """Per model D1, D2, D3+ of modified Kneser-Ney, from the numbers of grams seen once to four times."""
+    seen = counts.agg(*[F.count_if(F.col(f"n{m}") == k).alias(f"s{m}_{k}") for m in MODELS for k in range(1, 5)]).first()
+    out = []
+    for m in MODELS:
+        n1, n2, n3, n4 = (seen[f"s{m}_{k}"] for k in range(1, 5))
+        y = n1 / (n1 + 2 * n2) if n1 and n2 and n3 else 0.0
+        given = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3] if y else [0.5, 0.75, 0.9]
+        out.append([min(max(d, 0.05), k + 0.95) if y else d for k, d in enumerate(given)])
+    return out
+
+
+def train(texts: DataFrame) -> dict[int, DataFrame]:
+    """Tables per order: (gram, p0.., mass0..), for each model the interpolated probability of a gram, and the mass that it leaves as a
+    context to the next lower order (1 if it is no context there). Order 0 has the empty gram."""
+    folds = texts.select("text", fold_of().alias("fold")).mapInArrow(_counted, "gram string, fold int, n long")
+    # Model 0 sees all parts, model k + 1 all but part k.
+    every = [F.sum("n").alias("n0"), *[F.sum(F.when(F.col("fold") != k, F.col("n")).otherwise(0)).alias(f"n{k + 1}") for k in range(FOLDS)]]
+    counts = {ORDER: stage(folds.groupBy("gram").agg(*every), "grams")}
     for order in range(ORDER - 1, 0, -1):
         # Continuations: how many characters are seen before the gram.
-        suffix = F.col("gram").bitwiseAND((1 << CHAR * order) - 1).alias("gram")
-        counts[order] = stage(counts[order + 1].select(suffix).groupBy("gram").agg(F.count("*").alias("n")), "grams")
-    tables, lower = {}, None
+        seen = [F.count_if(F.col(f"n{m}") > 0).alias(f"n{m}") for m in MODELS]
+        counts[order] = stage(counts[order + 1].groupBy(F.substring("gram", 2, order).alias("gram")).agg(*seen), "grams")
+    tables: dict[int, DataFrame] = {}
+    lower = None
     for order in range(1, ORDER + 1):
-        d1, d2, d3 = _discounts(counts[order])
-        discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        rows = counts[order].withColumn("context", F.shiftright("gram", CHAR)).withColumn("discount", discount)
-        contexts = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("discount").alias("left")).withColumn("mass", F.col("left") / F.col("total"))
-        rows = rows.join(contexts, "context").withColumn("own", (F.col("n") - F.col("discount")) / F.col("total"))
+        rows = counts[order].withColumn("context", F.substring("gram", 1, order - 1))
+        for m, (d1, d2, d3) in zip(MODELS, _discounts(counts[order]), strict=True):
+            n = F.col(f"n{m}")
+            rows = rows.withColumn(f"d{m}", F.when(n == 0, 0.0).when(n == 1, d1).when(n == 2, d2).otherwise(d3))
+        contexts = rows.groupBy("context").agg(*[F.sum(c).alias(f"sum_{c}") for m in MODELS for c in (f"n{m}", f"d{m}")])
+        mass = lambda m: F.when(F.col(f"sum_n{m}") > 0, F.col(f"sum_d{m}") / F.col(f"sum_n{m}")).otherwise(1.0)
+        own = lambda m: F.when(F.col(f"sum_n{m}") > 0, (F.col(f"n{m}") - F.col(f"d{m}")) / F.col(f"sum_n{m}")).otherwise(0.0)
+        rows = rows.join(contexts, "context")
         if lower is None:
-            made = rows.select("gram", (F.col("own") + F.col("mass") / (1 << CHAR)).alias("p"))
-            unseen = contexts.first()
+            below = lambda m: F.lit(UNSEEN)
         else:
-            below = lower.select(F.col("gram").alias("suffix"), F.col("p").alias("p_below"))
-            rows = rows.withColumn("suffix", F.col("gram").bitwiseAND((1 << CHAR * (order - 1)) - 1)).join(below, "suffix")
-            made = rows.select("gram", (F.col("own") + F.col("mass") * F.col("p_below")).alias("p"))
-            # Contexts of this order are grams of the order below.
-            tables[order - 1] = lower.join(contexts.select(F.col("context").alias("gram"), "mass"), "gram", "full").select("gram", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("mass", F.lit(1.0)).alias("mass"))
+            suffixes = lower.select(F.col("gram").alias("suffix"), *[F.col(f"p{m}").alias(f"below{m}") for m in MODELS])
+            rows = rows.withColumn("suffix", F.substring("gram", 2, order - 1)).join(suffixes, "suffix")
+            below = lambda m: F.col(f"below{m}")
+        made = rows.select("gram", *[(own(m) + mass(m) * below(m)).alias(f"p{m}") for m in MODELS])
+        masses = contexts.select(F.col("context").alias("gram"), *[mass(m).alias(f"mass{m}") for m in MODELS])
+        # Contexts of this order are grams of the order below; those that are only a text's beginning have no probability.
+        tables[order - 1] = stage(masses if lower is None else lower.join(masses, "gram", "full"), "model")
         lower = stage(made, "probabilities")
-    tables[ORDER] = lower.withColumn("mass", F.lit(1.0))
-    return tables, unseen["mass"] if unseen else 1.0
-
-
-def _place(grams: np.ndarray, order: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and tag of grams, in the first or second table; a single character is its own slot."""
+    tables[ORDER] = lower
+    return tables
+
+
+def scored_grams(grams: DataFrame, model: dict[int, DataFrame], m: int, order: int = ORDER) -> DataFrame:
+    """(gram, p) of distinct grams of one order under model ``m``, known to it or not."""
+    known = model[order].filter(F.col(f"p{m}").isNotNull()).select("gram", F.col(f"p{m}").alias("p"))
+    found = stage(grams.join(known, "gram", "left"), "found")
+    rest = found.filter("p IS NULL").select("gram", F.substring("gram", 1, order - 1).alias("context"))
+    contexts = model[order - 1].select(F.col("gram").alias("context"), F.col(f"mass{m}").alias("mass"))
+    rest = rest.join(contexts, "context", "left")
+    mass = F.coalesce("mass", F.lit(1.0))
     if order == 1:
-        return grams.astype(np.int64), np.zeros(len(grams), np.uint16)
-    h = mix(grams + np.uint64(order + 100 * second))
-    return (h >> np.uint64(64 - SLOT_BITS[order] + 2 * second)).astype(np.int64), (h & np.uint64(0xFFFF)).astype(np.uint16)
-
-
-def slotted(tables: dict[int, DataFrame], unseen: float) -> dict:
-    """Per order two tables of (bits, slot, tag, p, mass) with the slots that are in use, which is what
-    travels. At most one row per slot comes to the driver."""
-    out: dict = {0: unseen, "name": uuid.uuid4().hex}
-    for order, rows in tables.items():
-        out[order] = []
-        for second in (False, True):
-            def slots(batches, order=order, second=second):
-                for b in batches:
-                    slot, tag = _place(b.column(0).to_numpy().view(np.uint64), order, second)
-                    yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(slot.astype(np.int32)), pa.array(tag.astype(np.int32))], names=["gram", "p", "mass", "slot", "tag"])
-
-            placed = rows.select("gram", "p", "mass").mapInArrow(slots, "gram long, p double, mass double, slot int, tag int")
-            best = stage(placed.groupBy("slot").agg(F.max(F.struct("p", "gram", "mass", "tag")).alias("best")).select("slot", "best.*"), "slots")
-            found = best.select("slot", "tag", F.col("p").cast("float").alias("p"), F.col("mass").cast("float").alias("mass")).toArrow()
-            out[order].append((SLOT_BITS[order] - 2 * second, *(found.column(c).to_numpy().astype(k) for c, k in (("slot", np.int32), ("tag", np.uint16), ("p", np.float32), ("mass", np.float32)))))
-            if order == 1:
-                break
-            rows = rows.join(best.select("gram"), "gram", "left_anti")
-    return out
+        lower = rest.select("gram", (mass * UNSEEN).alias("p"))
+    else:
+        rest = rest.withColumn("suffix", F.substring("gram", 2, order - 1))
+        below = scored_grams(found.filter("p IS NULL").select(F.substring("gram", 2, order - 1).alias("gram")).distinct(), model, m, order - 1)
+        lower = rest.join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix").select("gram", (mass * F.col("below")).alias("p"))
+    return found.filter("p IS NOT NULL").unionByName(lower)
 
 
-_SPREAD: dict[str, dict] = {}
+def _grams(batches):
+    """(part, gram): distinct grams of a partition of the documents."""
+    part, held = TaskContext.get().partitionId(), Distinct()
 
+    def rows():
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(held.hashes), part, np.int32)), held.strings()], names=["part", "gram"])
 
-def spread(model: dict) -> dict:
-    """The tables as arrays over all slots, made once per Python worker."""
-    if model["name"] not in _SPREAD:
-        _SPREAD.clear()
-        out = {0: model[0]}
-        for order in range(1, ORDER + 1):
-            out[order] = []
-            for bits, slot, *columns in model[order]:
-                arrays = np.zeros(1 << bits, np.uint16), np.zeros(1 << bits, np.float32), np.ones(1 << bits, np.float32)
-                for array, column in zip(arrays, columns, strict=True):
-                    array[slot] = column
-                out[order].append(arrays)
-        _SPREAD[model["name"]] = out
-    return _SPREAD[model["name"]]
+    for batch in batches:
+        for _, points, bounds in text_slices(batch, "text"):
+            held.add(points, bounds)
+        if len(held.hashes) > HELD_GRAMS:
+            yield rows()
+            held = Distinct()
+    yield rows()
 
 
-def log_scores(chars: np.ndarray, model) -> np.ndarray:
-    """Log probability of the character at each place, given up to four before it."""
-    p = np.full(len(chars), 1.0 / (1 << CHAR), np.float32)
-    context = np.full(len(chars), model[0], np.float32)
-    grams = chars.copy()
-    for order in range(1, ORDER + 1):
-        if order > 1:
-            grams[order - 1 :] |= chars[: 1 - order] << np.uint64(CHAR * (order - 1))
-        slot, tag = _place(grams, order)
-        tags, values, masses = model[order][0]
-        hit = tags[slot] == tag
-        value = np.where(hit, values[slot], np.float32(0))
-        mass = np.where(hit, masses[slot], np.float32(1))
-        for tags, values, masses in model[order][1:]:
-            miss = np.flatnonzero(~hit)
-            slot, tag = _place(grams[miss], order, True)
-            hit2 = tags[slot] == tag
-            value[miss] = np.where(hit2, values[slot], np.float32(0))
-            mass[miss] = np.where(hit2, masses[slot], np.float32(1))
-        p = np.where(value > 0, value, context * p)
-        context = np.concatenate([[np.float32(1)], mass[:-1]])
-    return np.log(p)
-
-
-SCORES = "doc_id long, perplexity double"
-
-
-def _scored(batches, shared):
-    model = spread(shared.value)
+def _texts(batches):
+    """(part, kind 1, a block of its documents, compressed)."""
+    part = TaskContext.get().partitionId()
     for batch in batches:
-        for part, points, bounds in text_slices(batch, "text"):
-            chars, starts = chars_of(points, bounds)
-            logs = log_scores(chars, model)
-            logs[(starts[:-1][:, None] + np.arange(ORDER - 1)).ravel()] = 0
-            total = np.concatenate([[0.0], np.cumsum(logs, dtype=np.float64)])
-            n = np.diff(bounds)
-            mean = -(total[starts[1:]] - total[starts[:-1]]) / (n + 1)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([math.exp(min(m, 700.0)) if k else None for m, k in zip(mean.tolist(), n.tolist(), strict=True)], pa.float64()), part.column(2)], names=["doc_id", "perplexity", "lang"])
-
-
-def model_of(texts: DataFrame) -> dict:
-    """The model of ``texts`` in its fixed size; the count tables behind it are deleted once it is made."""
-    spark, scope = texts.sparkSession, f"model-{uuid.uuid4().hex}"
-    with staging_scope(spark, scope):
-        out = slotted(*train(texts))
-    drop_staged(spark, scope)
-    release_shuffles(spark)
-    return out
+        for rows, _, _ in text_slices(batch, "text"):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([1], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["part", "kind", "block"])
 
 
-def perplexities(docs: DataFrame, model: tuple[dict[int, DataFrame], float]) -> DataFrame:
-    """(doc_id, perplexity, lang) per row of ``docs``."""
-    return under(slotted(*model), docs)
+def _packed(batches):
+    """Rows (part, gram, p) as blocks (part, kind 0, hashes and log probabilities)."""
+    held, rows = [], 0
 
+    def blocks():
+        part, hashes, logs = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(part, kind="stable")
+        parts, first = np.unique(part[order], return_index=True)
+        for number, at in zip(parts.tolist(), np.split(order, first[1:]), strict=True):
+            block = hashes[at].tobytes() + logs[at].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([0], pa.int32()), pa.array([block], pa.binary())], names=["part", "kind", "block"])
 
-def under(model: dict, docs: DataFrame) -> DataFrame:
-    """``perplexities`` under a model in its fixed size."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size
-    return docs.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(lambda it: _scored(it, shared), SCORES + ", lang string")
+    for batch in batches:
+        if batch.num_rows:
+            points = np.frombuffer("".join(batch.column(1).to_pylist()).encode("utf-32-le"), np.uint32)
+            hashes = gram_hash(points.astype(np.uint64), ORDER)[::ORDER]
+            held.append((batch.column(0).to_numpy(), hashes, np.log(batch.column(2).to_numpy()).astype(np.float32)))
+            rows += batch.num_rows
+        if rows > PACKED_ROWS:
+            yield from blocks()
+            held, rows = [], 0
+    if rows:
+        yield from blocks()
 
 
-def held_out(texts: DataFrame) -> DataFrame:
-    """``perplexities`` of trusted texts, each under a model of the other parts."""
-    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS))
-    return reduce(DataFrame.unionAll, [under(model_of(texts.filter(fold != k)), texts.filter(fold == k)) for k in range(FOLDS)])
+MOVED = "the partitions of the documents differ between two reads of their plan: stage them before they are scored"
+SCORES = "doc_id long, perplexity double, lang string"
+
+
+def _looked_up(batches):
+    """Blocks by part: scores of its grams (kind 0), which are held, then its documents (kind 1)."""
+    part, held, known = None, [], None
+    for batch in batches:
+        for number, kind, block in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            if number != part:
+                part, held, known = number, [], None
+            if kind == 0:
+                n = len(block) // 12
+                held.append((np.frombuffer(block, np.uint64, n), np.frombuffer(block, np.float32, n, 8 * n)))
+                continue
+            if known is None and not held:
+                raise RuntimeError(MOVED)
+            if known is None:
+                hashes, logs = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = np.argsort(hashes)
+                known, held = (hashes[order], logs[order]), []
+            for rows in pa.ipc.open_stream(block):
+                for docs, points, bounds in text_slices(rows, "text"):
+                    yield _scores(docs, points, bounds, *known)
+
+
+def _scores(docs: pa.RecordBatch, points: np.ndarray, bounds: np.ndarray, hashes: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
+    chars, starts = chars_of(points, bounds)
+    wanted, _ = gram_places(chars, starts)
+    at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+    if not (hashes[at] == wanted).all():
+        raise RuntimeError(MOVED)
+    n = np.diff(bounds)
+    total = np.concatenate([[0.0], np.cumsum(logs[at], dtype=np.float64)])
+    ends = np.cumsum(n + 1)
+    mean = -(total[ends] - total[ends - n - 1]) / (n + 1)
+    value = pa.array(np.exp(np.minimum(mean, 700.0)), mask=n == 0)
+    return pa.RecordBatch.from_arrays([docs.column(0), value, docs.column(2)], names=["doc_id", "perplexity", "lang"])
+
+
+def perplexities(docs: DataFrame, model: dict[int, DataFrame], m: int = 0) -> DataFrame:
+    """(doc_id, perplexity, lang) per row of ``docs``, under model ``m`` of the tables. The plan of ``docs`` has to give the same partitions when it
+    is read again, as scans of files do."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    found = stage(docs.mapInArrow(_grams, "part int, gram string"), "part-grams")
+    scores = scored_grams(found.select("gram").distinct(), model, m)
+    blocks = found.join(scores, "gram").select("part", "gram", "p").mapInArrow(_packed, "part int, kind int, block binary")
+    texts = docs.mapInArrow(_texts, "part int, kind int, block binary")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The texts come first, so that their partitions have the numbers that they have alone.
+    return texts.union(blocks).repartitionById(n, F.col("part")).sortWithinPartitions("part", "kind").mapInArrow(_looked_up, SCORES)
+
+
+def finished(docs: DataFrame, model: dict[int, DataFrame], m: int, name: str) -> DataFrame:
+    """``perplexities``, staged; what was staged on the way is deleted."""
+    spark, scope = docs.sparkSession, f"scores-{uuid.uuid4().hex}"
+    with staging_scope(spark, scope):
+        rows = perplexities(docs, model, m)
+    out = stage(rows, name)
+    drop_staged(spark, scope)
+    release_shuffles(spark)
+    return out
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 1.1) -> DataFrame:
@@ -254,9 +309,13 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin:
         for n, value in before.items():
             spark.conf.unset(n) if value is None else spark.conf.set(n, value)
     texts = texts.filter("text <> ''")
-    model = model_of(texts)
-    scores = stage(under(model, docs), "perplexities")
-    marks = stage(held_out(texts) if texts.count() >= LEAST_TRUSTED else under(model, texts), "held-out")
+    model = train(texts)
+    release_shuffles(spark)
+    scores = finished(docs, model, 0, "perplexities")
+    if texts.count() >= LEAST_TRUSTED:
+        marks = reduce(DataFrame.unionAll, [finished(texts.filter(fold_of() == k), model, k + 1, "held-out") for k in range(FOLDS)])
+    else:
+        marks = finished(texts, model, 0, "held-out")
     limit = F.percentile_approx("perplexity", quantile, 10_000) * margin
     by_lang = marks.groupBy("lang").agg(limit.alias("own"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_TRUSTED)
     overall = F.lit(marks.agg(limit).first()[0]).cast("double")

@@ -111,6 +111,26 @@ def test_perplexity_brute_force(spark, documents, sample):
         assert got[d] == pytest.approx(score(texts[d]), rel=2e-3)
 
 
+def test_perplexity_of_many_characters(spark):
+    """Texts over some thousand characters beyond the first plane of Latin, and some beyond 16 bits: every gram counts as itself."""
+    rng = np.random.default_rng(4)
+    alphabet = [chr(c) for c in (*range(0x4E00, 0x4E00 + 3000), *range(0x0E01, 0x0E2E), *range(0x1F600, 0x1F640))]
+    phrases = ["".join(rng.choice(alphabet, 12)) for _ in range(400)]
+    texts = ["".join(phrases[k] for k in rng.integers(0, 400, 12)) for _ in range(90)]
+    docs = spark.createDataFrame([(i, t, "zh") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = perplexity.train(docs.filter("doc_id < 60"))
+    score = brute_model(texts[:60])
+    got = {r.doc_id: r.perplexity for r in perplexity.perplexities(docs, model).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(score(t), rel=1e-5)
+    # A model that leaves a part out is the model of the other part.
+    part = {r.doc_id for r in docs.filter("doc_id < 60").filter(perplexity.fold_of() == 1).collect()}
+    held = {r.doc_id: r.perplexity for r in perplexity.perplexities(docs, model, 1).collect()}
+    score = brute_model([t for i, t in enumerate(texts) if i in part])
+    for i, t in enumerate(texts):
+        assert held[i] == pytest.approx(score(t), rel=1e-5)
+
+
 def test_quality_separates(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = perplexity.quality(docs, labels).join(labels, "doc_id").groupBy("quality", "toxic").agg(F.avg(F.col("keep").cast("int")).alias("kept")).collect()
