@@ -18,7 +18,7 @@ _MINIMA = (
 _SYSCTL_SQL = f"""
 WITH kv AS (SELECT bundle_id, node, key, min(value) AS value FROM v_sysctl GROUP BY 1, 2, 3), b AS (SELECT DISTINCT bundle_id, node FROM v_sysctl),
 r(key, least, status) AS (VALUES {_MINIMA})
-SELECT b.bundle_id, 'C1' AS "check", r.key AS name, coalesce(kv.value, 'Not Found') AS current_value,
+SELECT b.bundle_id, 'C1' AS "check", r.key AS name, coalesce(kv.value, 'not set') AS current_value,
        CASE WHEN kv.value IS NULL THEN 'Warning' WHEN CAST(kv.value AS BIGINT) < r.least THEN r.status ELSE 'Pass' END AS status
 FROM b CROSS JOIN r LEFT JOIN kv ON kv.bundle_id = b.bundle_id AND kv.node = b.node AND kv.key = r.key
 UNION ALL SELECT bundle_id, 'C2', key, value, 'Warning' FROM kv WHERE key = 'net.ipv4.ip_local_port_range' AND CAST(split_part(value, ' ', 2) AS INT) - 32768 < 28000
@@ -269,7 +269,7 @@ def steal_audit(t):
 
 @query(
     "queue_audit",
-    "SELECT bundle_id, format('{:.0f} requests (Shard {} of {})', w, shard, node) AS current_value, CASE WHEN w >= 1024 THEN 'Critical' ELSE 'Warning' END AS status FROM "
+    "SELECT bundle_id, format('queue of {:.0f} on shard {} of {}', w, shard, node) AS current_value, CASE WHEN w >= 1024 THEN 'Critical' ELSE 'Warning' END AS status FROM "
     f"(SELECT bundle_id, value AS w, shard, node FROM v_node_metrics WHERE name = '{_QUEUE}' "
     "QUALIFY row_number() OVER (PARTITION BY bundle_id ORDER BY value DESC, concat(shard, ' of ', node) DESC) = 1) q WHERE w >= 1000",
 )
@@ -279,7 +279,7 @@ def queue_audit(t):
 
 @query(
     "shard0_audit",
-    "SELECT bundle_id, format('{:.1f}% (Avg others: {:.1f}%)', zero, others) AS current_value FROM (SELECT bundle_id, node, arg_max(value, (ts, id)) FILTER (shard = '0') AS zero, "
+    "SELECT bundle_id, format('{:.1f}%, the others {:.1f}%', zero, others) AS current_value FROM (SELECT bundle_id, node, arg_max(value, (ts, id)) FILTER (shard = '0') AS zero, "
     "avg(value) FILTER (shard <> '0') AS others FROM v_node_metrics WHERE name = 'vectorized_reactor_utilization' GROUP BY 1, 2) z WHERE zero > others + 30 AND zero > 50",
 )
 def shard0_audit(t):

@@ -112,8 +112,8 @@ def performance_advice(t):
 @query(
     "bottleneck_audit",
     union(
-        expect("'CPU Saturation'", f"CASE WHEN {CPU} THEN 'Critical' ELSE 'Pass' END", f"CASE WHEN {CPU} THEN 'Critical' ELSE 'Healthy' END"),
-        expect("'Disk Saturation'", f"CASE WHEN {DISK} THEN 'Warning' ELSE 'Pass' END", f"CASE WHEN {DISK} THEN 'Critical' ELSE 'Healthy' END"),
+        expect("'CPU Saturation'", f"CASE WHEN {CPU} THEN 'Critical' ELSE 'Pass' END", f"CASE WHEN {CPU} THEN 'bound' ELSE 'not bound' END"),
+        expect("'Disk Saturation'", f"CASE WHEN {DISK} THEN 'Warning' ELSE 'Pass' END", f"CASE WHEN {DISK} THEN 'bound' ELSE 'not bound' END"),
         expect("'Workload Type'", "'Info'", WORKLOAD),
         expect("'Observation'", "'Critical'", "'Critical: Extreme network fan-out (6.0x)'", NET), expect("'Observation'", "'Info'", "'Reactor stalls over 1 ms were recorded'", f"{K} % 7 = 0"),
         expect("'Observation'", "'Warning'", "'Warning: Low free memory'", f"{N} % 3 = 1 AND {K} % 2 = 0"), expect("'Observation'", "'Warning'", "'Small average batch size (< 10 KB)'", f"{K} % 13 BETWEEN 4 AND 9"),
@@ -134,11 +134,11 @@ REQUESTS = "redpanda_kafka_request_latency_seconds_count"
 @query(
     "integrity_audit",
     union(
-        expect("'Log Storage Errors'", "'Critical'", f"concat({K} % 3, ' parse errors, ', {K} % 2, ' write errors')", f"{K} % 3 > 0 OR {K} % 2 > 0"),
-        expect("'Compaction Index Corruption'", "'Warning'", f"concat({K} % 4, ' indices corrupted')", f"{K} % 4 > 0"),
-        expect("'High Memory Reclaim Rate'", "'Warning'", "'15000 total reclaims'", f"{K} % 4 = 3"), expect("'Node Status RPC Timeouts'", "'Warning'", f"concat({K} % 5, ' timeouts')", f"{K} % 5 > 0"),
-        expect("'RPC Memory Backpressure'", "'Warning'", "'1 requests blocked'", f"{K} % 2 = 1"),
-        expect("'Metadata Request Overload'", "'Warning'", f"CASE WHEN {K} % 5 = 3 THEN '20.0% of produce rate' ELSE '15.0% of produce rate' END", f"{K} % 5 > 2 AND {K} % 2 = 1"),
+        expect("'Log Storage Errors'", "'Critical'", f"concat({K} % 3, ' not parsed, ', {K} % 2, ' not written')", f"{K} % 3 > 0 OR {K} % 2 > 0"),
+        expect("'Compaction Index Corruption'", "'Warning'", f"concat({K} % 4, ' indices')", f"{K} % 4 > 0"),
+        expect("'High Memory Reclaim Rate'", "'Warning'", "'reclaimed 15000 times'", f"{K} % 4 = 3"), expect("'Node Status RPC Timeouts'", "'Warning'", f"concat({K} % 5, ' calls')", f"{K} % 5 > 0"),
+        expect("'RPC Memory Backpressure'", "'Warning'", "'1 calls waited'", f"{K} % 2 = 1"),
+        expect("'Metadata Request Overload'", "'Warning'", f"CASE WHEN {K} % 5 = 3 THEN '20.0% of the produce requests' ELSE '15.0% of the produce requests' END", f"{K} % 5 > 2 AND {K} % 2 = 1"),
     ),
 )
 def integrity_audit(t):
@@ -163,7 +163,7 @@ _USE = f"({K} % 12) * 100000.0 / ({_LIMIT})"
 @query(
     "connection_audit",
     expect("'Network AIO Concurrency'", f"CASE WHEN {_USE} > 95 THEN 'Critical' WHEN {_USE} > 80 THEN 'Warning' ELSE 'Pass' END",
-           f"CASE WHEN {_USE} > 80 THEN concat({K} % 12, '000 conns (Limit: ', {_LIMIT}, ', Shard 1)') ELSE concat(CAST({_USE} AS DECIMAL(9, 1)), '% utilized') END", f"{K} % 12 > 0"),
+           f"CASE WHEN {_USE} > 80 THEN concat({K} % 12, '000 of ', {_LIMIT}, ' on shard 1') ELSE concat(CAST({_USE} AS DECIMAL(9, 1)), '% in use') END", f"{K} % 12 > 0"),
 )
 def connection_audit(t):
     """The limit comes from the command line, else from the configuration, else it is 10 000."""
@@ -172,7 +172,7 @@ def connection_audit(t):
         command_lines=f"SELECT {BUNDLE}, 'redpanda --max-networking-io-control-blocks=5000' AS cmdline FROM customer WHERE {N} % 3 = 0", broker_config=setting("rpk.additional_start_flags.0", "'--max-networking-io-control-blocks=20000'", f"{N} % 3 < 2"))
 
 
-@query("volume_audit", expect("'AWS GP3 IOPS Cliff'", "'Warning'", f"concat({K} % 100, '.0% IOPS Util')", f"{N} % 2 = 0 AND {K} % 100 > 70"))
+@query("volume_audit", expect("'AWS GP3 IOPS Cliff'", "'Warning'", f"concat({K} % 100, '.0% of the provisioned rate')", f"{N} % 2 = 0 AND {K} % 100 > 70"))
 def volume_audit(t):
     """The rates of both shards together; bundles of other clouds are not judged."""
     name = "vectorized_io_queue_total_write_ops"

@@ -81,7 +81,7 @@ _CORES = "SELECT concat('c-', o_custkey) AS bundle_id, concat('core.', o_orderke
 @query(
     "core_dump_audit",
     "SELECT b.bundle_id, 'Core Dumps Found' AS name, CASE WHEN count(file_name) > 0 THEN 'Critical' ELSE 'Pass' END AS status, "
-    "CASE WHEN count(file_name) > 0 THEN concat(count(file_name), ' files: ', string_agg(DISTINCT file_name, ', ' ORDER BY file_name)) ELSE '0' END AS current_value "
+    "CASE WHEN count(file_name) > 0 THEN concat(count(file_name), ' dumps: ', string_agg(DISTINCT file_name, ', ' ORDER BY file_name)) ELSE '0' END AS current_value "
     f"FROM (SELECT {BUNDLE} FROM customer) b LEFT JOIN ({_CORES}) o USING (bundle_id) GROUP BY 1",
 )
 def core_dump_audit(t):
@@ -102,9 +102,9 @@ def _flag(name: str, bad: str, status: str) -> str:
     union(
         _flag("developer_mode", "c_custkey % 2 = 0 AND c_custkey % 5 > 0", "Warning"), _flag("rpk.overprovisioned", "c_nationkey % 2 = 0", "Info"), _flag("auto_create_topics_enabled", "c_nationkey % 5 = 0", "Warning"),
         expect("'rpk.tune_aio_events'", "CASE WHEN c_custkey % 3 = 0 THEN 'Warning' ELSE 'Pass' END", "CASE WHEN c_custkey % 3 = 0 THEN 'false' ELSE 'true' END", "c_custkey % 3 < 2"),
-        expect("'IO Properties Missing'", "'Warning'", "'None'", "c_custkey % 5 = 0"),
-        expect("'Default IO Properties'", "'Info'", "'Default Values Found'", "c_custkey % 5 = 1"),
-        expect("'IO Cost Function'", "'Warning'", "'max_cost_function: false'", "c_nationkey % 4 = 1"),
+        expect("'IO Properties Missing'", "'Warning'", "'no limit is set'", "c_custkey % 5 = 0"),
+        expect("'Default IO Properties'", "'Info'", "'values of the defaults'", "c_custkey % 5 = 1"),
+        expect("'IO Cost Function'", "'Warning'", "'switched off'", "c_nationkey % 4 = 1"),
     ),
 )
 def config_audit(t):
@@ -120,7 +120,7 @@ def config_audit(t):
 @query(
     "address_audit",
     expect("'Public Advertised Addresses'", "CASE WHEN c_nationkey % 2 = 0 OR c_custkey % 3 = 0 THEN 'Warning' ELSE 'Pass' END",
-           "CASE WHEN c_nationkey % 2 = 0 AND c_custkey % 3 = 0 THEN '52.1.2.3, 8.8.8.8' WHEN c_nationkey % 2 = 0 THEN '8.8.8.8' WHEN c_custkey % 3 = 0 THEN '52.1.2.3' ELSE 'None' END"),
+           "CASE WHEN c_nationkey % 2 = 0 AND c_custkey % 3 = 0 THEN '52.1.2.3, 8.8.8.8' WHEN c_nationkey % 2 = 0 THEN '8.8.8.8' WHEN c_custkey % 3 = 0 THEN '52.1.2.3' ELSE 'no public one' END"),
 )
 def address_audit(t):
     """Reported and advertised hosts."""
@@ -136,9 +136,9 @@ _SHARDS, _CORE = "(c_nationkey % 9 + 1)", "(CASE WHEN c_nationkey >= 20 THEN 32
 @query(
     "container_audit",
     union(
-        expect("'K8s Shard Tax (N-1)'", "'Warning'", f"concat({_SHARDS}, ' shards on ', {_CORE}, ' cores')", f"{_CONTAINER} AND {_SHARDS} >= {_CORE}"),
-        expect("'Large Core Node Interference'", "'Warning'", f"concat({_SHARDS}, ' shards on ', {_CORE}, ' cores')", f"{_CONTAINER} AND {_CORE} >= 32 AND {_SHARDS} < {_CORE} // 2"),
-        expect("'Busy Spinning Mode'", "'Info'", "'spinning=on'", _CONTAINER),
+        expect("'K8s Shard Tax (N-1)'", "'Warning'", f"concat({_SHARDS}, ' shards, ', {_CORE}, ' cores')", f"{_CONTAINER} AND {_SHARDS} >= {_CORE}"),
+        expect("'Large Core Node Interference'", "'Warning'", f"concat({_SHARDS}, ' shards, ', {_CORE}, ' cores')", f"{_CONTAINER} AND {_CORE} >= 32 AND {_SHARDS} < {_CORE} // 2"),
+        expect("'Busy Spinning Mode'", "'Info'", "'shards spin'", _CONTAINER),
     ),
 )
 def container_audit(t):
@@ -158,7 +158,7 @@ _USED = "c_custkey % 101"
         expect("'/ Filesystem'", "'Warning'", "'ext4'", "c_nationkey % 3 = 0"),
         expect("'/data'", f"CASE WHEN {_USED} > 95 THEN 'Critical' ELSE 'Warning' END", f"concat({_USED}, '%')", f"{_USED} > 85 AND c_nationkey % 3 > 0"),
         expect("'Disk Balancing Trigger (/data)'", "'Info'", f"concat({_USED}, '%')", f"{_USED} >= 80 AND c_nationkey % 3 > 0"),
-        expect("'Data Directory on Root'", "'Warning'", "'/data/redpanda on /'", "c_nationkey % 3 = 0"),
+        expect("'Data Directory on Root'", "'Warning'", "'/data/redpanda lies on /'", "c_nationkey % 3 = 0"),
     ),
 )
 def disk_audit(t):
@@ -192,8 +192,8 @@ def self_test_audit(t):
     "interrupt_audit",
     union(
         expect("concat('SoftIRQ Imbalance (', CASE WHEN c_custkey % 2 = 0 THEN 'NET_RX' ELSE 'BLOCK' END, ')')", "CASE WHEN c_nationkey % 2 = 0 THEN 'Warning' ELSE 'Pass' END",
-               "CASE WHEN c_nationkey % 2 = 0 THEN '5.0% of cores' ELSE '100.0% of cores' END", "c_custkey % 3 > 0"),
-        expect("'MQ Imbalance (nvme0)'", "'Warning'", "'Pinned to 1 CPU'", "c_nationkey % 4 = 1"),
+               "CASE WHEN c_nationkey % 2 = 0 THEN 'on 5.0% of CPUs' ELSE 'on 100.0% of CPUs' END", "c_custkey % 3 > 0"),
+        expect("'MQ Imbalance (nvme0)'", "'Warning'", "'one CPU takes all'", "c_nationkey % 4 = 1"),
     ),
 )
 def interrupt_audit(t):
@@ -209,7 +209,7 @@ def interrupt_audit(t):
     "health_audit",
     union(
         expect("'Under Replicated Partitions'", "CASE WHEN c_custkey % 4 > 0 THEN 'Critical' ELSE 'Pass' END", "CAST(c_custkey % 4 AS VARCHAR)"),
-        expect("'Partition Balancer Stalled'", "'Critical'", "'Stalled'", "c_nationkey % 3 = 0"),
+        expect("'Partition Balancer Stalled'", "'Critical'", "'stalled'", "c_nationkey % 3 = 0"),
     ),
 )
 def health_audit(t):
@@ -223,7 +223,7 @@ _RACKS = "SELECT concat('n-', s_nationkey) AS bundle_id, CASE WHEN s_acctbal > 3
 
 @query(
     "rack_audit",
-    "SELECT bundle_id, 'Inconsistent Rack Configuration' AS name, 'Warning' AS status, concat(count(*) FILTER (rack <> ''), '/', count(*), ' brokers have racks') AS current_value "
+    "SELECT bundle_id, 'Inconsistent Rack Configuration' AS name, 'Warning' AS status, concat('racks on ', count(*) FILTER (rack <> ''), ' of ', count(*), ' brokers') AS current_value "
     f"FROM ({_RACKS}) r GROUP BY 1 HAVING count(*) FILTER (rack <> '') BETWEEN 1 AND count(*) - 1",
 )
 def rack_audit(t):
@@ -234,8 +234,8 @@ def rack_audit(t):
 @query(
     "pod_audit",
     union(
-        expect("concat('Pod p-', c_custkey, CASE c_nationkey % 4 WHEN 0 THEN ' OOMKilled' ELSE ' Crash' END)", "'Critical'", "concat('Exit Code: ', CASE c_nationkey % 4 WHEN 0 THEN 137 ELSE 1 END)", "c_nationkey % 4 < 2"),
-        expect("concat('Pod p-', c_custkey, ' QoS')", "'Warning'", "concat('CPU: ', c_nationkey, '/4, Mem: 1Gi/', CASE WHEN c_custkey % 2 = 0 THEN '2Gi' ELSE '1Gi' END)", "c_custkey % 2 = 0 OR c_nationkey <> 4"),
+        expect("concat('Pod p-', c_custkey, CASE c_nationkey % 4 WHEN 0 THEN ' OOMKilled' ELSE ' Crash' END)", "'Critical'", "concat('ended with code ', CASE c_nationkey % 4 WHEN 0 THEN 137 ELSE 1 END)", "c_nationkey % 4 < 2"),
+        expect("concat('Pod p-', c_custkey, ' QoS')", "'Warning'", "concat('cpu ', c_nationkey, ' of 4, memory 1Gi of ', CASE WHEN c_custkey % 2 = 0 THEN '2Gi' ELSE '1Gi' END)", "c_custkey % 2 = 0 OR c_nationkey <> 4"),
     ),
 )
 def pod_audit(t):

@@ -48,6 +48,72 @@ def finding(check, category, name, description, current, expected, status, remed
     return F.struct(*[_string(v).alias(f) for f, v in zip(FIELDS, values)])
 
 
+# Categories and names of the checks; {} stands for what a check is about.
+TITLES = {
+    "transparent_hugepages": ("OS Tuning", "Transparent Hugepages"),
+    "virtualization_detected": ("Platform", "Virtualization Detected"),
+    "oom_killer_invoked": ("System Stability", "OOM Killer Invoked"),
+    "core_dumps_found": ("Crash Evidence", "Core Dumps Found"),
+    "io_properties_missing": ("Disk Performance", "IO Properties Missing"),
+    "default_io_properties": ("Disk Performance", "Default IO Properties"),
+    "io_cost_function": ("Disk Performance", "IO Cost Function"),
+    "public_advertised_addresses": ("Network Configuration", "Public Advertised Addresses"),
+    "k8s_shard_tax_n_1": ("Kubernetes Performance", "K8s Shard Tax (N-1)"),
+    "large_core_node_interference": ("Kubernetes Performance", "Large Core Node Interference"),
+    "busy_spinning_mode": ("Kubernetes Performance", "Busy Spinning Mode"),
+    "data_directory_on_root": ("Disk Configuration", "Data Directory on Root"),
+    "time_wait_sockets": ("Network Evidence", "TIME_WAIT Sockets"),
+    "socket_retransmissions": ("Network Stack", "Socket Retransmissions"),
+    "under_replicated_partitions": ("Cluster Health", "Under Replicated Partitions"),
+    "partition_balancer_stalled": ("Cluster Balance", "Partition Balancer Stalled"),
+    "inconsistent_rack_configuration": ("Configuration", "Inconsistent Rack Configuration"),
+    "controller_leader": ("Controller Health", "Controller Leader"),
+    "reactor_stalls_in_logs": ("Reactor Health", "Reactor Stalls in Logs"),
+    "rebalance_failure_hard_constraints": ("Cluster Balance", "Rebalance Failure (Hard Constraints)"),
+    "partition_move_failed": ("Cluster Balance", "Partition Move Failed"),
+    "high_connection_churn": ("Client Behavior", "High Connection Churn"),
+    "log_storage_errors": ("Data Integrity", "Log Storage Errors"),
+    "compaction_index_corruption": ("Storage", "Compaction Index Corruption"),
+    "high_memory_reclaim_rate": ("Performance", "High Memory Reclaim Rate"),
+    "node_status_rpc_timeouts": ("Consensus", "Node Status RPC Timeouts"),
+    "rpc_memory_backpressure": ("Performance", "RPC Memory Backpressure"),
+    "metadata_request_overload": ("Client Behavior", "Metadata Request Overload"),
+    "aio_context_saturation": ("Disk Performance", "AIO Context Saturation"),
+    "network_aio_concurrency": ("Network Performance", "Network AIO Concurrency"),
+    "shard_0_overload": ("CPU Balance", "Shard 0 Overload"),
+    "pending_partition_operations": ("Controller Health", "Pending Partition Operations"),
+    "high_cpu_steal_time": ("Kubernetes Performance", "High CPU Steal Time"),
+    "aws_gp3_iops_cliff": ("Disk Performance", "AWS GP3 IOPS Cliff"),
+    "cpu_saturation": ("Performance Bottleneck", "CPU Saturation"),
+    "disk_saturation": ("Performance Bottleneck", "Disk Saturation"),
+    "workload_type": ("Workload Characterization", "Workload Type"),
+    "observation": ("Performance Insights", "Observation"),
+    "raid": ("Hardware Integrity", "RAID {} Status"),
+    "filesystem": ("Disk Configuration", "{} Filesystem"),
+    "disk_usage": ("Disk Usage", "{}"),
+    "balancing_trigger": ("Cluster Balance", "Disk Balancing Trigger ({})"),
+    "disk_test": ("Hardware Performance", "Disk Write Performance ({} Block) - Node {}"),
+    "softirq": ("Kernel Performance", "SoftIRQ Imbalance ({})"),
+    "queues": ("Hardware & IRQ", "MQ Imbalance ({})"),
+    "empty_node": ("Cluster Balance", "Empty Node (ID {})"),
+    "leader_imbalance": ("Cluster Balance", "Leader Imbalance (Node {})"),
+    "consumer": ("Consumer Efficiency", "{}-provisioned Consumer ({})"),
+    "pod_killed": ("Kubernetes Events", "Pod {} OOMKilled"),
+    "pod_crash": ("Kubernetes Events", "Pod {} Crash"),
+    "pod_qos": ("Kubernetes QoS", "Pod {} QoS"),
+    "broker_flag": ("Broker Config", "{}"),
+}
+
+
+def titled(key: str, *about) -> tuple:
+    """Category and name of a check."""
+    category, name = TITLES[key]
+    if not about:
+        return category, name
+    parts = name.split("{}")
+    return category, F.concat(*[x for pair in zip(parts, [*about, F.lit("")], strict=True) for x in (F.lit(pair[0]), pair[1])])
+
+
 def emit(df: DataFrame, *findings: Column) -> DataFrame:
     """A row per finding that is not NULL."""
     rows = df.select("bundle_id", F.explode(F.array_compact(F.array(*findings))).alias("r"))
@@ -112,16 +178,16 @@ def sysctl_checks(t) -> DataFrame:
         value, number = kv[key], kv[key].try_cast("bigint")
         fix = f"raise {key}"
         out.append(
-            F.when(value.isNull(), finding("C1", OS, key, what, "Not Found", f">= {least}", WARNING, fix))
-            .when(number.isNotNull(), judged("C1", OS, key, what, value, f">= {least}", number < least, status, fix))
+            F.when(value.isNull(), finding("C1", OS, key, what, "not set", f"{least} at least", WARNING, fix))
+            .when(number.isNotNull(), judged("C1", OS, key, what, value, f"{least} at least", number < least, status, fix))
         )
     for key, least in SYSCTL_BUFFERS:
         fields = F.split(F.trim(kv[key]), r"\s+")
         third = F.coalesce(F.get(fields, 2).try_cast("bigint"), F.lit(0))
-        out.append(F.when((F.size(fields) == 3) & (third < least), finding("C2", OS, key, "TCP buffer limits", kv[key], f"Max >= {least}", INFO, f"raise the third value of {key}")))
+        out.append(F.when((F.size(fields) == 3) & (third < least), finding("C2", OS, key, "TCP buffer limits", kv[key], f"third value {least} at least", INFO, f"raise the third value of {key}")))
     ports = F.split(F.trim(kv[PORT_RANGE]), r"\s+")
     number_at = lambda i: F.coalesce(F.get(ports, i).try_cast("bigint"), F.lit(0))
-    out.append(F.when((F.size(ports) == 2) & (number_at(1) - number_at(0) < PORTS), finding("C2", OS, PORT_RANGE, "ephemeral ports", kv[PORT_RANGE], f"> {PORTS} ports", WARNING, "widen the port range")))
+    out.append(F.when((F.size(ports) == 2) & (number_at(1) - number_at(0) < PORTS), finding("C2", OS, PORT_RANGE, "ephemeral ports", kv[PORT_RANGE], f"over {PORTS} ports", WARNING, "widen the port range")))
     for key, good, status, expected in ((SLOW_START, lambda n: n == 0, WARNING, "0"), (TW_REUSE, lambda n: n == 1, INFO, "1"), (SWAPPINESS, lambda n: n <= 1, WARNING, "<= 1")):
         number = F.coalesce(kv[key].try_cast("bigint"), F.lit(0))
         out.append(F.when(kv[key].isNotNull(), judged("C2", OS, key, what, kv[key], expected, ~good(number), status, f"set {key} to {expected}")))
@@ -150,8 +216,8 @@ def host_fact_checks(t) -> DataFrame:
     both = F.lower(F.concat_ws(" ", "maker", "product"))
     return emit(
         df,
-        F.when(F.col("thp") != "", judged("C15", OS, "Transparent Hugepages", "kernel feature that adds latency", text.selected_option(F.col("thp")), "never", ~off, WARNING, "disable transparent huge pages")),
-        F.when(F.contains(both, F.lit("vmware")), finding("C10", "Platform", "Virtualization Detected", "runs on a virtual platform", F.coalesce("maker", F.lit("")), "Bare Metal", WARNING, "check disk latency and I/O wait")),
+        F.when(F.col("thp") != "", judged("C15", *titled("transparent_hugepages"), "kernel feature that adds latency", text.selected_option(F.col("thp")), "never", ~off, WARNING, "disable transparent huge pages")),
+        F.when(F.contains(both, F.lit("vmware")), finding("C10", *titled("virtualization_detected"), "runs on a virtual platform", F.coalesce("maker", F.lit("")), "no virtual platform", WARNING, "check disk latency and I/O wait")),
     )
 
 
@@ -160,14 +226,13 @@ def oom_checks(t) -> DataFrame:
     """Kernel out-of-memory kills."""
     counts = t["oom"].groupBy("bundle_id").agg(F.count("*").alias("n"))
     df = t["bundles"].join(counts, "bundle_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return emit(df, judged("C10", "System Stability", "OOM Killer Invoked", "the kernel killed processes for memory", F.col("n"), "0", F.col("n") > 0, CRITICAL, "add memory or reduce load"))
+    return emit(df, judged("C10", *titled("oom_killer_invoked"), "the kernel killed processes for memory", F.col("n"), "0", F.col("n") > 0, CRITICAL, "add memory or reduce load"))
 
 
 @group("raid")
 def raid_checks(t) -> DataFrame:
     """Degraded software RAID."""
-    name = F.concat(F.lit("RAID "), "name", F.lit(" Status"))
-    return emit(t["raid"], judged("C10", "Hardware Integrity", name, "software RAID array", F.col("status"), "all members up", F.contains("status", F.lit("_")), CRITICAL, "replace the failed drive"))
+    return emit(t["raid"], judged("C10", *titled("raid", "name"), "software RAID array", F.col("status"), "all members up", F.contains("status", F.lit("_")), CRITICAL, "replace the failed drive"))
 
 
 @group("bundles", "core_dumps")
@@ -175,8 +240,8 @@ def core_dump_checks(t) -> DataFrame:
     """C8."""
     counts = t["core_dumps"].groupBy("bundle_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("file_name")), ", ").alias("names"))
     df = t["bundles"].join(counts, "bundle_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    shown = F.when(F.col("n") > 0, F.concat(F.col("n").cast("string"), F.lit(" files: "), "names")).otherwise("0")
-    return emit(df, judged("C8", "Crash Evidence", "Core Dumps Found", "core dump files", shown, "0", F.col("n") > 0, CRITICAL, "inspect the dumps"))
+    shown = F.when(F.col("n") > 0, F.concat(F.col("n").cast("string"), F.lit(" dumps: "), "names")).otherwise("0")
+    return emit(df, judged("C8", *titled("core_dumps_found"), "core dump files", shown, "0", F.col("n") > 0, CRITICAL, "inspect the dumps"))
 
 
 # --- configuration -----------------------------------------------------------------------
@@ -205,16 +270,16 @@ def config_checks(t) -> DataFrame:
     kv = F.col("kv")
     low = lambda key: F.lower(F.coalesce(kv[key], F.lit("")))
     out = [
-        judged("C3", "Broker Config", name, "broker flag", F.when(low(key) == bad, "true").otherwise("false"), "false", low(key) == bad, status, f"turn {name} off in production")
+        judged("C3", *titled("broker_flag", F.lit(name)), "broker flag", F.when(low(key) == bad, "true").otherwise("false"), "false", low(key) == bad, status, f"turn {name} off in production")
         for key, name, bad, status in CONFIG_FLAGS
     ]
-    out.append(F.when(low(AIO_EVENTS).isin("true", "false"), judged("C3", "Broker Config", AIO_EVENTS, "tuner of AIO events", low(AIO_EVENTS), "true", low(AIO_EVENTS) == "false", WARNING, "run the tuner")))
+    out.append(F.when(low(AIO_EVENTS).isin("true", "false"), judged("C3", *titled("broker_flag", F.lit(AIO_EVENTS)), "tuner of AIO events", low(AIO_EVENTS), "true", low(AIO_EVENTS) == "false", WARNING, "run the tuner")))
     missing = reduce(lambda a, b: a & b, [kv[k].isNull() for k in IO_KEYS])
     out.append(
-        F.when(missing, finding("C27", "Disk Performance", "IO Properties Missing", "disk limits are not configured", "None", "measured limits", WARNING, "measure the disks"))
-        .when(kv[READ_IOPS].isin(DEFAULT_IOPS), finding("C27", "Disk Performance", "Default IO Properties", "disk limits look like defaults", "Default Values Found", "measured limits", INFO, "measure the disks on this hardware"))
+        F.when(missing, finding("C27", *titled("io_properties_missing"), "disk limits are not configured", "no limit is set", "measured limits", WARNING, "measure the disks"))
+        .when(kv[READ_IOPS].isin(DEFAULT_IOPS), finding("C27", *titled("default_io_properties"), "disk limits look like defaults", "values of the defaults", "measured limits", INFO, "measure the disks on this hardware"))
     )
-    out.append(F.when(low(COST) == "false", finding("C27", "Disk Performance", "IO Cost Function", "standard cost function in use", "max_cost_function: false", "true", WARNING, "turn it on")))
+    out.append(F.when(low(COST) == "false", finding("C27", *titled("io_cost_function"), "standard cost function in use", "switched off", "switched on", WARNING, "turn it on")))
     return emit(df, *out)
 
 
@@ -229,7 +294,7 @@ def public_address_checks(t) -> DataFrame:
     df = t["bundles"].join(public, "bundle_id", "left").join(t["uname"].select("bundle_id", "cloud"), "bundle_id", "left")
     cost = F.when(F.col("cloud") == "AWS", "use private addresses: public ones halve the bandwidth").when(
         F.col("cloud") == "GCP", "use private addresses: public egress is limited to 7 Gbps").otherwise("use private addresses: public ones cost bandwidth and latency")
-    return emit(df, judged("C19", "Network Configuration", "Public Advertised Addresses", "addresses that the cluster advertises", F.coalesce("hosts", F.lit("None")), "private addresses", F.col("hosts").isNotNull(), WARNING, cost))
+    return emit(df, judged("C19", *titled("public_advertised_addresses"), "addresses that the cluster advertises", F.coalesce("hosts", F.lit("no public one")), "private addresses", F.col("hosts").isNotNull(), WARNING, cost))
 
 
 @group("command_lines", "uname", "core_counts", "broker_config")
@@ -242,13 +307,12 @@ def container_checks(t) -> DataFrame:
     configured = F.col("kv")["redpanda.smp"].try_cast("bigint")
     df = df.withColumns({"shards": F.coalesce(F.nullif(configured, F.lit(0).cast("bigint")), flag, F.lit(0)), "shared": F.contains(line, F.lit("--overprovisioned"))}).filter("shards > 0 and not shared")
     shards, cores = F.col("shards"), F.col("cores")
-    shown = F.format_string("%d shards on %d cores", shards, cores)
-    k8s = "Kubernetes Performance"
+    shown = F.format_string("%d shards, %d cores", shards, cores)
     return emit(
         df,
-        F.when((shards >= cores) & (cores > 1), finding("C25", k8s, "K8s Shard Tax (N-1)", "all host cores are shards", shown, F.format_string("%d shards (N-1)", cores - 1), WARNING, "leave one core to the system")),
-        F.when((cores >= 32) & (shards < F.floor(cores / 2)), finding("C25", k8s, "Large Core Node Interference", "few shards on a large host", shown, "--overprovisioned=true", WARNING, "share cores on large hosts")),
-        finding("C25", k8s, "Busy Spinning Mode", "shards busy-spin on a host that may be shared", "spinning=on", "spinning=off (via --overprovisioned)", INFO, "share cores if throughput is low"),
+        F.when((shards >= cores) & (cores > 1), finding("C25", *titled("k8s_shard_tax_n_1"), "all host cores are shards", shown, F.format_string("at most %d shards", cores - 1), WARNING, "leave one core to the system")),
+        F.when((cores >= 32) & (shards < F.floor(cores / 2)), finding("C25", *titled("large_core_node_interference"), "few shards on a large host", shown, "shared cores", WARNING, "share cores on large hosts")),
+        finding("C25", *titled("busy_spinning_mode"), "shards busy-spin on a host that may be shared", "shards spin", "shards sleep when idle", INFO, "share cores if throughput is low"),
     )
 
 
@@ -274,11 +338,11 @@ def disk_checks(t) -> DataFrame:
     used = F.coalesce(F.regexp_replace("use_percent", "%$", "").try_cast("int"), F.lit(0))
     rows = emit(
         fs,
-        F.when(ours, judged("C4", "Disk Configuration", F.concat(mount, F.lit(" Filesystem")), "file system of the data directory", F.col("type"), "xfs", F.col("type") != "xfs", WARNING, "use xfs")),
-        F.when((ours | (physical & ~noisy)) & (used > 85), finding("C4", "Disk Usage", mount, "disk space", F.col("use_percent"), "< 85%", F.when(used > 95, CRITICAL).otherwise(WARNING), "free or add space")),
-        F.when((physical | F.contains(mount, F.lit(BROKER_MOUNT))) & (used >= 80), finding("C12", "Cluster Balance", F.concat(F.lit("Disk Balancing Trigger ("), mount, F.lit(")")), "usage that starts balancing", F.col("use_percent"), "< 80%", INFO, "expect moves away from this node")),
+        F.when(ours, judged("C4", *titled("filesystem", mount), "file system of the data directory", F.col("type"), "xfs", F.col("type") != "xfs", WARNING, "use xfs")),
+        F.when((ours | (physical & ~noisy)) & (used > 85), finding("C4", *titled("disk_usage", mount), "disk space", F.col("use_percent"), "< 85%", F.when(used > 95, CRITICAL).otherwise(WARNING), "free or add space")),
+        F.when((physical | F.contains(mount, F.lit(BROKER_MOUNT))) & (used >= 80), finding("C12", *titled("balancing_trigger", mount), "usage that starts balancing", F.col("use_percent"), "< 80%", INFO, "expect moves away from this node")),
     )
-    root = emit(best, F.when(F.col("mount_point") == "/", finding("C18", "Disk Configuration", "Data Directory on Root", "data lies on the root partition", F.concat("data_dir", F.lit(" on /")), "Separate Partition", WARNING, "use a partition of its own")))
+    root = emit(best, F.when(F.col("mount_point") == "/", finding("C18", *titled("data_directory_on_root"), "data lies on the root partition", F.concat("data_dir", F.lit(" lies on /")), "a partition of its own", WARNING, "use a partition of its own")))
     return rows.unionByName(root)
 
 
@@ -289,8 +353,7 @@ def self_test_checks(t) -> DataFrame:
     shown = F.format_string("%.2f MB/s", "rate")
 
     def row(block: str, name: Column, info: Column, least: float) -> Column:
-        title = F.concat(F.lit(f"Disk Write Performance ({block} Block) - Node "), F.col("node_id").cast("string"))
-        return F.when(name & info, judged("C31", "Hardware Performance", title, "self-test write throughput", shown, f">= {least:.2f} MB/s", F.col("rate") < least, CRITICAL, "use faster storage"))
+        return F.when(name & info, judged("C31", *titled("disk_test", F.lit(block), F.col("node_id").cast("string")), "self-test write throughput", shown, f">= {least:.2f} MB/s", F.col("rate") < least, CRITICAL, "use faster storage"))
 
     has = lambda column, words: F.contains(F.col(column), F.lit(words))
     return emit(df, row("Small", has("name", "4KB sequential write"), has("info", "dsync: true"), 4.0), row("Medium", has("name", "16KB sequential"), has("info", "dsync: false"), 30.0))
@@ -306,11 +369,11 @@ def socket_checks(t) -> DataFrame:
     sums = t["sockets"].groupBy("bundle_id").agg(
         F.count("*").alias("sockets"), F.count_if(F.col("state").isin("TIME-WAIT", "TIME_WAIT")).alias("waiting"), F.count_if(high).alias("high"), worst.alias("worst"))
     df = t["bundles"].join(sums, "bundle_id", "left").withColumn("waiting", F.coalesce("waiting", F.lit(0)))
-    bad = F.format_string("%d connections affected (Worst: %d retrans on %s)", "high", "worst.retrans_total", "worst.pair")
+    bad = F.format_string("%d sockets, up to %d times on %s", "high", "worst.retrans_total", "worst.pair")
     return emit(
         df,
-        judged("C6", "Network Evidence", "TIME_WAIT Sockets", "sockets waiting to close", F.col("waiting"), "< 10000", F.col("waiting") > 10000, WARNING, "allow reuse of waiting sockets"),
-        F.when(F.col("sockets") > 0, judged("C33", "Network Stack", "Socket Retransmissions", "sockets with many retransmissions", F.when(F.col("high") > 0, bad).otherwise("Healthy"), "few", F.col("high") > 0, WARNING, "look for packet loss on these paths")),
+        judged("C6", *titled("time_wait_sockets"), "sockets waiting to close", F.col("waiting"), "< 10000", F.col("waiting") > 10000, WARNING, "allow reuse of waiting sockets"),
+        F.when(F.col("sockets") > 0, judged("C33", *titled("socket_retransmissions"), "sockets with many retransmissions", F.when(F.col("high") > 0, bad).otherwise("no such socket"), "few", F.col("high") > 0, WARNING, "look for packet loss on these paths")),
     )
 
 
@@ -349,9 +412,8 @@ def softirq_spread(softirqs: DataFrame, mode: str = "intended") -> DataFrame:
 def softirq_checks(t) -> DataFrame:
     """C29."""
     df = softirq_spread(t["softirqs"]).filter(F.col("total") >= SOFT_IRQ_FLOOR)
-    name = F.concat(F.lit("SoftIRQ Imbalance ("), "irq_id", F.lit(")"))
-    shown = F.format_string("%.1f%% of cores", "active_pct")
-    return emit(df, judged("C29", "Kernel Performance", name, "spread of soft interrupts", shown, "> 25% of cores", (F.col("active_pct") < 10) & (F.col("cpus") > 16), WARNING, "spread receive queues over cores"))
+    shown = F.format_string("on %.1f%% of CPUs", "active_pct")
+    return emit(df, judged("C29", *titled("softirq", "irq_id"), "spread of soft interrupts", shown, "over 25% of CPUs", (F.col("active_pct") < 10) & (F.col("cpus") > 16), WARNING, "spread receive queues over cores"))
 
 
 def irq_devices(irqs: DataFrame) -> DataFrame:
@@ -372,7 +434,7 @@ def irq_checks(t) -> DataFrame:
     """C17: all queues of a device on one CPU."""
     df = irq_devices(t["irqs"])
     bad = (F.col("total") >= IRQ_FLOOR) & (F.col("queues") > 1) & (F.col("active_cpus") == 1)
-    return emit(df, F.when(bad, finding("C17", "Hardware & IRQ", F.concat(F.lit("MQ Imbalance ("), "device", F.lit(")")), F.format_string("%d queues on CPU%d", "queues", "busiest_cpu"), "Pinned to 1 CPU", "Distributed across CPUs", WARNING, "spread the queues")))
+    return emit(df, F.when(bad, finding("C17", *titled("queues", "device"), F.format_string("%d queues on CPU%d", "queues", "busiest_cpu"), "one CPU takes all", "several CPUs", WARNING, "spread the queues")))
 
 
 # --- cluster -----------------------------------------------------------------------------
@@ -381,13 +443,13 @@ def irq_checks(t) -> DataFrame:
 def health_checks(t) -> DataFrame:
     """C5."""
     n = F.coalesce("under_replicated_count", F.lit(0))
-    return emit(t["health"], judged("C5", "Cluster Health", "Under Replicated Partitions", "partitions not fully replicated", n, "0", n > 0, CRITICAL, "look for offline nodes or a split network"))
+    return emit(t["health"], judged("C5", *titled("under_replicated_partitions"), "partitions not fully replicated", n, "0", n > 0, CRITICAL, "look for offline nodes or a split network"))
 
 
 @group("balancer")
 def balancer_checks(t) -> DataFrame:
     """Stalled balancer."""
-    return emit(t["balancer"], F.when(F.col("status") == "stalled", finding("C12", "Cluster Balance", "Partition Balancer Stalled", "required moves cannot be planned", "Stalled", "Ready / In Progress", CRITICAL, "check disk space, partition counts and quorum")))
+    return emit(t["balancer"], F.when(F.col("status") == "stalled", finding("C12", *titled("partition_balancer_stalled"), "required moves cannot be planned", "stalled", "ready or at work", CRITICAL, "check disk space, partition counts and quorum")))
 
 
 @group("health", "replicas")
@@ -395,15 +457,14 @@ def empty_node_checks(t) -> DataFrame:
     """Nodes without partitions."""
     known = t["health"].select("bundle_id", F.explode("all_nodes").alias("node_id"))
     empty = known.join(t["replicas"].select("bundle_id", "node_id").distinct(), ["bundle_id", "node_id"], "left_anti")
-    name = F.concat(F.lit("Empty Node (ID "), F.col("node_id").cast("string"), F.lit(")"))
-    return emit(empty, finding("C12", "Cluster Balance", name, "node holds nothing", "0 partitions", "> 0", WARNING, "rebalance the cluster"))
+    return emit(empty, finding("C12", *titled("empty_node", F.col("node_id").cast("string")), "node holds nothing", "holds none", "some partitions", WARNING, "rebalance the cluster"))
 
 
 @group("kafka_brokers")
 def rack_checks(t) -> DataFrame:
     """Racks set on some brokers only."""
     df = t["kafka_brokers"].groupBy("bundle_id").agg(F.count("*").alias("n"), F.count_if(F.coalesce("rack", F.lit("")) != "").alias("racked"))
-    return emit(df, F.when((F.col("racked") > 0) & (F.col("racked") < F.col("n")), finding("C12", "Configuration", "Inconsistent Rack Configuration", "only some brokers name a rack", F.format_string("%d/%d brokers have racks", "racked", "n"), "All or None", WARNING, "set racks on all brokers")))
+    return emit(df, F.when((F.col("racked") > 0) & (F.col("racked") < F.col("n")), finding("C12", *titled("inconsistent_rack_configuration"), "only some brokers name a rack", F.format_string("racks on %d of %d brokers", "racked", "n"), "racks on all brokers or on none", WARNING, "set racks on all brokers")))
 
 
 # Fixed value: where the controller lives.
@@ -417,8 +478,8 @@ def controller_checks(t) -> DataFrame:
     led = t["leaders"].filter(mine).groupBy("bundle_id").agg(F.max("leader").alias("leader"), F.max("last_stable_leader_term").alias("term"))
     df = t["bundles"].join(led, "bundle_id", "left")
     none = F.coalesce(F.col("leader") == -1, F.lit(True))
-    shown = F.when(none, "None").otherwise(F.format_string("Node %d (Term %d)", "leader", F.coalesce("term", F.lit(0))))
-    return emit(df, judged("C13", "Controller Health", "Controller Leader", "leadership of the controller", shown, "Valid Node ID", none, CRITICAL, "management operations will fail: read the logs"))
+    shown = F.when(none, "no leader").otherwise(F.format_string("node %d in term %d", "leader", F.coalesce("term", F.lit(0))))
+    return emit(df, judged("C13", *titled("controller_leader"), "leadership of the controller", shown, "some node", none, CRITICAL, "management operations will fail: read the logs"))
 
 
 @group("leaders", "health")
@@ -426,8 +487,7 @@ def leader_balance_checks(t) -> DataFrame:
     """Nodes that lead far more than the average."""
     nodes = t["health"].select("bundle_id", F.explode("all_nodes").alias("node_id"))
     df = placement.leader_imbalance(t["leaders"], nodes)
-    name = F.concat(F.lit("Leader Imbalance (Node "), F.col("node_id").cast("string"), F.lit(")"))
-    return emit(df, finding("C13", "Cluster Balance", name, "node leads too many partitions", F.format_string("%d leaders (Avg: %.0f)", "leaders", "avg_leaders"), "Balanced", WARNING, "check the leader balancer"))
+    return emit(df, finding("C13", *titled("leader_imbalance", F.col("node_id").cast("string")), "node leads too many partitions", F.format_string("leads %d, mean %.0f", "leaders", "avg_leaders"), "near the mean", WARNING, "check the leader balancer"))
 
 
 @group("members", "topic_sizes")
@@ -435,8 +495,7 @@ def consumer_checks(t) -> DataFrame:
     """C20: more or fewer members than partitions."""
     df = consumers.group_parallelism(t["members"], t["topic_sizes"])
     under = F.col("finding") == "under"
-    name = F.concat(F.when(under, "Under").otherwise("Over"), F.lit("-provisioned Consumer ("), "group_id", F.lit(")"))
-    return emit(df, finding("C20", "Consumer Efficiency", name, F.format_string("%d members for %d partitions of %s", "members", "partitions", "topic"), F.format_string("%d members", "members"), F.format_string("%d members", "partitions"), INFO, F.when(under, "add consumers").otherwise("remove consumers or add partitions")))
+    return emit(df, finding("C20", *titled("consumer", F.when(under, "Under").otherwise("Over"), "group_id"), F.format_string("%d members for %d partitions of %s", "members", "partitions", "topic"), F.format_string("%d members", "members"), F.format_string("%d members", "partitions"), INFO, F.when(under, "add consumers").otherwise("remove consumers or add partitions")))
 
 
 @group("pods")
@@ -445,17 +504,17 @@ def pod_checks(t) -> DataFrame:
     pods = t["pods"]
     pod = F.col("metadata.name").alias("pod")
     ended = pods.select("bundle_id", pod, F.explode("status.containerStatuses").alias("c")).select("bundle_id", "pod", F.col("c.lastState")["terminated"].alias("e"))
-    code = F.concat(F.lit("Exit Code: "), F.coalesce("e.exitCode", F.lit(0)).cast("string"))
+    code = F.concat(F.lit("ended with code "), F.coalesce("e.exitCode", F.lit(0)).cast("string"))
     crashes = emit(
         ended.filter("e is not null"),
-        F.when(F.col("e.reason") == "OOMKilled", finding("C9", "Kubernetes Events", F.concat(F.lit("Pod "), "pod", F.lit(" OOMKilled")), "container ran out of memory", code, "Running", CRITICAL, "raise the memory limit"))
-        .when(F.col("e.reason") == "Error", finding("C9", "Kubernetes Events", F.concat(F.lit("Pod "), "pod", F.lit(" Crash")), "container ended with an error", code, "Running", CRITICAL, "read the logs around the end")),
+        F.when(F.col("e.reason") == "OOMKilled", finding("C9", *titled("pod_killed", "pod"), "container ran out of memory", code, "a running container", CRITICAL, "raise the memory limit"))
+        .when(F.col("e.reason") == "Error", finding("C9", *titled("pod_crash", "pod"), "container ended with an error", code, "a running container", CRITICAL, "read the logs around the end")),
     )
     box = pods.select("bundle_id", pod, F.explode("spec.containers").alias("c"))
     value = lambda kind, key: F.coalesce(F.col(f"c.resources.{kind}")[key], F.lit(""))
     differ = (value("requests", "cpu") != value("limits", "cpu")) | (value("requests", "memory") != value("limits", "memory"))
-    shown = F.format_string("CPU: %s/%s, Mem: %s/%s", value("requests", "cpu"), value("limits", "cpu"), value("requests", "memory"), value("limits", "memory"))
-    return crashes.unionByName(emit(box, F.when(differ, finding("C16", "Kubernetes QoS", F.concat(F.lit("Pod "), "pod", F.lit(" QoS")), "requests and limits differ", shown, "Requests == Limits", WARNING, "set requests equal to limits"))))
+    shown = F.format_string("cpu %s of %s, memory %s of %s", value("requests", "cpu"), value("limits", "cpu"), value("requests", "memory"), value("limits", "memory"))
+    return crashes.unionByName(emit(box, F.when(differ, finding("C16", *titled("pod_qos", "pod"), "requests and limits differ", shown, "equal requests and limits", WARNING, "set requests equal to limits"))))
 
 
 # --- logs --------------------------------------------------------------------------------
@@ -487,10 +546,10 @@ def log_checks(t) -> DataFrame:
     burst = (f("hits") >= CHURN_HITS) & (f("seconds") > 0) & (f("seconds") < CHURN_SECONDS)
     return emit(
         df,
-        F.when(f("stalls"), finding("C11", "Reactor Health", "Reactor Stalls in Logs", "the reactor was blocked", "Found", "None", WARNING, "look for long tasks or contention")),
-        F.when(f("no_node"), finding("C14", "Cluster Balance", "Rebalance Failure (Hard Constraints)", "no node may take a partition", "Errors Found", "None", CRITICAL, "check disk use and racks, or add nodes"))
-        .when(f("failed"), finding("C14", "Cluster Balance", "Partition Move Failed", "replica moves fail", "Failures Found", "None", WARNING, "read the log lines for the reason")),
-        F.when(burst, finding("C22", "Client Behavior", "High Connection Churn", "clients connect too often", F.format_string("%.1f conns/sec", f("hits") / f("seconds")), "< 1 conn/sec", WARNING, "reuse client instances")),
+        F.when(f("stalls"), finding("C11", *titled("reactor_stalls_in_logs"), "the reactor was blocked", "seen", "none in the log", WARNING, "look for long tasks or contention")),
+        F.when(f("no_node"), finding("C14", *titled("rebalance_failure_hard_constraints"), "no node may take a partition", "allocation fails", "none in the log", CRITICAL, "check disk use and racks, or add nodes"))
+        .when(f("failed"), finding("C14", *titled("partition_move_failed"), "replica moves fail", "a move failed", "none in the log", WARNING, "read the log lines for the reason")),
+        F.when(burst, finding("C22", *titled("high_connection_churn"), "clients connect too often", F.format_string("%.1f a second", f("hits") / f("seconds")), "under 1 a second", WARNING, "reuse client instances")),
     )
 
 
@@ -518,12 +577,12 @@ def integrity_findings(totals: DataFrame) -> DataFrame:
     share = c("metadata") / c("produce")
     return emit(
         totals,
-        F.when((c("parse_errors") > 0) | (c("write_errors") > 0), finding("C34", "Data Integrity", "Log Storage Errors", "batches failed to parse or write", F.format_string("%.0f parse errors, %.0f write errors", "parse_errors", "write_errors"), "0 errors", CRITICAL, "look for disk or file system failure")),
-        F.when(c("corrupt") > 0, finding("C34", "Storage", "Compaction Index Corruption", "compaction indices are corrupt", F.format_string("%.0f indices corrupted", "corrupt"), "0 corrupted", WARNING, "find the segments whose index is rebuilt")),
-        F.when(c("reclaims") > 10_000, finding("C34", "Performance", "High Memory Reclaim Rate", "the batch cache is evicted often", F.format_string("%.0f total reclaims", "reclaims"), "Low reclaim activity", WARNING, "add memory or run fewer shards")),
-        F.when(c("timeouts") > 0, finding("C34", "Consensus", "Node Status RPC Timeouts", "liveness checks timed out", F.format_string("%.0f timeouts", "timeouts"), "0 timeouts", WARNING, "lengthen the status interval")),
-        F.when(c("blocked") > 0, finding("C34", "Performance", "RPC Memory Backpressure", "calls waited for memory", F.format_string("%.0f requests blocked", "blocked"), "0 blocked", WARNING, "check memory limits of the service")),
-        F.when((c("produce") > 1000) & (share > 0.1), finding("C23", "Client Behavior", "Metadata Request Overload", "too many metadata requests", F.format_string("%.1f%% of produce rate", share * 100), "< 1%", WARNING, "look for client timeouts")),
+        F.when((c("parse_errors") > 0) | (c("write_errors") > 0), finding("C34", *titled("log_storage_errors"), "batches failed to parse or write", F.format_string("%.0f not parsed, %.0f not written", "parse_errors", "write_errors"), "0", CRITICAL, "look for disk or file system failure")),
+        F.when(c("corrupt") > 0, finding("C34", *titled("compaction_index_corruption"), "compaction indices are corrupt", F.format_string("%.0f indices", "corrupt"), "0", WARNING, "find the segments whose index is rebuilt")),
+        F.when(c("reclaims") > 10_000, finding("C34", *titled("high_memory_reclaim_rate"), "the batch cache is evicted often", F.format_string("reclaimed %.0f times", "reclaims"), "10000 times at most", WARNING, "add memory or run fewer shards")),
+        F.when(c("timeouts") > 0, finding("C34", *titled("node_status_rpc_timeouts"), "liveness checks timed out", F.format_string("%.0f calls", "timeouts"), "0", WARNING, "lengthen the status interval")),
+        F.when(c("blocked") > 0, finding("C34", *titled("rpc_memory_backpressure"), "calls waited for memory", F.format_string("%.0f calls waited", "blocked"), "0", WARNING, "check memory limits of the service")),
+        F.when((c("produce") > 1000) & (share > 0.1), finding("C23", *titled("metadata_request_overload"), "too many metadata requests", F.format_string("%.1f%% of the produce requests", share * 100), "under 1%", WARNING, "look for client timeouts")),
     )
 
 
@@ -556,8 +615,8 @@ def series_rates(digest: DataFrame, name: str) -> DataFrame:
 def queue_checks(t) -> DataFrame:
     """The kernel's queue of asynchronous I/O is full."""
     df = worst_shard(t["digest"], QUEUE_LENGTH)
-    shown = F.format_string("%.0f requests (Shard %s)", "worst", "shard")
-    return emit(df, F.when(F.col("worst") >= 1000, finding("C28", "Disk Performance", "AIO Context Saturation", "I/O requests reach the context limit", shown, "< 1024", F.when(F.col("worst") >= 1024, CRITICAL).otherwise(WARNING), "look for an I/O bottleneck or tiny requests")))
+    shown = F.format_string("queue of %.0f on shard %s", "worst", "shard")
+    return emit(df, F.when(F.col("worst") >= 1000, finding("C28", *titled("aio_context_saturation"), "I/O requests reach the context limit", shown, "< 1024", F.when(F.col("worst") >= 1024, CRITICAL).otherwise(WARNING), "look for an I/O bottleneck or tiny requests")))
 
 
 @group("digest", "command_lines", "broker_config")
@@ -570,8 +629,8 @@ def connection_limit_checks(t) -> DataFrame:
     limits = asked.withColumn("n", value).filter("n > 0").groupBy("bundle_id").agg(F.min_by("n", F.struct("rank", "v")).alias("conn_limit"))
     df = worst_shard(t["digest"], metric_ops.CONNECTIONS).join(limits, "bundle_id", "left").withColumn("conn_limit", F.coalesce("conn_limit", F.lit(10_000.0))).filter("worst > 0")
     use = F.col("worst") / F.col("conn_limit") * 100
-    shown = F.when(use > 80, F.format_string("%.0f conns (Limit: %.0f, Shard %s)", "worst", "conn_limit", "shard")).otherwise(F.format_string("%.1f%% utilized", use))
-    return emit(df, judged("C32", "Network Performance", "Network AIO Concurrency", "connections against the control-block limit", shown, "< 80% utilization", use > 80, F.when(use > 95, CRITICAL).otherwise(WARNING), "raise the limit of control blocks"))
+    shown = F.when(use > 80, F.format_string("%.0f of %.0f on shard %s", "worst", "conn_limit", "shard")).otherwise(F.format_string("%.1f%% in use", use))
+    return emit(df, judged("C32", *titled("network_aio_concurrency"), "connections against the control-block limit", shown, "under 80% in use", use > 80, F.when(use > 95, CRITICAL).otherwise(WARNING), "raise the limit of control blocks"))
 
 
 @group("digest")
@@ -583,7 +642,7 @@ def shard0_checks(t) -> DataFrame:
     df = rows.groupBy("bundle_id", "node").agg(F.max(F.when(zero, F.col("last"))).alias("z"), (other("total") / other("n")).alias("others"))
     df = df.select("bundle_id", F.col("z.value").alias("zero"), "others")
     bad = (F.col("zero") > F.col("others") + 30) & (F.col("zero") > 50)
-    return emit(df, F.when(bad, finding("C21", "CPU Balance", "Shard 0 Overload", "shard 0 is much busier than the rest", F.format_string("%.1f%% (Avg others: %.1f%%)", "zero", "others"), "Balanced (< 30% delta)", WARNING, "management work may be delayed")))
+    return emit(df, F.when(bad, finding("C21", *titled("shard_0_overload"), "shard 0 is much busier than the rest", F.format_string("%.1f%%, the others %.1f%%", "zero", "others"), "within 30 points of the others", WARNING, "management work may be delayed")))
 
 
 @group("digest")
@@ -591,7 +650,7 @@ def pending_checks(t) -> DataFrame:
     """Backlog of partition operations, by the newest sample."""
     rows = t["digest"].filter(F.col("name") == PENDING_OPS)
     df = rows.groupBy("bundle_id").agg(F.max("last").alias("last")).select("bundle_id", F.col("last.value").alias("n"))
-    return emit(df, F.when(F.col("n") > 10, finding("C13", "Controller Health", "Pending Partition Operations", "partition operations pile up", whole(F.col("n")), "0", WARNING, "the controller is busy or stuck")))
+    return emit(df, F.when(F.col("n") > 10, finding("C13", *titled("pending_partition_operations"), "partition operations pile up", whole(F.col("n")), "0", WARNING, "the controller is busy or stuck")))
 
 
 @group("digest", "processes")
@@ -608,7 +667,7 @@ def steal_checks(t) -> DataFrame:
     listed = busy.groupBy("bundle_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("cpu")).alias("o"), line.alias("t")))), lambda x: x["t"]), "; ").alias("neighbours"))
     df = worst.join(listed, "bundle_id", "left")
     advice = F.concat(F.lit("give the broker cores of its own"), F.when(F.col("neighbours").isNotNull(), F.concat(F.lit("; busy: "), "neighbours")).otherwise(""))
-    return emit(df, F.when(F.col("rate") > 10, finding("C24", "Kubernetes Performance", "High CPU Steal Time", "CPU time is taken from the shards", F.format_string("%.1f ms/sec (Shard %s)", "rate", "shard"), "< 10 ms/sec", F.when(F.col("rate") > 100, CRITICAL).otherwise(WARNING), advice)))
+    return emit(df, F.when(F.col("rate") > 10, finding("C24", *titled("high_cpu_steal_time"), "CPU time is taken from the shards", F.format_string("%.1f ms a second on shard %s", "rate", "shard"), "under 10 ms a second", F.when(F.col("rate") > 100, CRITICAL).otherwise(WARNING), advice)))
 
 
 @group("digest", "uname", "broker_config")
@@ -618,22 +677,22 @@ def volume_checks(t) -> DataFrame:
     limit = setting_map(t["broker_config"], ["redpanda.write_iops"]).select("bundle_id", F.col("kv")["redpanda.write_iops"].try_cast("double").alias("iops"))
     df = total.join(limit.filter("iops > 0"), "bundle_id").join(t["uname"].filter("cloud = 'AWS'").select("bundle_id"), "bundle_id")
     use = F.col("rate") / F.col("iops") * 100
-    return emit(df, F.when(use > 70, finding("C30", "Disk Performance", "AWS GP3 IOPS Cliff", "the volume slows down near its limit", F.format_string("%.1f%% IOPS Util", use), "< 70%", WARNING, "provision more operations")))
+    return emit(df, F.when(use > 70, finding("C30", *titled("aws_gp3_iops_cliff"), "the volume slows down near its limit", F.format_string("%.1f%% of the provisioned rate", use), "< 70%", WARNING, "provision more operations")))
 
 
 @group("digest", "sar", "sar_net", "self_test")
 def bottleneck_checks(t) -> DataFrame:
     """The performance report as findings."""
     df = report_from_digest(t["digest"], t["sar"], t["sar_net"], t["self_test"])
-    state = lambda c: F.when(F.col(c), "Critical").otherwise("Healthy")
+    state = lambda c: F.when(F.col(c), "bound").otherwise("not bound")
     fixed = emit(
         df,
-        judged("C7", "Performance Bottleneck", "CPU Saturation", "bound by CPU", state("is_cpu_bound"), "Healthy", F.col("is_cpu_bound"), CRITICAL, "add CPU or lighten the load"),
-        judged("C7", "Performance Bottleneck", "Disk Saturation", "bound by disk", state("is_disk_bound"), "Healthy", F.col("is_disk_bound"), WARNING, "check the disks"),
-        finding("C7", "Workload Characterization", "Workload Type", "dominant request type", F.col("workload"), "N/A", INFO, F.array_join("recommendations", " ")),
+        judged("C7", *titled("cpu_saturation"), "bound by CPU", state("is_cpu_bound"), "not bound", F.col("is_cpu_bound"), CRITICAL, "add CPU or lighten the load"),
+        judged("C7", *titled("disk_saturation"), "bound by disk", state("is_disk_bound"), "not bound", F.col("is_disk_bound"), WARNING, "check the disks"),
+        finding("C7", *titled("workload_type"), "dominant request type", F.col("workload"), "-", INFO, F.array_join("recommendations", " ")),
     )
     each = df.select("bundle_id", F.explode("observations").alias("text"))
-    return fixed.unionByName(emit(each, finding("C7", "Performance Insights", "Observation", "derived from metrics", F.col("text"), "N/A", observation_severity(F.col("text")))))
+    return fixed.unionByName(emit(each, finding("C7", *titled("observation"), "derived from metrics", F.col("text"), "-", observation_severity(F.col("text")))))
 
 
 def bundle_list(tables: dict[str, DataFrame]) -> DataFrame:
@@ -704,7 +763,7 @@ def home_summary(
         (said == 0) & (seen > 0), "client metadata has leaderless partitions, health none").otherwise("")
     return out.select(
         "bundle_id", F.coalesce(F.nullif("kafka_brokers", F.lit(0).cast("bigint")), F.col("all_nodes").cast("bigint"), "listed_brokers").alias("total_brokers"),
-        F.coalesce(F.nullif("versions", F.lit("")), F.lit("N/A")).alias("versions"), "is_healthy", "under_replicated_count", "leaderless_count",
+        F.coalesce(F.nullif("versions", F.lit("")), F.lit("-")).alias("versions"), "is_healthy", "under_replicated_count", "leaderless_count",
         F.coalesce("in_maintenance", F.lit(0)).alias("in_maintenance"), "maintenance_nodes", "nodes_down", "racks", aware.alias("rack_awareness"), discrepancy.alias("discrepancy"))
 
 
