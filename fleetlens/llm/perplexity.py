@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm.codes import gram_hash, text_slices
+from fleetlens.llm.codes import mix, text_slices
 from fleetlens.llm.registry import query, table
 from fleetlens.session import drop_staged, release_shuffles, stage, staging_scope
 
@@ -47,7 +47,7 @@ PAD, END = 0, 1
 FOLDS, LEAST_TRUSTED = 2, 20
 #: The model of all trusted text, then those without one part.
 MODELS = range(FOLDS + 1)
-HELD_GRAMS, PACKED_ROWS = 2_000_000, 500_000
+HELD_GRAMS, PACKED_ROWS, SLOT_BITS = 2_000_000, 500_000, 20
 
 
 def chars_of(points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,9 +60,16 @@ def chars_of(points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, starts
 
 
+def hash_of(columns: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of grams, given their characters by place (21 bits each)."""
+    a, b, c, d, e = (x.astype(np.uint64) for x in columns)
+    return mix(mix(a | b << np.uint64(21) | c << np.uint64(42)) ^ ((d | e << np.uint64(21)) * np.uint64(0x9E3779B97F4A7C15)))
+
+
 def gram_places(chars: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, place of the first character) of the gram that ends at each character or end mark."""
-    hashes = gram_hash(chars.astype(np.uint64), ORDER)
+    n = len(chars) - ORDER + 1
+    hashes = hash_of([chars[k : k + n] for k in range(ORDER)])
     inner = np.ones(len(hashes), bool)
     # Grams that begin in one text and end in the next.
     inner[(starts[1:-1][:, None] - np.arange(1, ORDER)).ravel()] = False
@@ -78,7 +85,9 @@ class Distinct:
 
     def add(self, points: np.ndarray, bounds: np.ndarray) -> None:
         chars, starts = chars_of(points, bounds)
-        hashes, places = gram_places(chars, starts)
+        self.merge(chars, *gram_places(chars, starts))
+
+    def merge(self, chars: np.ndarray, hashes: np.ndarray, places: np.ndarray) -> None:
         found, first, times = np.unique(hashes, return_index=True, return_counts=True)
         grams = chars[places[first][:, None] + np.arange(ORDER)]
         self.hashes, kept, back = np.unique(np.concatenate([self.hashes, found]), return_index=True, return_inverse=True)
@@ -180,16 +189,24 @@ def scored_grams(grams: DataFrame, model: dict[int, DataFrame], m: int, order: i
 def _grams(batches):
     """(part, gram): distinct grams of a partition of the documents."""
     part, held = TaskContext.get().partitionId(), Distinct()
+    # Grams seen lately, by slot: most of a text's grams need no further look. What is forgotten only comes again.
+    lately = np.zeros(1 << SLOT_BITS, np.uint64)
 
     def rows():
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(held.hashes), part, np.int32)), held.strings()], names=["part", "gram"])
 
     for batch in batches:
         for _, points, bounds in text_slices(batch, "text"):
-            held.add(points, bounds)
+            chars, starts = chars_of(points, bounds)
+            hashes, places = gram_places(chars, starts)
+            slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            new = np.flatnonzero(lately[slot] != hashes)
+            lately[slot[new]] = hashes[new]
+            held.merge(chars, hashes[new], places[new])
         if len(held.hashes) > HELD_GRAMS:
             yield rows()
             held = Distinct()
+            lately[:] = 0
     yield rows()
 
 
@@ -199,7 +216,7 @@ def _texts(batches):
     for batch in batches:
         for rows, _, _ in text_slices(batch, "text"):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as writer:
                 writer.write_batch(rows)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([1], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["part", "kind", "block"])
 
@@ -219,7 +236,7 @@ def _packed(batches):
     for batch in batches:
         if batch.num_rows:
             points = np.frombuffer("".join(batch.column(1).to_pylist()).encode("utf-32-le"), np.uint32)
-            hashes = gram_hash(points.astype(np.uint64), ORDER)[::ORDER]
+            hashes = hash_of(list(points.reshape(-1, ORDER).T))
             held.append((batch.column(0).to_numpy(), hashes, np.log(batch.column(2).to_numpy()).astype(np.float32)))
             rows += batch.num_rows
         if rows > PACKED_ROWS:
@@ -247,35 +264,67 @@ def _looked_up(batches):
             if known is None and not held:
                 raise RuntimeError(MOVED)
             if known is None:
-                hashes, logs = (np.concatenate(x) for x in zip(*held, strict=True))
-                order = np.argsort(hashes)
-                known, held = (hashes[order], logs[order]), []
+                known, held = Lookup(*(np.concatenate(x) for x in zip(*held, strict=True))), []
             for rows in pa.ipc.open_stream(block):
                 for docs, points, bounds in text_slices(rows, "text"):
-                    yield _scores(docs, points, bounds, *known)
+                    yield _scores(docs, points, bounds, known)
+
+
+class Lookup:
+    """Log probabilities by hash: sorted hashes, and where those of each slot (their first bits) begin."""
 
+    def __init__(self, hashes: np.ndarray, logs: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.logs = np.append(hashes[order], np.uint64(0)), np.append(logs[order], np.float32(0))
+        slots = np.arange((1 << SLOT_BITS), dtype=np.uint64) << np.uint64(64 - SLOT_BITS)
+        self.first = np.searchsorted(self.hashes[:-1], slots).astype(np.int32)
 
-def _scores(docs: pa.RecordBatch, points: np.ndarray, bounds: np.ndarray, hashes: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        at = self.first[(wanted >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+        rest = np.flatnonzero(self.hashes[at] < wanted)
+        last = len(self.hashes) - 1
+        while len(rest):
+            at[rest] += 1
+            rest = rest[(at[rest] < last) & (self.hashes[at[rest]] < wanted[rest])]
+        at = np.minimum(at, last)
+        if not (self.hashes[at] == wanted).all():
+            raise RuntimeError(MOVED)
+        return self.logs[at]
+
+
+def _scores(docs: pa.RecordBatch, points: np.ndarray, bounds: np.ndarray, known: Lookup) -> pa.RecordBatch:
     chars, starts = chars_of(points, bounds)
     wanted, _ = gram_places(chars, starts)
-    at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
-    if not (hashes[at] == wanted).all():
-        raise RuntimeError(MOVED)
     n = np.diff(bounds)
-    total = np.concatenate([[0.0], np.cumsum(logs[at], dtype=np.float64)])
+    total = np.concatenate([[0.0], np.cumsum(known(wanted), dtype=np.float64)])
     ends = np.cumsum(n + 1)
     mean = -(total[ends] - total[ends - n - 1]) / (n + 1)
     value = pa.array(np.exp(np.minimum(mean, 700.0)), mask=n == 0)
     return pa.RecordBatch.from_arrays([docs.column(0), value, docs.column(2)], names=["doc_id", "perplexity", "lang"])
 
 
+def _gram_scores(docs: DataFrame, model: dict[int, DataFrame], m: int) -> DataFrame:
+    found = stage(docs.mapInArrow(_grams, "part int, gram string"), "part-grams")
+    scores = scored_grams(found.select("gram").distinct(), model, m)
+    return found.join(scores, "gram").select("part", "gram", "p").mapInArrow(_packed, "part int, kind int, block binary")
+
+
+def gram_scores(docs: DataFrame, model: dict[int, DataFrame], m: int) -> DataFrame:
+    """(part, kind 0, block): the scores of all grams of each partition; what was staged on the way is deleted."""
+    spark, scope = docs.sparkSession, f"grams-{uuid.uuid4().hex}"
+    with staging_scope(spark, scope):
+        blocks = _gram_scores(docs, model, m)
+    blocks = stage(blocks, "gram-scores")
+    drop_staged(spark, scope)
+    release_shuffles(spark)
+    return blocks
+
+
 def perplexities(docs: DataFrame, model: dict[int, DataFrame], m: int = 0) -> DataFrame:
     """(doc_id, perplexity, lang) per row of ``docs``, under model ``m`` of the tables. The plan of ``docs`` has to give the same partitions when it
     is read again, as scans of files do."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    found = stage(docs.mapInArrow(_grams, "part int, gram string"), "part-grams")
-    scores = scored_grams(found.select("gram").distinct(), model, m)
-    blocks = found.join(scores, "gram").select("part", "gram", "p").mapInArrow(_packed, "part int, kind int, block binary")
+    blocks = gram_scores(docs, model, m)
     texts = docs.mapInArrow(_texts, "part int, kind int, block binary")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The texts come first, so that their partitions have the numbers that they have alone.
