@@ -15,9 +15,15 @@ CUSTOMER, SUPPLIER, PART, ORDER = "concat('c-', c_custkey)", "concat('s-', s_sup
 
 
 def fleet_of(t, bundle: str, table: str, files: dict[str, str]) -> TableFleet:
-    """One bundle per row of a table, with a file per expression; a null text is no file."""
+    """One bundle per row of a table, with a file per expression; a null text is no file.
+
+    A row of some bytes becomes texts of thousands, so rows are dealt to tasks before texts are made of them.
+    """
     pairs = ", ".join(f"struct({path if path.startswith('concat(') else repr(path)} AS path, {text} AS content)" for path, text in files.items())
-    return TableFleet(t.sql(f"SELECT bundle_id, f.path, f.content FROM (SELECT {bundle} AS bundle_id, explode(array({pairs})) AS f FROM {table}) x WHERE f.content IS NOT NULL"))
+    rows = t.sql(f"SELECT * FROM {table}")
+    # A given number is kept; else the rows' few bytes would be put together again.
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.expr(bundle))
+    return TableFleet(rows.selectExpr(f"{bundle} AS bundle_id", f"explode(array({pairs})) AS f").filter("f.content IS NOT NULL").select("bundle_id", "f.path", "f.content"))
 
 
 # --- admin JSON -----------------------------------------------------------------------------

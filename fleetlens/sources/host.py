@@ -221,12 +221,15 @@ def scan_processes(fleet: Fleet) -> DataFrame:
     )
 
 
-def _carried(lines: DataFrame, states: dict[str, Column]) -> DataFrame:
+def _carried(lines: DataFrame, states: dict[str, Column], rank: Column | None = None) -> DataFrame:
     """Adds a column per state: its last value that is not null, up to and with the line, in the order of the file.
 
     The state of a line depends on what its block has said, else on the last block before that said something. So each
     block is ordered by itself, and a table with a row per block carries values over block borders:
-    files of any length are read by as many tasks as they have blocks.
+    files of any length are read by as many tasks as they have blocks. First blocks have nothing to take over, so
+    only further ones are joined, one row for each split of a file. With ``rank``, a number per file path, only
+    the lines of each bundle's file of the lowest number stay; then every block is joined, in a merge, since a fleet has too
+    many blocks to be broadcast.
     """
     file, block = ["bundle_id", "file_path"], ["bundle_id", "file_path", "block"]
     upto = Window.partitionBy(*block).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -234,16 +237,20 @@ def _carried(lines: DataFrame, states: dict[str, Column]) -> DataFrame:
     said = local.groupBy(*block).agg(*[F.max_by(f"_at_{n}", F.when(F.col(f"_at_{n}").isNotNull(), F.col("pos"))).alias(f"_end_{n}") for n in states])
     before = Window.partitionBy(*file).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = said.select(*block, *[F.last(f"_end_{n}", ignorenulls=True).over(before).alias(f"_in_{n}") for n in states])
-    joined = local.withColumns({n: F.last(f"_at_{n}", ignorenulls=True).over(upto) for n in states}).join(carried, block)
+    if rank is None:
+        carried, how = carried.filter("block > 0"), "left"
+    else:
+        least = F.min(rank).over(Window.partitionBy("bundle_id"))
+        carried, how = carried.withColumns({"_rank": rank, "_least": least}).filter("_rank = _least").drop("_rank", "_least").hint("merge"), "inner"
+    joined = local.withColumns({n: F.last(f"_at_{n}", ignorenulls=True).over(upto) for n in states}).join(carried, block, how)
     return joined.withColumns({n: F.coalesce(F.col(n), F.col(f"_in_{n}")) for n in states}).drop(*[f"_{k}_{n}" for n in states for k in ("at", "in")])
 
 
 def _grouped(lines: DataFrame, opens: Column) -> DataFrame:
     """Adds ``group``: tells lines of different openings of a file apart, 0 before the first."""
     # The opening line's own place is as good as a running number, and needs no count over blocks.
-    place = F.struct(F.col("block").alias("block"), F.col("pos").alias("pos"))
-    rows = _carried(lines, {"_opened": F.when(opens, place)})
-    return rows.withColumn("group", F.when(F.col("_opened").isNull(), 0).otherwise(F.xxhash64("_opened.block", "_opened.pos"))).drop("_opened")
+    rows = _carried(lines, {"_opened": F.when(opens, F.xxhash64("block", "pos"))})
+    return rows.withColumn("group", F.coalesce("_opened", F.lit(0).cast("bigint"))).drop("_opened")
 
 
 # Socket states as printed.
@@ -366,8 +373,9 @@ def scan_oom(fleet: Fleet) -> DataFrame:
 
 # --- system activity report ----------------------------------------------------------------
 
-# Header words that open a section (column, word).
+# Files, the first of which counts, and sections.
 SAR_FILES = ("utils/sar", "utils/sar.txt", "sar.txt", "sysstat/sar")
+SAR_SECTIONS = ("cpu", "mem", "net", "tcp", "etcp")
 
 
 def scan_sar(fleet: Fleet) -> tuple[DataFrame, DataFrame]:
@@ -378,27 +386,26 @@ def scan_sar(fleet: Fleet) -> tuple[DataFrame, DataFrame]:
     """
     lines = _fields(fleet.lines(*SAR_FILES)).filter(F.size("f") >= 2)
     rank = F.array_position(F.array(*[F.col("file_path").endswith("/" + name) for name in SAR_FILES]), True)
-    first = lines.groupBy("bundle_id").agg(F.min_by("file_path", rank).alias("file_path"))
-    lines = lines.join(first, ["bundle_id", "file_path"])
+    # Sections are carried as numbers, which aggregate without sorts.
     section = (
-        F.when((_f(1) == "CPU") & (_f(2) == "%user"), "cpu")
-        .when(_f(1).isin("kbmemfree", "kbmemused") & (F.size("f") >= 3), "mem")
-        .when((_f(1) == "IFACE") & (_f(2) == "rxpck/s"), "net")
-        .when((_f(1) == "active/s") & (_f(2) == "passive/s"), "tcp")
-        .when((_f(1) == "atmptf/s") & (_f(3) == "retrans/s"), "etcp")
+        F.when((_f(1) == "CPU") & (_f(2) == "%user"), SAR_SECTIONS.index("cpu"))
+        .when(_f(1).isin("kbmemfree", "kbmemused") & (F.size("f") >= 3), SAR_SECTIONS.index("mem"))
+        .when((_f(1) == "IFACE") & (_f(2) == "rxpck/s"), SAR_SECTIONS.index("net"))
+        .when((_f(1) == "active/s") & (_f(2) == "passive/s"), SAR_SECTIONS.index("tcp"))
+        .when((_f(1) == "atmptf/s") & (_f(3) == "retrans/s"), SAR_SECTIONS.index("etcp"))
     )
     banner = (_f(0) == "Linux") & (F.size("f") >= 4)
     us = F.regexp_extract("value", r"\s(\d\d/\d\d/\d\d)(?:\s|$)", 1)
     iso = F.regexp_extract("value", r"\s(\d{4}-\d\d-\d\d)(?:\s|$)", 1)
     date = F.coalesce(F.try_to_timestamp(us, F.lit("MM/dd/yy")).cast("date"), iso.try_cast("date"))
-    rows = _carried(lines.withColumns({"head": section, "banner": banner}), {"section": F.col("head"), "day": F.when(F.col("banner"), date)})
+    rows = _carried(lines.withColumns({"head": section, "banner": banner}), {"section": F.col("head"), "day": F.when(F.col("banner"), date)}, rank)
     rows = rows.filter(F.col("head").isNull() & ~F.col("banner") & ~_f(0).isin("Average:", "Time", "HH:MM:SS"))
     clock = F.when(_f(0).rlike(r"\A\d\d:\d\d:\d\d\z"), _f(0))
     stamp = F.concat_ws(" ", F.col("day").cast("string"), clock).try_cast("timestamp")
     rows = rows.withColumns({"clock": _f(0), "ts": F.when(clock.isNotNull(), stamp).otherwise(F.col("day").cast("timestamp"))})
 
     def at(name: str, index: int, least: int, also: Column | None = None) -> Column:
-        test = (F.col("section") == name) & (F.size("f") >= least)
+        test = (F.col("section") == SAR_SECTIONS.index(name)) & (F.size("f") >= least)
         return F.max(F.when(test if also is None else test & also, to_number(_f(index))))
 
     every = _f(1) == "all"
@@ -406,11 +413,11 @@ def scan_sar(fleet: Fleet) -> tuple[DataFrame, DataFrame]:
     samples = rows.groupBy("bundle_id", "day", "clock").agg(
         F.min("ts").alias("ts"), at("cpu", 2, 8, every).alias("cpu_user"), at("cpu", 4, 8, every).alias("cpu_system"),
         at("cpu", 5, 8, every).alias("cpu_iowait"), at("cpu", 7, 8, every).alias("cpu_idle"),
-        F.max(F.when(F.col("section") == "mem", to_number(pct))).alias("mem_used_pct"),
+        F.max(F.when(F.col("section") == SAR_SECTIONS.index("mem"), to_number(pct))).alias("mem_used_pct"),
         at("tcp", 1, 5).alias("tcp_active"), at("tcp", 2, 5).alias("tcp_passive"), at("tcp", 3, 5).alias("tcp_in_segs"), at("tcp", 4, 5).alias("tcp_out_segs"),
         at("etcp", 3, 4).alias("tcp_retrans"), at("etcp", 4, 5).alias("tcp_in_errs"),
     ).drop("day")
-    net = rows.filter((F.col("section") == "net") & (F.size("f") >= 10)).select(
+    net = rows.filter((F.col("section") == SAR_SECTIONS.index("net")) & (F.size("f") >= 10)).select(
         "bundle_id", "clock", "ts", _f(1).alias("iface"),
         *[F.coalesce(to_number(_f(i)), F.lit(0.0)).alias(n) for i, n in ((2, "rx_pck"), (3, "tx_pck"), (4, "rx_kb"), (5, "tx_kb"), (8, "rx_mcst"), (9, "if_util"))],
     )
