@@ -26,3 +26,7 @@ def test_rows_are_dealt_before_they_become_texts(spark):
     """A small file is one split, whatever number of bundles its rows are."""
     files = file_queries.fleet_of(Tables(spark, SF_DIR), file_queries.CUSTOMER, "customer", {"a.txt": "c_name"})._files
     assert files.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_network_health_broadcasts_no_row_per_bundle(spark):
+    assert "BroadcastExchange" not in final_plan(entry.queries()["network_health_files"](spark, SF_DIR))
