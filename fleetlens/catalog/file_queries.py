@@ -491,8 +491,9 @@ def detected_versions(t):
 
 
 def _le(number: str, size: int) -> str:
-    """A number below 65 536 as little-endian hex."""
-    return f"lpad(hex({number} % 256), 2, '0') || lpad(hex(CAST(floor({number} / 256) AS BIGINT) % 256), 2, '0') || repeat('00', {size - 2})"
+    """A number from 0, which has to fit into ``size`` bytes, as little-endian hex."""
+    whole = f"lpad(hex(CAST({number} AS BIGINT)), {2 * size}, '0')"
+    return " || ".join(f"substring({whole}, {at}, 2)" for at in range(2 * size - 1, 0, -2))
 
 
 def _batch(base: str, kind: str, code: str, records: str, payload: str) -> str:

@@ -2,11 +2,13 @@
 
 import os
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from fleetlens.catalog import file_queries
 from fleetlens.catalog.registry import Tables
+from tests.compare import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no driver tables")
@@ -30,3 +32,20 @@ def test_rows_are_dealt_before_they_become_texts(spark):
 
 def test_network_health_broadcasts_no_row_per_bundle(spark):
     assert "BroadcastExchange" not in final_plan(entry.queries()["network_health_files"](spark, SF_DIR))
+
+
+@pytest.fixture(scope="module")
+def large_keys(tmp_path_factory):
+    """Tables whose customers' keys take one to four bytes."""
+    folder = tmp_path_factory.mktemp("large")
+    for name in os.listdir(SF_DIR):
+        os.symlink(f"{SF_DIR}/{name}", folder / name)
+    os.unlink(folder / "customer.parquet")
+    keys = "(VALUES (0), (65000), (131072), (16777000)) v(k)"
+    duckdb.sql(f"COPY (SELECT * REPLACE (c_custkey + k AS c_custkey) FROM '{SF_DIR}/customer.parquet', {keys}) TO '{folder}/customer.parquet'")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["segment_files"])
+def test_keys_of_any_size(spark, large_keys, name):
+    assert compare(spark, connect(large_keys), entry.queries()[name], entry.oracle_sql()[name], large_keys) is None
