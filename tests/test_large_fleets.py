@@ -46,6 +46,6 @@ def large_keys(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["segment_files"])
+@pytest.mark.parametrize("name", ["segment_files", "snapshot_files"])
 def test_keys_of_any_size(spark, large_keys, name):
     assert compare(spark, connect(large_keys), entry.queries()[name], entry.oracle_sql()[name], large_keys) is None
