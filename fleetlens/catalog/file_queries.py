@@ -179,7 +179,7 @@ def _dump(t):
     items = [item("'metadata'", meta), item("'groups'", groups), item("'high_watermarks'", marks), item("concat('group_commits_g-', c_custkey)", commits), item("'topic_configs'", configs)]
     # Responses are JSON documents themselves.
     text = "concat('[', " + ", ',', ".join("concat('{\"Name\": \"', " + i.split("'Name', ")[1].split(", 'Response'")[0] + ", '\", \"Response\": ', " + i.split("'Response', ", 1)[1][:-1] + ", '}')" for i in items) + ", ']')"
-    return cluster.scan_kafka_dump(fleet_of(t, CUSTOMER, "customer", {"kafka.json": text}))
+    return cluster.scan_kafka_dump(fleet_of(t, CUSTOMER, "customer", {"kafka.json": text}), materialize=True)
 
 
 @query(
@@ -189,7 +189,8 @@ def _dump(t):
 def dump_partitions(t):
     dump = _dump(t)
     rows = dump["partitions"].withColumns({"replicas": F.size("replicas"), "isr": F.size("isr")})
-    return rows.join(dump["metadata"], "bundle_id").join(dump["brokers"].select("bundle_id", "host"), "bundle_id")
+    # Every side has a row per bundle or more: few bytes when shuffled, too many to broadcast for a large fleet.
+    return rows.join(dump["metadata"].hint("merge"), "bundle_id").join(dump["brokers"].select("bundle_id", "host").hint("merge"), "bundle_id")
 
 
 @query(
@@ -199,9 +200,10 @@ def dump_partitions(t):
 )
 def dump_groups(t):
     dump = _dump(t)
-    rows = dump["members"].select("bundle_id", "group_id", "state", "client_id").join(dump["commits"], ["bundle_id", "group_id"])
-    rows = rows.join(dump["high_watermarks"], ["bundle_id", "topic", "partition_id"])
-    return rows.join(dump["topic_configs"].select("bundle_id", F.col("name").alias("topic"), F.col("value").alias("retention"), "sensitive"), ["bundle_id", "topic"])
+    rows = dump["members"].select("bundle_id", "group_id", "state", "client_id").join(dump["commits"].hint("merge"), ["bundle_id", "group_id"])
+    rows = rows.join(dump["high_watermarks"].hint("merge"), ["bundle_id", "topic", "partition_id"])
+    configs = dump["topic_configs"].select("bundle_id", F.col("name").alias("topic"), F.col("value").alias("retention"), "sensitive")
+    return rows.join(configs.hint("merge"), ["bundle_id", "topic"])
 
 
 def _pods(t):
@@ -474,7 +476,7 @@ def log_files_query(t):
         "redpanda.log": "concat('\\nWARN  2024-01-01 00:00:01,250 [shard 3:main] raft - slow ', c_custkey, '\\r\\nmore\\n')", "logs/a/deep.txt": "concat('no header ', c_nationkey, '\\n')",
         "logs/x.csv": "concat('2024-01-01T00:00:01Z,ERROR,', lower(c_mktsegment), '\\n')", "logs/skipped.json": "'x'", "other.log": "'x'",
     })
-    return log_files.scan_logs(files, materialize=False).select("bundle_id", "node", "line_number", "level", "message")
+    return log_files.scan_logs(files).select("bundle_id", "node", "line_number", "level", "message")
 
 
 @query(

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.session import cut_lineage
+from fleetlens.session import stage
 from fleetlens.sources.fleet import Fleet
 
 # Field names of the files.
@@ -253,12 +253,12 @@ def scan_kafka_dump(fleet: Fleet, materialize: bool = False) -> dict[str, DataFr
     broker_configs, groups, members, commits, high_watermarks.
 
     A dump is split into its items once per section that is used; with ``materialize``
-    the items are checkpointed and split once in all.
+    the items are staged and split once in all.
     """
     docs = fleet.documents("kafka.json")
     items = docs.select("bundle_id", F.explode(F.from_json("value", "array<struct<Name:string,Response:string>>")).alias("i"))
     items = items.select("bundle_id", F.col("i.Name").alias("name"), F.col("i.Response").alias("response"))
-    items = cut_lineage(items) if materialize else items
+    items = stage(items, "dump-items") if materialize else items
 
     def section(name: str, schema: str) -> DataFrame:
         rows = items.filter(F.col("name") == name)

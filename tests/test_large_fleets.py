@@ -49,3 +49,11 @@ def large_keys(tmp_path_factory):
 @pytest.mark.parametrize("name", ["segment_files", "snapshot_files"])
 def test_keys_of_any_size(spark, large_keys, name):
     assert compare(spark, connect(large_keys), entry.queries()[name], entry.oracle_sql()[name], large_keys) is None
+
+
+@pytest.mark.parametrize("name", ["dump_partitions", "dump_groups", "log_files"])
+def test_texts_are_made_and_split_once(spark, name):
+    """What several branches of the plan read is staged; the final plan does not go back to the rows the texts are made of."""
+    plan = final_plan(entry.queries()[name](spark, SF_DIR))
+    assert "customer.parquet" not in plan and "parquet" in plan
+    assert name == "log_files" or "BroadcastExchange" not in plan
