@@ -274,7 +274,8 @@ def _block_table(entries: DataFrame, name) -> DataFrame:
     chain = Window.partitionBy("file_path", "owner").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("pieces_before", F.col("owner_pieces") + F.coalesce(F.sum("lead_pieces").over(chain), none))
     continued = blocks.filter("owner >= 0 AND lead_pieces > 0").select("file_path", F.col("owner").alias("block"), F.lit(True).alias("continued")).distinct()
-    return blocks.join(continued, BLOCK, "left").join(files, "file_path").select(
+    # Rows per block and per file: few bytes when shuffled, too many to broadcast for a large fleet.
+    return blocks.join(continued, BLOCK, "left").join(files.hint("merge"), "file_path").select(
         *BLOCK, "offset", "owner", "owner_entry", "pieces_before", "continued", "bundle_id", "node", "file_no")
 
 
@@ -290,7 +291,7 @@ def stitch(entries: DataFrame, name, materialize: bool = False, piece_bytes: int
     blocks = _block_table(entries, name)
     blocks = cut_lineage(blocks) if materialize else blocks
     file_columns = ["bundle_id", "node", "file_no"]
-    placed = entries.filter(F.col("raw").isNotNull()).join(blocks, BLOCK)
+    placed = entries.filter(F.col("raw").isNotNull()).join(blocks.hint("merge"), BLOCK)
     lead = F.col("entry") == 0
     last = F.coalesce("continued", F.lit(False)) & (F.col("entry") == F.col("block_entries"))
     apart = lead | (F.col("piece") > 0) | (F.col("bytes") >= piece_bytes) | last
