@@ -90,6 +90,16 @@ def metric_digest(metrics: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
+def single_samples(metrics: DataFrame) -> DataFrame:
+    """Samples as rows of a digest, of one sample each: for totals per bundle, which need no series. Their aggregation
+    holds a row per bundle and task, not one per series."""
+    value = F.col("value")
+    return metrics.select(
+        "bundle_id", "name", *[F.col("labels")[key].alias(key) for key in DIGEST_LABELS],
+        F.when(value.isNotNull(), 1).otherwise(0).cast("bigint").alias("n"), value.alias("total"), value.alias("low"), value.alias("high"),
+    )
+
+
 def measure_names(*tables: dict[str, Measure]) -> list[str]:
     return sorted({n for table in tables for m in table.values() for n in m.names})
 
@@ -138,7 +148,7 @@ def performance_report(
     metrics: DataFrame, sar: DataFrame | None = None, sar_net: DataFrame | None = None, self_test: DataFrame | None = None
 ) -> DataFrame:
     """The report from metric samples; see ``report_from_digest``."""
-    return report_from_digest(metric_digest(metrics, measure_names(MEASURES)), sar, sar_net, self_test)
+    return report_from_digest(single_samples(metrics), sar, sar_net, self_test)
 
 
 def report_from_digest(

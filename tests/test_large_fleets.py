@@ -57,3 +57,9 @@ def test_texts_are_made_and_split_once(spark, name):
     plan = final_plan(entry.queries()[name](spark, SF_DIR))
     assert "customer.parquet" not in plan and "parquet" in plan
     assert name == "log_files" or "BroadcastExchange" not in plan
+
+
+def test_performance_report_holds_no_series(spark):
+    """Samples are dealt by bundle and aggregated by bundle at once: a task holds a row per bundle of its share."""
+    plan = final_plan(entry.queries()["performance_observations"](spark, SF_DIR))
+    assert "series" not in plan and "REPARTITION_BY_NUM" in plan
