@@ -63,3 +63,10 @@ def test_performance_report_holds_no_series(spark):
     """Samples are dealt by bundle and aggregated by bundle at once: a task holds a row per bundle of its share."""
     plan = final_plan(entry.queries()["performance_observations"](spark, SF_DIR))
     assert "series" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_first_blocks_are_joined_with_nothing(spark):
+    """Files of one block are read once: nothing is carried into them."""
+    plan = final_plan(entry.queries()["socket_files"](spark, SF_DIR))
+    final = plan.split("== Initial Plan ==")[0]
+    assert "Join" not in final and final.count("orders.parquet") == 1
