@@ -231,7 +231,10 @@ def _carried(lines: DataFrame, states: dict[str, Column], rank: Column | None =
     the lines of each bundle's file of the lowest number stay; then every block is joined, in a merge, since a fleet has too
     many blocks to be broadcast.
     """
-    file, block = ["bundle_id", "file_path"], ["bundle_id", "file_path", "block"]
+    # A number leads the keys: sorts hardly compare paths, which begin alike.
+    file = ["_file", *[c for c in ("bundle_id", "file_path") if c in lines.columns]]
+    block = [*file, "block"]
+    lines = lines.withColumn("_file", F.xxhash64("file_path"))
     upto = Window.partitionBy(*block).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     local = lines.withColumns({f"_at_{name}": value for name, value in states.items()})
     said = local.groupBy(*block).agg(*[F.max_by(f"_at_{n}", F.when(F.col(f"_at_{n}").isNotNull(), F.col("pos"))).alias(f"_end_{n}") for n in states])
@@ -259,30 +262,28 @@ STATES = ["ESTAB", "LISTEN", "TIME-WAIT", "CLOSE-WAIT", "FIN-WAIT-1", "FIN-WAIT-
 
 def scan_sockets(fleet: Fleet) -> DataFrame:
     """Sockets with TCP details from their continuation lines."""
-    lines = _fields(fleet.lines("utils/ss.txt"))
-    named = _f(0).isin("tcp", "udp")
+    line = F.btrim("value", F.lit(" \t\r\n"))
     indented = F.col("value").startswith("\t") | F.col("value").startswith(" ")
-    opens = ~indented & (F.size("f") >= 5) & (named | _f(0).isin(STATES) | _f(0).startswith("ESTAB"))
-    rows = _grouped(lines, opens).withColumns({"opens": opens, "indented": indented}).filter("group <> 0 and (opens or indented)")
-    shift = F.when(named, 1).otherwise(0)
-    head = F.when(
-        F.col("opens"),
-        F.struct(
-            F.when(named, _f(0)).otherwise("tcp").alias("netid"), F.get("f", shift).alias("state"), F.get("f", shift + 1).alias("recv_q"),
-            F.get("f", shift + 2).alias("send_q"), F.get("f", shift + 3).alias("local_addr"), F.get("f", shift + 4).alias("peer_addr"),
-        ),
-    )
-    text = F.when(F.col("indented"), F.col("value"))
-    sockets = rows.groupBy("bundle_id", "file_path", "group").agg(
-        F.first(head, ignorenulls=True).alias("h"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, text.alias("t")))), lambda x: x["t"]), " ").alias("info"),
+    opens = ~indented & line.rlike(rf"\A(?:tcp|udp|ESTAB\S*|{'|'.join(STATES)})(?:\s|\z)") & (F.size(F.split(line, r"\s+")) >= 5)
+    # Lines travel without their fields, and what a path tells is taken from it once a socket.
+    lines = fleet.raw_lines("utils/ss.txt").select("file_path", *ORDER, "value", opens.alias("opens"), indented.alias("indented"))
+    rows = _grouped(lines, F.col("opens")).filter("group <> 0 and (opens or indented)")
+    text = F.when(F.col("indented"), F.struct(*ORDER, F.col("value").alias("t")))
+    sockets = rows.groupBy("_file", "file_path", "group").agg(
+        F.first(F.when(F.col("opens"), F.col("value")), ignorenulls=True).alias("value"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(text)), lambda x: x["t"]), " ").alias("info"),
     )
+    named = _f(0).isin("tcp", "udp")
+    shift = F.when(named, 1).otherwise(0)
+    head = [F.get("f", shift + k).alias(name) for k, name in enumerate(("state", "recv_q", "send_q", "local_addr", "peer_addr"))]
+    sockets = _fields(sockets).select(fleet.bundle_of(F.col("file_path")).alias("bundle_id"), F.when(named, _f(0)).otherwise("tcp").alias("netid"), *head, "info")
 
     def number(pattern: str, kind: str = "bigint") -> Column:
-        return F.regexp_extract("info", r"(?:^|\s)" + pattern, 1).try_cast(kind)
+        # An empty text is no number; trying it would make and drop an exception a row.
+        return F.nullif(F.regexp_extract("info", r"(?:^|\s)" + pattern, 1), F.lit("")).try_cast(kind)
 
     return sockets.select(
-        "bundle_id", "h.*", number(r"retrans:(\d+)/").alias("retrans"), number(r"retrans:\d+/(\d+)").alias("retrans_total"),
+        "bundle_id", "netid", "state", "recv_q", "send_q", "local_addr", "peer_addr", number(r"retrans:(\d+)/").alias("retrans"), number(r"retrans:\d+/(\d+)").alias("retrans_total"),
         number(r"rto:([0-9.]+)", "double").alias("rto"), number(r"cwnd:(\d+)").alias("cwnd"), number(r"ssthresh:(\d+)").alias("ssthresh"),
         number(r"rtt:([0-9.]+)/", "double").alias("rtt"), number(r"rtt:[0-9.]+/([0-9.]+)", "double").alias("rtt_var"), number(r"mss:(\d+)").alias("mss"),
         F.nullif(F.regexp_extract("info", r"users:(\(\(.*?)\)\)", 1), F.lit("")).alias("process"),
@@ -309,7 +310,7 @@ def scan_interfaces(fleet: Fleet) -> DataFrame:
     opens = F.col("value").rlike(r"\A\d+: ")
     rows = _grouped(lines, opens).filter("group <> 0").withColumn("opens", opens)
     address = F.nullif(F.regexp_extract("value", r"\A\s+inet6? (\S+)", 1), F.lit(""))
-    found = rows.groupBy("bundle_id", "file_path", "group").agg(
+    found = rows.groupBy("_file", "bundle_id", "file_path", "group").agg(
         F.max(F.when(F.col("opens"), F.col("value"))).alias("head"),
         F.array_compact(F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, address.alias("a")))), lambda x: x["a"])).alias("addresses"),
     )

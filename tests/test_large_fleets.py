@@ -70,3 +70,12 @@ def test_first_blocks_are_joined_with_nothing(spark):
     plan = final_plan(entry.queries()["socket_files"](spark, SF_DIR))
     final = plan.split("== Initial Plan ==")[0]
     assert "Join" not in final and final.count("orders.parquet") == 1
+
+
+def test_socket_lines_travel_alone(spark):
+    """Sorts are led by a number, not by paths that begin alike; no bundle and no fields are shuffled with a line; no empty text is tried as a number."""
+    plan = final_plan(entry.queries()["socket_files"](spark, SF_DIR)).split("== Initial Plan ==")[0]
+    assert "Sort [_file" in plan
+    window = plan[plan.index("Window [") :]
+    assert "bundle_id" not in window and " AS f#" not in window
+    assert "try_cast(regexp_extract" not in plan and "cast(regexp_extract(info" not in plan
