@@ -48,6 +48,8 @@ FOLDS, LEAST_TRUSTED = 2, 20
 #: The model of all trusted text, then those without one part.
 MODELS = range(FOLDS + 1)
 HELD_GRAMS, PACKED_ROWS, SLOT_BITS = 2_000_000, 500_000, 20
+#: Of staged tables, which lie on the disk beside the texts' shuffle.
+CODEC = "zstd"
 
 
 def chars_of(points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,15 +136,26 @@ def _discounts(counts: DataFrame) -> list[list[float]]:
 
 def train(texts: DataFrame) -> dict[int, DataFrame]:
     """Tables per order: (gram, p0.., mass0..), for each model the interpolated probability of a gram, and the mass that it leaves as a
-    context to the next lower order (1 if it is no context there). Order 0 has the empty gram."""
+    context to the next lower order (1 if it is no context there). Order 0 has the empty gram. What only leads to these tables is deleted."""
+    spark, scope = texts.sparkSession, f"counts-{uuid.uuid4().hex}"
     folds = texts.select("text", fold_of().alias("fold")).mapInArrow(_counted, "gram string, fold int, n long")
+    with staging_scope(spark, scope):
+        tables = _tables(folds)
+    tables = {order: stage(rows, "model", CODEC) for order, rows in tables.items()}
+    drop_staged(spark, scope)
+    return tables
+
+
+def _tables(folds: DataFrame) -> dict[int, DataFrame]:
+    """The tables of ``train``, not staged; their plans read what is staged here."""
     # Model 0 sees all parts, model k + 1 all but part k.
     every = [F.sum("n").alias("n0"), *[F.sum(F.when(F.col("fold") != k, F.col("n")).otherwise(0)).alias(f"n{k + 1}") for k in range(FOLDS)]]
-    counts = {ORDER: stage(folds.groupBy("gram").agg(*every), "grams")}
+    counts = {ORDER: stage(folds.groupBy("gram").agg(*every), "grams", CODEC)}
     for order in range(ORDER - 1, 0, -1):
         # Continuations: how many characters are seen before the gram.
         seen = [F.count_if(F.col(f"n{m}") > 0).alias(f"n{m}") for m in MODELS]
-        counts[order] = stage(counts[order + 1].groupBy(F.substring("gram", 2, order).alias("gram")).agg(*seen), "grams")
+        above = counts[order + 1].groupBy(F.substring("gram", 2, order).alias("gram")).agg(*seen)
+        counts[order] = stage(above, "grams", CODEC)
     tables: dict[int, DataFrame] = {}
     lower = None
     for order in range(1, ORDER + 1):
@@ -163,8 +176,8 @@ def train(texts: DataFrame) -> dict[int, DataFrame]:
         made = rows.select("gram", *[(own(m) + mass(m) * below(m)).alias(f"p{m}") for m in MODELS])
         masses = contexts.select(F.col("context").alias("gram"), *[mass(m).alias(f"mass{m}") for m in MODELS])
         # Contexts of this order are grams of the order below; those that are only a text's beginning have no probability.
-        tables[order - 1] = stage(masses if lower is None else lower.join(masses, "gram", "full"), "model")
-        lower = stage(made, "probabilities")
+        tables[order - 1] = masses if lower is None else lower.join(masses, "gram", "full")
+        lower = stage(made, "probabilities", CODEC) if order < ORDER else made
     tables[ORDER] = lower
     return tables
 
@@ -172,7 +185,7 @@ def train(texts: DataFrame) -> dict[int, DataFrame]:
 def scored_grams(grams: DataFrame, model: dict[int, DataFrame], m: int, order: int = ORDER) -> DataFrame:
     """(gram, p) of distinct grams of one order under model ``m``, known to it or not."""
     known = model[order].filter(F.col(f"p{m}").isNotNull()).select("gram", F.col(f"p{m}").alias("p"))
-    found = stage(grams.join(known, "gram", "left"), "found")
+    found = stage(grams.join(known, "gram", "left"), "found", CODEC)
     rest = found.filter("p IS NULL").select("gram", F.substring("gram", 1, order - 1).alias("context"))
     contexts = model[order - 1].select(F.col("gram").alias("context"), F.col(f"mass{m}").alias("mass"))
     rest = rest.join(contexts, "context", "left")
@@ -221,6 +234,29 @@ def _texts(batches):
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([1], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["part", "kind", "block"])
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The bytes of numbers, by their place in the number: like ones lie together."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _numbers(data: bytes, kind: type, n: int, at: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel()
+
+
+def packed_block(hashes: np.ndarray, logs: np.ndarray) -> bytes:
+    """Hashes (as differences of the sorted ones) and log probabilities, compressed."""
+    order = np.argsort(hashes)
+    data = _planes(np.diff(hashes[order], prepend=np.uint64(0))) + _planes(logs[order])
+    return len(hashes).to_bytes(4, "little") + pa.Codec("zstd", compression_level=3).compress(data, asbytes=True)
+
+
+def unpacked_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(block[:4], "little")
+    data = pa.Codec("zstd").decompress(block[4:], 12 * n, asbytes=True)
+    return np.cumsum(_numbers(data, np.uint64, n, 0), dtype=np.uint64), _numbers(data, np.float32, n, 8 * n)
+
+
 def _packed(batches):
     """Rows (part, gram, p) as blocks (part, kind 0, hashes and log probabilities)."""
     held, rows = [], 0
@@ -230,7 +266,7 @@ def _packed(batches):
         order = np.argsort(part, kind="stable")
         parts, first = np.unique(part[order], return_index=True)
         for number, at in zip(parts.tolist(), np.split(order, first[1:]), strict=True):
-            block = hashes[at].tobytes() + logs[at].tobytes()
+            block = packed_block(hashes[at], logs[at])
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([0], pa.int32()), pa.array([block], pa.binary())], names=["part", "kind", "block"])
 
     for batch in batches:
@@ -258,8 +294,7 @@ def _looked_up(batches):
             if number != part:
                 part, held, known = number, [], None
             if kind == 0:
-                n = len(block) // 12
-                held.append((np.frombuffer(block, np.uint64, n), np.frombuffer(block, np.float32, n, 8 * n)))
+                held.append(unpacked_block(block))
                 continue
             if known is None and not held:
                 raise RuntimeError(MOVED)
@@ -304,7 +339,7 @@ def _scores(docs: pa.RecordBatch, points: np.ndarray, bounds: np.ndarray, known:
 
 
 def _gram_scores(docs: DataFrame, model: dict[int, DataFrame], m: int) -> DataFrame:
-    found = stage(docs.mapInArrow(_grams, "part int, gram string"), "part-grams")
+    found = stage(docs.mapInArrow(_grams, "part int, gram string"), "part-grams", CODEC)
     scores = scored_grams(found.select("gram").distinct(), model, m)
     return found.join(scores, "gram").select("part", "gram", "p").mapInArrow(_packed, "part int, kind int, block binary")
 
@@ -314,7 +349,7 @@ def gram_scores(docs: DataFrame, model: dict[int, DataFrame], m: int) -> DataFra
     spark, scope = docs.sparkSession, f"grams-{uuid.uuid4().hex}"
     with staging_scope(spark, scope):
         blocks = _gram_scores(docs, model, m)
-    blocks = stage(blocks, "gram-scores")
+    blocks = stage(blocks, "gram-scores", CODEC)
     drop_staged(spark, scope)
     release_shuffles(spark)
     return blocks
@@ -353,7 +388,7 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin:
     spark.conf.set(names[0], "0")
     spark.conf.set(names[1], "true")
     try:
-        texts = stage(docs.select("doc_id", "text", "lang").join(trusted, "doc_id", "left_semi"), "trusted")
+        texts = stage(docs.select("doc_id", "text", "lang").join(trusted, "doc_id", "left_semi"), "trusted", CODEC)
     finally:
         for n, value in before.items():
             spark.conf.unset(n) if value is None else spark.conf.set(n, value)

@@ -84,12 +84,12 @@ def staged_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """A written Parquet table in the shared folder, for large results: later plans read
-    only the columns they need."""
+    only the columns they need. ``codec`` compresses it in another way than the session does."""
     spark = df.sparkSession
     path = staged_folder(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm import chat_format as chat
 from fleetlens.llm import language, perplexity, pseudonyms
+from fleetlens.session import drop_staged, staging_scope
 from tests.llm.conftest import SF
 
 
@@ -131,6 +132,25 @@ def test_perplexity_of_many_characters(spark):
         assert held[i] == pytest.approx(score(t), rel=1e-5)
 
 
+def test_training_leaves_only_the_model(spark, documents):
+    """A table per order from 0 to 5; the counts they are made of are deleted."""
+    with staging_scope(spark, "training"):
+        perplexity.train(documents.filter("doc_id < 20"))
+    assert drop_staged(spark, "training") == perplexity.ORDER + 1
+
+
+def test_blocks_of_scores():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 9000):
+        hashes = rng.integers(0, 2**64 - 1, n, np.uint64, endpoint=True)
+        logs = np.log(rng.random(n)).astype(np.float32)
+        block = perplexity.packed_block(hashes, logs)
+        again, values = perplexity.unpacked_block(block)
+        order = np.argsort(hashes)
+        assert (again == hashes[order]).all() and (values == logs[order]).all()
+    assert len(block) < 11 * n
+
+
 def test_quality_separates(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = perplexity.quality(docs, labels).join(labels, "doc_id").groupBy("quality", "toxic").agg(F.avg(F.col("keep").cast("int")).alias("kept")).collect()
