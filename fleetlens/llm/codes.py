@@ -70,12 +70,22 @@ def runs(mask: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends
 
 
+def point_values(points: np.ndarray) -> np.ndarray:
+    """What ``value_hash`` adds up for each code point."""
+    return mix(points.astype(np.uint64) + np.uint64(1))
+
+
+def value_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of ``point_values``, equal for equal content anywhere."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers("up", _BASE, len(values)), out=total[1:])
+    whole = (total[ends] - total[starts]) * _powers("down", _INVERSE, len(values) + 1)[starts]
+    return mix(whole + (ends - starts).astype(np.uint64))
+
+
 def span_hash(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span, equal for equal content anywhere."""
-    total = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * _powers("up", _BASE, len(points)), out=total[1:])
-    whole = (total[ends] - total[starts]) * _powers("down", _INVERSE, len(points) + 1)[starts]
-    return mix(whole + (ends - starts).astype(np.uint64))
+    return value_hash(point_values(points), starts, ends)
 
 
 def rolling_hash(points: np.ndarray, k: int) -> np.ndarray:

@@ -1,16 +1,17 @@
 """An adaptive context-mixing range coder for token ids, run on many blocks in step.
 
 Blocks are independent: each starts from the same empty model and has its own checksum. That
-lets numpy take one id of up to thousands of blocks at a time.
+lets numpy take one id of some thousand blocks at a time.
 
-An id below 65 536 is coded in two steps of a carry-less 64-bit range coder.
+An id below 65 536 is coded in one step of a 64-bit range coder.
 
-* Mixing. The order-2 and order-1 contexts each predict one id with a confidence of 0 to 3. The
-  pair of confidences selects an adaptive split of the range into "order 2 is right", "order 1
-  is right" and "neither".
-* Order 0, if neither: the two upper nibbles by adaptive frequencies (the second given the first), then
-  whether the id is the last one seen with this upper byte, else its lower byte in equal shares.
+* Mixing. The order-2 and order-1 contexts each predict the id that came last in them, and keep whether
+  their last two predictions were right. The pair of these records selects an adaptive split of the range
+  into "order 2 is right", "order 1 is right" and "neither".
+* Order 0, if neither: the id's class by adaptive frequencies, then its place in the class in equal shares.
+  Tokenizers number their merges by falling frequency, so classes widen with the id: 16 for each doubling.
 
+The contexts learn after every id; splits and frequencies are counted anew after the ids named in ``TURNS``.
 Encoder and decoder call the same ``Model`` methods, so they cannot drift apart.
 """
 
@@ -20,257 +21,252 @@ import zlib
 
 import numpy as np
 
-BLOCK, LANES, SLOTS, SHIFT = 512, 16384, 512, 7
-BITS = 11
-ONE = 1 << BITS
-# Split after each outcome: every outcome keeps a share of 16 of 2048 at least.
-AFTER_A = np.array([ONE - 32, 16, 16], np.int32)
-AFTER_B = np.array([ONE - 16, ONE - 16, 32], np.int32)
-_K = np.arange(16)
-AFTER_NIBBLE = np.where(_K[None, :] <= _K[:, None], 4 * _K[None, :], ONE - 4 * (16 - _K[None, :])).astype(np.int16)
-TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
+BLOCK, LANES, GROUP, SLOTS, SHIFT = 1024, 8192, 2048, 128, 9
+TURNS = (32, 128, 384)
+BITS, WIDEST = 10, 11
+ALL = 2 * BITS + WIDEST
 U = np.uint64
+WORD, LITTLE = U(32), U(1 << 32)
+# The class of an id below 512 is id // 32; its first id, and the bits of a place in it.
+CLASSES = 128
+_OCTAVE = np.maximum(np.arange(CLASSES) // 16 - 1, 0)
+PLACE_BITS = 5 + _OCTAVE
+FIRST_ID = (np.arange(CLASSES) - 16 * _OCTAVE) << PLACE_BITS
+CLASS_OF = np.repeat(np.arange(CLASSES, dtype=np.uint8), 1 << PLACE_BITS)
+# Counts that a block begins with: outcomes (by the records of order 2 and order 1) and classes.
+_RIGHT = np.array([1, 4, 4, 16])
+FIRST_OUTCOMES = np.stack([np.repeat(_RIGHT, 4), np.tile(_RIGHT, 4) // 2 + 1, np.full(16, 6)], axis=1).astype(np.int32)
+FIRST_CLASSES = (8 - np.arange(CLASSES) // 16).astype(np.int32)
+
+
+def _shares(counts: np.ndarray) -> np.ndarray:
+    """Per symbol where its share of 2 ** BITS starts, and in the upper 16 bits its size, one at least."""
+    free = (1 << BITS) - counts.shape[-1]
+    ends = np.cumsum(counts, axis=-1, dtype=np.float32)
+    ends *= np.float32(free) / ends[..., -1:]
+    ends = ends.astype(np.int32)
+    ends[..., -1] = free
+    ends += np.arange(1, counts.shape[-1] + 1, dtype=np.int32)
+    starts = np.zeros_like(ends)
+    starts[..., 1:] = ends[..., :-1]
+    ends -= starts
+    ends <<= 16
+    ends |= starts
+    return ends
 
 
 class Model:
     """The adaptive state of ``n`` blocks."""
 
     def __init__(self, n: int):
-        self.n = n
-        self.one = np.zeros(n * SLOTS, np.uint32)
-        self.two = np.zeros(n * SLOTS, np.uint32)
-        self.a = np.full(n * 16, ONE // 3, np.int32)
-        self.b = np.full(n * 16, 2 * ONE // 3, np.int32)
-        even = (_K * (ONE // 16)).astype(np.int16)  # where each nibble's share begins
-        self.first = np.tile(even, (n, 1))
-        self.second = np.tile(even, (n * 16, 1))
-        self.last = np.zeros(n * 256, np.uint8)
-        self.seen = np.full(n * 16, ONE // 2, np.int32)
-        self.lane = np.arange(n, dtype=np.int64)
-        self.before = np.zeros(n, np.int64)
-        self.earlier = np.zeros(n, np.int64)
-
-    def predict(self, n: int):
-        """For the first ``n`` blocks: both predicted ids, and where the mix splits the range."""
-        lane = self.lane[:n]
-        p, q = self.before[:n], self.earlier[:n]
-        self.at1 = lane * SLOTS + ((p * 40503 & 0xFFFF) >> SHIFT)
-        self.at2 = lane * SLOTS + ((p * 40503 + q * 30029 + 12345 & 0xFFFF) >> SHIFT)
-        e1, e2 = self.one[self.at1], self.two[self.at2]
-        self.id1, self.id2 = (e1 & 0xFFFF).astype(np.int64), (e2 & 0xFFFF).astype(np.int64)
-        self.sure1, self.sure2 = (e1 >> 16).astype(np.int64), (e2 >> 16).astype(np.int64)
-        self.split = lane * 16 + (self.sure2 * 4 + self.sure1)
-        return self.id1, self.id2, self.a[self.split], self.b[self.split]
-
-    def outcome(self, which: np.ndarray) -> None:
-        """0: order 2 was right, 1: order 1 was, 2: neither."""
-        a, b = self.a[self.split], self.b[self.split]
-        self.a[self.split] = a + ((AFTER_A[which] - a) >> 5)
-        self.b[self.split] = b + ((AFTER_B[which] - b) >> 5)
-
-    def nibble(self, table: np.ndarray, rows: np.ndarray, held: np.ndarray, value: np.ndarray) -> None:
-        moved = np.take(AFTER_NIBBLE, value, axis=0)
-        moved -= held
-        moved >>= 4
-        moved += held
-        table[rows] = moved
-
-    def repeat(self, at: np.ndarray, chance: np.ndarray, hit: np.ndarray) -> None:
-        self.seen[at] = chance + ((np.where(hit, ONE - 32, 32) - chance) >> 5)
-
-    def learn(self, ids: np.ndarray) -> None:
+        self.table = np.zeros(2 * n * SLOTS, np.uint32)
+        self.base = np.arange(2 * n).reshape(2, n) * SLOTS
+        self.lane = np.arange(n)
+        self.mark = np.zeros((2, n), np.uint16)  # hashes of the order-1 and the order-2 context
+        self.outcomes, self.classes = FIRST_OUTCOMES[None], FIRST_CLASSES[None]
+        self._share(n)
+
+    def _share(self, n: int) -> None:
+        split = np.zeros((n, 16, 4), np.int32)
+        split[:, :, :3] = _shares(self.outcomes)
+        self.split = split.ravel()
+        self.part = np.broadcast_to(_shares(self.classes), (n, CLASSES)).ravel()
+
+    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """For the first ``n`` blocks: the ids predicted by order 1 and order 2, and the pair of their records."""
+        self.at = self.base[:, :n] + (self.mark[:, :n] >> SHIFT)
+        self.entry = self.table[self.at]
+        record = self.entry.astype(np.uint8) & np.uint8(3)
+        return self.entry >> 2, record[1] << 2 | record[0]
+
+    def learn(self, ids: np.ndarray, right: np.ndarray) -> None:
+        """``right``: whether order 1 and order 2 were."""
+        self.table[self.at] = (self.entry & 1) << 1 | ids.astype(np.uint32) << 2 | right
         n = len(ids)
-        for table, at, guess, sure in ((self.one, self.at1, self.id1, self.sure1), (self.two, self.at2, self.id2, self.sure2)):
-            right = (guess == ids) & (sure > 0)
-            keep = right | (sure > 1)
-            sure = np.where(right, np.minimum(sure + 1, 3), np.where(keep, sure - 1, 1))
-            table[at] = (np.where(keep, guess, ids) | (sure << 16)).astype(np.uint32)
-        self.earlier[:n] = self.before[:n]
-        self.before[:n] = ids
+        one = ids * np.uint16(40503)
+        np.add(one, self.mark[0, :n] * np.uint16(5), out=self.mark[1, :n])
+        self.mark[0, :n] = one
+
+    def turn(self, codes: np.ndarray, classes: np.ndarray) -> None:
+        """Counts the latest rows of the blocks that go on: 4 * records + outcome, and classes."""
+        n = codes.shape[1]
+        lane = self.lane[:n]
+        self.outcomes = self.outcomes[:n] + np.bincount((lane * 64 + codes).ravel(), minlength=n * 64).reshape(n, 16, 4)[:, :, :3].astype(np.int32)
+        literal = (lane * CLASSES + classes)[codes & 2 > 0]
+        self.classes = self.classes[:n] + np.bincount(literal, minlength=n * CLASSES).reshape(n, CLASSES).astype(np.int32)
+        self._share(n)
 
 
-def _due(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which blocks have 16 settled bits, or too little range left (then it is cut to what does not carry):
-    their places, lows and ranges."""
-    settled = (low ^ (low + span)) < TOP
-    at = np.flatnonzero(settled | (span < BOTTOM))
-    l, r = low[at], span[at]
-    return at, l, np.where(settled[at], r, (~l + U(1)) & (BOTTOM - U(1)))
+def _periods(sizes: np.ndarray):
+    """(first id, for each id up to the next turn how many blocks have it, how many blocks go on), for sizes in falling order."""
+    have = np.searchsorted(-sizes, -np.arange(sizes[0] + 1), "left").tolist()
+    ends = [t for t in TURNS if t < sizes[0]]
+    for a, b in zip([0, *ends], [*ends, int(sizes[0])], strict=True):
+        yield a, have[a:b], have[b]
 
 
 class _Out:
-    """Range encoder of many blocks; 16 bits leave at a time."""
+    """Range encoder of many blocks; 32 bits leave at a time. Carries stay in the words until the end."""
 
     def __init__(self, n: int, most: int):
         self.low, self.range = np.zeros(n, U), np.full(n, U(2**64 - 1))
-        self.words, self.used = np.empty((n, most * 4 + 8), np.uint16), np.zeros(n, np.int64)
-
-    def put(self, lanes, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        low, span = self.low[lanes], self.range[lanes] >> U(bits)
-        low = low + span * start.astype(U)
-        span = span * size.astype(U)
-        live, l, r = _due(low, span)
-        while len(live):
-            at = lanes[live] if isinstance(lanes, np.ndarray) else live
-            self.words[at, self.used[at]] = (l >> U(48)).astype(np.uint16)
-            self.used[at] += 1
-            l, r = l << U(16), r << U(16)
-            low[live], span[live] = l, r
-            some, l, r = _due(l, r)
-            live = live[some]
-        self.low[lanes], self.range[lanes] = low, span
+        self.n, self.words, self.at = n, np.zeros((most + 3) * n, U), np.arange(n) + n
+
+    def put(self, start: np.ndarray, size: np.ndarray) -> None:
+        n = len(start)
+        low, span = self.low[:n], self.range[:n]
+        span >>= U(ALL)
+        add = span * start
+        span *= size
+        low += add
+        over = np.flatnonzero(low < add)
+        self.words[self.at[over] - self.n] += U(1)
+        due = np.flatnonzero(span < LITTLE)
+        at, out = self.at[due], low[due]
+        self.words[at] = out >> WORD
+        self.at[due] = at + self.n
+        low[due] = out << WORD
+        span[due] <<= WORD
 
     def close(self) -> list[bytes]:
-        for _ in range(4):
-            self.words[np.arange(len(self.low)), self.used] = (self.low >> U(48)).astype(np.uint16)
-            self.used += 1
-            self.low = self.low << U(16)
-        return [w[:u].astype("<u2").tobytes() for w, u in zip(self.words, self.used, strict=True)]
+        for shift in (WORD, U(0)):
+            self.words[self.at] = (self.low >> shift) & U(2**32 - 1)
+            self.at += self.n
+        words = self.words.reshape(-1, self.n)
+        for k in range(len(words) - 1, 1, -1):
+            words[k - 1] += words[k] >> WORD
+        return [w[1:u].tobytes() for w, u in zip(np.ascontiguousarray(words.T.astype("<u4")), self.at // self.n, strict=True)]
 
 
 class _In:
     """The matching decoder."""
 
     def __init__(self, payloads: list[bytes]):
-        sizes = np.array([len(p) // 2 for p in payloads], np.int64)
-        self.words = np.zeros(int(sizes.sum()) + 8, np.uint64)
-        self.words[: sizes.sum()] = np.frombuffer(b"".join(payloads), "<u2")
-        self.at = np.cumsum(sizes) - sizes
-        n = len(payloads)
-        self.low, self.range, self.code = np.zeros(n, U), np.full(n, U(2**64 - 1)), np.zeros(n, U)
-        for _ in range(4):
-            self.code = (self.code << U(16)) | self.words[self.at]
-            self.at += 1
-
-    def look(self, lanes, bits: int) -> np.ndarray:
-        value = (self.code[lanes] - self.low[lanes]) // (self.range[lanes] >> U(bits))
-        return np.minimum(value, U((1 << bits) - 1)).astype(np.int64)
-
-    def take(self, lanes, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        low, span, code = self.low[lanes], self.range[lanes] >> U(bits), self.code[lanes]
-        low = low + span * start.astype(U)
-        span = span * size.astype(U)
-        live, l, r = _due(low, span)
-        while len(live):
-            at = lanes[live] if isinstance(lanes, np.ndarray) else live
-            # Words past a damaged block's end read as zero; its checksum tells.
-            code[live] = (code[live] << U(16)) | self.words[np.minimum(self.at[at], len(self.words) - 1)]
-            self.at[at] += 1
-            l, r = l << U(16), r << U(16)
-            low[live], span[live] = l, r
-            some, l, r = _due(l, r)
-            live = live[some]
-        self.low[lanes], self.range[lanes], self.code[lanes] = low, span, code
-
-
-def _steps(sizes: np.ndarray):
-    """(step, blocks that still have an id), for sizes in falling order."""
-    if len(sizes):
-        for t in range(int(sizes[0])):
-            yield t, int(np.searchsorted(-sizes, -t, "left"))
-
-
-def _pick(held: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.arange(0, 16 * len(value), 16) + value
-    flat = held.ravel()
-    start = np.take(flat, at).astype(np.int64)
-    end = np.where(value == 15, ONE, np.take(flat, at + 1, mode="clip"))
-    return start, end - start
+        sizes = np.array([len(p) // 4 for p in payloads])
+        self.words = np.concatenate([np.frombuffer(b"".join(p[: len(p) // 4 * 4] for p in payloads), "<u4"), np.zeros(2, "<u4")]).astype(U)
+        self.at = np.minimum(np.cumsum(sizes) - sizes, len(self.words) - 2)
+        self.code = self.words[self.at] << WORD | self.words[self.at + 1]
+        self.at += 2
+        self.range = np.full(len(payloads), U(2**64 - 1))
+
+    def look(self, n: int) -> np.ndarray:
+        self.range[:n] >>= U(ALL)
+        # Only a damaged block holds more than ALL bits here.
+        return (self.code[:n] // self.range[:n] & U((1 << ALL) - 1)).view(np.int64)
+
+    def take(self, start: np.ndarray, size: np.ndarray) -> None:
+        n = len(start)
+        code, span = self.code[:n], self.range[:n]
+        code -= span * start.view(U)
+        span *= size.view(U)
+        due = np.flatnonzero(span < LITTLE)
+        at = self.at[due]
+        # Words past a damaged block's end are another's; its checksum tells.
+        code[due] = code[due] << WORD | self.words.take(at, mode="clip")
+        self.at[due] = at + 1
+        span[due] <<= WORD
+
+
+def _encode_group(grid: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """``grid``: a column of ids per block."""
+    model, out = Model(len(sizes)), _Out(len(sizes), len(grid))
+    for begin, have, staying in _periods(sizes):
+        n = have[0]
+        lane = model.lane[:n]
+        rows = grid[begin : begin + len(have), :n]
+        codes = np.full(rows.shape, 2, np.uint8)
+        for k, x, code in zip(have, rows, codes, strict=True):
+            x = x[:k]
+            guess, record = model.predict(k)
+            right = guess == x
+            wrong = (~right).view(np.uint8)
+            code[:k] = record << 2 | wrong[1] + (wrong[0] & wrong[1])
+            model.learn(x, right)
+        classes = CLASS_OF[rows]
+        for t in range(0, len(have), 64):
+            code, kind, ids = codes[t : t + 64], classes[t : t + 64], rows[t : t + 64]
+            split, part = model.split[lane * 64 + code].astype(np.int64), model.part[lane * CLASSES + kind].astype(np.int64)
+            spare = WIDEST - PLACE_BITS[kind]
+            literal = code & 2 > 0
+            inner = ((part & 0xFFFF) << WIDEST) + (part >> 16) * ((ids - FIRST_ID[kind]) << spare)
+            start = ((split & 0xFFFF) << BITS + WIDEST) + (split >> 16) * np.where(literal, inner, 0)
+            size = (split >> 16) * np.where(literal, (part >> 16) << spare, 1 << BITS + WIDEST)
+            for k, a, b in zip(have[t : t + 64], start.view(U), size.view(U), strict=True):
+                out.put(a[:k], b[:k])
+        if staying:
+            model.turn(codes[:, :staying], classes[:, :staying])
+    return out.close()
+
+
+def _groups(n: int):
+    """Even slices of about GROUP of ``n`` blocks."""
+    edges = np.linspace(0, n, max(1, round(n / GROUP)) + 1).astype(int).tolist() if n else []
+    return zip(edges[:-1], edges[1:], strict=True)
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[tuple[int, int, bytes]]:
     """(number of ids, crc32 of the ids as little-endian 32-bit numbers, payload) per block."""
     if len(ids) and int(ids.max()) > 0xFFFF:
         raise ValueError("ids of over 16 bits")
-    sizes = np.diff(np.append(np.arange(0, len(ids), block), len(ids)))
-    n = len(sizes)
-    padded = np.zeros(n * block, np.int64)
-    padded[: len(ids)] = ids
-    grid = np.ascontiguousarray(padded.reshape(n, block).T)
-    model, out = Model(n), _Out(n, block)
-    for t, n in _steps(sizes):
-        x = grid[t, :n]
-        id1, id2, a, b = model.predict(n)
-        which = np.where((x == id2) & (model.sure2 > 0), 0, np.where((x == id1) & (model.sure1 > 0), 1, 2))
-        start = np.where(which == 0, 0, np.where(which == 1, a, b)).astype(np.int64)
-        size = np.where(which == 0, a, np.where(which == 1, b - a, ONE - b)).astype(np.int64)
-        model.outcome(which)
-        start, size_all = start << 2 * BITS, size << 2 * BITS
-        m = np.flatnonzero(which == 2)
-        y = x[m]
-        n1, n2, high = y >> 12, (y >> 8) & 15, y >> 8
-        held1 = model.first[m]
-        s1, f1 = _pick(held1, n1)
-        model.nibble(model.first, m, held1, n1)
-        rows = m * 16 + n1
-        held2 = model.second[rows]
-        s2, f2 = _pick(held2, n2)
-        model.nibble(model.second, rows, held2, n2)
-        own = size[m]
-        start[m] += own * ((s1 << BITS) + f1 * s2)
-        size_all[m] = own * f1 * f2
-        out.put(slice(0, n), start, size_all, 3 * BITS)
-        spot = m * 256 + high
-        hit = model.last[spot] == (y & 255)
-        chance = model.seen[rows]
-        out.put(m, np.where(hit, 0, (chance.astype(np.int64) << 8) + (ONE - chance) * (y & 255)), np.where(hit, chance.astype(np.int64) << 8, ONE - chance), BITS + 8)
-        model.repeat(rows, chance, hit)
-        model.last[spot] = y & 255
-        model.learn(x)
-    data = ids.astype("<u4").tobytes()
-    ends = np.cumsum(sizes)
-    return [(int(k), zlib.crc32(data[4 * (e - k) : 4 * e]), p) for k, e, p in zip(sizes, ends, out.close() if len(sizes) else [], strict=True)]
+    found = []
+    for a, b in _groups(-(-len(ids) // block)):
+        part = ids[a * block : b * block]
+        sizes = np.minimum(block, len(part) - block * np.arange(b - a))
+        padded = np.zeros((b - a) * block, np.uint16)
+        padded[: len(part)] = part
+        payloads = _encode_group(np.ascontiguousarray(padded.reshape(b - a, block).T[: sizes[0]]), sizes)
+        data = memoryview(part.astype("<u4").tobytes())
+        found += [(k, zlib.crc32(data[4 * i * block : 4 * (i * block + k)]), p) for i, (k, p) in enumerate(zip(sizes.tolist(), payloads, strict=True))]
+    return found
+
+
+def _decode_group(payloads: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """A column of ids per block."""
+    coder, model = _In(payloads), Model(len(sizes))
+    grid = np.zeros((int(sizes[0]), len(sizes)), np.uint16)
+    every = np.tile(np.arange(CLASSES, dtype=np.uint8), len(sizes))
+    for begin, have, staying in _periods(sizes):
+        n = have[0]
+        codes, classes = np.zeros((2, len(have), n), np.uint8)
+        class_at = np.repeat(every[: n * CLASSES], model.part[: n * CLASSES] >> 16)
+        lane64, lane_part, lane_at = model.lane * 64, model.lane * CLASSES, model.lane << BITS
+        for k, row, code, kinds in zip(have, grid[begin:], codes, classes, strict=False):
+            guess, record = model.predict(k)
+            value = coder.look(k)
+            spot = lane64[:k] + (record << 2)
+            top = value >> BITS + WIDEST
+            second = model.split[spot + 1]
+            one, two = top >= (second & 0xFFFF), top >= (second & 0xFFFF) + (second >> 16)
+            which = one.view(np.uint8) + two
+            split = model.split[spot + which].astype(np.int64)
+            start, size = (split & 0xFFFF) << BITS + WIDEST, split >> 16
+            inner = (value - start) // size
+            # As if neither was right; what does not apply is dropped.
+            kind = class_at[lane_at[:k] + (inner >> WIDEST)]
+            part = model.part[lane_part[:k] + kind].astype(np.int64)
+            spare = (WIDEST - PLACE_BITS)[kind]
+            first, share = (part & 0xFFFF) << WIDEST, part >> 16
+            place = (inner - first) // share >> spare
+            start += np.where(two, size * (first + share * (place << spare)), 0)
+            size *= np.where(two, share << spare, 1 << BITS + WIDEST)
+            coder.take(start, size)
+            x = np.where(two, FIRST_ID[kind] + place, np.where(one, guess[0], guess[1])).astype(np.uint16)
+            row[:k], code[:k], kinds[:k] = x, record << 2 | which, kind
+            model.learn(x, guess == x)
+        if staying:
+            model.turn(codes[:, :staying], classes[:, :staying])
+    return grid
 
 
 def decode_blocks(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
     """The ids of all blocks end to end; a block that does not match its checksum raises."""
-    sizes = np.array([k for k, _, _ in blocks], np.int64)
-    order = np.argsort(-sizes, kind="stable")
-    sizes = sizes[order]
-    coder, model = _In([blocks[i][2] for i in order]), Model(len(blocks))
-    grid = np.zeros((int(sizes[0]) if len(sizes) else 0, len(blocks)), np.int64)
-    for t, n in _steps(sizes):
-        id1, id2, a, b = model.predict(n)
-        value = coder.look(slice(0, n), 3 * BITS)
-        top = value >> 2 * BITS
-        which = (top >= a).astype(np.int64) + (top >= b)
-        start = np.where(which == 0, 0, np.where(which == 1, a, b)).astype(np.int64)
-        size = np.where(which == 0, a, np.where(which == 1, b - a, ONE - b)).astype(np.int64)
-        model.outcome(which)
-        x = np.where(which == 0, id2, id1)
-        start, size_all = start << 2 * BITS, size << 2 * BITS
-        m = np.flatnonzero(which == 2)
-        own = size[m]
-        inner = (value[m] - start[m]) // own
-        held1 = model.first[m]
-        n1 = np.count_nonzero(held1 <= (inner >> BITS).astype(np.int16)[:, None], axis=1) - 1
-        s1, f1 = _pick(held1, n1)
-        model.nibble(model.first, m, held1, n1)
-        rows = m * 16 + n1
-        held2 = model.second[rows]
-        n2 = np.count_nonzero(held2 <= ((inner - (s1 << BITS)) // f1).astype(np.int16)[:, None], axis=1) - 1
-        s2, f2 = _pick(held2, n2)
-        model.nibble(model.second, rows, held2, n2)
-        start[m] += own * ((s1 << BITS) + f1 * s2)
-        size_all[m] = own * f1 * f2
-        coder.take(slice(0, n), start, size_all, 3 * BITS)
-        high = n1 * 16 + n2
-        spot = m * 256 + high
-        chance = model.seen[rows].astype(np.int64)
-        value = coder.look(m, BITS + 8)
-        hit = value < chance << 8
-        raw = (value - (chance << 8)) // (ONE - chance)
-        low = np.where(hit, model.last[spot], np.minimum(raw, 255))
-        coder.take(m, np.where(hit, 0, (chance << 8) + (ONE - chance) * low), np.where(hit, chance << 8, ONE - chance), BITS + 8)
-        model.repeat(rows, chance.astype(np.int32), hit)
-        model.last[spot] = low
-        x[m] = (high << 8) | low
-        model.learn(x)
-        grid[t, :n] = x
-    back = np.empty(len(blocks), np.int64)
-    back[order] = np.arange(len(blocks))
-    out = [grid[:k, j] for (k, _, _), j in zip(blocks, back, strict=True)]
-    for (_, crc, _), ids in zip(blocks, out, strict=True):
-        if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
-            raise ValueError("a block of token ids does not match its checksum")
-    return np.concatenate([*out, np.empty(0, np.int64)]).astype(np.uint32)
+    order = sorted(range(len(blocks)), key=lambda i: -blocks[i][0])
+    out: list = [None] * len(blocks)
+    for a, b in _groups(len(blocks)):
+        some = order[a:b]
+        columns = _decode_group([blocks[i][2] for i in some], np.array([blocks[i][0] for i in some]))
+        for i, ids in zip(some, np.ascontiguousarray(columns.T).astype("<u4"), strict=True):
+            out[i] = ids[: blocks[i][0]]
+            if zlib.crc32(out[i]) != blocks[i][1]:
+                raise ValueError("a block of token ids does not match its checksum")
+    return np.concatenate([*out, np.empty(0, np.uint32)]).astype(np.uint32)

@@ -2,7 +2,7 @@
 
 The corpus is range-partitioned by doc_id and sorted, so part k of the output holds smaller ids
 than part k + 1. A part is a Parquet file whose rows are segments: the documents of the segment
-with their numbers of ids, and blocks of 512 ids, each coded by itself with its own checksum
+with their numbers of ids, and blocks of 1024 ids, each coded by itself with its own checksum
 (``range_coder``). Parquet is only the container: it gives atomic commits on any store, so a lost
 executor leaves no half file, and readers split by segment.
 

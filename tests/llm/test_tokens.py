@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from fleetlens.llm import packing, range_coder
+from fleetlens.llm import packing, range_coder, token_ids
 from fleetlens.llm.token_files import read_ids, read_token_files, write_token_files
 from fleetlens.llm.token_ids import token_slices
 
@@ -27,6 +27,33 @@ def test_ids_are_the_tokenizers(tokenizer, sample):
     assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_new_parts_cost_the_same_with_many_known(monkeypatch):
+    """A slice sorts its own new parts, not again all that the worker has met."""
+    encoder, handed = token_ids.WordEncoder(PATH), []
+    for name in ("argsort", "unique", "sort"):
+        plain = getattr(np, name)
+        monkeypatch.setattr(np, name, lambda a, *args, plain=plain, **more: handed.append(np.size(a)) or plain(a, *args, **more))
+    letters = np.array(list("abcdefghij"))
+    for k in range(20):
+        text = " ".join("".join(letters[[int(c) for c in f"{n:06d}"]]) for n in range(500 * k, 500 * k + 500))
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        encoder.slice_ids(points, np.array([0, len(points)]))
+    assert sum(handed) <= 4 * 20 * 500
+
+
+def test_ids_with_full_tables(monkeypatch, tokenizer, sample):
+    """Parts that share a place, and a pool that starts again."""
+    monkeypatch.setattr(token_ids, "SLOT_BITS", 3)
+    monkeypatch.setattr(token_ids, "POOL_IDS", 800)
+    encoder = token_ids.WordEncoder(PATH)
+    for a in range(0, 60, 7):
+        texts = [t or "" for _, t in sample[a : a + 7]] + ODD[a // 7 : a // 7 + 3]
+        points = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le"), np.uint32)
+        ids, counts = encoder.slice_ids(points, np.cumsum([0, *(len(t or "") for t in texts)]))
+        want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 @pytest.mark.parametrize("high", [2, 300, 65536])
 @pytest.mark.parametrize("n", [0, 1, 5, 4096, 4097, 9000])
 def test_coder_round_trip(n, high):
@@ -38,6 +65,44 @@ def test_coder_round_trip(n, high):
         assert (range_coder.decode_blocks(blocks[1:]) == ids[range_coder.BLOCK :]).all()
 
 
+def test_coder_takes_one_step_an_id(monkeypatch):
+    steps = {"put": 0, "take": 0}
+    for kind, name in ((range_coder._Out, "put"), (range_coder._In, "take")):
+        plain = getattr(kind, name)
+
+        def counted(self, *args, plain=plain, name=name):
+            steps[name] += 1
+            return plain(self, *args)
+
+        monkeypatch.setattr(kind, name, counted)
+    ids = np.random.default_rng(1).zipf(1.3, 40 * range_coder.BLOCK).clip(0, 49_000)
+    assert (range_coder.decode_blocks(range_coder.encode_blocks(ids)) == ids).all()
+    assert steps == {"put": range_coder.BLOCK, "take": range_coder.BLOCK}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_coder_odd_ids(seed):
+    """Long runs, rare ids after sure ones, ids at both ends; blocks of several groups in any order."""
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(20_000, 60_000))
+    ids = [np.full(n, 65_535), np.where(rng.random(n) < 0.001, 65_535, 0), rng.zipf(1.1, n).clip(0, 65_535), np.repeat(rng.integers(0, 65_536, n // 50 + 1), 50)[:n], np.arange(n) & 0xFFFF, rng.choice([0, 31, 32, 1023, 1024, 65_535], n)][seed]
+    blocks = range_coder.encode_blocks(ids, [7, 100, 1024, 33, 2048, 500][seed])
+    assert (range_coder.decode_blocks(blocks) == ids).all()
+    assert (range_coder.decode_blocks(blocks[::-1]) == np.concatenate([ids[a : a + k] for a, k in zip(np.cumsum([0, *(b[0] for b in blocks[:-1])])[::-1], [b[0] for b in blocks[::-1]], strict=True)])).all()
+
+
+def test_coder_finds_damage():
+    rng = np.random.default_rng(2)
+    blocks = range_coder.encode_blocks(rng.zipf(1.2, 3000).clip(0, 49_000))
+    for _ in range(25):
+        k = int(rng.integers(len(blocks)))
+        size, crc, payload = blocks[k]
+        at = int(rng.integers(len(payload) - 8))
+        cut = payload[:at] if rng.random() < 0.3 else payload[:at] + bytes([payload[at] ^ int(rng.integers(1, 256))]) + payload[at + 1 :]
+        with pytest.raises(ValueError, match="checksum"):
+            range_coder.decode_blocks([*blocks[:k], (size, crc, cut), *blocks[k + 1 :]])
+
+
 def test_coder_compresses_and_checks():
     ids = np.tile(np.arange(50), 200)
     blocks = range_coder.encode_blocks(ids)
