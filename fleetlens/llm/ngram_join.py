@@ -5,18 +5,21 @@ that can hold a pair at all, and in each block the product accumulates overlap c
 throws away every pair below the bound that the two sizes give.
 
 1. Sizes fall into classes such that a pair lies in one class or in two neighbours; the class of the
-   smaller set is the pair's level. On a level, two linked sets differ in at most D elements; the
-   hash range is cut into D + 1 parts, so a linked pair agrees on one part wholly. Each set emits, for
-   the two levels it can be in, a key per part (level, part, hash of what lies in it). Where a set
-   has an empty part, whose key would say nothing, it also emits the prefix that the overlap
-   bound asks for. No linked pair is lost.
+   smaller set is the pair's level. On a level, two linked sets differ in at most D elements, so in at most
+   D parts of the hash range. It is cut into some more parts than D, and each set emits, for the two
+   levels it can be in, a key per part that holds something (level, part, hash of what lies in it): with more than D
+   such parts, a set agrees on one of them wholly with every partner. The few sets with D or fewer also emit the
+   prefix that the overlap bound asks for, a key per element; if both sets of a pair do, they meet there. No linked
+   pair is lost. An element alone is a weak key: were all prefixes emitted, frequent n-grams would tie most sets of a level
+   into one cluster.
 2. Sets of a level that share a key form candidate clusters (components of the key graph). Keys that
    repeat in a batch are replaced there by one key of the batch's first holder, so a hot key has a
    row per batch. Equal sets become one row with a count.
 3. A cluster is dealt to tiles of bounded size; every pair of tiles is one block, whatever the
-   cluster's size. First the blocks hold coarse counts of the elements (a sixteenth of a byte each):
-   sets differ in at least the sum of the count differences, so pairs beyond the bound go. What
-   is left forms the clusters of the exact product, which are near-duplicates and little else.
+   cluster's size. First the blocks hold coarse counts of the elements (a quarter of a byte each):
+   sets differ in at least the sum of the count differences, so pairs beyond the bound go, most of them by
+   sums of four counts already. What is left forms the clusters of the exact product, which are near-duplicates and little
+   else: whole sets travel once for each tile of their cluster, so a cluster tied by chance would cost its square in disk.
 4. In a task, n-grams of a block that few rows hold are expanded into pair counts; the others are
    multiplied as dense strips. Only links that pass the exact test leave the task, as a spanning
    forest with a link count per row.
@@ -39,11 +42,13 @@ from pyspark.sql import functions as F
 from fleetlens.llm.codes import gram_hash, mix, runs, span_hash, text_slices
 from fleetlens.llm.components import components
 from fleetlens.llm.registry import query, table
-from fleetlens.session import stage
+from fleetlens.session import release_shuffles, stage
 
 TILE_ROWS, TILE_ELEMENTS, DENSE = 1024, 2_000_000, 24
-#: Coarse counts take a hundredth of the room of sets, so their tiles hold more rows and each row goes to fewer blocks.
-COARSE_ROWS = 8192
+#: Coarse counts take a thirtieth of the room of sets, so their tiles hold more rows and each row goes to fewer blocks.
+COARSE_ROWS = 16384
+#: So many neighbouring counts are summed for the first comparison.
+SUMMED = 4
 SKETCH = "doc_id long, n_shingles long, class int, h1 long, h2 long, own_counts binary, low_counts binary"
 KEYS = "doc_id long, level int, keys array<long>"
 
@@ -79,13 +84,14 @@ def part_keys(u: np.ndarray, level: int, pct: int) -> np.ndarray:
     """The keys of one set on a level."""
     n = len(u)
     inner = np.concatenate([[np.uint64(0)], np.cumsum(mix(u + np.uint64(7)))])
-    parts = int(size_bounds(pct)[level + 1] - 1) * (100 - pct) // pct + 1
+    most = int(size_bounds(pct)[level + 1] - 1) * (100 - pct) // pct
+    parts = most + 1 + (most + 7) // 8
     counts = np.bincount((((u >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64), minlength=parts)
     ends = np.cumsum(counts)
     held = np.flatnonzero(counts)
     salt = np.uint64(level) << np.uint64(40)
     keys = mix((inner[ends[held]] - inner[ends[held] - counts[held]]) ^ mix(held.astype(np.uint64) + salt))
-    if len(held) < parts:
+    if len(held) <= most:
         prefix = u[: n - -(-n * pct // 100) + 1]
         keys = np.append(keys, mix(prefix ^ mix(np.array([salt + np.uint64(1 << 39)]))))
     return keys
@@ -93,7 +99,7 @@ def part_keys(u: np.ndarray, level: int, pct: int) -> np.ndarray:
 
 def coarse_counts(u: np.ndarray, level: int, pct: int) -> bytes:
     """How many elements lie in each of some fixed buckets of the level."""
-    buckets = int(size_bounds(pct)[level + 1]) // 16 + 16
+    buckets = (int(size_bounds(pct)[level + 1]) // 16 + 4) * SUMMED
     counts = np.bincount((((u & np.uint64(0xFFFFFFFF)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64), minlength=buckets)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
@@ -244,15 +250,16 @@ def _close(rows: list, pct: int):
     """Spanning forest of the pairs of one block whose coarse counts do not rule a link out."""
     side, node, size = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
     counts = np.stack([np.frombuffer(r[4], np.uint8) for r in rows]).astype(np.int16)
+    sums = counts.reshape(len(rows), -1, SUMMED).sum(2, dtype=np.int16)
     paired = rows[0][5]
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for i in range(len(rows)):
         others = np.flatnonzero(side > side[i]) if paired else np.arange(i + 1, len(rows))
-        if len(others):
-            apart = np.abs(counts[others] - counts[i]).sum(1, dtype=np.int64)
-            near = others[apart * (100 + pct) <= (100 - pct) * (size[others] + size[i])]
-            left.append(np.full(len(near), i))
-            right.append(near)
+        for held in (sums, counts):
+            apart = np.abs(held[others] - held[i]).sum(1, dtype=np.int64)
+            others = others[apart * (100 + pct) <= (100 - pct) * (size[others] + size[i])]
+        left.append(np.full(len(others), i))
+        right.append(others)
     i, j = np.concatenate(left), np.concatenate(right)
     root = _roots(node, i, j)
     at = np.flatnonzero(root != node)
@@ -338,6 +345,8 @@ def ngram_join(docs: DataFrame, words: int = 5, pct: int = 80) -> DataFrame:
     node = lambda below: F.xxhash64("doc_id", F.col("class") - below)
     sorted_keys = level_keys(docs, words, pct).repartition(n, "key").sortWithinPartitions("key", "node")
     clusters = components(sorted_keys.mapInArrow(_stars, "a long, b long").distinct())
+    # The keys are the largest shuffle; they are not to lie beside that of the texts.
+    release_shuffles(docs.sparkSession)
 
     # A row per set and level, for sets that share a key with another one there.
     slim = known.filter("n_shingles > 0 AND doc_id IS NOT NULL")

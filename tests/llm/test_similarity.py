@@ -74,6 +74,42 @@ def test_join_tiles(spark, monkeypatch):
     assert joined(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85) == brute_join(rows, 4, 85)
 
 
+def level_of(u, pct):
+    return int(np.searchsorted(join.size_bounds(pct), len(u), "right")) - 1
+
+
+@pytest.mark.parametrize("pct", [80, 85])
+def test_linked_sets_share_a_key(pct):
+    """Pairs at the bound of the overlap, of all sizes: on the level of the smaller set a key is common, and coarse counts let them pass."""
+    rng = np.random.default_rng(pct)
+    for n in [*range(1, 60), *rng.integers(60, 900, 300).tolist()]:
+        for least in (n, -(-n * pct // 100)):  # as large as the smaller set can be, and as small as its partner allows
+            both = rng.integers(0, 2**63, least).astype(np.uint64) * np.uint64(2)
+            u = np.unique(np.append(both, rng.integers(0, 2**63, n - least).astype(np.uint64)))
+            room = max(len(u), len(both) * 100 // pct + len(both) - len(u)) - len(both)
+            v = np.unique(np.append(both, rng.integers(0, 2**63, max(0, room)).astype(np.uint64)))
+            o = len(np.intersect1d(u, v))
+            if 100 * o < pct * (len(u) + len(v) - o):
+                continue
+            level = min(level_of(u, pct), level_of(v, pct))
+            assert max(level_of(u, pct), level_of(v, pct)) <= level + 1
+            assert len(np.intersect1d(join.part_keys(u, level, pct), join.part_keys(v, level, pct)))
+            rows = [(0, 0, k, len(w), join.coarse_counts(w, level, pct), False) for k, w in enumerate((u, v))]
+            assert join._close(rows, pct).num_rows == 1
+
+
+def test_frequent_ngrams_do_not_tie_sets():
+    """Sets that hold some frequent n-grams and are else different hardly share a key, and coarse counts tell them apart: clusters stay small as the table grows."""
+    rng, pct = np.random.default_rng(1), 80
+    frequent = rng.integers(0, 2**63, 5).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(np.append(frequent, rng.integers(0, 2**63, 300).astype(np.uint64) * np.uint64(2))) for _ in range(200)]
+    level = level_of(sets[0], pct)
+    _, held = np.unique(np.concatenate([join.part_keys(u, level, pct) for u in sets]), return_counts=True)
+    assert held.max() < 0.2 * len(sets)
+    pairs = join._close([(0, 0, k, len(u), join.coarse_counts(u, level, pct), False) for k, u in enumerate(sets)], pct)
+    assert pairs.num_rows == 0
+
+
 def test_join_odd_rows(messy, empty):
     rows = join.ngram_join(messy).collect()
     assert len(rows) == messy.count()
