@@ -147,16 +147,25 @@ class TableFleet(Fleet):
     def __init__(self, files: DataFrame):
         self.spark, self.roots, self._root_paths = files.sparkSession, ["/table"], ["/table"]
         path = F.concat_ws("/", F.lit("/table"), "bundle_id", "path")
-        self._files = files.select(path.alias("file_path"), F.lit(None).cast("timestamp").alias("modified"), F.col("content").alias("text"))
+        # The bundle is kept as it is given, so that Spark still knows how the rows are dealt.
+        self._files = files.select("bundle_id", path.alias("file_path"), F.lit(None).cast("timestamp").alias("modified"), F.col("content").alias("text"))
 
     def scheme(self) -> str:
         return "table"
 
+    def texts(self, *relative: str) -> DataFrame:
+        """(bundle_id, file_path, lines): a row per file, in the partition of the table's row. Steps by bundle need no shuffle
+        where the table is dealt by bundle."""
+        return self._files.filter(self.matches(*relative)).select("bundle_id", "file_path", self._split().alias("lines"))
+
+    @staticmethod
+    def _split() -> Column:
+        # Text ends with a line end or not; either way its last line is the last row.
+        return F.split(F.regexp_replace("text", r"\n\z", ""), "\n")
+
     @cached_property
     def _lines(self) -> DataFrame:
-        # Text ends with a line end or not; either way its last line is the last row.
-        lines = F.split(F.regexp_replace("text", r"\n\z", ""), "\n")
-        return self._files.select("file_path", F.lit(0).cast("bigint").alias("block"), "modified", F.explode(lines).alias("value"))
+        return self._files.select("file_path", F.lit(0).cast("bigint").alias("block"), "modified", F.explode(self._split()).alias("value"))
 
     @cached_property
     def _records(self) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.text import to_number
-from fleetlens.sources.fleet import Fleet
+from fleetlens.sources.fleet import Fleet, TableFleet
 
 
 class FactRule(NamedTuple):
@@ -182,8 +182,12 @@ def uname_facts(facts: DataFrame) -> DataFrame:
 ORDER = ["block", "pos"]
 
 
+def _split(line: Column) -> Column:
+    return F.split(F.btrim(line, F.lit(" \t\r\n")), r"\s+")
+
+
 def _fields(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("f", F.split(F.btrim("value", F.lit(" \t\r\n")), r"\s+"))
+    return lines.withColumn("f", _split(F.col("value")))
 
 
 def _int(column: Column) -> Column:
@@ -221,15 +225,13 @@ def scan_processes(fleet: Fleet) -> DataFrame:
     )
 
 
-def _carried(lines: DataFrame, states: dict[str, Column], rank: Column | None = None) -> DataFrame:
+def _carried(lines: DataFrame, states: dict[str, Column]) -> DataFrame:
     """Adds a column per state: its last value that is not null, up to and with the line, in the order of the file.
 
     The state of a line depends on what its block has said, else on the last block before that said something. So each
     block is ordered by itself, and a table with a row per block carries values over block borders:
     files of any length are read by as many tasks as they have blocks. First blocks have nothing to take over, so
-    only further ones are joined, one row for each split of a file. With ``rank``, a number per file path, only
-    the lines of each bundle's file of the lowest number stay; then every block is joined, in a merge, since a fleet has too
-    many blocks to be broadcast.
+    only further ones are joined, one row for each split of a file.
     """
     # A number leads the keys: sorts hardly compare paths, which begin alike.
     file = ["_file", *[c for c in ("bundle_id", "file_path") if c in lines.columns]]
@@ -239,13 +241,8 @@ def _carried(lines: DataFrame, states: dict[str, Column], rank: Column | None =
     local = lines.withColumns({f"_at_{name}": value for name, value in states.items()})
     said = local.groupBy(*block).agg(*[F.max_by(f"_at_{n}", F.when(F.col(f"_at_{n}").isNotNull(), F.col("pos"))).alias(f"_end_{n}") for n in states])
     before = Window.partitionBy(*file).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = said.select(*block, *[F.last(f"_end_{n}", ignorenulls=True).over(before).alias(f"_in_{n}") for n in states])
-    if rank is None:
-        carried, how = carried.filter("block > 0"), "left"
-    else:
-        least = F.min(rank).over(Window.partitionBy("bundle_id"))
-        carried, how = carried.withColumns({"_rank": rank, "_least": least}).filter("_rank = _least").drop("_rank", "_least").hint("merge"), "inner"
-    joined = local.withColumns({n: F.last(f"_at_{n}", ignorenulls=True).over(upto) for n in states}).join(carried, block, how)
+    carried = said.select(*block, *[F.last(f"_end_{n}", ignorenulls=True).over(before).alias(f"_in_{n}") for n in states]).filter("block > 0")
+    joined = local.withColumns({n: F.last(f"_at_{n}", ignorenulls=True).over(upto) for n in states}).join(carried, block, "left")
     return joined.withColumns({n: F.coalesce(F.col(n), F.col(f"_in_{n}")) for n in states}).drop(*[f"_{k}_{n}" for n in states for k in ("at", "in")])
 
 
@@ -379,28 +376,73 @@ SAR_FILES = ("utils/sar", "utils/sar.txt", "sar.txt", "sysstat/sar")
 SAR_SECTIONS = ("cpu", "mem", "net", "tcp", "etcp")
 
 
+def _sar_section(f: Column) -> Column:
+    """The number of the section that a header opens; numbers aggregate without sorts."""
+    at = lambda i: F.get(f, F.lit(i))
+    return (
+        F.when((at(1) == "CPU") & (at(2) == "%user"), SAR_SECTIONS.index("cpu"))
+        .when(at(1).isin("kbmemfree", "kbmemused") & (F.size(f) >= 3), SAR_SECTIONS.index("mem"))
+        .when((at(1) == "IFACE") & (at(2) == "rxpck/s"), SAR_SECTIONS.index("net"))
+        .when((at(1) == "active/s") & (at(2) == "passive/s"), SAR_SECTIONS.index("tcp"))
+        .when((at(1) == "atmptf/s") & (at(3) == "retrans/s"), SAR_SECTIONS.index("etcp"))
+    )
+
+
+def _sar_banner(f: Column) -> Column:
+    return (F.get(f, F.lit(0)) == "Linux") & (F.size(f) >= 4)
+
+
+def _sar_day(f: Column, line: Column) -> Column:
+    us = F.regexp_extract(line, r"\s(\d\d/\d\d/\d\d)(?:\s|$)", 1)
+    iso = F.regexp_extract(line, r"\s(\d{4}-\d\d-\d\d)(?:\s|$)", 1)
+    return F.when(_sar_banner(f), F.coalesce(F.try_to_timestamp(us, F.lit("MM/dd/yy")).cast("date"), iso.try_cast("date")))
+
+
+def _sar_rows(fleet: Fleet) -> tuple[DataFrame, DataFrame]:
+    """(bundle_id, rank, f, section, day) of every line with two fields or more; (bundle_id, least), the lowest rank of each bundle's
+    files that have such a line: their samples count.
+
+    Files are read as lines, which are shuffled to carry section and day over blocks. A text of a table is cut before its
+    banners and then before its headers, where it is: no line is shuffled or sorted. (Outer explosions are not preceded by a
+    test of the array's size, for which Spark would make the array twice; a text without lines gives a row without ``f``.)
+    """
+    rank = F.array_position(F.array(*[F.col("file_path").endswith("/" + name) for name in SAR_FILES]), True).alias("rank")
+    if not isinstance(fleet, TableFleet):
+        lines = _fields(fleet.lines(*SAR_FILES)).filter(F.size("f") >= 2).select("bundle_id", "file_path", *ORDER, "value", "f", rank)
+        best = lines.groupBy("bundle_id").agg(F.min("rank").alias("least"))
+        return _carried(lines, {"section": _sar_section(F.col("f")), "day": _sar_day(F.col("f"), F.col("value"))}), best
+    texts = fleet.texts(*SAR_FILES).select("bundle_id", rank, "lines")
+    best = texts.filter(F.exists("lines", lambda x: F.size(_split(x)) >= 2)).groupBy("bundle_id").agg(F.min("rank").alias("least"))
+    head, last = (lambda x: _sar_section(x["f"])), (lambda xs: F.get(xs, F.size(xs) - 1))
+    lines = F.filter(F.transform("lines", lambda x: F.struct(x.alias("value"), _split(x).alias("f"))), lambda x: F.size(x["f"]) >= 2)
+    runs = _cut(texts.withColumn("lines", lines), "lines", lambda x: _sar_day(x["f"], x["value"]).isNotNull())
+    # What each run ends with; a run has the last of those before it to begin with.
+    ends = F.transform("lines", lambda run: last(F.array_compact(F.transform(run, head))))
+    runs = runs.select("bundle_id", "rank", ends.alias("ends"), F.posexplode_outer("lines").alias("at", "lines"))
+    first = F.get("lines", F.lit(0))
+    runs = runs.select("bundle_id", "rank", "lines", last(F.array_compact(F.slice("ends", F.lit(1), F.col("at")))).alias("before"), _sar_day(first["f"], first["value"]).alias("day"))
+    parts = _cut(runs, "lines", lambda x: head(x).isNotNull()).select("bundle_id", "rank", "day", "before", F.explode_outer("lines").alias("lines"))
+    parts = parts.select("bundle_id", "rank", "day", F.coalesce(head(first), "before").alias("section"), F.explode_outer("lines.f").alias("f"))
+    return parts, best
+
+
+def _cut(df: DataFrame, items: str, opens) -> DataFrame:
+    """``df`` with the array ``items`` as an array of pieces, cut before each item that ``opens``."""
+    at = F.array_compact(F.transform(items, lambda x, i: F.when((i == 0) | opens(x), i)))
+    # Starts are a column of their own, so that they are found once, not once a piece.
+    starts = df.withColumn("_starts", at)
+    piece = lambda start, k: F.slice(items, start + 1, F.coalesce(F.get("_starts", k + 1), F.size(items)) - start)
+    return starts.withColumn(items, F.transform("_starts", piece)).drop("_starts")
+
+
 def scan_sar(fleet: Fleet) -> tuple[DataFrame, DataFrame]:
     """(samples, interfaces): one row per time, and one per time and interface.
 
     The section of a data row is the last header before it; rows of all sections with one
     day and time merge into one sample.
     """
-    lines = _fields(fleet.lines(*SAR_FILES)).filter(F.size("f") >= 2)
-    rank = F.array_position(F.array(*[F.col("file_path").endswith("/" + name) for name in SAR_FILES]), True)
-    # Sections are carried as numbers, which aggregate without sorts.
-    section = (
-        F.when((_f(1) == "CPU") & (_f(2) == "%user"), SAR_SECTIONS.index("cpu"))
-        .when(_f(1).isin("kbmemfree", "kbmemused") & (F.size("f") >= 3), SAR_SECTIONS.index("mem"))
-        .when((_f(1) == "IFACE") & (_f(2) == "rxpck/s"), SAR_SECTIONS.index("net"))
-        .when((_f(1) == "active/s") & (_f(2) == "passive/s"), SAR_SECTIONS.index("tcp"))
-        .when((_f(1) == "atmptf/s") & (_f(3) == "retrans/s"), SAR_SECTIONS.index("etcp"))
-    )
-    banner = (_f(0) == "Linux") & (F.size("f") >= 4)
-    us = F.regexp_extract("value", r"\s(\d\d/\d\d/\d\d)(?:\s|$)", 1)
-    iso = F.regexp_extract("value", r"\s(\d{4}-\d\d-\d\d)(?:\s|$)", 1)
-    date = F.coalesce(F.try_to_timestamp(us, F.lit("MM/dd/yy")).cast("date"), iso.try_cast("date"))
-    rows = _carried(lines.withColumns({"head": section, "banner": banner}), {"section": F.col("head"), "day": F.when(F.col("banner"), date)}, rank)
-    rows = rows.filter(F.col("head").isNull() & ~F.col("banner") & ~_f(0).isin("Average:", "Time", "HH:MM:SS"))
+    rows, best = _sar_rows(fleet)
+    rows = rows.filter(_sar_section(F.col("f")).isNull() & ~_sar_banner(F.col("f")) & ~_f(0).isin("Average:", "Time", "HH:MM:SS"))
     clock = F.when(_f(0).rlike(r"\A\d\d:\d\d:\d\d\z"), _f(0))
     stamp = F.concat_ws(" ", F.col("day").cast("string"), clock).try_cast("timestamp")
     rows = rows.withColumns({"clock": _f(0), "ts": F.when(clock.isNotNull(), stamp).otherwise(F.col("day").cast("timestamp"))})
@@ -411,15 +453,20 @@ def scan_sar(fleet: Fleet) -> tuple[DataFrame, DataFrame]:
 
     every = _f(1) == "all"
     pct = F.get(F.filter("f", lambda x: F.contains(x, F.lit(".")) & (to_number(x) <= 100)), F.lit(0))
-    samples = rows.groupBy("bundle_id", "day", "clock").agg(
+    # A row per bundle in ``best``: too many to broadcast for a large fleet. It meets samples, not lines.
+    def chosen(found: DataFrame) -> DataFrame:
+        # No rank is below the least; as an equality it would become a join key, by which all rows were shuffled anew.
+        return found.join(best.hint("merge"), "bundle_id").filter("rank <= least").drop("rank", "least")
+
+    samples = rows.groupBy("bundle_id", "rank", "day", "clock").agg(
         F.min("ts").alias("ts"), at("cpu", 2, 8, every).alias("cpu_user"), at("cpu", 4, 8, every).alias("cpu_system"),
         at("cpu", 5, 8, every).alias("cpu_iowait"), at("cpu", 7, 8, every).alias("cpu_idle"),
         F.max(F.when(F.col("section") == SAR_SECTIONS.index("mem"), to_number(pct))).alias("mem_used_pct"),
         at("tcp", 1, 5).alias("tcp_active"), at("tcp", 2, 5).alias("tcp_passive"), at("tcp", 3, 5).alias("tcp_in_segs"), at("tcp", 4, 5).alias("tcp_out_segs"),
         at("etcp", 3, 4).alias("tcp_retrans"), at("etcp", 4, 5).alias("tcp_in_errs"),
-    ).drop("day")
+    )
     net = rows.filter((F.col("section") == SAR_SECTIONS.index("net")) & (F.size("f") >= 10)).select(
-        "bundle_id", "clock", "ts", _f(1).alias("iface"),
+        "bundle_id", "rank", "clock", "ts", _f(1).alias("iface"),
         *[F.coalesce(to_number(_f(i)), F.lit(0.0)).alias(n) for i, n in ((2, "rx_pck"), (3, "tx_pck"), (4, "rx_kb"), (5, "tx_kb"), (8, "rx_mcst"), (9, "if_util"))],
     )
-    return samples, net
+    return chosen(samples).drop("day"), chosen(net)

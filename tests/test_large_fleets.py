@@ -8,6 +8,8 @@ import pytest
 import __spark_entry__ as entry
 from fleetlens.catalog import file_queries
 from fleetlens.catalog.registry import Tables
+from fleetlens.sources import host
+from fleetlens.sources.fleet import Fleet, TableFleet
 from tests.compare import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -34,6 +36,38 @@ def test_network_health_broadcasts_no_row_per_bundle(spark):
     assert "BroadcastExchange" not in final_plan(entry.queries()["network_health_files"](spark, SF_DIR))
 
 
+@pytest.mark.parametrize("name", ["sar_samples", "sar_peaks", "network_health_files"])
+def test_sar_texts_stay_where_they_are(spark, name):
+    """Only the rows that the texts are made of are shuffled: no line, no sample and no row per bundle."""
+    plan = final_plan(entry.queries()[name](spark, SF_DIR)).split("== Initial Plan ==")[0]
+    shuffles = [line for line in plan.splitlines() if "Exchange " in line]
+    assert shuffles and all("hashpartitioning(concat(o-" in line for line in shuffles)
+    assert "Window" not in plan and "file_path" not in "".join(line for line in plan.splitlines() if "Sort [" in line)
+
+
+def test_sar_of_a_table_equals_that_of_files(spark, fleet_dir):
+    """Odd reports: several and undated banners, sections that go on behind a banner, data before any header, no lines, another file of the bundle."""
+    cpu, net = "00:00:01 CPU %user %nice %system %iowait %steal %idle", "00:00:01 IFACE rxpck/s txpck/s rxkB/s txkB/s rxcmp/s txcmp/s rxmcst/s %ifutil"
+    row = lambda clock, v: f"{clock} all {v}.0 0.0 2.0 0.1 0.0 92.9"
+    link = "00:10:01 eth0 1 2 1024 2048 0 0 3 81.5"
+    day = "Linux 5.15.0 (h)  02/{}/26  _x86_64_ (8 CPU)"
+    files = [
+        ("b1", "utils/sar.txt", "\n".join([row("00:00:00", 1), day.format(12), row("00:05:00", 2), cpu, row("00:10:01", 3), day.format(13), row("00:10:01", 4), "Linux 5.15.0 (h) no date", row("00:20:01", 5), net, link])),
+        ("b2", "utils/sar", "\n\nx\n"), ("b2", "sar.txt", f"{day.format(14)}\r\n{cpu}\r\n{row('00:10:01', 6)}\r\n"),
+        ("b3", "utils/sar", f"{cpu}\n"), ("b3", "utils/sar.txt", f"{cpu}\n{row('00:10:01', 7)}\n"),
+        ("b4", "sysstat/sar", f"Linux CPU %user x 2026-02-15\n{row('00:10:01', 8)}\n\n{net}\n{link}\nAverage: eth0 1 1 1 1 1 1 1 1\n{day.format(16)}\n{link}"), ("b5", "sar.txt", "\n"),
+    ]
+    for file in files:
+        fleet_dir(*file)
+    table = TableFleet(spark.createDataFrame(files, "bundle_id string, path string, content string"))
+    for a, b in zip(host.scan_sar(Fleet(spark, fleet_dir.root)), host.scan_sar(table), strict=True):
+        assert a.columns == b.columns and a.dtypes == b.dtypes
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    users = {(r.bundle_id, str(r.ts)): r.cpu_user for r in host.scan_sar(table)[0].collect()}
+    assert users[("b1", "2026-02-13 00:10:01")] == 4.0 and users[("b1", "2026-02-13 00:20:01")] == 5.0 and users[("b1", "2026-02-12 00:05:00")] is None
+    assert users[("b2", "2026-02-14 00:10:01")] == 6.0 and not any(b in ("b3", "b5") for b, _ in users)
+
+
 @pytest.fixture(scope="module")
 def large_keys(tmp_path_factory):
     """Tables whose customers' keys take one to four bytes."""
